@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, span_dedup
+from . import decontaminate, fingerprints, mixing, near_dedup, sharding, span_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
@@ -21,5 +25,25 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op2_span_dedup, op4_near_dedup)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    out = sharding.shard_rows(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest_match")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0))
+    out = mixing.mix(docs.select("doc_id", "source", words.alias("n_words")), size_column="n_words")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op4_near_dedup, op5_sharding, op7_decontaminate, op8_mixing)}
 ORACLE_SQL: dict[str, str] = {}

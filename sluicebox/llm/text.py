@@ -51,6 +51,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    power, inverse = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the row offsets (rows + 1)."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,10 +112,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        power, inverse = _power(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return byte_hashes(self.data, self.start, self.end)
 
 
 def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
