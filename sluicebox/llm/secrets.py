@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,18 +51,25 @@ MORE = (
     Rule("web_token", "eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+@lru_cache(maxsize=4)
+def compiled(rules: tuple[Rule, ...]) -> Automaton:
+    """The automaton of some rules; made once in a driver."""
+    return Automaton([(r.scan, r.either_case) for r in rules])
+
+
+SPANS = "array<struct<kind:string,start:int,end:int,added:boolean>>"
 
 
 def find_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """doc_id and spans (kind, start, end in code points, end exclusive) of each row of df.
+    """doc_id and spans (kind; start and end in code points, end exclusive; added: no base rule's).
 
     Of each kind the leftmost matches that don't overlap; those whose least length fails are dropped.
     Spans are ordered by start, then by the order of the rules. Null and empty texts have none; no rules
     give no spans. Rows that repeat count each; other columns don't matter.
     """
     docs = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    automaton = Automaton([(r.scan, r.either_case) for r in rules]) if rules else None
+    automaton = compiled(tuple(rules)) if rules else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,10 +80,10 @@ def find_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 for row, rule in zip(*automaton.scan(part, offs[i : j + 1] - offs[i]), strict=True) if automaton else ():
                     text = part[offs[i + row] - offs[i] : offs[i + row + 1] - offs[i]].tobytes().decode()
                     found[row] += [(start, int(rule), end) for start, end in rules[rule].spans(text)]
-                spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]
+                spans = [[{"kind": rules[k].kind, "start": a, "end": b, "added": rules[k] not in BASE} for a, k, b in sorted(x)] for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(spans, _TYPE)], names=["doc_id", "spans"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
-_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())]))
