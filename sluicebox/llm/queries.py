@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, secrets, sharding, span_dedup, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, secrets, sharding, span_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,19 @@ def _span_digests(kinds: tuple[str, ...]) -> list:
     return [*counts, F.sha2(write(base), 256).alias("base_sha256"), write(F.col("spans")).alias("spans")]
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_documents(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *_span_digests(("assign", "access", "hex")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op7_decontaminate, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
         WITH cut AS (
