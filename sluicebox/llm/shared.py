@@ -67,20 +67,20 @@ def range_block(column: Column, bounds: list) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rows (id, component), component the smallest id reachable.
 
-    Smallest labels spread along links and are followed to their own labels, so that the number of
-    rounds grows with the logarithm of a component's width; each round is a written table. Empty
-    links give no rows; repeated links and links of a node to itself change nothing.
+    In a round every node takes the smallest of itself and its neighbours as label, follows that label
+    once, and links are drawn between labels instead of nodes; those within one label go. So links
+    shrink from round to round; each is a written table. Empty links give no rows; repeated links and
+    links of a node to itself change nothing.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long"))
     both = saved(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
-    labels = saved(labels)
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        ends = labels.select(F.col("id").alias("component"), F.col("component").alias("end"))
-        step = saved(hooked.join(ends, "component").select("id", "old", F.least("component", "end").alias("component")))
-        changed = step.where("component <> old").limit(1).count()
-        labels = step.select("id", "component")
-        if not changed:
-            return labels
+    named = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+    both = both.where("a <> b")
+    while both.limit(1).count():
+        low = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+        ends = low.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        step = saved(low.join(ends, "label", "left").select("node", F.least("label", F.coalesce("end", "label")).alias("label")))
+        named = saved(named.join(step.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("label", "component").alias("component")))
+        moved = both.join(step.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        both = saved(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return saved(named)
