@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, secrets, sharding, span_dedup, toxicity, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, span_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _span_digests(kinds: tuple[str, ...]) -> list:
+    """n_<kind>, base_sha256 and spans columns of a table with the spans of an operator."""
+    write = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds) & ~x["added"])
+    of = lambda k: F.filter("spans", lambda x: (x["kind"] == k) & ~x["added"])
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return [*counts, F.sha2(write(base), 256).alias("base_sha256"), write(F.col("spans")).alias("spans")]
+
+
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private_data.find_private_data(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *_span_digests(private_data.KINDS))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest_match")
@@ -53,15 +67,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def _span_digests(kinds: tuple[str, ...]) -> list:
-    """n_<kind>, base_sha256 and spans columns of a table with the spans of an operator."""
-    write = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    base = F.filter("spans", lambda x: x["kind"].isin(*kinds) & ~x["added"])
-    of = lambda k: F.filter("spans", lambda x: (x["kind"] == k) & ~x["added"])
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return [*counts, F.sha2(write(base), 256).alias("base_sha256"), write(F.col("spans")).alias("spans")]
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_documents(docs, _table(spark, sf_dir, "labels"))
@@ -74,7 +79,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_span_digests(("assign", "access", "hex")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
         WITH cut AS (
