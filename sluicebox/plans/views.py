@@ -62,6 +62,15 @@ VIEWS = {
                CAST(l_quantity AS BIGINT) * 300000 AS bytes FROM lineitem""",
     "v_keyword": """
         SELECT conv_id AS doc_id, turn AS module, CASE WHEN role = 'user' THEN 'AutoExec' ELSE 'Suspicious' END AS kind, CASE (conv_id + turn) % 6 WHEN 0 THEN 'AutoOpen' WHEN 1 THEN ' Shell ' WHEN 2 THEN 'document_open' WHEN 3 THEN 'PowerShell' WHEN 4 THEN 'CreateObject' ELSE 'Dim' END AS keyword, BYTES(text) * 1000 AS source_bytes FROM conversations""",
+    "v_artifact": """
+        SELECT doc_id AS artifact_id, doc_id AS scan_id, doc_id + 1 AS derived_scan_id, CASE WHEN doc_id % 36 = 0 THEN 'THUMBNAIL' ELSE 'CLEANED' END AS artifact_type, CASE WHEN doc_id % 60 = 0 THEN 'k0' ELSE concat('k', doc_id) END AS storage_key, SHA(text) AS sha,
+               BYTES(text) AS size_bytes, doc_id % 4 AS fingerprint, CASE WHEN doc_id % 5 = 0 THEN '1.0.1' ELSE '1.0.2' END AS policy_version, doc_id * 31 % 1000 AS created_at FROM documents WHERE doc_id % 6 = 0""",
+    "v_lineage": """
+        SELECT doc_id AS scan_id, CASE WHEN doc_id % 41 = 0 THEN -1 WHEN first_id < doc_id THEN first_id END AS parent_id, sha FROM (SELECT doc_id, SHA(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) t""",
+    "v_audit": "SELECT event_id, event_type, user_id AS actor_id, CASE WHEN event_id % 7 = 0 THEN 'DENIED' ELSE 'SUCCESS' END AS outcome, props AS details, MICROS(ts) AS us FROM events",
+    "v_session": "SELECT c_custkey AS session_id, c_custkey % 50 AS user_id, CAST(round(c_acctbal * 100) AS BIGINT) AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS revoked_at FROM customer",
+    "v_page_size": "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, max(l_quantity) * 40 AS width, max(l_quantity) * 60 AS height FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "v_script": "SELECT page_id AS doc_id, page_id AS action_id, html AS source_text FROM pages",
     "v_case": f"""
         SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'RISKY' ELSE 'BENIGN' END AS category, concat('class', doc_id % 6) AS case_class,
                CASE WHEN toxic = 1 THEN {_CODE_AT.format("doc_id % 45")} ELSE '' END AS expected, CASE WHEN doc_id % 4 = 0 THEN 'PDF_ACROFORM' ELSE '' END AS acceptable, doc_id % 6 = 0 AS any_additional,
