@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans.dims import BIDI, BUSINESS, DANGEROUS
 
@@ -77,7 +78,7 @@ def escaped_member(v: Column, most: int = 256, default: str = "unnamed") -> Colu
     return F.coalesce(F.nullif(F.substring(F.array_join(chars, ""), 1, most), F.lit("")), F.lit(default))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..plans.dims import SUPPORTED_TYPES
 
-EMPTY = F.array().cast("array<string>")
+def none() -> Column:
+    """An empty list of strings."""
+    return F.array().cast("array<string>")
 
 
 def risk_band(score: Column) -> Column:
@@ -63,7 +65,7 @@ def evaluate(scans: DataFrame, findings: DataFrame, policy: DataFrame, compounds
     together = compound_hits(codes, compounds).groupBy("scan_id").agg(F.sum("points").alias("compound_points"), only(F.lit(True), F.col("name")).alias("compounds"), only(F.col("floor") == "QUARANTINE", F.col("name")).alias("compound_floors"), only(F.lit(True), F.concat_ws("=", "name", "points")).alias("compound_contributions"))
     rows = scans.join(own, "scan_id", "left").join(together, "scan_id", "left")
     lists = ("hard", "floors", "codes", "code_contributions", "compounds", "compound_floors", "compound_contributions")
-    rows = rows.withColumns({c: F.coalesce(c, EMPTY) for c in lists} | {"unknown": F.coalesce("unknown", F.lit(False)), "partial": F.coalesce("partial", F.lit(False))})
+    rows = rows.withColumns({c: F.coalesce(c, none()) for c in lists} | {"unknown": F.coalesce("unknown", F.lit(False)), "partial": F.coalesce("partial", F.lit(False))})
     rows = rows.withColumn("incomplete", completeness(F.col("partial"))).withColumn("score", F.least(F.lit(100), F.coalesce("code_points", F.lit(0)) + F.coalesce("compound_points", F.lit(0))).cast("int"))
     rows = rows.withColumn("mandatory", F.array_sort(F.array_union(F.array_union("floors", "compound_floors"), "incomplete")))
     decision = F.when(F.size("hard") > 0, "BLOCK").when((F.size("mandatory") > 0) | (F.col("score") >= 40), "QUARANTINE").when(F.col("score") >= 20, "REVIEW").otherwise("ALLOW")
@@ -76,11 +78,11 @@ def evaluate(scans: DataFrame, findings: DataFrame, policy: DataFrame, compounds
         F.when(closed, "QUARANTINE").otherwise(decision).alias("decision"),
         (~closed & (decision == "ALLOW")).alias("release_eligible"),
         (~closed & (F.size("incomplete") == 0)).alias("complete"),
-        F.when(closed, EMPTY).otherwise(F.col("hard")).alias("hard_block_reasons"),
+        F.when(closed, none()).otherwise(F.col("hard")).alias("hard_block_reasons"),
         F.when(closed, failed).otherwise(F.col("mandatory")).alias("mandatory_reasons"),
-        F.when(closed, EMPTY).otherwise(F.col("compounds")).alias("compounds"),
+        F.when(closed, none()).otherwise(F.col("compounds")).alias("compounds"),
         F.when(closed, failed).otherwise(F.array_sort(F.array_union(F.array_union("codes", "compounds"), "incomplete"))).alias("reasons"),
-        F.when(closed, EMPTY).otherwise(F.array_sort(F.array_union("code_contributions", "compound_contributions"))).alias("contributions"),
+        F.when(closed, none()).otherwise(F.array_sort(F.array_union("code_contributions", "compound_contributions"))).alias("contributions"),
     )
 
 

@@ -18,7 +18,10 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCANS_SQL = _POLICY_SQL + ", scans AS (SELECT * FROM v_scan LEFT JOIN (SELECT scan_id, score, band, decision, release_eligible, complete FROM evaluation WHERE scan_id % 7 <> 0) USING (scan_id)) "
-_NEWEST = [F.desc("created_at"), F.desc("scan_id")]
+
+
+def _newest() -> list:
+    return [F.desc("created_at"), F.desc("scan_id")]
 
 
 # Operator queries --------------------------------------------------------------------------------
@@ -28,12 +31,12 @@ _NEWEST = [F.desc("created_at"), F.desc("scan_id")]
 def q01_scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.listing(_scans(spark, sf_dir), decision="QUARANTINE", state="COMPLETED")
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    return catalog.page(found.select("scan_id", "created_at"), _NEWEST, 2, 20).join(F.broadcast(total))
+    return catalog.page(found.select("scan_id", "created_at"), _newest(), 2, 20).join(F.broadcast(total))
 
 
 @query(_SCANS_SQL + "SELECT scan_id, decision FROM scans WHERE decision IN ('REVIEW', 'QUARANTINE', 'BLOCK') ORDER BY created_at DESC, scan_id DESC LIMIT 100")
 def q02_containment_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.page(catalog.listing(_scans(spark, sf_dir), decision="ALLOW", contained_only=True), _NEWEST, 1, 100).select("scan_id", "decision")
+    return catalog.page(catalog.listing(_scans(spark, sf_dir), decision="ALLOW", contained_only=True), _newest(), 1, 100).select("scan_id", "decision")
 
 
 _APPROVED_SQL = _SCANS_SQL + ", ok AS (SELECT a.*, s.score AS derived_score FROM v_artifact a JOIN scans s ON s.scan_id = a.derived_scan_id WHERE artifact_type = 'CLEANED' AND s.decision = 'ALLOW' AND s.release_eligible) "
@@ -59,7 +62,7 @@ def q05_audit_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCANS_SQL + """SELECT * FROM (SELECT 'recent' AS list, scan_id FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 5) UNION ALL SELECT * FROM (SELECT 'contained', scan_id FROM scans WHERE decision IN ('REVIEW', 'QUARANTINE', 'BLOCK') ORDER BY created_at DESC, scan_id DESC LIMIT 5)""")
 def q07_dashboard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
-    top = lambda df, name: catalog.page(df, _NEWEST, 1, 5).select(F.lit(name).alias("list"), "scan_id")
+    top = lambda df, name: catalog.page(df, _newest(), 1, 5).select(F.lit(name).alias("list"), "scan_id")
     return top(scans, "recent").unionAll(top(catalog.listing(scans, contained_only=True), "contained"))
 
 
