@@ -155,14 +155,25 @@ def _contexts(units: set[str]):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a slight pull to the defaults."""
-    w, prior = np.array([1.5, -4.0]), np.array([1.5, -4.0])
+    """Slope and offset by damped Newton steps, with a slight pull to the defaults."""
+    prior = np.array([1.5, -4.0])
     design = np.column_stack([x, np.ones(len(x))])
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.025 * ((w - prior) ** 2).sum())
+
+    w = prior
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - y) + 0.05 * (w - prior)
         hess = design.T @ (design * (p * (1 - p))[:, None]) + 0.05 * np.eye(2)
-        w = w - np.linalg.solve(hess, grad)
+        step, size, now = np.linalg.solve(hess, grad), 1.0, loss(w)
+        while size > 1e-6 and not loss(w - size * step) < now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
     return float(max(w[0], 0.1)), float(w[1])
 
 
