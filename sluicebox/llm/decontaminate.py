@@ -24,7 +24,7 @@ from .text import ALNUM, U64, Words, buffers, pieces
 #: Words of a window.
 WINDOW = 13
 #: Text bytes of one shard's suffix array, and of one block of the benchmark.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BENCHMARK_BYTES = 32 << 20
 #: Words by which suffixes are ordered.
 _DEPTH = 27
@@ -214,7 +214,9 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "
     """
     columns = [c for c in (keep if keep is not None else df.columns) if c not in _NEW and c not in _MERGED]
     text = F.col(text_column)
-    rows = df.select(*columns, text.alias("_text"))
+    # a text that is kept anyway isn't carried twice
+    own = text_column if text_column in columns else "_text"
+    rows = df.select(*columns, *([] if own in columns else [text.alias("_text")]))
     bench = benchmark.select(F.col(item_column).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("name IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // benchmark_bytes))
@@ -224,8 +226,9 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "
         part = bench if count == 1 else bench.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k)
         items = sorted((r["name"], r["text"]) for r in part.collect())  # at most about benchmark_bytes
         last = k == count - 1
-        out = [*columns, *([] if last else ["_text"])]
-        schema = ", ".join(x for x in (base, "" if last else "`_text` string", tail) if x)
-        source = [*columns, "_text", *(_MERGED if k else ())]
-        rows = rows.select(*source).mapInArrow(_scan(items, window, len(columns), out, bool(k), shard_bytes), schema)
+        extra = [] if own in columns else ["_text"]
+        out = [*columns, *([] if last else extra)]
+        schema = ", ".join(x for x in (base, "`_text` string" if "_text" in out else "", tail) if x)
+        source = [*columns, *extra, *(_MERGED if k else ())]
+        rows = rows.select(*source).mapInArrow(_scan(items, window, source.index(own), out, bool(k), shard_bytes), schema)
     return rows.select(*columns, F.col("_n").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.col("_longest").alias("longest_match"), ((F.col("_n_hit") > 0) & (F.col("_n_hit") * 100 >= F.col("_n") * percent)).alias("contaminated"))

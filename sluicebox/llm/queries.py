@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, span_dedup, toxicity, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, shared, span_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 #: Bytes of words: all but blank and 0x09-0x0D.
 PLAIN = np.ones(256, bool)

@@ -97,7 +97,7 @@ class _Lexical(dict):
     def __missing__(self, word: str) -> int:
         weight = max([self.weights.get(word, 0.0), *(self.weights.get(word[:k] + "*", 0.0) for k in BEGINNINGS if len(word) > k)])
         code = min(255, INSULT + max(1, round(weight / STEP))) if weight > 0 else self.fixed.get(word, PLAIN)
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         if len(word) <= _LONGEST:
             self[word] = code
