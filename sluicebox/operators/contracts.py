@@ -66,3 +66,25 @@ def fingerprint(dim: DataFrame) -> DataFrame:
 def failure_code() -> Column:
     """Why an analysis attempt failed: the first that fits; null if it did not."""
     return F.when(F.col("timed_out"), "WORKER_TIMEOUT").when(F.col("output_over"), "OUTPUT_LIMIT").when(F.col("exit_code") != 0, "WORKER_EXIT").when(F.col("status").isNull(), "MALFORMED_RESULT").when(F.col("status") == "UNSUPPORTED", "UNSUPPORTED").when(F.col("status") == "FAILED", "WORKER_FAILED")
+
+
+def match_rules() -> dict[str, Column]:
+    """What holds of a rule match's evidence."""
+    return {"count": F.col("match_count") >= 1, "strings": sorted_unique("strings") & (F.size("strings") > 0) & F.forall("strings", lambda s: F.startswith(s, F.lit("$"))), "offsets": sorted_unique("offsets") & F.forall("offsets", lambda o: o >= 0)}
+
+
+def partial_rules(allowed: tuple[str, ...]) -> dict[str, Column]:
+    """What holds of the reasons of a partial analysis."""
+    return {"empty": F.size("reasons") > 0, "unknown": F.size(F.array_except("reasons", F.array(*map(F.lit, allowed)))) == 0, "sorted": sorted_unique("reasons")}
+
+
+def envelope_rules(version: str, most_findings: int = 256, most_bytes: int = 32 << 10) -> dict[str, Column]:
+    """What holds of a worker's result."""
+    return {"version": F.col("schema_version") == version, "times": F.col("completed_at") >= F.col("started_at"), "findings": F.col("findings") <= most_findings, "metadata": F.col("metadata_bytes") <= most_bytes}
+
+
+def bounded_details(details: Column, most_keys: int = 32, most_key: int = 64, most_text: int = 256) -> Column:
+    """A JSON object's string values, cut, without long keys, in key order, at most so many."""
+    kept = F.map_filter(F.from_json(details, "map<string,string>"), lambda k, v: F.length(k) <= most_key)
+    entries = F.slice(F.array_sort(F.map_entries(F.transform_values(kept, lambda k, v: F.substring(v, 1, most_text)))), 1, most_keys)
+    return F.to_json(F.map_from_entries(entries))

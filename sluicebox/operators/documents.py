@@ -123,3 +123,25 @@ def name_tokens(content: Column, tokens: list[str], most: int = 9999, first_byte
 def page_findings(summary: DataFrame) -> DataFrame:
     rules = (("PDF_JAVASCRIPT", F.col("scripts") > 0), ("PDF_OPEN_ACTION", F.array_contains("sources", "open")), ("PDF_ADDITIONAL_ACTION", F.array_contains("sources", "page")), ("PDF_LAUNCH_ACTION", F.col("launches") > 0), ("PDF_ACROFORM", F.array_contains("sources", "form")), ("PDF_EXTERNAL_URI", F.col("links") > 0), ("PDF_EXTERNAL_SUBMISSION", F.col("external_forms") > 0), ("PDF_PARTIAL_ANALYSIS", F.col("partial")))
     return summary.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, code) for code, c in rules]))).alias("code"))
+
+
+def embedded_count(attachments: DataFrame, most: int = 128) -> DataFrame:
+    """Embedded files of a document: named ones or file specs, whichever are more, and payloads that none refers to."""
+    payloads = attachments.groupBy("doc_id", "payload_id").agg(F.bool_or("referenced").alias("referenced")).groupBy("doc_id").agg(F.count_if(~F.col("referenced")).alias("loose"))
+    own = attachments.groupBy("doc_id").agg(F.count_if("named").alias("named"), F.count_distinct("spec_id").alias("specs"))
+    return own.join(payloads, "doc_id").select("doc_id", F.least(F.greatest("named", "specs") + F.col("loose"), F.lit(most)).alias("embedded"))
+
+
+def within_limit(rows: DataFrame, order: str, most: int, reason: str) -> DataFrame:
+    """The first rows of a document in visiting order; reason is set where there were more."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(order))
+    more = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > most
+    return rows.withColumns({"nth": nth, "reason": F.when(more, reason)}).where(F.col("nth") <= most).drop("nth")
+
+
+def form_fields(fields: DataFrame, most_depth: int = 32) -> DataFrame:
+    """Fields (doc_id, field_id, parent_id) that a document's form tree reaches from its roots, each once."""
+    parent = fields.select("doc_id", F.col("field_id").alias("action_id"), F.col("parent_id"))
+    child = fields.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("action_id"), F.col("field_id").alias("next_id"))
+    steps = parent.join(child, ["doc_id", "action_id"], "left").select("doc_id", "action_id", "next_id", F.col("parent_id").isNull().alias("first"))
+    return walk(steps, most_depth, most_nodes=1 << 30).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.max("depth").alias("deepest"))

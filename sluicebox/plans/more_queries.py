@@ -468,3 +468,68 @@ def t05_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
     return _drained(jobs.session_validity(_stream(spark, sf_dir))).select("event_id", "valid")
+
+
+# More evidence and contracts ---------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, count(*) FILTER (NOT r) AS loose FROM (SELECT doc_id, payload_id, bool_or(referenced) AS r FROM v_attachment GROUP BY ALL) GROUP BY doc_id), o AS (SELECT doc_id, count(*) FILTER (named) AS named, count(DISTINCT spec_id) AS specs FROM v_attachment GROUP BY doc_id)
+    SELECT doc_id, least(greatest(named, specs) + loose, 128) AS embedded FROM o JOIN p USING (doc_id)""")
+def p08_embedded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.embedded_count(view(spark, sf_dir, "v_attachment"))
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS nth, count(*) OVER (PARTITION BY doc_id) AS total FROM v_attachment WHERE named) SELECT doc_id, ordinal, CASE WHEN total > 2 THEN 'attachment_limit' END AS reason FROM n WHERE nth <= 2")
+def p10_13_15_visit_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.within_limit(view(spark, sf_dir, "v_attachment").where("named"), "ordinal", 2, "attachment_limit").select("doc_id", "ordinal", "reason")
+
+
+@query("WITH RECURSIVE w(doc_id, id, depth) AS (SELECT DISTINCT doc_id, action_id, 0 FROM v_action WHERE action_id % 4 = 0 UNION ALL SELECT a.doc_id, a.action_id, w.depth + 1 FROM w JOIN v_action a ON a.doc_id = w.doc_id AND a.action_id - 1 = w.id AND a.action_id % 4 <> 0) SELECT doc_id, count(DISTINCT id) AS fields, max(depth) AS deepest FROM w GROUP BY doc_id")
+def p12_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = view(spark, sf_dir, "v_action").select("doc_id", F.col("action_id").alias("field_id"), F.when(F.col("action_id") % 4 != 0, F.col("action_id") - 1).alias("parent_id"))
+    return documents.form_fields(fields)
+
+
+@query("SELECT action_id, CASE WHEN subtype IN ('JavaScript', 'Launch') THEN 'action' ELSE 'destination' END AS kind, count(*) AS n FROM v_action WHERE source = 'open' GROUP BY ALL")
+def p14_open_action_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("subtype").isin("JavaScript", "Launch"), "action").otherwise("destination")
+    return view(spark, sf_dir, "v_action").where("source = 'open'").groupBy("action_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id AS scan_id, CASE WHEN doc_id % 5 = 0 AND len(regexp_extract_all(text, '[0-9]{16}')) > 1 THEN 'offsets' ELSE '' END AS violations FROM documents WHERE regexp_matches(text, '[0-9]{16}')")
+def c03_match_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import rules
+
+    found = rules.matches(view(spark, sf_dir, "v_scan"), [("card", "$a", "[0-9]{16}", "YARA_HEURISTIC_MATCH")])
+    sent = found.withColumn("offsets", F.when(F.col("scan_id") % 5 == 0, F.reverse("offsets")).otherwise(F.col("offsets")))
+    return sent.select("scan_id", joined(contracts.violations(contracts.match_rules())).alias("violations"))
+
+
+@query("SELECT doc_id AS scan_id, CASE WHEN doc_id % 4 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'unknown' WHEN doc_id % 4 = 2 THEN 'sorted' ELSE '' END AS violations FROM documents")
+def c04_partial_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("scan_id") % 4
+    lists = F.when(k == 0, "").when(k == 1, "a_limit,odd").when(k == 2, "rule_limit,offset_limit").otherwise("offset_limit,rule_limit")
+    rows = view(spark, sf_dir, "v_scan").withColumn("reasons", F.filter(F.split(lists, ","), lambda x: x != ""))
+    return rows.select("scan_id", joined(contracts.violations(contracts.partial_rules(("a_limit", "offset_limit", "rule_limit")))).alias("violations"))
+
+
+@query("SELECT doc_id AS scan_id, concat_ws(',', CASE WHEN doc_id % 300 > 256 THEN 'findings' END, CASE WHEN strlen(text) > 8000 THEN 'metadata' END, CASE WHEN doc_id % 7 = 0 THEN 'times' END, CASE WHEN doc_id % 11 = 0 THEN 'version' END) AS violations FROM documents")
+def c05_13_result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("scan_id")
+    rows = view(spark, sf_dir, "v_scan").withColumns({"schema_version": F.when(s % 11 == 0, "0").otherwise("1"), "started_at": s, "completed_at": F.when(s % 7 == 0, s - 1).otherwise(s + 1), "findings": s % 300, "metadata_bytes": F.col("size_bytes")})
+    return rows.select("scan_id", joined(contracts.violations(contracts.envelope_rules("1", most_bytes=8000))).alias("violations"))
+
+
+@query("""SELECT event_id, '{"k":"' || json_extract_string(details, '$.k') || '"}' AS details FROM v_audit""")
+def c06_audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_audit").select("event_id", contracts.bounded_details(F.col("details")).alias("details"))
+
+
+@query("SELECT r.rule_id, count(*) AS documents FROM (VALUES ('license_line', 'MIT License'), ('mail_address', '[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][a-z]+'), ('token_value', '(?i)token *[:=]')) r(rule_id, regex) JOIN documents ON regexp_matches(text, regex) GROUP BY r.rule_id")
+def y05_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the pack with one string each: how many documents each occurs in, after the pack's checks."""
+    from ..operators import rules
+
+    pack = dims.rule_dim(spark)
+    single = [r["rule_id"] for r in pack.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("codes")).where("n = 1 AND codes = 1").collect()]
+    return rules.matches(view(spark, sf_dir, "v_scan"), [r for r in dims.RULES if r[0] in single]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("documents"))

@@ -70,6 +70,7 @@ VIEWS = {
     "v_audit": "SELECT event_id, event_type, user_id AS actor_id, CASE WHEN event_id % 7 = 0 THEN 'DENIED' ELSE 'SUCCESS' END AS outcome, props AS details, MICROS(ts) AS us FROM events",
     "v_session": "SELECT c_custkey AS session_id, c_custkey % 50 AS user_id, CAST(round(c_acctbal * 100) AS BIGINT) AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS revoked_at FROM customer",
     "v_page_size": "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, max(l_quantity) * 40 AS width, max(l_quantity) * 60 AS height FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "v_attachment": "SELECT page_id % 50 AS doc_id, page_id AS ordinal, CASE WHEN page_id % 11 = 0 THEN NULL ELSE page_id % 17 END AS spec_id, page_id % 13 AS payload_id, page_id % 3 = 0 AS referenced, page_id % 2 = 0 AS named, url AS display_name FROM pages",
     "v_script": "SELECT page_id AS doc_id, page_id AS action_id, html AS source_text FROM pages",
     "v_case": f"""
         SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'RISKY' ELSE 'BENIGN' END AS category, concat('class', doc_id % 6) AS case_class,
