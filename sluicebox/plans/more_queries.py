@@ -30,8 +30,8 @@ def _newest() -> list:
 @query(_SCANS_SQL + "SELECT scan_id, created_at, (SELECT count(*) FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED') AS total FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED' ORDER BY created_at DESC, scan_id DESC LIMIT 20 OFFSET 20")
 def q01_scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.listing(_scans(spark, sf_dir), decision="QUARANTINE", state="COMPLETED")
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return catalog.page(found.select("scan_id", "created_at"), _newest(), 2, 20).join(F.broadcast(total))
+    total = found.count()
+    return catalog.page(found.select("scan_id", "created_at"), _newest(), 2, 20).withColumn("total", F.lit(total).cast("long"))
 
 
 @query(_SCANS_SQL + "SELECT scan_id, decision FROM scans WHERE decision IN ('REVIEW', 'QUARANTINE', 'BLOCK') ORDER BY created_at DESC, scan_id DESC LIMIT 100")
