@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .text import ALNUM, U64, Words, buffers, pieces
 
 #: Words of a window.
@@ -98,7 +99,7 @@ def _search(s: np.ndarray, order: np.ndarray, tests: np.ndarray) -> tuple[np.nda
 class Tests:
     """The distinct windows of some benchmark items, by length, with the items that have them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.names = [name for name, _ in items]
         column = pa.array([text for _, text in items], pa.string())
         words = Words(*buffers(column), ALNUM, lower=True)
@@ -161,7 +162,7 @@ _NEW = ("n_words", "n_hit", "n_items", "items", "longest_match", "contaminated")
 _MERGED = ("_hit", "_items", "_longest")
 
 
-def _scan(items: list[tuple[str, str]], window: int, text_at: int, columns: list[str], merge: bool, shard_bytes: int):
+def _scan(items: list[tuple[str | None, str]], window: int, text_at: int, columns: list[str], merge: bool, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(items, window)
         names = np.array(tests.names, dtype=object)
@@ -182,6 +183,8 @@ def _scan(items: list[tuple[str, str]], window: int, text_at: int, columns: list
                 found: list[set] = [set() for _ in range(rows)]
                 for p in pairs:
                     found[p // len(tests.items)].update(names[tests.items[p % len(tests.items)]])
+                for x in found:
+                    x.discard(None)
                 longest = _longest(place, test, row, tests, rows)
                 part = batch.slice(i, rows)
                 if merge:
@@ -210,21 +213,23 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "
     some item; n_items and items (sorted as strings) tell which items, longest_match the words of the
     longest verbatim match. contaminated: n_hit > 0 and at least `percent` % of the words. Null and
     empty texts, and items without words, match nothing; an empty benchmark leaves all documents
-    clean. Columns of df with these names are replaced; items with equal ids count once.
+    clean. Columns of df with these names are replaced; items with equal ids count once. Items without
+    an id are searched like others: their words count as hit, but n_items and items leave them out.
     """
     columns = [c for c in (keep if keep is not None else df.columns) if c not in _NEW and c not in _MERGED]
     text = F.col(text_column)
     # a text that is kept anyway isn't carried twice
     own = text_column if text_column in columns else "_text"
     rows = df.select(*columns, *([] if own in columns else [text.alias("_text")]))
-    bench = benchmark.select(F.col(item_column).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("name IS NOT NULL")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bench = benchmark.select(F.col(item_column).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    bench = shared.saved(bench.where("text <> ''").distinct())  # repeated rows would all land in one part
+    size = bench.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("name"), F.lit(0)))).first()[0] or 0
     count = max(1, -(-size // benchmark_bytes))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
     tail = "`_n` long, `_n_hit` long, `_hit` binary, `_items` array<string>, `_longest` long"
     for k in range(count):
         part = bench if count == 1 else bench.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k)
-        items = sorted((r["name"], r["text"]) for r in part.collect())  # at most about benchmark_bytes
+        items = sorted(((r["name"], r["text"]) for r in part.collect()), key=lambda x: (x[0] or "", x[1]))  # at most about benchmark_bytes
         last = k == count - 1
         extra = [] if own in columns else ["_text"]
         out = [*columns, *([] if last else extra)]

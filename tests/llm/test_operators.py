@@ -252,3 +252,23 @@ def test_pipeline(spark, texts, docs, tmp_path):
             assert {r["doc_id"] for r in out.collect()} == {k for k in range(len(texts)) if root[k] == k}
         docs_now = shared.saved(out)
     assert docs_now.count() > 0 and {"shard", "slot"} <= set(docs_now.columns)
+
+
+
+def test_decontamination_by_items_without_id(spark):
+    passage, other = (" ".join(f"{x}{k}" for k in range(15)) for x in "pq")
+    docs = spark.createDataFrame([(1, passage), (2, f"{other} {passage}"), (3, "clean words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, passage), (7, other), (7, other)], "item_id long, text string")
+    for limits in ({}, {"benchmark_bytes": 40}):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontaminate.find_contamination(docs, bench, **limits).collect()}
+        assert got == {1: (15, 0, [], True), 2: (30, 1, ["7"], True), 3: (0, 0, [], False)}
+
+
+
+def test_decontamination_reads_repeated_items_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k if k < 5 else 0, f"item {k if k < 5 else 0} " * 10) for k in range(100)], "item_id long, text string")
+    sizes, scan = [], decontaminate._scan
+    monkeypatch.setattr(decontaminate, "_scan", lambda items, *a: sizes.append(len(items)) or scan(items, *a))
+    decontaminate.find_contamination(docs, bench)
+    assert sizes == [5]
