@@ -7,8 +7,8 @@ part), however far apart, share a potential that favours equal labels. Loopy mes
 the nodes' marginals; base spans are observed. So a number that is written once with its country code
 is found where it comes back without. What the field is sure of is added; base spans stay.
 
-Potentials are fitted to the base spans of a bounded sample of documents: only counts by shape, by
-transition and by agreement of linked nodes leave the tasks.
+Potentials are fitted to the base spans of all documents: only counts by shape, by transition and by
+agreement of linked nodes leave the tasks, a table of fixed size.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the sample that the potentials are fitted to; its bound.
-SAMPLE = 20_000
 #: Rounds of messages, and the marginal from which a label is added.
 ROUNDS, SURE = 10, 0.9
 
@@ -180,12 +178,17 @@ def _plausible(node: _Node, kind: int) -> bool:
     return not node.shape & 1 and (kind == 3 and 7 <= n <= 15 or kind == 2 and 14 <= n <= 19 or kind == 1 and bool(node.shape & 4))
 
 
+def _text_nodes(text: str, base: list[tuple[int, int, int]]) -> list[_Node]:
+    """The nodes of a text; most have no at sign or digit, and so none."""
+    return _nodes(text, base) if "@" in text or _DIGIT.search(text) else []
+
+
 def all_spans(text: str, field: Field | None) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, added) of a text, ordered."""
     base = base_spans(text)
     out = [(a, k, b, False) for a, k, b in base]
-    if base and field is not None:  # without an observed node nothing can be sure
-        nodes = _nodes(text, base)
+    if field is not None:  # a shape that is nearly always of one kind is sure without an observed node
+        nodes = _text_nodes(text, base)
         if len(nodes) > len(base):
             for node, p in zip(nodes, marginals(nodes, field), strict=True):
                 kind = int(p.argmax()) - 1
@@ -199,7 +202,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             text = text or ""
-            nodes = _nodes(text, base_spans(text)) if "@" in text or _DIGIT.search(text) else []
+            nodes = _text_nodes(text, base_spans(text))
             found.update(("shape", x.shape, x.label) for x in nodes)
             found.update(("step", a.label, b.label) for a, b in zip(nodes, nodes[1:], strict=False))
             found.update(("skip", int(nodes[a].label == nodes[b].label), 0) for a, b in _links(nodes))
@@ -207,11 +210,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["what", "x", "y", "n"])
 
 
-def fit(texts: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Potentials from about `sample` texts (one column `text`), those with the lowest hashes; None without base spans."""
-    n = texts.count()
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    rows = texts.where(share < sample / max(n, 1)).mapInArrow(_counts, "what string, x int, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).collect()
+def fit(texts: DataFrame) -> Field | None:
+    """Potentials from all texts (one column `text`); None without base spans."""
+    rows = texts.mapInArrow(_counts, "what string, x int, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).collect()
     labels = len(KINDS) + 1
     shape, step, same = np.zeros((SHAPES, labels)), np.ones((labels, labels)), [1.0, 1.0]
     for r in rows:  # at most as many as there are shapes and labels

@@ -272,3 +272,18 @@ def test_decontamination_reads_repeated_items_once(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "_scan", lambda items, *a: sizes.append(len(items)) or scan(items, *a))
     decontaminate.find_contamination(docs, bench)
     assert sizes == [5]
+
+
+
+def test_field_runs_without_base_spans(spark):
+    df = spark.createDataFrame([(k, f"mail jane.doe{k}@example.com today") for k in range(300)] + [(300, "mail john.doe@localhost today"), (301, "plain")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"], x["added"]) for x in r["spans"]] for r in private_data.find_private_data(df).collect()}
+    assert got[300] == [("email", 5, 23, True)] and got[301] == []
+
+
+
+def test_potentials_count_all_texts(spark):
+    text = F.concat(F.lit("mail a"), F.col("id"), F.lit("@example.com"))
+    mail = spark.range(50).select(text.alias("text")).where("pmod(xxhash64(text), 1000000) > 800000").limit(1)
+    assert mail.count() == 1
+    assert private_data.fit(spark.range(40_000).select(F.concat(F.lit("plain words "), F.lit("of "), F.sha2(F.col("id").cast("string"), 256)).alias("text")).selectExpr("translate(text, '0123456789', '') AS text").unionAll(mail)) is not None
