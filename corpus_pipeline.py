@@ -22,10 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Five words, a similarity of 0.8."""
+    """One row of each group: that of the smallest id, without an id last. Five words, a similarity of 0.8.
+
+    Rows are linked and dropped by a number of their own, so ids may repeat or be null; rows of one id
+    are ordered by a hash of all columns.
+    """
     shared.narrow_batches(spark)
-    dropped = shared.saved(near_dedup.near_duplicates(docs, shingle=5, similarity=0.8).where("NOT kept").select("doc_id"))
-    return docs.join(shared.small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    keyed = shared.saved(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)}))
+    near = near_dedup.near_duplicates(keyed, id_column="_row", shingle=5, similarity=0.8)
+    found = shared.saved(near.select(F.col("doc_id").alias("_row"), "component_id", "kept"))
+    # groups are named by their smallest number; where another row has the smallest id, that is kept instead
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row"))
+    moved = shared.saved(found.join(keyed.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(first.alias("best")).where("best <> component_id"))
+    dropped = found.where("NOT kept").select("_row").unionAll(moved.select(F.col("component_id").alias("_row")))
+    dropped = shared.saved(dropped.join(shared.small(moved.select(F.col("best").alias("_row"))), "_row", "left_anti"))
+    return keyed.join(shared.small(dropped), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,3 +287,13 @@ def test_potentials_count_all_texts(spark):
     mail = spark.range(50).select(text.alias("text")).where("pmod(xxhash64(text), 1000000) > 800000").limit(1)
     assert mail.count() == 1
     assert private_data.fit(spark.range(40_000).select(F.concat(F.lit("plain words "), F.lit("of "), F.sha2(F.col("id").cast("string"), 256)).alias("text")).selectExpr("translate(text, '0123456789', '') AS text").unionAll(mail)) is not None
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c), (None, b), (3, "d e f g h i"), (3, "d e f g h i"), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        got = collections.Counter(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "").collect())
+        assert got == collections.Counter([(1, a), (2, b), (None, c), (3, "d e f g h i"), (4, ""), (4, "")])
