@@ -1,12 +1,15 @@
 """Usage limits and sessions over events, in batch.
 
-The limiter and session replays carry state along a key's events in time order as a fold over its
-sorted array: events of one key and day are together, so hot keys are bounded by the day; the streams
-in `sluicebox.streaming` hold only what is in the window.
+The limiter and session replays carry state along a key's events in time order: rows are dealt by key,
+sorted on Spark's side, and read batch by batch. A key is replayed in one task, as each verdict hangs
+on those before, but the task holds a batch of rows and what is in the window only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +22,43 @@ def offered_over_limit(events: DataFrame, keys: list[str], seconds: int, limit:
     return events.withColumn("offered", F.count(F.lit(1)).over(window)).withColumn("over", F.col("offered") > limit)
 
 
+def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Callable[[], Callable[..., bool]], verdict: str) -> DataFrame:
+    """keys, event_id and the verdict of `begin()`'s function, called with the columns of each event of a key in time order."""
+    fields = [*keys, *(c for c in dict.fromkeys(["event_id", "us", *columns]) if c not in keys)]
+    rows = events.select(*fields).repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
+    kept = [*keys, "event_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            of = lambda names: zip(*(batch.column(fields.index(c)).to_pylist() for c in names), strict=True)  # noqa: E731, B023
+            out = []
+            for key, row in zip(of(keys), of(columns), strict=True):
+                if key != last:
+                    last, step = key, begin()
+                out.append(step(*row))
+            yield pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in kept), pa.array(out, pa.bool_())], names=[*kept, verdict])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{schema}, {verdict} boolean")
+
+
 def accepted(events: DataFrame, keys: list[str], seconds: int, limit: int) -> DataFrame:
     """The limiter's verdict on each event (event_id, us): only accepted ones count against later ones."""
-    item = F.struct("us", "event_id")
-    empty = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
 
-    def step(state: Column, e: Column) -> Column:
-        kept = F.filter(state["kept"], lambda t: t > e["us"] - seconds * SECOND)
-        ok = F.size(kept) < limit
-        return F.struct(F.when(ok, F.array_append(kept, e["us"])).otherwise(kept).alias("kept"), F.array_append(state["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("accepted"))).alias("out"))
+    def begin() -> Callable[..., bool]:
+        kept: list[int] = []
+
+        def step(us: int | None) -> bool:
+            kept[:] = [t for t in kept if us is not None and t > us - seconds * SECOND]
+            ok = len(kept) < limit
+            if ok and us is not None:
+                kept.append(us)
+            return ok
 
-    runs = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return runs.select(*keys, F.explode(F.aggregate("items", empty, step)["out"]).alias("o")).select(*keys, "o.event_id", "o.accepted")
+        return step
+
+    return _replayed(events, keys, ["us"], begin, "accepted")
 
 
 def failure_density(events: DataFrame, key: str, failed: Column) -> DataFrame:
@@ -45,22 +73,29 @@ def login_throttle(events: DataFrame, per_minute: int, per_hour: int) -> DataFra
     Usernames of one source are coupled, so a source is replayed as a whole; only failures of allowed
     attempts count, and a success clears its username's.
     """
-    item = F.struct("us", "event_id", "username", "success")
-    entry = "array<struct<us:bigint,username:string,cleared:boolean>>"
-    empty = F.struct(F.array().cast(entry).alias("past"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
 
-    def step(state: Column, e: Column) -> Column:
-        past = F.filter(state["past"], lambda p: p["us"] > e["us"] - 3600 * SECOND)
-        recent = lambda rows: F.size(F.filter(rows, lambda p: p["us"] > e["us"] - 60 * SECOND))
-        own = F.filter(past, lambda p: (p["username"] == e["username"]) & ~p["cleared"])
-        ok = (recent(past) < per_minute) & (F.size(past) < per_hour) & (recent(own) < per_minute) & (F.size(own) < per_hour)
-        failed = F.array_append(past, F.struct(e["us"].alias("us"), e["username"].alias("username"), F.lit(False).alias("cleared")))
-        cleared = F.transform(past, lambda p: F.struct(p["us"].alias("us"), p["username"].alias("username"), (p["cleared"] | (p["username"] == e["username"])).alias("cleared")))
-        after = F.when(ok & ~e["success"], failed).when(ok & e["success"], cleared).otherwise(past)
-        return F.struct(after.cast(entry).alias("past"), F.array_append(state["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"))
+    def begin() -> Callable[..., bool]:
+        past: list[tuple[int, str | None]] = []  # failures of the hour
+        cleared: set[int] = set()  # the places in past of those that a success has cleared
+
+        def step(us: int | None, username: str | None, success: bool | None) -> bool:
+            live = [k for k, (t, _) in enumerate(past) if us is not None and t > us - 3600 * SECOND]
+            cleared_now = {n for n, k in enumerate(live) if k in cleared}
+            past[:] = [past[k] for k in live]
+            cleared.clear()
+            cleared.update(cleared_now)
+            own = [t for k, (t, name) in enumerate(past) if name == username and username is not None and k not in cleared]
+            recent = lambda times: sum(t > us - 60 * SECOND for t in times)
+            ok = recent(t for t, _ in past) < per_minute and len(past) < per_hour and recent(own) < per_minute and len(own) < per_hour
+            if ok and success is False and us is not None:
+                past.append((us, username))
+            elif ok and success:
+                cleared.update(k for k, (_, name) in enumerate(past) if name == username and username is not None)
+            return ok
+
+        return step
 
-    runs = events.groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return runs.select("source", F.explode(F.aggregate("items", empty, step)["out"]).alias("o")).select("source", "o.*")
+    return _replayed(events, ["source"], ["us", "username", "success"], begin, "allowed")
 
 
 def sessions(events: DataFrame, key: str, idle_seconds: int = 1800) -> DataFrame:
@@ -73,13 +108,18 @@ def sessions(events: DataFrame, key: str, idle_seconds: int = 1800) -> DataFrame
 
 def session_checks(events: DataFrame, key: str, idle: int = 1800, absolute: int = 28800, touch: int = 300) -> DataFrame:
     """Per event whether the running session holds; the last-seen time moves only when `touch` seconds old."""
-    item = F.struct("us", "event_id")
-    empty = F.struct(F.lit(None).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("began"), F.array().cast("array<struct<event_id:bigint,valid:boolean>>").alias("out"))
 
-    def step(state: Column, e: Column) -> Column:
-        ok = F.coalesce((e["us"] - state["seen"] < idle * SECOND) & (e["us"] - state["began"] < absolute * SECOND), F.lit(False))
-        seen = F.when(~ok | (e["us"] - state["seen"] >= touch * SECOND), e["us"]).otherwise(state["seen"])
-        return F.struct(seen.alias("seen"), F.when(ok, state["began"]).otherwise(e["us"]).alias("began"), F.array_append(state["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("valid"))).alias("out"))
+    def begin() -> Callable[..., bool]:
+        seen, began = None, None
+
+        def step(us: int | None) -> bool:
+            nonlocal seen, began
+            ok = None not in (us, seen) and us - seen < idle * SECOND and us - began < absolute * SECOND
+            if not ok or us - seen >= touch * SECOND:
+                seen = us
+            began = began if ok else us
+            return ok
+
+        return step
 
-    runs = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return runs.select(key, F.explode(F.aggregate("items", empty, step)["out"]).alias("o")).select(key, "o.*")
+    return _replayed(events, [key], ["us"], begin, "valid")

@@ -296,7 +296,7 @@ def t05_session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t03_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view(spark, sf_dir, "v_event").select((F.col("user_id") % 20).alias("source"), F.col("user_id").cast("string").alias("username"), (F.col("event_type") == "purchase").alias("success"), "us", "event_id")
+    events = view(spark, sf_dir, "v_event").select(F.expr("user_id div 20").alias("source"), F.col("user_id").cast("string").alias("username"), (F.col("event_type") == "purchase").alias("success"), "us", "event_id")
     return limits.login_throttle(events, 2, 5).select("event_id", "allowed")
 
 
