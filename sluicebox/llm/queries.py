@@ -27,7 +27,8 @@ URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/"
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    out = url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

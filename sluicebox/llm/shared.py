@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +10,17 @@ from pyspark.sql import functions as F
 
 #: Id sets of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch that a task hands to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a task hands to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where none is set."""
+    """The folder in spark.checkpoint.dir; one in the session's warehouse where none is set.
+
+    Driver and executors read both. Tables written there are left to whoever clears that folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/sluicebox-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written").rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -33,10 +32,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Hand Python at most 1000 rows at a time, unless the session asks for fewer: long texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Hand Python at most 1000 rows and about 8 MB at a time, unless the session asks for less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key, "0")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
