@@ -66,7 +66,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0))
     out = mixing.mix(docs.select("doc_id", "source", words.alias("n_words")), size_column="n_words")
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "mix_shards")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
