@@ -15,7 +15,11 @@ SHARDS = 24
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7; the model is fitted to the labelled ones among them."""
+    """Documents that score below 0.7; the model is fitted to the labelled ones among them.
+
+    Null and empty texts score the least and stay, as do rows that repeat; without labels the built-in
+    model scores.
+    """
     shared.narrow_batches(spark)
     model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
@@ -40,20 +44,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in benchmark passages."""
+    """Documents of which less than a twentieth is in benchmark passages.
+
+    Each row is judged by its text, so rows may repeat; null and empty texts stay, and so does everything
+    where the benchmark is empty.
+    """
     shared.narrow_batches(spark)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes, none included."""
+    """As many copies of each document as the mix takes, none included; the copies of an output shard together.
+
+    Texts of null have no words and are taken as often as their source's whole copies; a source without
+    words gives nothing. Equal rows are taken each by itself; an empty table stays empty.
+    """
     shared.narrow_batches(spark)
-    return mixing.copies(mixing.mix(docs), docs.columns).select(*docs.columns)
+    return mixing.shuffled(mixing.copies(mixing.mix(docs), docs.columns)).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
+    """All rows with their shard and slot; nulls and repeated rows are rows like others."""
     return sharding.shard_rows(docs, SHARDS)
 
 
