@@ -3,6 +3,10 @@
 Expressions are parsed to position automata, joined, made deterministic by subset construction (any
 match may begin anywhere) and minimised by refining partitions. The syntax: literals, escapes,
 classes, groups, `|`, `?`, `*`, `+`, `{n}`, `{n,}`, `{n,m}`; over bytes.
+
+A state tells of each rule whether a match of it ends here, and whether one is under way. All bytes of a
+match lie in one stretch in which its rule is under way, so a rule's matches are sought only in its
+stretches, by the rule's own automaton that begins at a given place (`Anchored`).
 """
 
 from __future__ import annotations
@@ -117,7 +121,8 @@ class _Parser:
         self.nfa.step[a].append((frozenset(chars), b))
         return a, b
 
-    def char(self) -> set[int]:
+    def char(self, inside: bool = False) -> set[int]:
+        """One character or escape; a point is any byte but a line end, in a class itself."""
         c = self.peek()
         self.i += 1
         if c == "\\":
@@ -127,7 +132,7 @@ class _Parser:
                 self.i += 2
                 return {int(self.s[self.i - 2 : self.i], 16)}
             return {ord({"t": "\t", "n": "\n", "r": "\r"}.get(c, c))}
-        return {ord(c)} if c != "." else set(range(256)) - {10}
+        return {ord(c)} if c != "." or inside else set(range(256)) - {10}
 
     def klass(self) -> set[int]:
         self.i += 1
@@ -135,10 +140,10 @@ class _Parser:
         self.i += outside
         found: set[int] = set()
         while self.peek() != "]":
-            low = self.char()
+            low = self.char(True)
             if self.peek() == "-" and self.s[self.i + 1] != "]":
                 self.i += 1
-                found |= set(range(min(low), min(self.char()) + 1))
+                found |= set(range(min(low), min(self.char(True)) + 1))
             else:
                 found |= low
         self.i += 1
@@ -146,21 +151,25 @@ class _Parser:
 
 
 class Automaton:
-    """table[state, class] is the next state, accepts[state] the bits of the rules that end there.
+    """table[state, class] is the next state; accepts[state] and alive[state] are the bits of rules of which
+    a match ends there, or is under way.
 
     State 0 is the start; class 0 is a separator of texts that leads back to it.
     """
 
-    def __init__(self, expressions: list[tuple[str, bool]]):
+    def __init__(self, expressions: list[tuple[str, bool]], anchored: bool = False):
         nfa = _Nfa()
         start = nfa.new()
-        ends = {}
+        ends, owner = {}, [0]
         for k, (source, either_case) in enumerate(expressions):
             a, b = _Parser(nfa, source, either_case).parse()
             nfa.free[start].append(a)
             ends[b] = 1 << k
+            owner += [1 << k] * (len(nfa.step) - len(owner))
+        self.rules = len(expressions)
         self.classes, members = self._byte_classes(nfa)
-        self.table, self.accepts = self._minimal(*self._subsets(nfa, start, ends, members))
+        table, accepts, alive = self._subsets(nfa, start, ends, owner, members, anchored)
+        self.table, self.accepts, self.alive = self._minimal(table, accepts, alive)
 
     @staticmethod
     def _byte_classes(nfa: _Nfa) -> tuple[np.ndarray, list[int]]:
@@ -178,11 +187,12 @@ class Automaton:
         return of, members
 
     @staticmethod
-    def _subsets(nfa: _Nfa, start: int, ends: dict[int, int], members: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        reach: dict[int, frozenset] = {}
+    def _subsets(nfa: _Nfa, start: int, ends: dict[int, int], owner: list[int], members: list[int], anchored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sets of (position, whether a byte was read on the way): so a match under way differs from none."""
+        n = len(nfa.step)
 
-        def closed(states) -> frozenset:
-            out, todo = set(), list(states)
+        def closed(state: int) -> frozenset:
+            out, todo = set(), [state]
             while todo:
                 s = todo.pop()
                 if s not in out:
@@ -190,18 +200,17 @@ class Automaton:
                     todo += nfa.free[s]
             return frozenset(s for s in out if nfa.step[s] or s in ends)
 
-        for s in range(len(nfa.step)):
-            reach[s] = closed([s])
-        # by state: what each class leads to
-        leads = [[frozenset().union(*(reach[to] for chars, to in steps if byte in chars)) for byte in members] for steps in nfa.step]
-        first = reach[start]
+        begun = [frozenset(s + n for s in closed(k)) for k in range(n)]
+        leads = [[frozenset().union(*(begun[to] for chars, to in steps if byte in chars)) for byte in members] for steps in nfa.step]
+        first = closed(start)
+        again = frozenset() if anchored else first
         number, rows, todo = {first: 0}, [], [first]
         while todo:
             state = todo.pop()
             row = [0]
-            moving = [leads[s] for s in state if nfa.step[s]]
+            moving = [leads[s % n] for s in state if nfa.step[s % n]]
             for k in range(len(members)):
-                target = first.union(*(x[k] for x in moving if x[k]))
+                target = again.union(*(x[k] for x in moving if x[k]))
                 if target not in number:
                     if len(number) >= MOST_STATES:
                         raise ValueError("these expressions need too many states together")
@@ -210,16 +219,18 @@ class Automaton:
                 row.append(number[target])
             rows.append((number[state], row))
         rows = [row for _, row in sorted(rows)]
-        accepts = np.zeros(len(number), np.int64)
+        accepts, alive = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         for state, k in number.items():
             for s in state:
-                accepts[k] |= ends.get(s, 0)
-        return np.array(rows, np.int64), accepts
+                if s >= n:
+                    accepts[k] |= ends.get(s - n, 0)
+                    alive[k] |= owner[s - n]
+        return np.array(rows, np.int64), accepts, alive
 
     @staticmethod
-    def _minimal(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _minimal(table: np.ndarray, accepts: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Split groups of states by where their steps lead, until nothing splits."""
-        group = np.unique(accepts, return_inverse=True)[1]
+        group = np.unique(np.column_stack([accepts, alive]), axis=0, return_inverse=True)[1].ravel()
         while True:
             mark = np.column_stack([group, group[table]])
             finer = np.unique(mark, axis=0, return_inverse=True)[1].ravel()
@@ -231,10 +242,10 @@ class Automaton:
         order = np.argsort(np.argsort(first))
         group = order[group]
         keep = np.sort(first)
-        return group[table[keep]].astype(np.int32), accepts[keep]
+        return group[table[keep]].astype(np.int32), accepts[keep], alive[keep]
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, rule) pairs such that the rule's expression matches in the row's text: one pass over the bytes.
+        """Accept and alive bits after each byte of the texts, with a zero after each text: one pass over the bytes.
 
         The bytes are cut into lanes that step side by side, each from the start state. A lane whose
         predecessor ended in another state is stepped again from there until it meets its first run.
@@ -269,10 +280,53 @@ class Automaton:
                     if not len(open_):
                         break
                 path[t, open_] = state
-        ended = self.accepts != 0
-        t, lane = np.nonzero(ended[path // width])
-        place = lane * LANE + t
-        bits = self.accepts[path[t, lane] // width]
-        row = np.searchsorted(offs[:-1] + np.arange(rows), place, "right") - 1
-        pairs = [np.unique(row[(bits >> k) & 1 == 1]) for k in range(int(self.accepts.max()).bit_length())]
-        return np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        bits = np.zeros(len(self.table) * width, np.uint32)
+        bits[::width] = (self.accepts << 16) | self.alive
+        marks = bits[path].T.ravel()[: len(symbols)]
+        return (marks >> np.uint32(16)).astype(np.uint16), marks.astype(np.uint16)
+
+    def stretches(self, accepts: np.ndarray, alive: np.ndarray, least: list[int]) -> list[tuple[int, int, int]]:
+        """(rule, first, end) of the stretches of at least so many bytes in which a rule is under way and a match of it ends."""
+        if not len(alive):
+            return []
+        bounds = np.concatenate([[0], np.flatnonzero(alive[1:] != alive[:-1]) + 1, [len(alive)]])
+        value = alive[bounds[:-1]]
+        out = []
+        for rule in range(self.rules):
+            inside = ((value >> np.uint16(rule)) & np.uint16(1)).astype(np.int8)
+            steps = np.flatnonzero(np.diff(inside, prepend=np.int8(0), append=np.int8(0)))
+            first, end = bounds[steps[::2]], bounds[steps[1::2]]
+            long = np.flatnonzero(end - first >= least[rule])
+            out += [(rule, int(a), int(b)) for a, b in zip(first[long], end[long], strict=True) if ((accepts[a:b] >> np.uint16(rule)) & np.uint16(1)).any()]
+        return out
+
+
+class Anchored:
+    """One expression whose matches begin at a given place; the longest one counts."""
+
+    def __init__(self, source: str, either_case: bool = False):
+        made = Automaton([(source, either_case)], anchored=True)
+        self.classes = made.classes.tolist()
+        self.table, self.accepts, self.dead = made.table.tolist(), (made.accepts != 0).tolist(), (made.alive == 0).tolist()
+
+    def end(self, data: bytes, at: int) -> int:
+        """The end of the longest match from a place on, -1 if there is none."""
+        state, found = 0, -1
+        for k in range(at, len(data)):
+            state = self.table[state][self.classes[data[k]]]
+            if self.accepts[state]:
+                found = k + 1
+            elif self.dead[state]:
+                break
+        return found
+
+    def shortest(self) -> int:
+        """Bytes of the shortest match; 0 for an expression that takes nothing."""
+        seen, todo, n = {0}, [0], 0
+        while todo:
+            if any(self.accepts[s] for s in todo):
+                return n
+            todo = sorted({t for s in todo for t in self.table[s][1:]} - seen)
+            seen.update(todo)
+            n += 1
+        return 0
