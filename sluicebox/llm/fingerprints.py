@@ -27,6 +27,8 @@ WINDOW = 32
 NEIGHBOURS, LEADS = 32, 8
 #: Filter bits, features a filter takes, and bits a feature sets.
 BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 128, 5
+#: Text bytes of a range of ids that one task pairs.
+RANGE_BYTES = 16 << 20
 #: Entropy classes; the lowest tenth (runs, patterns) makes no features.
 CLASSES = 1000
 LOWEST_CLASS = CLASSES // 10
@@ -229,8 +231,9 @@ def edit_likeness(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = df.sparkSession
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     ranks = entropy_ranks(docs.select("text"))
-    n = shared.shuffle_partitions(spark)
-    bounds = shared.range_bounds(docs, "doc_id", n)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shared.shuffle_partitions(spark), -(-size // RANGE_BYTES))
+    bounds = shared.byte_bounds(docs, "doc_id", F.octet_length("text") + 16, n)
     # descending: nulls are below all ids, so they come first of all ranges when ascending
     block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(shared.range_block(F.col("doc_id"), bounds) + 1).cast("int")
     placed = docs.withColumn("block", block)

@@ -57,6 +57,25 @@ def range_bounds(df: DataFrame, column: str, n: int) -> list:
     return sorted({int(x) for x in found})
 
 
+def byte_bounds(df: DataFrame, column: str, size: Column, n: int, fine: int = 8) -> list:
+    """Ascending inner bounds that split a long column into about n ranges of about equal sums of `size`.
+
+    Finer ranges of equal numbers of rows are joined until they hold a range's part, so long rows that stand
+    together don't make a range much larger than its part.
+    """
+    bounds = range_bounds(df, column, n * fine)
+    if not bounds:
+        return []
+    found = {r["b"]: r["s"] for r in df.where(F.col(column).isNotNull()).groupBy(range_block(F.col(column), bounds).alias("b")).agg(F.sum(size).alias("s")).collect()}
+    part, held, out = sum(found.values()) / n, 0, []
+    for k, bound in enumerate(bounds):
+        held += found.get(k, 0)
+        if held and held + found.get(k + 1, 0) / 2 >= part:
+            out.append(bound)
+            held = 0
+    return out
+
+
 def range_block(column: Column, bounds: list) -> Column:
     """The number of bounds at or below a value: 0 to len(bounds); nulls come after all.
 

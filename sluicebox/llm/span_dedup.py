@@ -1,17 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against all reference blocks.
 
 The corpus, in document order, is cut into blocks of whole documents; every block is a reference.
-The index of a block holds a hash of each of its windows (runs of `window` words). The indexes of
-all blocks meet bucket by bucket, where each window learns the earliest block that holds it. A block
-then parses its own documents: from a word on, a factor takes in as many further words as one
-reference block (an earlier one, or the part of this block before) holds, and where it ends the next
-one starts. Windows across a factor's boundary are looked up too, so a factor of at least one window
-is found wherever it starts. Factors are the duplicate spans; all is judged on the input.
-
-Blocks travel once by their number, as text; what travels besides are window hashes in packed
-form (7 bytes a window, once for each block that has it) and the numbers of matched blocks.
-Hash buckets grow in number with the input, and a passage that is in very many documents is one
-entry for each block.
+The index of a block holds a hash of each of its windows (runs of `window` words) and where it is first.
+The indexes of all blocks meet bucket by bucket, where each window learns the earliest block that holds
+it, and the word of that block at which it begins. A block then parses its own documents: from a word on,
+a factor takes in as many further words as go on word by word in one reference block (an earlier one, or
+the part of this block before), and where it ends the next one starts. Windows across a factor's boundary
+are looked up too, so a factor of at least one window is found wherever it starts. Factors are the
+duplicate spans, each with its block and its first word there; all is judged on the input.
+
+Blocks travel once by their number, as text; what travels besides are window hashes and places in packed
+form (about 10 bytes a window, once for each block that has it) and the matched places. Blocks and
+buckets grow in number with the input, and no empty part of an index is sent, so rows are never more than
+windows. A passage that is in very many documents is one entry for each block.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from . import shared
 from .text import U64, Words, buffers, whole_window, windows
 
-#: Text bytes of a block, at about which more blocks are made.
+#: Text bytes of a block, at about which more blocks are made; there is a bucket for two blocks.
 BLOCK_BYTES = 8 << 20
 _KEY_BITS = 56
+#: Bytes of a place in a block, which has fewer words than that unless one text is longer than 32 MB.
+_PLACE_BYTES = 3
 
 
 class _Index:
@@ -61,6 +64,16 @@ def _pack(keys: np.ndarray) -> tuple[int, int, bytes]:
     return int(keys[0]), width, steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :_PLACE_BYTES].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _PLACE_BYTES, 4), np.uint8)
+    out[:, :_PLACE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _PLACE_BYTES)
+    return out.view(np.uint32).ravel()
+
+
 def _unpack(first: int, width: int, steps: bytes) -> np.ndarray:
     raw = np.frombuffer(steps, np.uint8).reshape(-1, width)
     wide = np.zeros((len(raw) + 1, 8), np.uint8)
@@ -75,21 +88,23 @@ def _index(window: int, n_buckets: int):
         block = table.column("block")[0].as_py()
         index = _Index(table, window)
         cuts = index.buckets(n_buckets)
+        first = index.at[index.earliest]
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
-            keys = index.keys[cuts[b] : cuts[b + 1]]
-            rows.append((int(b), block, *_pack(keys), index.check[cuts[b] : cuts[b + 1]].tobytes()))
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "first", "width", "steps", "checks"])
+            own = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), block, *_pack(index.keys[own]), index.check[own].tobytes(), _narrow(first[own])))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "block", "first", "width", "steps", "checks", "places"])
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block, which of its entries an earlier block has, and the earliest such block."""
+    """Of one bucket: for each block, which of its entries an earlier block has, the earliest such block, and where."""
     table = table.sort_by("block")
     blocks = table.column("block").to_numpy()
     parts = [_unpack(f.as_py(), w.as_py(), s.as_py()) for f, w, s in zip(table.column("first"), table.column("width"), table.column("steps"), strict=True)]
     check = np.concatenate([np.frombuffer(c.as_py(), np.uint16) for c in table.column("checks")])
+    place = np.concatenate([_wide(c.as_py()) for c in table.column("places")])
     ends = np.cumsum([len(p) for p in parts])
     keys, owner = np.concatenate(parts), np.repeat(blocks, [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")  # blocks ascend within equal keys
@@ -97,28 +112,32 @@ def _meet(table: pa.Table) -> pa.Table:
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[1:] != keys[:-1]
     lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    source = np.full(len(keys), -1, np.int32)
+    source, there = np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.uint32)
     source[order] = np.where(~fresh & (check[lead] == check[order]), owner[lead], -1)
+    there[order] = place[lead]
     hits = source >= 0
     rows = []
     for k, block in enumerate(blocks):
         part = slice(ends[k] - len(parts[k]), ends[k])
         if hits[part].any():
-            rows.append((int(block), int(table.column("bucket")[0].as_py()), np.packbits(hits[part]).tobytes(), source[part][hits[part]].tobytes()))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "hits", "sources"])
+            rows.append((int(block), int(table.column("bucket")[0].as_py()), np.packbits(hits[part]).tobytes(), source[part][hits[part]].tobytes(), _narrow(there[part][hits[part]])))
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "bucket", "hits", "sources", "places"])
+
 
+def _factors(dup: np.ndarray, source: np.ndarray, place: np.ndarray, at: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors of a window or more, from the matched windows in text order: first word, end word, block, word there.
 
-def _factors(dup: np.ndarray, source: np.ndarray, at: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of a window or more, from the matched windows in text order: first word, end word, block."""
+    A factor goes on as long as its next window begins one word further in the same reference block.
+    """
     where = np.flatnonzero(dup)
     if not len(where):
-        return where, where, where
-    start, block, doc = at[where], source[where], row[at[where]]
+        return where, where, where, where
+    start, block, there, doc = at[where], source[where], place[where], row[at[where]]
     begins = np.ones(len(where), bool)
-    begins[1:] = (start[1:] != start[:-1] + 1) | (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+    begins[1:] = (start[1:] != start[:-1] + 1) | (block[1:] != block[:-1]) | (there[1:] != there[:-1] + 1) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(begins)
     last = np.append(first[1:], len(where)) - 1
-    return start[first], start[last] + window, block[first]
+    return start[first], start[last] + window, block[first], there[first]
 
 
 def _parse(window: int, n_buckets: int):
@@ -128,18 +147,18 @@ def _parse(window: int, n_buckets: int):
         block = key[0].as_py()
         index = _Index(docs, window)
         cuts = index.buckets(n_buckets)
-        source = np.full(len(index.keys), -1, np.int64)
-        for b, hits, found in zip(*(matches.column(c).to_pylist() for c in ("bucket", "hits", "sources")), strict=True):
-            n = int(cuts[b + 1] - cuts[b])
-            mask = np.unpackbits(np.frombuffer(hits, np.uint8), count=n).astype(bool)
+        source, place = np.full(len(index.keys), -1, np.int64), index.at[index.earliest].astype(np.int64)
+        for b, hits, found, places in zip(*(matches.column(c).to_pylist() for c in ("bucket", "hits", "sources", "places")), strict=True):
+            mask = np.unpackbits(np.frombuffer(hits, np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
             source[cuts[b] : cuts[b + 1]][mask] = np.frombuffer(found, np.int32)
-        of_window = source[index.entry] if len(index.entry) else source[:0]
+            place[cuts[b] : cuts[b + 1]][mask] = _wide(places)
+        of_window, there = source[index.entry], place[index.entry]
         again = np.ones(len(index.at), bool)
         again[index.earliest] = False  # all but a window's first place in this block
         dup = again | (of_window >= 0)
         of_window = np.where(of_window >= 0, of_window, block)
         words = index.words
-        first, end, ref = _factors(dup, of_window, index.at, words.row, window)
+        first, end, ref, ref_word = _factors(dup, of_window, there, index.at, words.row, window)
         gone = np.zeros(len(words.start) + 1, np.int64)
         np.add.at(gone, first, 1)
         np.add.at(gone, end, -1)
@@ -153,14 +172,14 @@ def _parse(window: int, n_buckets: int):
             kept.append(b" ".join(compress(of_row, keep[words.first[r] : words.first[r + 1]]) if n_removed[r] else of_row).decode())
         per_row = np.bincount(words.row[first], minlength=len(texts)) if len(first) else np.zeros(len(texts), np.int64)
         base = words.first[words.row[first]] if len(first) else first
-        spans = pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(end - base, pa.int64()), pa.array(ref, pa.int64())], names=["start", "end", "block"])
+        spans = pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(end - base, pa.int64()), pa.array(ref, pa.int64()), pa.array(ref_word, pa.int64())], names=["start", "end", "block", "block_word"])
         spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), spans)
         return _result(index.table.column("doc_id"), words.counts, n_removed, kept, spans)
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("block", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("block", pa.int64()), ("block_word", pa.int64())]))
 
 
 def _result(doc_id, n_words, n_removed, kept, spans) -> pa.Table:
@@ -174,14 +193,17 @@ def remove_repeated_spans(df: DataFrame, id_column: str = "doc_id", text_column:
     A word goes if a window that covers it has the same words as one that starts earlier: in a
     document of smaller id, or earlier in the same. Rows that repeat an id come in the order of
     their texts, equal rows one after the other; rows without an id come last. kept_text is the
-    other words joined by one blank; spans are the factors as word numbers and the reference block.
-    Null texts have no words; texts shorter than a window lose none. Other columns don't matter.
+    other words joined by one blank; spans are the factors as word numbers, with the reference block and
+    the word of that block that they begin at (words of a block are counted in document order).
+    Null texts have no words; texts shorter than a window lose none; an empty df stays empty. Other columns
+    don't matter.
     """
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(shared.shuffle_partitions(df.sparkSession), -(-size // block_bytes))
-    block = shared.range_block(F.col("doc_id"), shared.range_bounds(docs, "doc_id", n))
-    dealt = docs.withColumn("block", block.cast("int")).repartition(n, "block")
-    index = dealt.groupBy("block").applyInArrow(_index(window, n), "bucket int, block int, first long, width int, steps binary, checks binary")
-    matches = index.groupBy("bucket").applyInArrow(_meet, "block int, bucket int, hits binary, sources binary")
-    return dealt.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(_parse(window, n), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long,block:long>>")
+    partitions = shared.shuffle_partitions(df.sparkSession)
+    n, n_buckets = max(partitions, -(-size // block_bytes)), max(partitions, -(-size // (2 * block_bytes)))
+    bounds = shared.byte_bounds(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, n)
+    dealt = docs.withColumn("block", shared.range_block(F.col("doc_id"), bounds).cast("int")).repartition(n, "block")
+    index = dealt.groupBy("block").applyInArrow(_index(window, n_buckets), "bucket int, block int, first long, width int, steps binary, checks binary, places binary")
+    matches = index.groupBy("bucket").applyInArrow(_meet, "block int, bucket int, hits binary, sources binary, places binary")
+    return dealt.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(_parse(window, n_buckets), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long,block:long,block_word:long>>")

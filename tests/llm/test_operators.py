@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, shared, sharding, span_dedup, toxicity, url_filter
+from sluicebox.llm import decontaminate, draws, fingerprints, mixing, near_dedup, private_data, secrets, shared, sharding, span_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,6 +58,18 @@ def test_span_dedup(docs, texts):
         assert (got[k]["n_words"], got[k]["n_removed"]) == (len(w), len(w) - sum(keep))
         covered = {i for s in got[k]["spans"] for i in range(s["start"], s["end"])}
         assert covered == {i for i, y in enumerate(keep) if not y}
+    # every factor is in its reference block, word by word, at the word that it names
+    blocks, longest = [], 0
+    bounds = shared.byte_bounds(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, max(4, -(-sum(len((t or "").encode()) for t in texts) // 3000)))
+    for r in docs.select("doc_id", "text", shared.range_block(F.col("doc_id"), bounds).alias("b")).orderBy("doc_id").collect():
+        blocks += [[] for _ in range(r["b"] + 1 - len(blocks))]
+        blocks[r["b"]] += WORD.findall(r["text"] or "")
+    for k, t in enumerate(texts):
+        for s in got[k]["spans"]:
+            n = s["end"] - s["start"]
+            assert n >= 8 and WORD.findall(t)[s["start"] : s["end"]] == blocks[s["block"]][s["block_word"] : s["block_word"] + n]
+            longest = max(longest, n)
+    assert len(blocks) > 3 and longest > 40
 
 
 def components(texts, k):
@@ -157,19 +170,71 @@ def test_sharding(docs, texts):
     assert sharding.shard_rows(docs.limit(0), 7).count() == 0
 
 
-def test_mixing(docs, texts):
+def targets(sizes, weights=(5, 2, 1), most=3.0):
+    """Shares by weight, round by round: what is above its bound is cut and shared anew."""
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return out | share
+        out |= {s: most * sizes[s] for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_mixing(spark, docs, texts):
     rows = mixing.mix(docs, shards=3).collect()
     assert len(rows) == len(texts)
     sizes = {k: len(WORD.findall(t or "")) for k, t in enumerate(texts)}
-    goal = mixing.targets([(s, sum(sizes[r["doc_id"]] for r in rows if r["source"] == s)) for s in {r["source"] for r in rows}])
+    goal = targets({s: sum(sizes[r["doc_id"]] for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
     for s, target in goal.items():
         own = [r for r in rows if r["source"] == s]
         assert all(r["size"] == sizes[r["doc_id"]] and r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] and len(r["mix_shards"]) == r["copies"] for r in own)
         assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own) and abs(own[0]["target"] - target) < 1e-6
-    assert mixing.targets([("a", 10), ("b", 100), (None, 0)]) == {"a": 30.0, "b": 80.0, None: 0.0}
+    # small blocks: every shard gets its even part of each source, but for a row in each block
+    many = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 10 < 6, 'a', IF(id % 10 < 9, 'b', NULL)) AS source", "1 + id % 7 AS n")
+    for blocks in (2048, 20):
+        mixing.BLOCK_ROWS = blocks
+        got = mixing.mix(many, size_column="n", shards=4)
+        per = mixing.copies(got, ["source", "size"]).groupBy("source", "mix_shard").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        for r in per:
+            due = got.where(F.col("source").eqNullSafe(r["source"])).first()["target"] / 4
+            assert abs(r["n"] - due) <= 7 * max(1, -(-2000 // blocks)) ** 0.5 * 2
+        again = mixing.mix(many.repartition(7), size_column="n", shards=4)
+        assert got.exceptAll(again).count() == 0
+    mixing.BLOCK_ROWS = 2048
+    taken = mixing.copies(got, ["doc_id"])
+    assert sorted(tuple(r) for r in mixing.shuffled(taken).collect()) == sorted(tuple(r) for r in taken.collect())
+    got = {r["source"]: r["target"] for r in mixing.mix(spark.createDataFrame([("a", 10), ("b", 100), (None, 0)], "source string, n long"), size_column="n").collect()}
+    assert got == {"a": 30.0, "b": 80.0, None: 0.0}
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_very_many_sources(spark):
+    sizes = {f"s{k}": 1 + k % 50 for k in range(20_000)}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3))
+    due = targets(sizes)
+    assert all(abs(due[r["source"]] - r["target"]) < 1e-6 for r in got.collect())
+
+
+def test_draws_follow_the_exact_law():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((300, 700, 200), (5, 4, 6), (1, 10**6, 10**5)):
+        own = [draws.invert(rng, good, bad, n) for _ in range(4000)]
+        due = rng.hypergeometric(good, bad, n, 4000)
+        assert abs(np.mean(own) - due.mean()) < 4 * due.std() / 4000**0.5 * 1.5 + 1e-9 and max(0, n - bad) <= min(own) and max(own) <= min(good, n)
+    assert abs(draws.one(rng, 10**12, 3 * 10**12, 2 * 10**12) / 10**12 - 0.5) < 1e-5
+    counts, cells = np.array([7, 9, 4, 0]), np.array([10, 0, 5, 5])
+    matrix = np.array([draws.row_of_matrix(3, counts, cells, p) for p in range(4)])
+    assert (matrix.sum(0) == cells).all() and (matrix.sum(1) == counts).all()
+    tree = draws.splitting_tree(5, np.array([100, 50, 0, 75]), 1, 60, np.array([95, 95, 95]))
+    assert (tree.sum(0) == 95).all() and (tree.sum(1) >= [100, 50, 0, 75]).all() and (tree.sum(1) <= [200, 100, 0, 150]).all()
+
+
 def test_url_filter(spark):
     rules = [url_filter.Rule("net/", "block"), url_filter.Rule("a.net/x*/y", "allow"), url_filter.Rule("org/fr/", "allow")]
     urls = [None, "", "net/", "http://A.net/q", "http://b.a.NET/xx/y?z", "http://anet/", "http://a.net", "ftp://w.org/fr/#", "http://w.org/FR/", "x://a b.net/"]
@@ -181,13 +246,25 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df, []).where("verdict <> 'allow'").count() == 0
 
 
+#: Pattern, flags, measured group and its least length of each kind, written apart from the module.
+SECRETS = [
+    (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 2, 12),
+    ("AKIA[A-Z0-9]+", 0, 0, 18),
+    ("[0-9a-f]+", 0, 0, 16),
+    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, 0),
+    ("gh[pousr]_([A-Za-z0-9]+)", 0, 1, 36),
+    ("xox[abprs]-([A-Za-z0-9-]+)", 0, 1, 10),
+    (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 0, 1, 8),
+]
+
+
 def test_secrets(spark):
     rng = random.Random(3)
-    pieces = ["password", "Token", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGH0123456789", "deadbeef", "0123456789abcdef", "x", "é", "\n", "-----BEGIN RSA PRIVATE KEY-----"]
+    pieces = ["password", "Token", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGH0123456789", "deadbeef", "0123456789abcdef", "x", "é", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "xoxb-", "eyJabc.", "eyJ012", "==", "apiKEY", "-"]
     texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 14))) for _ in range(400)] + [None, "", "a" * 5000 + "password = " + "Z" * 4000]
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for k, t in enumerate(texts):
-        due = sorted((a, n, b) for n, r in enumerate(secrets.BASE + secrets.MORE) for a, b in r.spans(t or ""))
+        due = sorted((m.start(), n, m.end()) for n, (pattern, flags, group, least) in enumerate(SECRETS) for m in re.finditer(pattern, t or "", flags | re.A) if len(m[group]) >= least)
         kinds = [r.kind for r in secrets.BASE + secrets.MORE]
         assert [(s["start"], kinds.index(s["kind"]), s["end"]) for s in got[k]] == due
 
@@ -230,9 +307,9 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(None,), ("",), ("!!",)], "text string")
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}
     empty = toxicity.fit(df.limit(0))
-    lexical = toxicity._Lexical(empty)
-    plain, negated, told, aimed = (toxicity.evidence(t, lexical) for t in ("what an idiot", "he is not an idiot", "she called him an idiot", "you idiot"))
-    assert negated < plain < aimed and told < aimed
+    cases = ["what an idiot", "that is not an idiot", "she called Bob some kind of idiot", "you idiot", "they will hurt it", "we will hurt you", "nobody will ever. You like it"]
+    plain, negated, told, aimed, violence, threat, nothing = toxicity.evidence(pa.array(cases), empty, toxicity._Lexicon(empty))
+    assert nothing == 0 < negated < plain < aimed and told < plain and 0 < violence < threat
 
 
 def test_pipeline(spark, texts, docs, tmp_path):
@@ -268,8 +345,8 @@ def test_decontamination_by_items_without_id(spark):
 def test_decontamination_reads_repeated_items_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
     bench = spark.createDataFrame([(k if k < 5 else 0, f"item {k if k < 5 else 0} " * 10) for k in range(100)], "item_id long, text string")
-    sizes, scan = [], decontaminate._scan
-    monkeypatch.setattr(decontaminate, "_scan", lambda items, *a: sizes.append(len(items)) or scan(items, *a))
+    sizes, tests = [], decontaminate.Tests
+    monkeypatch.setattr(decontaminate, "Tests", lambda items, *a: sizes.append(len(items)) or tests(items, *a))
     decontaminate.find_contamination(docs, bench)
     assert sizes == [5]
 
