@@ -44,15 +44,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     ordered = ranges.withColumn("_place", place).join(first, "_range").withColumn("order", F.col("_before") + F.col("_place") - 1)
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("order") % len(weights) + 1).cast("int"))
     weighed = shared.saved(ordered.drop("_range", "_place", "_before").withColumns({"_weight": share, "_bound": F.col("words") * F.lit(float(most))}))
-    level = 0.0
+    level, known = 0.0, -1
     while True:
         # words for each unit of weight: those that it lifts over their bound keep the bound
         full = F.col("_weight") * F.lit(level) > F.col("_bound")
-        total, capped, free = weighed.agg(F.sum("words"), F.sum(F.when(full, F.col("_bound"))), F.sum(F.when(~full, F.col("_weight")))).first()
-        higher = (float(total or 0) - (capped or 0.0)) / free if free else level
-        if higher <= level:
+        total, capped, free, n_free = weighed.agg(F.sum("words"), F.sum(F.when(full, F.col("words"))), F.sum(F.when(~full, F.col("_weight"))), F.count_if(~full)).first()
+        if n_free in (known, 0):  # no source was added to the full ones
             break
-        level = higher
+        level, known = (float(total or 0) - float(most) * float(capped or 0)) / free, n_free
     return weighed.withColumn("target", F.least(F.col("_weight") * F.lit(level), F.col("_bound"))).drop("_weight", "_bound")
 
 

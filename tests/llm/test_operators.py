@@ -176,7 +176,8 @@ def targets(sizes, weights=(5, 2, 1), most=3.0):
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
     out, free, left = {}, set(order), float(sum(sizes.values()))
     while free:
-        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        whole = sum(w[x] for x in free)
+        share = {s: left * w[s] / whole for s in free}
         over = {s for s in free if share[s] > most * sizes[s]}
         if not over:
             return out | share
