@@ -29,16 +29,9 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+#: Bytes that are hashed at a time.
+_CHUNK = 1 << 18
+_POWERS, _INVERSES = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_CHUNK, x, np.uint64)])) for x in (_BASE, _BASE_INV))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,11 +45,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    power, inverse = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each byte range; starts ascend, and so do ends.
+
+    Ranges are differences of running sums, which are made for some bytes at a time.
+    """
+    low, high, before = np.empty(len(start), np.uint64), np.empty(len(end), np.uint64), U64(0)
+    for at in range(0, len(data) + 1, _CHUNK):
+        part = data[at : at + _CHUNK]
+        scale = U64(pow(int(_BASE), at, 2**64))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = before
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[part] * _POWERS[: len(part)] * scale, out=sums[1:])
+            sums[1:] += before
+        before = sums[-1]
+        for place, out in ((start, low), (end, high)):
+            own = slice(*np.searchsorted(place, (at, at + _CHUNK)))
+            out[own] = sums[place[own] - at]
+    scales = np.array([pow(int(_BASE_INV), k * _CHUNK, 2**64) for k in range(len(data) // _CHUNK + 1)], np.uint64)
+    return mix((high - low) * _INVERSES[start % _CHUNK] * scales[start // _CHUNK] + (end - start).astype(np.uint64))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

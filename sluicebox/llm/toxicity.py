@@ -45,6 +45,8 @@ KINDS = ("insult", "further insult", "violence", "threat")
 PRIOR = (1.0, 1.0, 1.5, 3.0)
 #: Factors of the weights before any fit: aimed at a target, negated, reported.
 AIMED, NEGATED, REPORTED = 1.2, 0.6, 0.6
+#: Text bytes that are read at a time.
+PIECE_BYTES = 256 << 10
 #: How strongly fitted weights are drawn to those before.
 PULL = 2.0
 #: Clauses of a document that count, the heaviest first.
@@ -155,7 +157,7 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     An apostrophe counts as a letter between letters; typographic signs of other alphabets part words.
     """
     data, offs = buffers(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
-    for i, j in pieces(offs):
+    for i, j in pieces(offs, PIECE_BYTES):
         part, at = data[offs[i] : offs[j]].copy(), offs[i : j + 1] - offs[i]
         after = np.append(part[1:], np.zeros(1, np.uint8))
         for sign in np.flatnonzero(((part == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((part == 0xE3) & (after == 0x80))):
