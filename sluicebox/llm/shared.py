@@ -43,10 +43,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(ids: DataFrame, rows: int | None = None) -> DataFrame:
-    """A hint to broadcast a narrow table, after a count has shown that it is small."""
+def small(ids: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A hint to broadcast a narrow table, after a count has shown that it has at most `most` rows."""
     rows = ids.count() if rows is None else rows
-    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if rows <= most else ids
 
 
 def range_bounds(df: DataFrame, column: str, n: int) -> list:
