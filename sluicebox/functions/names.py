@@ -62,8 +62,8 @@ def content_type(v: Column, most: int = 255) -> Column:
 
 
 def collision_key(v: Column) -> Column:
-    """A member name without empty and `.` parts; case and `..` stay."""
-    n = F.replace(v, F.lit("\\"), F.lit("/"))
+    """A composed member name without empty and `.` parts; case and `..` stay."""
+    n = F.replace(composed(v), F.lit("\\"), F.lit("/"))
     return F.concat(F.when(F.startswith(n, F.lit("/")), "/").otherwise(""), F.array_join(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), "/"))
 
 
@@ -83,9 +83,15 @@ def _nfc(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(v: Column) -> Column:
+    """Canonically composed. Only names beyond ASCII go through Python."""
+    beyond = F.regexp_like(v, F.lit("[^\\x00-\\x7F]"))
+    return F.when(beyond, _nfc(F.when(beyond, v))).otherwise(v)
+
+
 def display_name(v: Column, most: int = 255, default: str = "document") -> Column:
     """A composed, printable name without path separators. Only names beyond ASCII go through Python."""
-    n = F.when(F.regexp_like(v, F.lit("[^\\x00-\\x7F]")), _nfc(F.when(F.regexp_like(v, F.lit("[^\\x00-\\x7F]")), v))).otherwise(v)
+    n = composed(v)
     n = F.trim(F.regexp_replace(n, "[\\x00-\\x1F\\x7F]", ""))
     n = F.regexp_replace(F.regexp_replace(n, f"[{BIDI}]", ""), "[/\\\\]", "_")
     return F.substring(F.when(n.isin("", ".", ".."), default).otherwise(n), 1, most)

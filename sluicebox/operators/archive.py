@@ -59,13 +59,21 @@ def entry_limits(members: DataFrame, most_entries: int = MOST_ENTRIES, most_memb
 
 
 def byte_budgets(members: DataFrame, member_bytes: int = MEMBER_BYTES, root_bytes: int = ROOT_BYTES) -> DataFrame:
-    """Members up to the first of their container that breaks a budget; breach tells which."""
+    """Members up to the first of their container that breaks a budget; breach tells which.
+
+    Only members that are read count, so not directories, links, encrypted or unsupported ones, and none
+    behind a container's stop; the count of the root goes on in the containers that follow.
+    """
+    within = Window.partitionBy("container_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.when(disposition() == "read", F.col("actual_bytes")).otherwise(0)
+    large = taken > member_bytes
+    rows = members.withColumns({"_taken": taken, "_large": large, "_behind": F.coalesce(F.bool_or(large).over(within), F.lit(False))}).where("NOT _behind")
     order = Window.partitionBy("root_id").orderBy("container_id", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = members.withColumn("running", F.sum("actual_bytes").over(order))
-    breach = F.when(F.col("actual_bytes") > member_bytes, "member_bytes").when(F.col("running") > root_bytes, "root_bytes")
-    rows = rows.withColumn("breach", breach)
-    first = F.min(F.when(F.col("breach").isNotNull(), F.col("ordinal"))).over(Window.partitionBy("container_id"))
-    return rows.withColumn("stop_at", first).where(F.col("stop_at").isNull() | (F.col("ordinal") <= F.col("stop_at"))).drop("stop_at")
+    rows = rows.withColumn("running", F.sum("_taken").over(order))
+    over = (F.col("running") > root_bytes) & (F.col("_taken") > 0)
+    rows = rows.withColumn("breach", F.when(F.col("_large"), "member_bytes").when(over, "root_bytes"))
+    behind = F.coalesce(F.bool_or(F.col("breach").isNotNull()).over(within), F.lit(False))
+    return rows.withColumn("_behind", behind).where("NOT _behind").drop("_taken", "_large", "_behind")
 
 
 def nesting(containers: DataFrame, most_depth: int = MOST_DEPTH, budget: int = ROOT_BYTES) -> DataFrame:
@@ -98,15 +106,51 @@ def retained(records: DataFrame) -> DataFrame:
     return kept.withColumn("nth_of_root", F.row_number().over(Window.partitionBy("root_id").orderBy(*order))).where(F.col("nth_of_root") <= MOST_RECORDS)
 
 
-def findings(records: DataFrame, most: int = 64) -> DataFrame:
-    """root_id, code, n: one finding for each category that occurs, in category order, at most `most` of a root."""
-    counts = records.groupBy("root_id", "rank", "code").agg(F.count(F.lit(1)).alias("n"))
-    must = F.when(F.col("code").isin("ARCHIVE_PATH_TRAVERSAL", "ARCHIVE_ABSOLUTE_PATH", "ARCHIVE_SYMLINK", "ARCHIVE_PARTIAL_ANALYSIS"), 0).otherwise(1)
-    return counts.withColumn("nth", F.row_number().over(Window.partitionBy("root_id").orderBy(must, "rank"))).where(F.col("nth") <= most).select("root_id", "code", "n")
+#: Findings of a root as a whole, behind those of its members and in this order; they are kept before others.
+OF_ROOT = ("ARCHIVE_NESTING_LIMIT", "ARCHIVE_RESOURCE_LIMIT", "ARCHIVE_MALFORMED", "ARCHIVE_PARTIAL_ANALYSIS")
+MOST_FINDINGS = 64
+
+
+def reasons(marked: DataFrame, member_bytes: int = MEMBER_BYTES, root_bytes: int = ROOT_BYTES) -> DataFrame:
+    """root_id, kind, reason: why the analysis of a root is partial, limited or malformed (kind partial, resource, malformed).
+
+    Resource reasons are partial reasons too. A container is malformed whose members repeat an ordinal.
+    """
+    what = disposition()
+    deep = marked.where(F.col("depth") > MOST_DEPTH).select("root_id", F.lit("partial").alias("kind"), F.lit("nesting_depth_limit").alias("reason"))
+    own = F.when(what == "encrypted", "encrypted_member").when(what == "unsupported", "unsupported_compression")
+    unread = marked.select("root_id", F.lit("partial").alias("kind"), own.alias("reason")).where("reason IS NOT NULL")
+    bytes_ = byte_budgets(marked, member_bytes, root_bytes).where("breach IS NOT NULL").select("root_id", F.lit("resource").alias("kind"), F.col("breach").alias("reason"))
+    entries = marked.groupBy("root_id", "container_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ordinal").alias("ordinals"))
+    many = entries.where(F.col("n") > MOST_ENTRIES).select("root_id", F.lit("resource").alias("kind"), F.lit("entry_limit").alias("reason"))
+    bad = entries.where("n > ordinals").select("root_id", F.lit("malformed").alias("kind"), F.lit("repeated_ordinal").alias("reason"))
+    return deep.unionAll(unread).unionAll(bytes_).unionAll(many).unionAll(bad).distinct()
+
+
+def findings(records: DataFrame, reasons: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
+    """root_id, code, n: a finding for each category of members' records, then those of the root (n: their reasons).
+
+    Of more than `most` of a root those of the root stay, and the first of the others; a limit that cuts is a
+    resource reason itself (finding_limit).
+    """
+    members = records.where(~F.col("code").isin(*OF_ROOT)).groupBy("root_id", "rank", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    def of_root(reasons: DataFrame) -> DataFrame:
+        by = reasons.groupBy("root_id").agg(
+            F.count_if(F.col("reason") == "nesting_depth_limit").alias("0"), F.count_if(F.col("kind") == "resource").alias("1"), F.count_if(F.col("kind") == "malformed").alias("2"), F.count_if(F.col("kind") != "malformed").alias("3")
+        )
+        rows = F.array(*[F.struct(F.lit(100 + k).alias("rank"), F.lit(code).alias("code"), F.col(str(k)).alias("n")) for k, code in enumerate(OF_ROOT)])
+        return by.select("root_id", F.explode(F.filter(rows, lambda r: r["n"] > 0)).alias("f")).select("root_id", "f.rank", "f.code", "f.n")
+
+    size = members.unionByName(of_root(reasons)).groupBy("root_id").agg(F.count(F.lit(1)).alias("size"))
+    cut = size.where(F.col("size") > most).select("root_id", F.lit("resource").alias("kind"), F.lit("finding_limit").alias("reason"))
+    found = members.unionByName(of_root(reasons.unionByName(cut).distinct()))
+    nth = F.row_number().over(Window.partitionBy("root_id").orderBy((F.col("rank") < 100).cast("int"), "rank"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= most).select("root_id", "code", "n")
 
 
-def status(marked: DataFrame) -> DataFrame:
-    """Status and totals of a root."""
+def status(marked: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Status and totals of a root: malformed or partial where a reason says so, else complete."""
     rows = marked.withColumn("what", disposition())
     count = lambda c, name: F.count_if(c).alias(name)
     out = rows.groupBy("root_id").agg(
@@ -114,4 +158,6 @@ def status(marked: DataFrame) -> DataFrame:
         count("traversal", "traversals"), count("rooted", "rooted"), count(F.col("collides_with").isNotNull(), "duplicates"), count("dangerous", "dangerous"), F.count_distinct("container_id").alias("containers"), F.max("depth").alias("deepest"), F.sum("actual_bytes").alias("bytes"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("what") == "unsupported", F.col("compress_type")))).cast("array<string>"), ",").alias("methods"),
     )
-    return out.withColumn("status", F.when(F.col("symlinks") + F.col("traversals") + F.col("rooted") + F.col("duplicates") == 0, "COMPLETE").when((F.col("encrypted") + F.col("unsupported") > 0) | (F.col("deepest") > MOST_DEPTH), "PARTIAL").otherwise("COMPLETE"))
+    worst = reasons.groupBy("root_id").agg(F.bool_or(F.col("kind") == "malformed").alias("bad"))
+    state = F.when(F.col("bad"), "MALFORMED").when(F.col("bad").isNotNull(), "PARTIAL").otherwise("COMPLETE")
+    return out.join(worst, "root_id", "left").withColumn("status", state).drop("bad")

@@ -54,20 +54,27 @@ def lineage_faults(artifacts: DataFrame, scans: DataFrame) -> DataFrame:
     return rows.withColumn("faults", faults)
 
 
-def remediation(scans: DataFrame, codes: DataFrame, pages: DataFrame, remediable: tuple[str, ...]) -> DataFrame:
-    """Reasons against a cleaned copy of each scan; none means eligible."""
+def remediation(scans: DataFrame, codes: DataFrame, pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """Reasons against a cleaned copy of each scan; none means eligible.
+
+    `stored` lists objects (object, sha, size_bytes, mode). What is missing speaks against: a scan without an
+    evaluation is incomplete, one without its object fails the integrity check, as does one that others may read.
+    """
+    held = stored.select("object", F.col("sha").alias("_sha"), F.col("size_bytes").alias("_size"), F.col("mode").alias("_mode"))
+    intact = (F.col("_sha") == F.col("sha")) & (F.col("_size") == F.col("size_bytes")) & (F.col("_mode").bitwiseAND(F.lit(0o77)) == 0)
     own = codes.groupBy("scan_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    rows = scans.join(own, "scan_id", "left").join(pages, "scan_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    rows = scans.join(own, "scan_id", "left").join(pages, "scan_id", "left").join(held, "object", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
     reasons = F.array_sort(
         F.array_compact(
             F.array(
                 F.when(F.coalesce(F.col("detected_type") != "PDF", F.lit(True)), "NOT_PDF"),
-                F.when(F.coalesce(F.col("status") != "SUCCESS", F.lit(True)), "NOT_SUCCESSFUL"),
-                F.when(~F.col("complete"), "INCOMPLETE"),
-                F.when(F.exists("codes", lambda c: c.isin("PDF_ENCRYPTED", "PDF_MALFORMED")), "NOT_RENDERABLE"),
-                F.when(F.size(F.array_intersect("codes", F.array(*map(F.lit, remediable)))) == 0, "NOTHING_TO_REMEDIATE"),
-                F.when(F.col("decision") == "BLOCK", "BLOCKED"),
-                F.when(~F.coalesce(F.col("page_count").between(1, 100), F.lit(False)), "PAGE_COUNT"),
+                F.when(~F.coalesce((F.col("status") == "SUCCESS") & F.col("state").isin("COMPLETED", "QUARANTINED"), F.lit(False)), "ANALYSIS_NOT_SUCCESSFUL"),
+                F.when(~F.coalesce(F.col("complete"), F.lit(False)), "ANALYSIS_INCOMPLETE"),
+                F.when(F.exists("codes", lambda c: c.isin("PDF_ENCRYPTED", "PDF_MALFORMED", "PDF_PARTIAL_ANALYSIS")), "PDF_NOT_RENDERABLE"),
+                F.when(~F.coalesce(F.col("decision").isin("REVIEW", "QUARANTINE"), F.lit(False)), "DECISION_NOT_REMEDIABLE"),
+                F.when(F.col("decision") == "BLOCK", "SOURCE_BLOCKED"),
+                F.when(~F.coalesce(F.col("page_count").between(1, 100), F.lit(False)), "PAGE_COUNT_OUT_OF_RANGE"),
+                F.when(~F.coalesce(intact, F.lit(False)), "SOURCE_INTEGRITY_FAILED"),
             )
         )
     )

@@ -145,3 +145,28 @@ def form_fields(fields: DataFrame, most_depth: int = 32) -> DataFrame:
     child = fields.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("action_id"), F.col("field_id").alias("next_id"))
     steps = parent.join(child, ["doc_id", "action_id"], "left").select("doc_id", "action_id", "next_id", F.col("parent_id").isNull().alias("first"))
     return walk(steps, most_depth, most_nodes=1 << 30).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.max("depth").alias("deepest"))
+
+
+def compound_files(entries: DataFrame, most_entries: int = 4096, most_objects: int = 256) -> DataFrame:
+    """Compound files (doc_id, family, path of each entry) by the names of their storages and streams.
+
+    One row for each document: application, encrypted, embedded_objects, activex, vba_projects, reasons (limits
+    that were met, and a container that its family doesn't fit), container_ok. Names count in lower case, once
+    each; both streams of an encrypted package make a document encrypted.
+    """
+    path = F.lower("path")
+    leaf = F.regexp_extract(path, "([^/]*)$", 1)
+    embedded = leaf.isin("\x01ole10native", "ole10native", "package") | F.startswith(path, F.lit("objectpool/"))
+    active = F.startswith(path, F.lit("ctls/")) | F.startswith(path, F.lit("activex/")) | F.contains(path, F.lit("/activex/"))
+    project = F.endswith(path, F.lit("/dir")) & (F.startswith(path, F.lit("vba/")) | F.contains(path, F.lit("/vba/")))
+    names_ = entries.select("doc_id", "family", path.alias("path"), leaf.alias("leaf"), embedded.alias("embedded"), active.alias("active"), F.when(project, F.regexp_extract(path, "^(.*)/[^/]*$", 1)).alias("project")).distinct()
+    out = names_.groupBy("doc_id").agg(
+        F.first("family").alias("family"), F.count(F.lit(1)).alias("entries"), F.bool_or(F.col("path") == "worddocument").alias("word"), F.bool_or(F.col("path").isin("workbook", "book")).alias("excel"), F.bool_or(F.col("path") == "powerpoint document").alias("powerpoint"),
+        (F.bool_or(F.col("leaf") == "encryptioninfo") & F.bool_or(F.col("leaf") == "encryptedpackage")).alias("encrypted"), F.count_if("embedded").alias("embedded_all"), F.count_if("active").alias("active_all"), F.count_distinct("project").alias("vba_projects"),
+    )
+    ok = F.col("family") == "OLE_COMPOUND"
+    limits = [F.when(F.col("entries") > most_entries, "ole_entry_limit"), F.when(F.col("embedded_all") > most_objects, "embedded_object_limit"), F.when(F.col("active_all") > most_objects, "activex_object_limit"), F.when(~ok, "container_mismatch")]
+    return out.select(
+        "doc_id", F.when(F.col("word"), "word").when(F.col("excel"), "excel").when(F.col("powerpoint"), "powerpoint").otherwise("unknown").alias("application"), "encrypted",
+        F.least("embedded_all", F.lit(most_objects)).cast("long").alias("embedded_objects"), F.least("active_all", F.lit(most_objects)).cast("long").alias("activex"), "vba_projects", F.array_join(F.array_compact(F.array(*limits)), ",").alias("reasons"), ok.alias("container_ok"),
+    )

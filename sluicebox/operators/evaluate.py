@@ -63,3 +63,17 @@ def latency(results: DataFrame) -> DataFrame:
     """Count, mean, median, bounds and nearest-rank 95th percentile."""
     p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
     return results.agg(F.count("latency_ms").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean"), F.percentile("latency_ms", F.lit(0.5)).alias("median"), F.min("latency_ms").alias("low"), F.max("latency_ms").alias("high"), p95.cast("long").alias("p95"))
+
+
+def run_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Cases (case_id, decision, worker_status, latency_ms) of two runs that differ, or that only one run has.
+
+    A missing decision equals a missing one. Each run has a case once.
+    """
+    columns = ("decision", "worker_status", "latency_ms")
+    a = before.select("case_id", F.struct(*columns).alias("a"))
+    b = after.select("case_id", F.struct(*columns).alias("b"))
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
+    same = F.col("a.decision").eqNullSafe(F.col("b.decision")) & F.col("a.worker_status").eqNullSafe(F.col("b.worker_status"))
+    rows = a.join(b, "case_id", "full").withColumn("kind", kind).where((F.col("kind") != "changed") | ~same)
+    return rows.select("case_id", F.col("a.decision").alias("before"), F.col("b.decision").alias("after"), (F.col("b.latency_ms") - F.col("a.latency_ms")).alias("latency_change"), "kind")

@@ -12,12 +12,13 @@ from .views import view
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans with their evaluation; one in seven has none."""
-    evaluation = evaluated(spark, sf_dir).where("scan_id % 7 <> 0").select("scan_id", "score", "band", "decision", "release_eligible", "complete")
-    return view(spark, sf_dir, "v_scan").drop("text").join(evaluation, "scan_id", "left")
+    """Scans with their evaluation; those without a worker status have none."""
+    evaluation = evaluated(spark, sf_dir).select(F.col("scan_id").alias("_scan"), "score", "band", "decision", "release_eligible", "complete")
+    scans = view(spark, sf_dir, "v_scan").drop("text")
+    return scans.join(evaluation, F.when(F.col("status").isNotNull(), F.col("scan_id")) == F.col("_scan"), "left").drop("_scan")
 
 
-_SCANS_SQL = _POLICY_SQL + ", scans AS (SELECT * FROM v_scan LEFT JOIN (SELECT scan_id, score, band, decision, release_eligible, complete FROM evaluation WHERE scan_id % 7 <> 0) USING (scan_id)) "
+_SCANS_SQL = _POLICY_SQL + ", scans AS (SELECT v_scan.*, e.score, e.band, e.decision, e.release_eligible, e.complete FROM v_scan LEFT JOIN evaluation e ON e.scan_id = v_scan.scan_id AND status IS NOT NULL) "
 
 
 def _newest() -> list:
@@ -48,9 +49,9 @@ def q03_approved_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(ok, [F.desc("created_at"), F.desc("artifact_id")], 1, 50).select("artifact_id", "derived_scan_id", "derived_score")
 
 
-@query(_APPROVED_SQL + "SELECT artifact_id, fingerprint FROM ok WHERE artifact_id IN (6, 12, 18, 30, 66, 90)")
+@query(_APPROVED_SQL + "SELECT artifact_id, fingerprint FROM ok WHERE artifact_id % 20 = 0")
 def q04_artifact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.approved(view(spark, sf_dir, "v_artifact"), _scans(spark, sf_dir)).where(F.col("artifact_id").isin(6, 12, 18, 30, 66, 90)).select("artifact_id", "fingerprint")
+    return catalog.approved(view(spark, sf_dir, "v_artifact"), _scans(spark, sf_dir)).where(F.col("artifact_id") % 20 == 0).select("artifact_id", "fingerprint")
 
 
 @query("SELECT event_id, event_type, username FROM v_audit LEFT JOIN v_operator ON operator_id = actor_id ORDER BY us DESC, event_id DESC LIMIT 100")
@@ -99,14 +100,15 @@ def l01_03_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.lineage_faults(view(spark, sf_dir, "v_artifact"), _scans(spark, sf_dir)).select("artifact_id", joined("faults").alias("faults"))
 
 
-_REMEDIABLE = ("PDF_JAVASCRIPT", "PDF_OPEN_ACTION", "PDF_ADDITIONAL_ACTION", "PDF_LAUNCH_ACTION", "PDF_EMBEDDED_FILE")
-_REMEDY_SQL = _SCANS_SQL + f""", f AS (SELECT scan_id, list(DISTINCT code) AS codes FROM v_finding GROUP BY scan_id), remedy AS (SELECT scan_id, decision, list_sort(list_filter([CASE WHEN coalesce(detected_type <> 'PDF', true) THEN 'NOT_PDF' END, CASE WHEN coalesce(status <> 'SUCCESS', true) THEN 'NOT_SUCCESSFUL' END, CASE WHEN NOT complete THEN 'INCOMPLETE' END,
-    CASE WHEN list_has_any(coalesce(codes, []), ['PDF_ENCRYPTED', 'PDF_MALFORMED']) THEN 'NOT_RENDERABLE' END, CASE WHEN NOT list_has_any(coalesce(codes, []), {list(_REMEDIABLE)}) THEN 'NOTHING_TO_REMEDIATE' END, CASE WHEN decision = 'BLOCK' THEN 'BLOCKED' END, CASE WHEN NOT coalesce(scan_id % 110 BETWEEN 1 AND 100, false) THEN 'PAGE_COUNT' END], x -> x IS NOT NULL)) AS reasons FROM scans LEFT JOIN f USING (scan_id)) """
+_REMEDY_SQL = _SCANS_SQL + """, f AS (SELECT scan_id, list(DISTINCT code) AS codes FROM v_finding GROUP BY scan_id), remedy AS (SELECT scan_id, decision, list_sort(list_filter([CASE WHEN detected_type IS DISTINCT FROM 'PDF' THEN 'NOT_PDF' END, CASE WHEN status IS DISTINCT FROM 'SUCCESS' OR state NOT IN ('COMPLETED', 'QUARANTINED') THEN 'ANALYSIS_NOT_SUCCESSFUL' END, CASE WHEN complete IS NOT TRUE THEN 'ANALYSIS_INCOMPLETE' END,
+    CASE WHEN list_has_any(coalesce(codes, []), ['PDF_ENCRYPTED', 'PDF_MALFORMED', 'PDF_PARTIAL_ANALYSIS']) THEN 'PDF_NOT_RENDERABLE' END, CASE WHEN decision IS NULL OR decision NOT IN ('REVIEW', 'QUARANTINE') THEN 'DECISION_NOT_REMEDIABLE' END, CASE WHEN decision = 'BLOCK' THEN 'SOURCE_BLOCKED' END, CASE WHEN NOT coalesce(scan_id % 110 BETWEEN 1 AND 100, false) THEN 'PAGE_COUNT_OUT_OF_RANGE' END,
+    CASE WHEN stored.name IS NULL OR stored.sha IS DISTINCT FROM scans.sha OR stored.size_bytes IS DISTINCT FROM scans.size_bytes OR stored.mode & 63 <> 0 THEN 'SOURCE_INTEGRITY_FAILED' END], x -> x IS NOT NULL)) AS reasons FROM scans LEFT JOIN f USING (scan_id) LEFT JOIN (SELECT name, sha, size_bytes, mode FROM v_listing WHERE area = 'documents') stored ON stored.name = concat('d', scan_id)) """
 
 
 def _remedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = view(spark, sf_dir, "v_scan").select("scan_id", (F.col("scan_id") % 110).alias("page_count"))
-    return catalog.remediation(_scans(spark, sf_dir), view(spark, sf_dir, "v_finding"), pages, _REMEDIABLE)
+    stored = view(spark, sf_dir, "v_listing").where("area = 'documents'").withColumnRenamed("name", "object")
+    return catalog.remediation(_scans(spark, sf_dir).withColumn("object", F.concat(F.lit("d"), F.col("scan_id").cast("string"))), view(spark, sf_dir, "v_finding"), pages, stored)
 
 
 @query(_REMEDY_SQL + "SELECT scan_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM remedy")
@@ -114,10 +116,9 @@ def l02_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _remedy(spark, sf_dir).select("scan_id", joined("reasons").alias("reasons"), "eligible")
 
 
-@query("SELECT scan_id, fingerprint, min(artifact_id) AS artifact_id, count(*) AS n FROM (SELECT scan_id % 60 AS scan_id, fingerprint, artifact_id FROM v_artifact) GROUP BY ALL")
+@query("SELECT scan_id, fingerprint, min(artifact_id) AS artifact_id, count(*) AS n FROM v_artifact GROUP BY ALL")
 def l04_reusable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_artifact").withColumn("scan_id", F.col("scan_id") % 60)
-    return rows.groupBy("scan_id", "fingerprint").agg(F.min("artifact_id").alias("artifact_id"), F.count(F.lit(1)).alias("n"))
+    return view(spark, sf_dir, "v_artifact").groupBy("scan_id", "fingerprint").agg(F.min("artifact_id").alias("artifact_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH p AS (SELECT doc_id, page_no, CAST(ceil(width * 150 / 72) * ceil(height * 150 / 72) AS BIGINT) AS pixels FROM v_page_size), q AS (SELECT *, sum(pixels) OVER (PARTITION BY doc_id ORDER BY page_no) AS running FROM p),
@@ -139,10 +140,10 @@ def l07_eligibility_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _remedy(spark, sf_dir).select("scan_id", F.when(F.col("eligible"), "SUCCESS").otherwise("DENIED").alias("outcome"), F.when(~F.col("eligible"), F.get("reasons", F.lit(0))).alias("reason_code"))
 
 
-@query(_REMEDY_SQL + "SELECT scan_id, CASE WHEN len(reasons) > 0 THEN 'ineligible' WHEN scan_id % 4 = 0 THEN 'reused' WHEN scan_id % 14 = 0 THEN 'render_failure' WHEN scan_id % 26 = 0 THEN 'size_mismatch' WHEN coalesce(decision <> 'ALLOW', true) THEN 'derived_rejected' ELSE 'approved' END AS outcome FROM remedy")
+@query(_REMEDY_SQL + "SELECT scan_id, CASE WHEN len(reasons) > 0 THEN 'ineligible' WHEN scan_id % 4 = 0 THEN 'reused' WHEN scan_id % 14 = 0 THEN 'render_failure' WHEN scan_id % 26 = 0 THEN 'size_mismatch' WHEN scan_id % 3 <> 0 THEN 'derived_rejected' ELSE 'approved' END AS outcome FROM remedy")
 def l08_remediation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("scan_id")
-    return _remedy(spark, sf_dir).withColumns({"reused": s % 4 == 0, "render_failed": s % 14 == 0, "size_mismatch": s % 26 == 0, "derived_decision": F.col("decision")}).select("scan_id", catalog.outcome().alias("outcome"))
+    return _remedy(spark, sf_dir).withColumns({"reused": s % 4 == 0, "render_failed": s % 14 == 0, "size_mismatch": s % 26 == 0, "derived_decision": F.when(s % 3 == 0, "ALLOW").otherwise(F.col("decision"))}).select("scan_id", catalog.outcome().alias("outcome"))
 
 
 # Reconciliation ----------------------------------------------------------------------------------
@@ -230,10 +231,10 @@ def c08_persisted_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir).withColumn("json", stored).select("scan_id", F.col("decision").eqNullSafe(F.get_json_object("json", "$.decision")).alias("same"))
 
 
-@query("SELECT 'x' AS rule, 'y' AS subject WHERE (SELECT count(*) FROM documents) < 0")
+@query(f"WITH dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}) SELECT DISTINCT 'unregistered' AS rule, code AS subject FROM v_finding WHERE code NOT IN (SELECT code FROM dim)")
 def c09_registry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = view(spark, sf_dir, "v_finding").select("code").distinct().where("code <> 'NOT_REGISTERED'")
-    unknown = used.join(dims.finding_dim(spark), "code", "left_anti").select(F.lit("unused").alias("rule"), F.col("code").alias("subject"))
+    used = view(spark, sf_dir, "v_finding").select("code").distinct()
+    unknown = used.join(F.broadcast(dims.finding_dim(spark)), "code", "left_anti").select(F.lit("unregistered").alias("rule"), F.col("code").alias("subject"))
     return contracts.registry_faults(dims.finding_dim(spark), dims.compound_dim(spark)).unionAll(unknown)
 
 
@@ -533,3 +534,16 @@ def y05_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = dims.rule_dim(spark)
     single = [r["rule_id"] for r in pack.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("codes")).where("n = 1 AND codes = 1").collect()]
     return rules.matches(view(spark, sf_dir, "v_scan"), [r for r in dims.RULES if r[0] in single]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# Compound files ----------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT DISTINCT doc_id, family, lower(path) AS path, regexp_extract(lower(path), '([^/]*)$', 1) AS leaf FROM v_ole_entry),
+    g AS (SELECT doc_id, min(family) AS family, bool_or(path = 'worddocument') AS word, bool_or(path IN ('workbook', 'book')) AS excel, bool_or(path = 'powerpoint document') AS powerpoint, bool_or(leaf = 'encryptioninfo') AND bool_or(leaf = 'encryptedpackage') AS encrypted,
+          count(*) FILTER (leaf IN ('ole10native', 'package') OR starts_with(path, 'objectpool/')) AS embedded, count(*) FILTER (starts_with(path, 'ctls/') OR starts_with(path, 'activex/') OR contains(path, '/activex/')) AS active,
+          count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) FILTER (ends_with(path, '/dir') AND (starts_with(path, 'vba/') OR contains(path, '/vba/'))) AS vba_projects FROM e GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN word THEN 'word' WHEN excel THEN 'excel' WHEN powerpoint THEN 'powerpoint' ELSE 'unknown' END AS application, encrypted, least(embedded, 256) AS embedded_objects, least(active, 256) AS activex, vba_projects,
+           array_to_string(list_filter([CASE WHEN embedded > 256 THEN 'embedded_object_limit' END, CASE WHEN active > 256 THEN 'activex_object_limit' END, CASE WHEN family <> 'OLE_COMPOUND' THEN 'container_mismatch' END], x -> x IS NOT NULL), ',') AS reasons, family = 'OLE_COMPOUND' AS container_ok FROM g""")
+def i12_13_o08_15_compound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.compound_files(view(spark, sf_dir, "v_ole_entry"))

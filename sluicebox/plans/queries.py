@@ -64,7 +64,7 @@ def n06_17_name_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT container_id, ordinal, CASE WHEN starts_with(replace(name, '\', '/'), '/') THEN '/' ELSE '' END || coalesce(list_aggregate(list_filter(string_split(replace(name, '\', '/'), '/'), p -> p NOT IN ('', '.')), 'string_agg', '/'), '') AS key FROM v_member""")
+    SELECT container_id, ordinal, CASE WHEN starts_with(replace(name, '\', '/'), '/') THEN '/' ELSE '' END || coalesce(list_aggregate(list_filter(string_split(replace(nfc_normalize(name), '\', '/'), '/'), p -> p NOT IN ('', '.')), 'string_agg', '/'), '') AS key FROM v_member""")
 def n09_collision_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_member").select("container_id", "ordinal", names.collision_key(F.col("name")).alias("key"))
 
@@ -173,7 +173,7 @@ def q06_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Archives ----------------------------------------------------------------------------------------
 
 _MARKED_SQL = rf"""
-    WITH k AS (SELECT *, replace(name, '\', '/') AS n, CASE WHEN starts_with(replace(name, '\', '/'), '/') THEN '/' ELSE '' END || coalesce(list_aggregate(list_filter(string_split(replace(name, '\', '/'), '/'), p -> p NOT IN ('', '.')), 'string_agg', '/'), '') AS key, {_SEG.format("name")} AS seg FROM v_member),
+    WITH k AS (SELECT *, replace(name, '\', '/') AS n, CASE WHEN starts_with(replace(name, '\', '/'), '/') THEN '/' ELSE '' END || coalesce(list_aggregate(list_filter(string_split(replace(nfc_normalize(name), '\', '/'), '/'), p -> p NOT IN ('', '.')), 'string_agg', '/'), '') AS key, {_SEG.format("name")} AS seg FROM v_member),
     m AS (SELECT *, list_contains(string_split(n, '/'), '..') AS traversal, starts_with(n, '/') OR regexp_matches(name, '^[A-Za-z]:[\\/]') AS rooted, row_number() OVER w AS occ, first_value(name) OVER w AS first_name,
           coalesce(len(seg) > 1 AND seg[-1] IN {_IN(dims.DANGEROUS)}, false) AS dangerous, coalesce(len(seg) >= 3 AND seg[-1] IN {_IN(dims.DANGEROUS)} AND list_has_any(seg[2:-2], {_LIST(dims.BUSINESS)}), false) AS double_extension, contains(name, '‮') AS bidi,
           CASE WHEN is_dir THEN 'directory' WHEN create_system = 3 AND ((external_attr >> 16) & 61440) = 40960 THEN 'symlink' WHEN flag_bits & 1 = 1 THEN 'encrypted' WHEN compress_type NOT IN (0, 8, 12, 14) THEN 'unsupported' ELSE 'read' END AS what
@@ -195,9 +195,15 @@ def a11_entry_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.entry_limits(view(spark, sf_dir, "v_member"), 4, 50).groupBy("root_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if("limited").alias("limited"))
 
 
-@query("""WITH a AS (SELECT *, sum(actual_bytes) OVER (PARTITION BY root_id ORDER BY container_id, ordinal ROWS UNBOUNDED PRECEDING) AS running FROM v_member),
-    b AS (SELECT *, CASE WHEN actual_bytes > 33554432 THEN 'member_bytes' WHEN running > 134217728 * 8 THEN 'root_bytes' END AS breach FROM a), c AS (SELECT *, min(ordinal) FILTER (breach IS NOT NULL) OVER (PARTITION BY container_id) AS stop_at FROM b)
-    SELECT root_id, coalesce(breach, 'none') AS breach, count(*) AS n FROM c WHERE stop_at IS NULL OR ordinal <= stop_at GROUP BY ALL""")
+_REASONS_SQL = """, b1 AS (SELECT *, CASE WHEN what = 'read' THEN actual_bytes ELSE 0 END AS taken FROM m), b2 AS (SELECT *, coalesce(bool_or(taken > 33554432) OVER w, false) AS behind FROM b1 WINDOW w AS (PARTITION BY container_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b3 AS (SELECT *, sum(taken) OVER (PARTITION BY root_id ORDER BY container_id, ordinal ROWS UNBOUNDED PRECEDING) AS running FROM b2 WHERE NOT behind), b4 AS (SELECT *, CASE WHEN taken > 33554432 THEN 'member_bytes' WHEN running > ROOT_LIMIT AND taken > 0 THEN 'root_bytes' END AS breach FROM b3),
+    b5 AS (SELECT *, coalesce(bool_or(breach IS NOT NULL) OVER w, false) AS behind2 FROM b4 WINDOW w AS (PARTITION BY container_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), budget AS (SELECT * FROM b5 WHERE NOT behind2),
+    why AS (SELECT DISTINCT root_id, 'partial' AS kind, 'nesting_depth_limit' AS reason FROM m WHERE depth > 3 UNION SELECT DISTINCT root_id, 'partial', CASE what WHEN 'encrypted' THEN 'encrypted_member' ELSE 'unsupported_compression' END FROM m WHERE what IN ('encrypted', 'unsupported')
+            UNION SELECT DISTINCT root_id, 'resource', breach FROM budget WHERE breach IS NOT NULL UNION SELECT root_id, 'resource', 'entry_limit' FROM m GROUP BY root_id, container_id HAVING count(*) > 4096
+            UNION SELECT root_id, 'malformed', 'repeated_ordinal' FROM m GROUP BY root_id, container_id HAVING count(*) > count(DISTINCT ordinal)) """.replace("ROOT_LIMIT", str(archive.ROOT_BYTES))
+
+
+@query(_MARKED_SQL + _REASONS_SQL.replace(str(archive.ROOT_BYTES), str(archive.ROOT_BYTES * 8)) + "SELECT root_id, coalesce(breach, 'none') AS breach, count(*) AS n FROM budget GROUP BY ALL")
 def a12_byte_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive.byte_budgets(view(spark, sf_dir, "v_member"), root_bytes=archive.ROOT_BYTES * 8)
     return rows.groupBy("root_id", F.coalesce("breach", F.lit("none")).alias("breach")).agg(F.count(F.lit(1)).alias("n"))
@@ -220,17 +226,21 @@ def a16_retained_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.retained(archive.evidence(_marked(spark, sf_dir))).select("root_id", "container_id", "ordinal", "code")
 
 
-@query(_EVIDENCE_SQL + "SELECT root_id, code, count(*) AS n FROM ev GROUP BY root_id, code")
+@query(_EVIDENCE_SQL + _REASONS_SQL + """SELECT root_id, code, count(*) AS n FROM ev WHERE code <> 'ARCHIVE_PARTIAL_ANALYSIS' GROUP BY root_id, code
+    UNION ALL SELECT root_id, 'ARCHIVE_NESTING_LIMIT', count(*) FROM why WHERE reason = 'nesting_depth_limit' GROUP BY root_id UNION ALL SELECT root_id, 'ARCHIVE_RESOURCE_LIMIT', count(*) FROM why WHERE kind = 'resource' GROUP BY root_id
+    UNION ALL SELECT root_id, 'ARCHIVE_MALFORMED', count(*) FROM why WHERE kind = 'malformed' GROUP BY root_id UNION ALL SELECT root_id, 'ARCHIVE_PARTIAL_ANALYSIS', count(*) FROM why WHERE kind <> 'malformed' GROUP BY root_id""")
 def a17_18_archive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.findings(archive.evidence(_marked(spark, sf_dir)))
+    marked = _marked(spark, sf_dir)
+    return archive.findings(archive.evidence(marked), archive.reasons(marked))
 
 
-@query(_MARKED_SQL + """, t AS (SELECT root_id, count(*) AS members, count(*) FILTER (what = 'directory') AS directories, count(*) FILTER (what = 'symlink') AS symlinks, count(*) FILTER (what = 'encrypted') AS encrypted, count(*) FILTER (what = 'unsupported') AS unsupported, count(*) FILTER (what = 'read') AS "read",
+@query(_MARKED_SQL + _REASONS_SQL + """, t AS (SELECT root_id, count(*) AS members, count(*) FILTER (what = 'directory') AS directories, count(*) FILTER (what = 'symlink') AS symlinks, count(*) FILTER (what = 'encrypted') AS encrypted, count(*) FILTER (what = 'unsupported') AS unsupported, count(*) FILTER (what = 'read') AS "read",
     count(*) FILTER (traversal) AS traversals, count(*) FILTER (rooted) AS rooted, count(*) FILTER (occ > 1) AS duplicates, count(*) FILTER (dangerous) AS dangerous, count(DISTINCT container_id) AS containers, max(depth) AS deepest, sum(actual_bytes) AS bytes,
     coalesce(string_agg(DISTINCT compress_type::VARCHAR, ',') FILTER (what = 'unsupported'), '') AS methods FROM m GROUP BY root_id)
-    SELECT *, CASE WHEN symlinks + traversals + rooted + duplicates = 0 THEN 'COMPLETE' WHEN encrypted + unsupported > 0 OR deepest > 3 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM t""")
+    SELECT t.*, CASE WHEN w.bad THEN 'MALFORMED' WHEN w.bad IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM t LEFT JOIN (SELECT root_id, bool_or(kind = 'malformed') AS bad FROM why GROUP BY root_id) w USING (root_id)""")
 def a19_archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.status(_marked(spark, sf_dir))
+    marked = _marked(spark, sf_dir)
+    return archive.status(marked, archive.reasons(marked))
 
 
 # Pattern rules -----------------------------------------------------------------------------------
@@ -350,8 +360,7 @@ def e12_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.latency(view(spark, sf_dir, "v_result"))
 
 
-@query("SELECT a.case_id, a.decision AS before, b.decision AS after FROM v_result a JOIN v_result b ON a.case_id % 100000 = b.case_id - 1 WHERE a.decision IS DISTINCT FROM b.decision")
+@query("""SELECT case_id, a.decision AS before, b.decision AS after, b.latency_ms - a.latency_ms AS latency_change, CASE WHEN a.case_id IS NULL THEN 'added' WHEN b.case_id IS NULL THEN 'removed' ELSE 'changed' END AS kind
+    FROM v_result a FULL JOIN v_rerun b USING (case_id) WHERE a.case_id IS NULL OR b.case_id IS NULL OR a.decision IS DISTINCT FROM b.decision OR a.worker_status IS DISTINCT FROM b.worker_status""")
 def e21_run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = view(spark, sf_dir, "v_result")
-    later = r.select((F.col("case_id") - 1).alias("k"), F.col("decision").alias("after"))
-    return r.select("case_id", (F.col("case_id") % 100000).alias("k"), F.col("decision").alias("before")).join(later, "k").where(~F.col("before").eqNullSafe(F.col("after"))).select("case_id", "before", "after")
+    return evaluate.run_differences(view(spark, sf_dir, "v_result"), view(spark, sf_dir, "v_rerun"))

@@ -36,9 +36,9 @@ VIEWS = {
         UNION ALL SELECT doc_id, 'FILE_DOUBLE_EXTENSION' FROM documents WHERE doc_id % 44 = 0
         UNION ALL SELECT doc_id, 'NOT_REGISTERED' FROM documents WHERE doc_id % 97 = 0""",
     "v_member": """
-        SELECT l_orderkey % 97 AS root_id, l_orderkey AS container_id, l_orderkey % 5 AS depth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
+        SELECT l_orderkey - l_orderkey % 64 AS root_id, l_orderkey AS container_id, l_orderkey % 5 AS depth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
                CASE l_partkey % 13 WHEN 0 THEN '../up.txt' WHEN 1 THEN '/etc/x.doc' WHEN 2 THEN 'C:\\a.xls' WHEN 3 THEN 'a//./b.txt' WHEN 4 THEN 'a/b.txt' WHEN 5 THEN 'run.EXE' WHEN 6 THEN 'bill.pdf.js' WHEN 7 THEN 'x\u202ecod.scr'
-                 WHEN 8 THEN 'dir\\' WHEN 9 THEN 'q/.bashrc' WHEN 10 THEN 'm.docm' ELSE concat('part', l_partkey % 4, '.dat') END AS name,
+                 WHEN 8 THEN 'dir\\' WHEN 9 THEN 'q/.bashrc' WHEN 10 THEN 'm.docm' WHEN 11 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'caf\u00e9.txt' ELSE 'cafe\u0301.txt' END ELSE concat('part', l_partkey % 4, '.dat') END AS name,
                l_partkey % 13 = 8 AS is_dir, CASE WHEN l_suppkey % 4 = 0 THEN 3 ELSE 0 END AS create_system,
                CASE WHEN l_suppkey % 8 = 0 THEN CAST(2717843456 AS BIGINT) ELSE CAST(2175008768 AS BIGINT) END AS external_attr,
                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag_bits, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 9 ELSE 8 END AS compress_type,
@@ -62,8 +62,15 @@ VIEWS = {
                CAST(l_quantity AS BIGINT) * 300000 AS bytes FROM lineitem""",
     "v_keyword": """
         SELECT conv_id AS doc_id, turn AS module, CASE WHEN role = 'user' THEN 'AutoExec' ELSE 'Suspicious' END AS kind, CASE (conv_id + turn) % 6 WHEN 0 THEN 'AutoOpen' WHEN 1 THEN ' Shell ' WHEN 2 THEN 'document_open' WHEN 3 THEN 'PowerShell' WHEN 4 THEN 'CreateObject' ELSE 'Dim' END AS keyword, BYTES(text) * 1000 AS source_bytes FROM conversations""",
+    "v_ole_entry": """
+        SELECT l_orderkey AS doc_id, CASE l_partkey % 17 WHEN 0 THEN 'WordDocument' WHEN 1 THEN 'Workbook' WHEN 2 THEN 'PowerPoint Document' WHEN 3 THEN 'EncryptionInfo' WHEN 4 THEN 'EncryptedPackage' WHEN 5 THEN concat('ObjectPool/_', l_suppkey % 9)
+                 WHEN 6 THEN concat('A', l_suppkey % 5, '/Package') WHEN 7 THEN 'Macros/VBA/dir' WHEN 8 THEN 'VBA/dir' WHEN 9 THEN concat('Ctls/c', l_suppkey % 4) WHEN 10 THEN concat('x/ActiveX/', l_suppkey % 3) WHEN 11 THEN 'Book' ELSE concat('Data', l_partkey % 5) END AS path,
+               CASE WHEN l_orderkey % 3 = 0 THEN 'OOXML_CANDIDATE' ELSE 'OLE_COMPOUND' END AS family FROM lineitem""",
+    "v_rerun": """
+        SELECT doc_id AS case_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN BYTES(text) % 10 = 0 THEN 'REVIEW' WHEN doc_id % 5 = 0 THEN 'ALLOW' WHEN doc_id % 5 = 1 THEN 'BLOCK' WHEN doc_id % 5 = 2 THEN 'REVIEW' ELSE 'QUARANTINE' END AS decision,
+               CASE WHEN BYTES(text) % 21 = 0 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS worker_status, doc_id * 41 % 500 AS latency_ms FROM documents WHERE doc_id % 10 <> 4""",
     "v_artifact": """
-        SELECT doc_id AS artifact_id, doc_id AS scan_id, doc_id + 1 AS derived_scan_id, CASE WHEN doc_id % 36 = 0 THEN 'THUMBNAIL' ELSE 'CLEANED' END AS artifact_type, CASE WHEN doc_id % 60 = 0 THEN 'k0' ELSE concat('k', doc_id) END AS storage_key, SHA(text) AS sha,
+        SELECT doc_id AS artifact_id, doc_id - doc_id % 24 AS scan_id, doc_id + 1 AS derived_scan_id, CASE WHEN doc_id % 36 = 0 THEN 'THUMBNAIL' ELSE 'CLEANED' END AS artifact_type, CASE WHEN doc_id % 60 = 0 THEN 'k0' ELSE concat('k', doc_id) END AS storage_key, SHA(text) AS sha,
                BYTES(text) AS size_bytes, doc_id % 4 AS fingerprint, CASE WHEN doc_id % 5 = 0 THEN '1.0.1' ELSE '1.0.2' END AS policy_version, doc_id * 31 % 1000 AS created_at FROM documents WHERE doc_id % 6 = 0""",
     "v_lineage": """
         SELECT doc_id AS scan_id, CASE WHEN doc_id % 41 = 0 THEN -1 WHEN first_id < doc_id THEN first_id END AS parent_id, sha FROM (SELECT doc_id, SHA(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) t""",

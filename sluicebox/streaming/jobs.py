@@ -116,10 +116,16 @@ def append_audit(events: DataFrame, path: str, checkpoint: str):
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, as one batch, into a memory table, and return that.
+    """Run a stream over what is there now, as one batch, into a table in the shared folder, and return that.
 
-    One batch, as processing-time timers would keep a run over everything available from ending.
+    The folder is that of spark.checkpoint.dir, or else the warehouse; the stream's own checkpoint lies beside
+    the table. One batch, as processing-time timers would keep a run over everything available from ending.
     """
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(once=True).start()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/{name}"
+    spark.createDataFrame([], df.schema).write.parquet(path)
+    write = "overwrite" if mode == "complete" else "append"
+    query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(path)).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(once=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)
