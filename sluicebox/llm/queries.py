@@ -19,7 +19,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), window=20)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 #: The rules of the contract.
@@ -82,6 +82,33 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets)}
+
+
+def _secrets_sql() -> str:
+    """Matches and the texts between them alternate, so running lengths give the places of the matches."""
+    kinds = [
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]{14,}", 0, 18),
+        ("hex", "[0-9a-f]{16,}", 0, 16),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("code_host", "gh[pousr]_([A-Za-z0-9]+)", 1, 36),
+        ("chat", "xox[abprs]-([A-Za-z0-9-]+)", 1, 10),
+        ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 1, 8),
+    ]
+    parts = []
+    for k, (kind, pattern, group, least) in enumerate(kinds):
+        p = "'" + pattern.replace("\\'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {k} AS rank, '{kind}' AS kind, ms[i] AS m, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(regexp_extract(ms[i], {p}, {group})) >= {least} AS ok "
+            f"FROM (SELECT doc_id, ms, g, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS g FROM documents WHERE regexp_matches(text, {p})))"
+        )
+    write = "concat(kind, ':', start, ':', start + length(m))"
+    return f"""
+        WITH found AS ({" UNION ALL ".join(parts)}), spans AS (SELECT * FROM found WHERE ok),
+        per AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg({write}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg({write}, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN per USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
         WITH cut AS (
@@ -96,4 +123,36 @@ ORACLE_SQL: dict[str, str] = {
             FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)""",
+    "op2_span_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS key FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM again),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept_text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        sized AS (SELECT s.doc_id, hash(shingle) AS shingle, n FROM s JOIN n USING (doc_id)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, w.doc_id = r.component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)""",
+    "op7_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        tests AS (SELECT item_id, i AS place, size, array_to_string(words[i:i + size - 1], ' ') AS key FROM (SELECT item_id, words, least(len(words), 13) AS size, unnest(range(1, len(words) - least(len(words), 13) + 2)) AS i FROM b WHERE len(words) > 0)),
+        sizes AS (SELECT DISTINCT size FROM tests),
+        windows AS (SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS key FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size)),
+        found AS (SELECT doc_id, i, item_id, place, size FROM windows JOIN tests USING (size, key)),
+        hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id),
+        runs AS (SELECT doc_id, count(*) - 1 + max(size) AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - place ORDER BY i) AS run FROM found) GROUP BY doc_id, item_id, i - place, run),
+        longest AS (SELECT doc_id, max(words) AS longest_match FROM runs GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
+    "op10_secrets": _secrets_sql(),
 }
