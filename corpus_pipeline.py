@@ -14,6 +14,15 @@ from sluicebox.llm import decontaminate, mixing, near_dedup, sharding, shared, t
 SHARDS = 24
 
 
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """Documents with their other columns under names that no operator uses; `_own` gives them back."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c not in ("doc_id", "text", "source")})
+
+
+def _own(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`" if c in ("doc_id", "text", "source") else f"`_own_{c}`").alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the model is fitted to the labelled ones among them.
 
@@ -22,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     shared.narrow_batches(spark)
     model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _own(toxicity.score(_set_aside(docs), model).where("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +59,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     where the benchmark is empty.
     """
     shared.narrow_batches(spark)
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("NOT contaminated").select(*docs.columns)
+    found = decontaminate.find_contamination(_set_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _own(found.where("NOT contaminated"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +70,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words gives nothing. Equal rows are taken each by itself; an empty table stays empty.
     """
     shared.narrow_batches(spark)
-    return mixing.shuffled(mixing.copies(mixing.mix(docs), docs.columns)).select(*docs.columns)
+    own = _set_aside(docs)
+    return _own(mixing.shuffled(mixing.copies(mixing.mix(own), own.columns)), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot; nulls and repeated rows are rows like others."""
+    """All rows with their shard and slot, which replace columns so named; nulls and repeated rows are rows like others."""
     return sharding.shard_rows(docs, SHARDS)
 
 
