@@ -22,11 +22,12 @@ def offered_over_limit(events: DataFrame, keys: list[str], seconds: int, limit:
     return events.withColumn("offered", F.count(F.lit(1)).over(window)).withColumn("over", F.col("offered") > limit)
 
 
-def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Callable[[], Callable[..., bool]], verdict: str) -> DataFrame:
-    """keys, event_id and the verdict of `begin()`'s function, called with the columns of each event of a key in time order."""
+def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Callable[[], Callable[..., bool | int]], verdict: str, kind: str = "boolean") -> DataFrame:
+    """keys, event_id, us and the verdict of `begin()`'s function, called with the columns of each event of a key in time order."""
     fields = [*keys, *(c for c in dict.fromkeys(["event_id", "us", *columns]) if c not in keys)]
     rows = events.select(*fields).repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
-    kept = [*keys, "event_id"]
+    kept = [*keys, "event_id", "us"]
+    arrow = {"boolean": pa.bool_(), "long": pa.int64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
@@ -37,10 +38,10 @@ def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Cal
                 if key != last:
                     last, step = key, begin()
                 out.append(step(*row))
-            yield pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in kept), pa.array(out, pa.bool_())], names=[*kept, verdict])
+            yield pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in kept), pa.array(out, arrow)], names=[*kept, verdict])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(run, f"{schema}, {verdict} boolean")
+    return rows.mapInArrow(run, f"{schema}, {verdict} {kind}")
 
 
 def accepted(events: DataFrame, keys: list[str], seconds: int, limit: int) -> DataFrame:
@@ -98,11 +99,25 @@ def login_throttle(events: DataFrame, per_minute: int, per_hour: int) -> DataFra
     return _replayed(events, ["source"], ["us", "username", "success"], begin, "allowed")
 
 
-def sessions(events: DataFrame, key: str, idle_seconds: int = 1800) -> DataFrame:
-    """Sessions of a key, parted by gaps of at least the idle time: start, end, events."""
-    order = Window.partitionBy(key).orderBy("us", "event_id")
-    gap = F.coalesce(F.col("us") - F.lag("us").over(order) >= idle_seconds * SECOND, F.lit(True))
-    rows = events.withColumn("session", F.sum(gap.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def sessions(events: DataFrame, key: str, idle_seconds: int = 1800, absolute_seconds: int = 28800) -> DataFrame:
+    """Sessions of a key, parted by gaps of at least the idle time and by the longest a session may last.
+
+    key, session (from 1), start_us, end_us, events. An event without a time is a session of its own.
+    """
+
+    def begin() -> Callable[..., int]:
+        number, last, began = 0, None, None
+
+        def step(us: int | None) -> int:
+            nonlocal number, last, began
+            if None in (us, last) or us - last >= idle_seconds * SECOND or us - began >= absolute_seconds * SECOND:
+                number, began = number + 1, us
+            last = us
+            return number
+
+        return step
+
+    rows = _replayed(events, [key], ["us"], begin, "session", "long")
     return rows.groupBy(key, "session").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("events"))
 
 

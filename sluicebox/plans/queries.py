@@ -289,8 +289,11 @@ def t04_failure_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.failure_density(view(spark, sf_dir, "v_event"), "user_id", F.col("event_type") == "click").select("event_id", "last_minute", "last_hour")
 
 
-@query("""WITH g AS (SELECT *, coalesce(us - lag(us) OVER w >= 1800000000, true) AS gap FROM v_event WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT *, sum(gap::INT) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-    SELECT user_id, session, min(us) AS start_us, max(us) AS end_us, count(*) AS events FROM s GROUP BY user_id, session""")
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS nth FROM v_event),
+    r AS (SELECT user_id, nth, us, us AS began, CAST(1 AS BIGINT) AS session FROM e WHERE nth = 1 UNION ALL
+      SELECT e.user_id, e.nth, e.us, CASE WHEN e.us - r.us >= 1800000000 OR e.us - r.began >= 28800000000 THEN e.us ELSE r.began END, r.session + CASE WHEN e.us - r.us >= 1800000000 OR e.us - r.began >= 28800000000 THEN 1 ELSE 0 END
+      FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1)
+    SELECT user_id, session, min(us) AS start_us, max(us) AS end_us, count(*) AS events FROM r GROUP BY user_id, session""")
 def t06_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.sessions(view(spark, sf_dir, "v_event"), "user_id")
 

@@ -53,7 +53,7 @@ VIEWS = {
         SELECT conv_id AS doc_id, turn AS action_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE turn + 1 END AS next_id, CASE (conv_id + turn) % 7 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'Launch' WHEN 2 THEN 'URI' WHEN 3 THEN 'SubmitForm' WHEN 4 THEN concat('X', turn) ELSE 'GoTo' END AS subtype,
                CASE turn % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'page' ELSE 'form' END AS source, conv_id % 5 AS holder_id, CASE WHEN conv_id % 3 = 0 THEN concat('HTTP://Host', conv_id % 9, '.example.com:80/p?q=', turn) WHEN conv_id % 3 = 1 THEN '\\\\srv\\share' ELSE 'no target' END AS target FROM conversations""",
     "v_relationship": """
-        SELECT page_id % 50 AS doc_id, page_id AS ordinal, url AS target, CASE WHEN page_id % 7 = 0 THEN 'http://x/attachedTemplate' WHEN page_id % 2 = 0 THEN 'http://x/hyperlink' ELSE 'http://x/image' END AS rel_type,
+        SELECT page_id - page_id % 40 AS doc_id, page_id AS ordinal, CASE WHEN page_id % 44 = 0 THEN './word//document.xml' WHEN page_id % 22 = 0 THEN 'xl/workbook.xml' ELSE url END AS target, CASE WHEN page_id % 22 = 0 THEN 'http://x/officeDocument' WHEN page_id % 7 = 0 THEN 'http://x/attachedTemplate' WHEN page_id % 2 = 0 THEN 'http://x/hyperlink' ELSE 'http://x/image' END AS rel_type,
                CASE WHEN page_id % 3 = 0 THEN 'External' WHEN page_id % 3 = 1 THEN 'EXTERNAL' ELSE 'Internal' END AS target_mode, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'word/document.xml' END AS source_part FROM pages""",
     "v_part": """
         SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
@@ -75,9 +75,17 @@ VIEWS = {
     "v_lineage": """
         SELECT doc_id AS scan_id, CASE WHEN doc_id % 41 = 0 THEN -1 WHEN first_id < doc_id THEN first_id END AS parent_id, sha FROM (SELECT doc_id, SHA(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) t""",
     "v_audit": "SELECT event_id, event_type, user_id AS actor_id, CASE WHEN event_id % 7 = 0 THEN 'DENIED' ELSE 'SUCCESS' END AS outcome, props AS details, MICROS(ts) AS us FROM events",
+    "v_content": """
+        SELECT doc_id AS scan_id, CASE doc_id % 8 WHEN 0 THEN concat('255044462D', hex(text)) WHEN 1 THEN concat('504B0304', hex(text)) WHEN 2 THEN concat('504B0506', hex(text)) WHEN 3 THEN concat('D0CF11E0A1B11AE1', hex(text))
+                 WHEN 4 THEN concat('4D5A', hex(text)) WHEN 5 THEN concat(hex(text), '00FF') WHEN 6 THEN '' ELSE hex(text) END AS content_hex FROM documents""",
+    "v_render": """
+        SELECT doc_id AS scan_id, CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS schema_version, CASE WHEN doc_id % 13 = 0 THEN 'ANALYZE' ELSE 'SANITIZE' END AS operation, CASE WHEN doc_id % 4 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+               CASE WHEN doc_id % 8 = 0 THEN 'page_limit' WHEN doc_id % 9 = 0 THEN 'malformed' WHEN doc_id % 12 = 0 THEN 'ineligible' END AS failure_code, doc_id % 7 AS page_count, BYTES(text) AS output_bytes, doc_id % 17 = 0 AS unavailable, doc_id % 19 = 0 AS timed_out,
+               doc_id % 23 = 0 AS output_over, CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END AS exit_code, CASE WHEN doc_id % 31 = 0 THEN '2.0' ELSE '1.0' END AS renderer, CASE WHEN doc_id % 5 <> 0 THEN doc_id + 1 END AS derived_scan_id FROM documents""",
+    "v_page_object": "SELECT conv_id AS doc_id, turn AS ordinal, role = 'user' AS is_field, turn % 3 AS page_no FROM conversations",
     "v_session": "SELECT c_custkey AS session_id, c_custkey % 50 AS user_id, CAST(round(c_acctbal * 100) AS BIGINT) AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS revoked_at FROM customer",
     "v_page_size": "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, max(l_quantity) * 40 AS width, max(l_quantity) * 60 AS height FROM lineitem GROUP BY l_orderkey, l_linenumber",
-    "v_attachment": "SELECT page_id % 50 AS doc_id, page_id AS ordinal, CASE WHEN page_id % 11 = 0 THEN NULL ELSE page_id % 17 END AS spec_id, page_id % 13 AS payload_id, page_id % 3 = 0 AS referenced, page_id % 2 = 0 AS named, url AS display_name FROM pages",
+    "v_attachment": "SELECT page_id - page_id % 40 AS doc_id, page_id AS ordinal, CASE WHEN page_id % 11 = 0 THEN NULL ELSE page_id % 17 END AS spec_id, page_id % 13 AS payload_id, page_id % 3 = 0 AS referenced, page_id % 2 = 0 AS named, url AS display_name FROM pages",
     "v_script": "SELECT page_id AS doc_id, page_id AS action_id, html AS source_text FROM pages",
     "v_case": f"""
         SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'RISKY' ELSE 'BENIGN' END AS category, concat('class', doc_id % 6) AS case_class,

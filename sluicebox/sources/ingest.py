@@ -21,12 +21,25 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Cases of a JSON array, by id, and the records that don't fit the schema."""
-    rows = spark.read.schema(CASES + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def read_manifest(spark: SparkSession, path: str, array: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cases of a manifest, and the records (_bad) that are no case: not JSON, of another shape, or without an id.
+
+    A manifest is JSON lines, which are read in parallel; with `array` its files are JSON arrays, each read whole.
+    """
+    rows = spark.read.schema(CASES + ", _bad string").option("multiLine", array).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     good = F.col("_bad").isNull() & F.col("case_id").isNotNull()
-    return rows.where(good).drop("_bad").orderBy("case_id"), rows.where(~good)
+    return rows.where(good).drop("_bad"), rows.where(~good)
+
+
+def manifest_faults(cases: DataFrame) -> DataFrame:
+    """fault, case_id: ids that several cases have, and cases that must fail securely but may be allowed."""
+    repeated = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("repeated_id").alias("fault"), "case_id")
+    open_ = cases.where(F.col("fail_secure") & F.array_contains("acceptable_decisions", "ALLOW")).select(F.lit("fail_secure_allow").alias("fault"), "case_id")
+    return repeated.unionAll(open_)
 
 
-def write_manifest(cases: DataFrame, path: str) -> None:
-    cases.orderBy("case_id").write.mode("overwrite").json(path)
+def write_manifest(cases: DataFrame, path: str) -> DataFrame:
+    """Write the cases without faults as JSON lines in order of their ids; the faults come back."""
+    faults = manifest_faults(cases)
+    cases.join(faults.select("case_id").distinct(), "case_id", "left_anti").orderBy("case_id").write.mode("overwrite").json(path)
+    return faults

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share: that of spark.checkpoint.dir, or else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
 def csv_rows(results: DataFrame) -> DataFrame:
     """Arrays joined by `|`, booleans as text, nulls empty."""
     out = []
