@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, shared, span_dedup, toxicity, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, shared, span_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_span_digests(("assign", "access", "hex")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    path = token_files.new_folder(spark)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, definition, end_id=1)
+    out = token_files.read_tokens(spark, path)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets, op13_token_files)}
 
 
 def _secrets_sql() -> str:
