@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, private_data, secrets, sharding, shared, span_dedup, token_files, toxicity, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, periodic_runs, private_data, secrets, sharding, shared, span_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_span_digests(("assign", "access", "hex")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents is made periodic from one of its words on, as the contract says."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", hashed.alias("h"))
+    chosen = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    chosen = chosen.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = "array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')"
+    edited = chosen.select("doc_id", F.when(F.col("n") > 0, F.expr(again)).otherwise(F.col("text")).alias("text"))
+    out = periodic_runs.collapse_runs(edited, exponent=4, least=6).withColumn("best", periodic_runs.greatest_run(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,7 +109,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets, op12_periodic_runs, op13_token_files)}
 
 
 def _secrets_sql() -> str:
