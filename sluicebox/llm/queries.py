@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, periodic_runs, private_data, secrets, sharding, shared, span_dedup, token_files, toxicity, url_filter
+from . import decontaminate, fingerprints, mixing, near_dedup, periodic_runs, private_data, ranked_search, secrets, sharding, shared, span_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_span_digests(("assign", "access", "hex")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents is made periodic from one of its words on, as the contract says."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -109,7 +113,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets, op12_periodic_runs, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_span_dedup, op3_url_filter, op4_near_dedup, op5_sharding, op6_private_data, op7_decontaminate, op8_mixing, op9_toxicity, op10_secrets, op11_ranked_search, op12_periodic_runs, op13_token_files)}
 
 
 def _secrets_sql() -> str:
@@ -183,4 +187,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op10_secrets": _secrets_sql(),
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+        c AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS c FROM tf JOIN n USING (doc_id), s),
+        scored AS (SELECT item_id, doc_id, CAST(sum(w * c) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN c USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
 }
