@@ -1,6 +1,6 @@
 """Usage limits and sessions over events, in batch.
 
-The limiter and session replays carry state along a key's events in time order: rows are dealt by key,
+The limiter, throttle and session replays carry state along a key's events in time order: rows are dealt by key,
 sorted on Spark's side, and read batch by batch. A key is replayed in one task, as each verdict hangs
 on those before, but the task holds a batch of rows and what is in the window only.
 """
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 SECOND = 1_000_000
 
 
@@ -22,11 +24,11 @@ def offered_over_limit(events: DataFrame, keys: list[str], seconds: int, limit:
     return events.withColumn("offered", F.count(F.lit(1)).over(window)).withColumn("over", F.col("offered") > limit)
 
 
-def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Callable[[], Callable[..., bool | int]], verdict: str, kind: str = "boolean") -> DataFrame:
-    """keys, event_id, us and the verdict of `begin()`'s function, called with the columns of each event of a key in time order."""
-    fields = [*keys, *(c for c in dict.fromkeys(["event_id", "us", *columns]) if c not in keys)]
+def _replayed(events: DataFrame, keys: list[str], columns: list[str], begin: Callable[[], Callable[..., bool | int]], verdict: str, kind: str = "boolean", carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, event_id, us, carry and the verdict of `begin()`'s function, called with the columns of each event of a key in time order."""
+    fields = [*keys, *(c for c in dict.fromkeys(["event_id", "us", *columns, *carry]) if c not in keys)]
     rows = events.select(*fields).repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
-    kept = [*keys, "event_id", "us"]
+    kept = [*dict.fromkeys([*keys, "event_id", "us", *carry])]
     arrow = {"boolean": pa.bool_(), "long": pa.int64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,35 +70,73 @@ def failure_density(events: DataFrame, key: str, failed: Column) -> DataFrame:
     return events.withColumns({"last_minute": of(60), "last_hour": of(3600)})
 
 
-def login_throttle(events: DataFrame, per_minute: int, per_hour: int) -> DataFrame:
-    """Attempts (source, username, success, us, event_id) allowed by the failures of both keys.
+def episodes(events: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
+    """Events with the number of their key's episode: episodes of a key lie `seconds` apart or more.
+
+    They are found among the different time cells of a key, of which there are few however many
+    its events, so a key that never rests is still cut wherever a whole cell is empty.
+    """
+    cell = F.expr(f"us div {seconds * SECOND}")
+    cells = events.select(key, cell.alias("_cell")).distinct()
+    order = Window.partitionBy(key).orderBy("_cell")
+    cells = cells.withColumn(name, F.min("_cell").over(Window.partitionBy(key, F.col("_cell") - F.row_number().over(order))))
+    return events.withColumn("_cell", cell).join(cells, [key, "_cell"]).drop("_cell")
+
 
-    Usernames of one source are coupled, so a source is replayed as a whole; only failures of allowed
-    attempts count, and a success clears its username's.
+def _failures(per_minute: int, per_hour: int, clears: bool) -> Callable[[], Callable[..., bool]]:
+    """One key's side of the login throttle: whether its failures let an attempt pass.
+
+    `other` is what the attempt's other key says; only what both let pass is recorded, or clears.
     """
 
     def begin() -> Callable[..., bool]:
-        past: list[tuple[int, str | None]] = []  # failures of the hour
-        cleared: set[int] = set()  # the places in past of those that a success has cleared
-
-        def step(us: int | None, username: str | None, success: bool | None) -> bool:
-            live = [k for k, (t, _) in enumerate(past) if us is not None and t > us - 3600 * SECOND]
-            cleared_now = {n for n, k in enumerate(live) if k in cleared}
-            past[:] = [past[k] for k in live]
-            cleared.clear()
-            cleared.update(cleared_now)
-            own = [t for k, (t, name) in enumerate(past) if name == username and username is not None and k not in cleared]
-            recent = lambda times: sum(t > us - 60 * SECOND for t in times)
-            ok = recent(t for t, _ in past) < per_minute and len(past) < per_hour and recent(own) < per_minute and len(own) < per_hour
-            if ok and success is False and us is not None:
-                past.append((us, username))
-            elif ok and success:
-                cleared.update(k for k, (_, name) in enumerate(past) if name == username and username is not None)
+        past: list[int] = []
+
+        def step(us: int, success: bool | None, other: bool) -> bool:
+            past[:] = [t for t in past if t > us - 3600 * SECOND]
+            ok = len(past) < per_hour and sum(t > us - 60 * SECOND for t in past) < per_minute
+            if ok and other and success is False:
+                past.append(us)
+            elif ok and other and success and clears:
+                past.clear()
             return ok
 
         return step
 
-    return _replayed(events, ["source"], ["us", "username", "success"], begin, "allowed")
+    return begin
+
+
+def login_throttle(events: DataFrame, per_minute: int, per_hour: int) -> DataFrame:
+    """Whether attempts (source, username, success, us, event_id) are allowed: event_id, allowed.
+
+    Source and username count failures each by itself, over the last minute and hour; an attempt must
+    pass both. Failures of allowed attempts count, a success of an allowed one clears its
+    username's. Usernames may come from many sources, so neither key can be replayed alone: all sources are replayed
+    with what the usernames said last, then all usernames with what the sources say, until nothing
+    changes. The first attempt that is still wrong has only right ones before it, so each round mends it. Keys are replayed by
+    episode, as failures of an hour ago don't count. Attempts without a username are held to their source's limit;
+    without a source, to their username's; attempts without a time are refused.
+    """
+    rows = events.where("us IS NOT NULL").select("event_id", "us", "source", "username", "success")
+    for key in ("source", "username"):
+        named = episodes(rows.where(F.col(key).isNotNull()), key, 3600, f"{key}_episode")
+        rows = named.unionByName(rows.where(F.col(key).isNull()).withColumn(f"{key}_episode", F.lit(None).cast("long")))
+    rows = saved(rows.withColumn("by_username", F.lit(True)))
+    columns = ["event_id", "us", "source", "source_episode", "username", "username_episode", "success"]
+
+    def replay(rows: DataFrame, key: str, other: str, clears: bool) -> DataFrame:
+        carry = tuple(c for c in (*columns, other, f"was_{key}") if c in rows.columns)
+        own = _replayed(rows.where(F.col(key).isNotNull()), [key, f"{key}_episode"], ["us", "success", other], _failures(per_minute, per_hour, clears), f"by_{key}", carry=carry)
+        return own.unionByName(rows.where(F.col(key).isNull()).select(*own.columns[:-1]).withColumn(f"by_{key}", F.lit(True)))
+
+    while True:
+        by_source = replay(rows, "source", "by_username", False).withColumnRenamed("by_username", "was_username")
+        rows = saved(replay(by_source, "username", "by_source", True))
+        if not rows.where("by_username <> was_username").limit(1).count():
+            break
+        rows = rows.drop("was_username", "by_source")
+    refused = events.where("us IS NULL").select("event_id", F.lit(False).alias("allowed"))
+    return rows.select("event_id", (F.col("by_source") & F.col("by_username")).alias("allowed")).unionAll(refused)
 
 
 def sessions(events: DataFrame, key: str, idle_seconds: int = 1800, absolute_seconds: int = 28800) -> DataFrame:

@@ -44,6 +44,8 @@ VIEWS = {
                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag_bits, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 9 ELSE 8 END AS compress_type,
                CAST(l_quantity AS BIGINT) * 1000000 AS actual_bytes, concat('n', l_suppkey % 7) AS nested_sha FROM lineitem""",
     "v_event": "SELECT event_id, user_id, event_type, value, props, MICROS(ts) AS us FROM events",
+    "v_attempt": """
+        SELECT event_id, user_id % 10 AS tenant, concat('a', user_id % 10, '-', event_id % 3) AS source, concat('u', user_id) AS username, event_type = 'purchase' AS success, CAST((MICROS(ts) - MICROS(ts) % 60) / 60 AS BIGINT) AS us FROM events""",
     "v_operator": "SELECT c_custkey AS operator_id, lower(c_name) AS username, CASE WHEN c_custkey % 9 = 0 THEN 'ADMIN' ELSE 'OPERATOR' END AS role, c_custkey % 4 <> 0 AS active FROM customer",
     "v_listing": """
         SELECT 'documents' AS area, concat('d', doc_id) AS name, BYTES(text) AS size_bytes, CASE WHEN doc_id % 23 = 0 THEN SHA('x') ELSE SHA(text) END AS sha, CASE WHEN doc_id % 2 = 0 THEN 256 ELSE 511 END AS mode, doc_id AS modified_at FROM documents WHERE doc_id % 17 <> 0

@@ -2,29 +2,50 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.operators import limits
-from sluicebox.plans import queries
 
 M = 1_000_000
 
 
-def test_login_throttle_follows_both_keys(spark):
-    rng = random.Random(3)
-    rows = [(s, f"u{rng.randrange(3)}", rng.random() < 0.3, rng.randrange(9000) * M, 1000 * s + k) for s in range(4) for k in range(150)]
-    due, past = {}, {}
-    for source, name, success, us, event in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
-        all_ = past[source] = [p for p in past.get(source, []) if p[0] > us - 3600 * M]
-        own = [p for p in all_ if p[1] == name and not p[2]]
-        due[event] = all(len(x) < 5 and sum(p[0] > us - 60 * M for p in x) < 2 for x in (all_, own))
-        if due[event] and not success:
-            all_.append([us, name, False])
-        elif due[event]:
-            for p in all_:
-                p[2] = p[2] or p[1] == name
-    df = spark.createDataFrame(rows, "source long, username string, success boolean, us long, event_id long")
+def throttled(rows, per_minute, per_hour):
+    """One attempt after the other, with both keys' failures at hand."""
+    past, due = {}, {}
+    for source, name, success, us, event in sorted(rows, key=lambda r: (r[3], r[4])):
+        keys = [(k, v) for k, v in (("source", source), ("name", name)) if v is not None]
+        live = {k: [t for t in past.get(k, []) if t > us - 3600 * M] for k in keys}
+        due[event] = all(len(x) < per_hour and sum(t > us - 60 * M for t in x) < per_minute for x in live.values())
+        if due[event] and success is False:
+            past.update({k: [*live[k], us] for k in keys})
+        elif due[event] and success:
+            past.pop(("name", name), None)
+    return due
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_login_throttle_follows_both_keys(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"s{rng.randrange(5)}", f"u{rng.randrange(6)}", rng.choice([True, False, False, None]), rng.randrange(20_000) * M, k) for k in range(400)]
+    rows += [(None, "u1", False, 500 * M, 900), ("s1", None, False, 501 * M, 901), (None, None, False, 502 * M, 902)]
+    df = spark.createDataFrame(rows, "source string, username string, success boolean, us long, event_id long")
+    due = throttled(rows, 2, 5)
     assert {r["event_id"]: r["allowed"] for r in limits.login_throttle(df, 2, 5).collect()} == due
+    assert 50 < sum(due.values()) < 350
+
+
+def test_login_throttle_of_a_username_at_many_sources(spark):
+    rows = [(f"s{k}", "u", False, k * M, k) for k in range(8)] + [("s9", "u", True, None, 99)]
+    got = limits.login_throttle(spark.createDataFrame(rows, "source string, username string, success boolean, us long, event_id long"), 2, 5).collect()
+    assert {r["event_id"]: r["allowed"] for r in got} == {**{k: k < 2 for k in range(8)}, 99: False}
+
+
+def test_episodes_part_where_an_hour_is_empty(spark):
+    hours = [0, 0.9, 1.1, 3.5, 4, 9]
+    df = spark.createDataFrame([("a", int(h * 3600 * M), k) for k, h in enumerate(hours)] + [("b", 0, 9)], "source string, us long, event_id long")
+    got = {r["event_id"]: r["e"] for r in limits.episodes(df, "source", 3600, "e").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 9, 9: 0}
 
 
 def test_replays_gather_no_array_of_a_key(spark):
@@ -38,12 +59,3 @@ def test_replays_gather_no_array_of_a_key(spark):
         assert {r["event_id"] for r in valid.where("NOT valid").collect()} == set(range(0, 3000, 480))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
-def test_login_sources_grow_with_users(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(limits, "login_throttle", lambda events, *a: seen.append(events) or events.selectExpr("event_id", "true AS allowed"))
-    events = spark.range(1000).selectExpr("id AS event_id", "id AS user_id", "'x' AS event_type", "id AS us")
-    monkeypatch.setattr(queries, "view", lambda *a: events)
-    queries.t03_login_throttle(spark, "")
-    assert seen[0].select("source").distinct().count() == 50
