@@ -1,11 +1,17 @@
-"""Archive jobs over rows of members: names, dispositions, budgets, evidence and findings of a root.
+"""Archive jobs over rows of members and containers: names, visits under limits, evidence and findings of a root.
 
-Input: root_id, container_id, depth, ordinal, name, is_dir, create_system, external_attr, flag_bits,
-compress_type, actual_bytes, nested_sha.
+Members: root_id, container_id, ordinal (from 1), name, is_dir, create_system, external_attr, flag_bits,
+compress_type, actual_bytes. Containers: root_id, container_id, parent_id and parent_ordinal (the member that
+holds it, null for a root's own), bytes, sha, malformed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +20,19 @@ from ..plans.dims import DANGEROUS
 
 #: Compression methods that can be read: stored, deflate, bzip2, lzma.
 METHODS = (0, 8, 12, 14)
-MOST_ENTRIES, MOST_MEMBERS, MOST_DEPTH = 4096, 8192, 3
-MEMBER_BYTES, ROOT_BYTES = 32 << 20, 128 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What an analysis of one root reads at most. Fixed values."""
+
+    entries: int = 4096
+    depth: int = 3
+    members: int = 8192
+    compressed_bytes: int = 128 << 20
+    member_bytes: int = 32 << 20
+    total_bytes: int = 128 << 20
+    nested_bytes: int = 32 << 20
 
 
 def _slashed(v: Column) -> Column:
@@ -47,60 +64,150 @@ def disposition() -> Column:
     return F.when(F.col("is_dir"), "directory").when(link, "symlink").when(F.col("flag_bits").bitwiseAND(F.lit(1)) == 1, "encrypted").when(~F.col("compress_type").isin(*METHODS), "unsupported").otherwise("read")
 
 
-def entry_limits(members: DataFrame, most_entries: int = MOST_ENTRIES, most_members: int = MOST_MEMBERS) -> DataFrame:
-    """The members that are inspected, and for each whether its container or root has more than the limit.
-
-    The limit of a container comes first, so a container of very many members is cut before the root's
-    order is taken.
-    """
-    own = members.withColumn("entries", F.count(F.lit(1)).over(Window.partitionBy("container_id"))).where(F.col("ordinal") <= most_entries)
-    place = F.row_number().over(Window.partitionBy("root_id").orderBy("container_id", "ordinal"))
-    return own.withColumn("place", place).where(F.col("place") <= most_members).withColumn("limited", F.col("entries") > most_entries)
-
-
-def byte_budgets(members: DataFrame, member_bytes: int = MEMBER_BYTES, root_bytes: int = ROOT_BYTES) -> DataFrame:
-    """Members up to the first of their container that breaks a budget; breach tells which.
-
-    Only members that are read count, so not directories, links, encrypted or unsupported ones, and none
-    behind a container's stop; the count of the root goes on in the containers that follow.
+def container_paths(containers: DataFrame, most_depth: int) -> DataFrame:
+    """Containers within the depth that hang on a root, with their depth and path: the ordinals of the members that lead there."""
+    level = containers.where("parent_id IS NULL").select("*", F.lit(0).alias("depth"), F.array().cast("array<long>").alias("path"))
+    out = level
+    for depth in range(1, most_depth + 1):
+        above = level.select(F.col("root_id"), F.col("container_id").alias("parent_id"), F.col("path").alias("above"))
+        level = containers.join(above, ["root_id", "parent_id"])
+        level = level.select(*containers.columns, F.lit(depth).alias("depth"), F.concat("above", F.array(F.col("parent_ordinal").cast("long"))).alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+_VISIT = "place long, inspected boolean, read_bytes long, verdict string, kind string, reason string"
+#: Bytes that are read of a member to tell what it is, and then at a time.
+_SNIFFED, _CHUNK = 4, 1 << 16
+
+
+class _Visit:
+    """The state of one root's analysis while its containers and members come by in order."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.place, self.inspected, self.total, self.considered, self.nested = limits, 0, 0, 0, 0, 0
+        self.seen: set[str] = set()
+        self.open: set[int] = set()  # containers that are being read
+        self.next: int | None = None
+
+    def container(self, number: int, depth: int, size: int, malformed: bool | None, crowded: bool | None) -> tuple | None:
+        if depth and number != self.next:
+            return None
+        self.considered += size
+        if self.considered > self.limits.compressed_bytes:
+            return False, 0, "left", "resource", "compressed_input_limit"
+        if malformed:
+            return False, 0, "left", "malformed", "malformed_nested_archive" if depth else "malformed_archive"
+        self.open.add(number)
+        return False, 0, "opened", *(("resource", "zip_entry_limit") if crowded else (None, None))
+
+    def member(self, number: int, depth: int, what: str, size: int, child: int | None, sha: str | None) -> tuple | None:
+        if number not in self.open:
+            return None
+        if self.inspected >= self.limits.members:
+            self.open.discard(number)
+            return False, 0, "left", "resource", "member_inspection_limit"
+        self.inspected += 1
+        if what != "read":
+            return True, 0, what, *{"encrypted": ("partial", "encrypted_member"), "unsupported": ("partial", "unsupported_compression_method")}.get(what, (None, None))
+        within = self.limits.total_bytes - self.total
+        room = min(self.limits.member_bytes, within, *(() if child is None else (self.limits.nested_bytes - self.nested,)))
+        read = min(size, max(1, room + 1))
+        self.total += read
+        breach = None
+        if read > self.limits.member_bytes:
+            breach = "member_actual_byte_limit"
+        elif self.total > self.limits.total_bytes:
+            breach = "total_actual_byte_limit"
+        elif child is not None and self.nested + read > self.limits.nested_bytes:
+            breach = "nested_materialization_limit"
+        if child is not None:
+            # what whole chunks have left behind, if a chunk breaks a budget
+            self.nested += read if breach is None else max(0, min(read, _SNIFFED + (read - 1 - _SNIFFED) // _CHUNK * _CHUNK))
+        if breach:
+            self.open.discard(number)
+            return True, read, "stopped", "resource", breach
+        if child is None:
+            return True, read, "read", None, None
+        if depth + 1 > self.limits.depth:
+            return True, read, "too_deep", "partial", "nesting_depth_limit"
+        if sha in self.seen:
+            return True, read, "repeated", None, None
+        self.seen.add(sha)
+        self.next = child
+        return True, read, "nested", None, None
+
+
+def visit(marked: DataFrame, containers: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The members (output of name_marks) and containers of each root that an analysis gets to, in its order.
+
+    A nested container is visited at its member, before the members behind that. Budgets run over the root in this
+    order. A stop ends its container only: the one above goes on, under what is left. Rows of
+    containers come with ordinal 0. Columns: those of marked, depth, what, place (from 1), inspected, read_bytes,
+    verdict, and the kind (resource, partial, malformed) and reason of an incomplete analysis. Members that are
+    not reached, behind a stop or in a container that isn't opened, give no row; where the limit of members
+    ends a container there is one row that isn't inspected.
+
+    Members beyond the entry limit of a container are left out before the root's rows are sorted; a root
+    is replayed in one task, batch by batch. Of containers that claim one member the smallest counts; members of
+    equal ordinal are ordered by name.
     """
-    within = Window.partitionBy("container_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.when(disposition() == "read", F.col("actual_bytes")).otherwise(0)
-    large = taken > member_bytes
-    rows = members.withColumns({"_taken": taken, "_large": large, "_behind": F.coalesce(F.bool_or(large).over(within), F.lit(False))}).where("NOT _behind")
-    order = Window.partitionBy("root_id").orderBy("container_id", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("running", F.sum("_taken").over(order))
-    over = (F.col("running") > root_bytes) & (F.col("_taken") > 0)
-    rows = rows.withColumn("breach", F.when(F.col("_large"), "member_bytes").when(over, "root_bytes"))
-    behind = F.coalesce(F.bool_or(F.col("breach").isNotNull()).over(within), F.lit(False))
-    return rows.withColumn("_behind", behind).where("NOT _behind").drop("_taken", "_large", "_behind")
-
-
-def nesting(containers: DataFrame, most_depth: int = MOST_DEPTH, budget: int = ROOT_BYTES) -> DataFrame:
-    """Containers (root_id, container_id, depth, nested_sha, bytes): too deep, seen before, or beyond the root's budget."""
-    order = Window.partitionBy("root_id").orderBy("container_id")
-    seen = F.row_number().over(Window.partitionBy("root_id", "nested_sha").orderBy("container_id"))
-    rows = containers.withColumns({"seen": seen, "running": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    verdict = F.when(F.col("depth") > most_depth, "nesting_depth_limit").when(F.col("seen") > 1, "repeated").when(F.col("running") > budget, "compressed_budget").otherwise("descend")
-    return rows.withColumn("verdict", verdict).drop("seen", "running")
+    containers = containers.select("root_id", "container_id", "parent_id", "parent_ordinal", F.col("bytes").cast("long").alias("size"), "sha", "malformed")
+    paths = container_paths(containers, limits.depth)
+    inner = containers.where("parent_id IS NOT NULL").groupBy("root_id", F.col("parent_id").alias("container_id"), F.col("parent_ordinal").alias("ordinal")).agg(F.min("container_id").alias("child"), F.min_by("sha", "container_id").alias("child_sha"))
+    kinds = {f.name: f.dataType for f in marked.schema}
+    crowded = marked.where(F.col("ordinal") > limits.entries).select("root_id", "container_id").distinct().withColumn("crowded", F.lit(True))
+    own = marked.where(F.col("ordinal") <= limits.entries).withColumns({"what": disposition(), "size": F.col("actual_bytes").cast("long")})
+    own = own.join(inner, ["root_id", "container_id", "ordinal"], "left").join(paths.select("root_id", "container_id", "depth", "path"), ["root_id", "container_id"])
+    columns = [c for c in marked.columns if c not in ("depth", "what")]
+    tail = ["depth", "what", "size", "child", "child_sha", "malformed", "crowded", "order"]
+    members = own.withColumns({"malformed": F.lit(None).cast("boolean"), "crowded": F.lit(None).cast("boolean")}).withColumn("order", F.concat("path", F.array(F.col("ordinal").cast("long"))))
+    heads = paths.join(crowded, ["root_id", "container_id"], "left").withColumns({c: F.lit(None).cast(kinds[c]) for c in columns if c not in ("root_id", "container_id", "ordinal")})
+    heads = heads.withColumns({"ordinal": F.lit(0).cast(kinds["ordinal"]), "what": F.lit("container"), "child": F.lit(None).cast(containers.schema["container_id"].dataType), "child_sha": F.lit(None).cast("string"), "order": F.concat("path", F.array(F.lit(0).cast("long")))})
+    rows = heads.select(*columns, *tail).unionByName(members.select(*columns, *tail))
+    rows = rows.repartition("root_id").sortWithinPartitions("root_id", "order", "name").drop("order")
+    fields = rows.columns
+    kept = [c for c in fields if c not in ("size", "child", "child_sha", "malformed", "crowded")]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, state = None, None
+        for batch in batches:
+            of = lambda c: batch.column(fields.index(c)).to_pylist()  # noqa: E731, B023
+            places, out = [], []
+            for k, (r, number, ordinal, depth, what, size, child, sha, malformed, crowded) in enumerate(zip(*map(of, ("root_id", "container_id", "ordinal", "depth", "what", "size", "child", "child_sha", "malformed", "crowded")), strict=True)):
+                if r != root or state is None:
+                    root, state = r, _Visit(limits)
+                found = state.container(number, depth, size or 0, malformed, crowded) if ordinal == 0 else state.member(number, depth, what, size or 0, child, sha)
+                if found:
+                    state.place += 1
+                    places.append(k)
+                    out.append((state.place, *found))
+            at = pa.array(np.array(places, np.int64))
+            columns = zip(*out) if out else [[]] * 6
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string())
+            arrays = [*(batch.column(fields.index(c)).take(at) for c in kept), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(x.split()[0] for x in _VISIT.split(", "))])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(replay, f"{schema}, {_VISIT}")
 
 
 #: Evidence categories in the order of a member's checks, with the records each may keep of a root.
-CATEGORIES = (("ARCHIVE_PATH_TRAVERSAL", 16), ("ARCHIVE_ABSOLUTE_PATH", 16), ("ARCHIVE_DUPLICATE_MEMBER", 16), ("ARCHIVE_DANGEROUS_MEMBER", 32), ("ARCHIVE_MEMBER_DOUBLE_EXTENSION", 32), ("ARCHIVE_MEMBER_BIDI_OVERRIDE", 32), ("ARCHIVE_SYMLINK", 32), ("ARCHIVE_ENCRYPTED", 32), ("ARCHIVE_PARTIAL_ANALYSIS", 32))
+CATEGORIES = (("ARCHIVE_PATH_TRAVERSAL", 16), ("ARCHIVE_ABSOLUTE_PATH", 16), ("ARCHIVE_DUPLICATE_MEMBER", 16), ("ARCHIVE_DANGEROUS_MEMBER", 32), ("ARCHIVE_MEMBER_DOUBLE_EXTENSION", 32), ("ARCHIVE_MEMBER_BIDI_OVERRIDE", 32), ("ARCHIVE_SYMLINK", 32), ("ARCHIVE_ENCRYPTED", 32), ("ARCHIVE_NESTING_LIMIT", 32))
 MOST_RECORDS = 32
 
 
-def evidence(marked: DataFrame) -> DataFrame:
-    """One row for each thing found at a member (output of name_marks): root_id, code, rank, name, container_id, ordinal."""
-    what = disposition()
-    flags = (F.col("traversal"), F.col("rooted"), F.col("collides_with").isNotNull(), F.col("dangerous"), F.col("double_extension"), F.col("bidi"), what == "symlink", what == "encrypted", what.isin("encrypted", "unsupported"))
+def evidence(visited: DataFrame) -> DataFrame:
+    """One row for each thing found at an inspected member: root_id, code, rank, name, container_id, ordinal, place."""
+    what = F.col("what")
+    flags = (F.col("traversal"), F.col("rooted"), F.col("collides_with").isNotNull(), F.col("dangerous"), F.col("double_extension"), F.col("bidi"), what == "symlink", what == "encrypted", F.col("verdict") == "too_deep")
     found = F.array_compact(F.array(*[F.when(flag, F.struct(F.lit(k).alias("rank"), F.lit(code).alias("code"))) for k, (flag, (code, _)) in enumerate(zip(flags, CATEGORIES, strict=True))]))
-    return marked.select("root_id", "container_id", "ordinal", "name", F.explode(found).alias("f")).select("root_id", "container_id", "ordinal", "name", "f.rank", "f.code")
+    return visited.where("inspected").select("root_id", "container_id", "ordinal", "name", "place", F.explode(found).alias("f")).select("root_id", "container_id", "ordinal", "name", "place", "f.rank", "f.code")
 
 
 def retained(records: DataFrame) -> DataFrame:
-    """The records that are kept: by category first, then of the root, in member order; counts stay whole."""
-    order = [F.col("container_id"), F.col("ordinal"), F.col("rank")]
+    """The records that are kept: by category first, then of the root, in the order of the visit; counts stay whole."""
+    order = [F.col("place"), F.col("rank")]
     cap = F.element_at(F.create_map(*[x for code, n in CATEGORIES for x in (F.lit(code), F.lit(n))]), F.col("code"))
     kept = records.withColumn("nth", F.row_number().over(Window.partitionBy("root_id", "code").orderBy(*order))).where(F.col("nth") <= cap)
     return kept.withColumn("nth_of_root", F.row_number().over(Window.partitionBy("root_id").orderBy(*order))).where(F.col("nth_of_root") <= MOST_RECORDS)
@@ -111,53 +218,53 @@ OF_ROOT = ("ARCHIVE_NESTING_LIMIT", "ARCHIVE_RESOURCE_LIMIT", "ARCHIVE_MALFORMED
 MOST_FINDINGS = 64
 
 
-def reasons(marked: DataFrame, member_bytes: int = MEMBER_BYTES, root_bytes: int = ROOT_BYTES) -> DataFrame:
-    """root_id, kind, reason: why the analysis of a root is partial, limited or malformed (kind partial, resource, malformed).
+def reasons(visited: DataFrame) -> DataFrame:
+    """root_id, kind, reason: why the analysis of a root is limited, partial or malformed (kind resource, partial, malformed)."""
+    return visited.where("reason IS NOT NULL").select("root_id", "kind", "reason").distinct()
 
-    Resource reasons are partial reasons too. A container is malformed whose members repeat an ordinal.
-    """
-    what = disposition()
-    deep = marked.where(F.col("depth") > MOST_DEPTH).select("root_id", F.lit("partial").alias("kind"), F.lit("nesting_depth_limit").alias("reason"))
-    own = F.when(what == "encrypted", "encrypted_member").when(what == "unsupported", "unsupported_compression")
-    unread = marked.select("root_id", F.lit("partial").alias("kind"), own.alias("reason")).where("reason IS NOT NULL")
-    bytes_ = byte_budgets(marked, member_bytes, root_bytes).where("breach IS NOT NULL").select("root_id", F.lit("resource").alias("kind"), F.col("breach").alias("reason"))
-    entries = marked.groupBy("root_id", "container_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ordinal").alias("ordinals"))
-    many = entries.where(F.col("n") > MOST_ENTRIES).select("root_id", F.lit("resource").alias("kind"), F.lit("entry_limit").alias("reason"))
-    bad = entries.where("n > ordinals").select("root_id", F.lit("malformed").alias("kind"), F.lit("repeated_ordinal").alias("reason"))
-    return deep.unionAll(unread).unionAll(bytes_).unionAll(many).unionAll(bad).distinct()
-
-
-def findings(records: DataFrame, reasons: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
-    """root_id, code, n: a finding for each category of members' records, then those of the root (n: their reasons).
-
-    Of more than `most` of a root those of the root stay, and the first of the others; a limit that cuts is a
-    resource reason itself (finding_limit).
-    """
-    members = records.where(~F.col("code").isin(*OF_ROOT)).groupBy("root_id", "rank", "code").agg(F.count(F.lit(1)).alias("n"))
 
-    def of_root(reasons: DataFrame) -> DataFrame:
-        by = reasons.groupBy("root_id").agg(
-            F.count_if(F.col("reason") == "nesting_depth_limit").alias("0"), F.count_if(F.col("kind") == "resource").alias("1"), F.count_if(F.col("kind") == "malformed").alias("2"), F.count_if(F.col("kind") != "malformed").alias("3")
-        )
-        rows = F.array(*[F.struct(F.lit(100 + k).alias("rank"), F.lit(code).alias("code"), F.col(str(k)).alias("n")) for k, code in enumerate(OF_ROOT)])
-        return by.select("root_id", F.explode(F.filter(rows, lambda r: r["n"] > 0)).alias("f")).select("root_id", "f.rank", "f.code", "f.n")
+def findings(visited: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
+    """root_id, code, n: a finding for each category of what members show, in fixed order, then those of the root.
 
-    size = members.unionByName(of_root(reasons)).groupBy("root_id").agg(F.count(F.lit(1)).alias("size"))
-    cut = size.where(F.col("size") > most).select("root_id", F.lit("resource").alias("kind"), F.lit("finding_limit").alias("reason"))
-    found = members.unionByName(of_root(reasons.unionByName(cut).distinct()))
-    nth = F.row_number().over(Window.partitionBy("root_id").orderBy((F.col("rank") < 100).cast("int"), "rank"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= most).select("root_id", "code", "n")
-
-
-def status(marked: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Status and totals of a root: malformed or partial where a reason says so, else complete."""
-    rows = marked.withColumn("what", disposition())
+    n counts the members, or the reasons of a finding of the root. Of more than `most` of a root, those of the root stay,
+    and the first of the others; a limit that cuts is a resource reason itself (finding_limit). One
+    aggregate by root over the visits.
+    """
+    inspected = F.coalesce(F.col("inspected"), F.lit(False))
+    shown = {
+        "ARCHIVE_PATH_TRAVERSAL": F.col("traversal"), "ARCHIVE_ABSOLUTE_PATH": F.col("rooted"), "ARCHIVE_SYMLINK": F.col("what") == "symlink", "ARCHIVE_DUPLICATE_MEMBER": F.col("collides_with").isNotNull(),
+        "ARCHIVE_DANGEROUS_MEMBER": F.col("dangerous"), "ARCHIVE_MEMBER_DOUBLE_EXTENSION": F.col("double_extension"), "ARCHIVE_MEMBER_BIDI_OVERRIDE": F.col("bidi"), "ARCHIVE_ENCRYPTED": F.col("what") == "encrypted",
+    }
+    why = F.collect_set(F.when(F.col("reason").isNotNull(), F.struct("kind", "reason")))
+    by = visited.groupBy("root_id").agg(*[F.count_if(inspected & flag).alias(code) for code, flag in shown.items()], why.alias("why"))
+    members = F.filter(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(code).alias("code"), F.col(code).alias("n")) for k, code in enumerate(shown)]), lambda r: r["n"] > 0)
+
+    def of_root(extra: Column) -> Column:
+        of = lambda test: F.size(F.filter("why", test)).cast("long")
+        counts = (
+            F.when(F.exists("why", lambda r: r["reason"] == "nesting_depth_limit"), F.lit(1)).otherwise(0).cast("long"),
+            of(lambda r: r["kind"] == "resource") + extra, of(lambda r: r["kind"] == "malformed"), F.size("why").cast("long") + extra,
+        )
+        return F.filter(F.array(*[F.struct(F.lit(100 + k).alias("rank"), F.lit(code).alias("code"), n.alias("n")) for k, (code, n) in enumerate(zip(OF_ROOT, counts, strict=True))]), lambda r: r["n"] > 0)
+
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = by.select("root_id", members.alias("members"), "why").withColumns({"root": of_root(none), "over": of_root(one)})
+    whole = F.size("members") + F.size("root") <= most
+    kept = F.when(whole, F.concat("members", "root")).otherwise(F.concat(F.slice("members", F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size("over"))), F.slice("over", 1, most)))
+    return rows.select("root_id", F.explode(kept).alias("f")).select("root_id", "f.code", "f.n")
+
+
+def status(visited: DataFrame) -> DataFrame:
+    """Status and totals of a root's analysis: malformed or partial where a reason says so, else complete. One aggregate."""
+    inspected = F.coalesce(F.col("inspected"), F.lit(False))
     count = lambda c, name: F.count_if(c).alias(name)
-    out = rows.groupBy("root_id").agg(
-        F.count(F.lit(1)).alias("members"), count(F.col("what") == "directory", "directories"), count(F.col("what") == "symlink", "symlinks"), count(F.col("what") == "encrypted", "encrypted"), count(F.col("what") == "unsupported", "unsupported"), count(F.col("what") == "read", "read"),
-        count("traversal", "traversals"), count("rooted", "rooted"), count(F.col("collides_with").isNotNull(), "duplicates"), count("dangerous", "dangerous"), F.count_distinct("container_id").alias("containers"), F.max("depth").alias("deepest"), F.sum("actual_bytes").alias("bytes"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("what") == "unsupported", F.col("compress_type")))).cast("array<string>"), ",").alias("methods"),
-    )
-    worst = reasons.groupBy("root_id").agg(F.bool_or(F.col("kind") == "malformed").alias("bad"))
-    state = F.when(F.col("bad"), "MALFORMED").when(F.col("bad").isNotNull(), "PARTIAL").otherwise("COMPLETE")
-    return out.join(worst, "root_id", "left").withColumn("status", state).drop("bad")
+    of = lambda what: inspected & (F.col("what") == what)
+    out = visited.groupBy("root_id").agg(
+        count(F.col("verdict") == "opened", "containers"), count(inspected, "members"), count(of("directory"), "directories"), count(of("symlink"), "symlinks"), count(of("encrypted"), "encrypted"), count(of("unsupported"), "unsupported"), count(of("read"), "read"),
+        count(inspected & F.col("traversal"), "traversals"), count(inspected & F.col("rooted"), "rooted"), count(inspected & F.col("collides_with").isNotNull(), "duplicates"), count(inspected & F.col("dangerous"), "dangerous"),
+        count(F.col("verdict").isin("nested", "repeated", "too_deep"), "nested"), count(F.col("verdict") == "repeated", "repeated"), F.sum("read_bytes").alias("bytes"),
+        F.array_join(F.array_sort(F.collect_set(F.when(of("unsupported"), F.col("compress_type")))).cast("array<string>"), ",").alias("methods"),
+        F.bool_or(F.col("kind") == "malformed").alias("_bad"), F.count("reason").alias("_reasons"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
+    )
+    state = F.when(F.coalesce("_bad", F.lit(False)), "MALFORMED").when(F.col("_reasons") > 0, "PARTIAL").otherwise("COMPLETE")
+    return out.withColumn("status", state).drop("_bad", "_reasons")

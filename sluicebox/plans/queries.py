@@ -189,58 +189,95 @@ def a01_10_member_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("container_id", "ordinal", "traversal", "rooted", "collides_with", "collision_kind", "dangerous", "double_extension", "bidi", archive.disposition().alias("what"))
 
 
-@query("""WITH a AS (SELECT *, count(*) OVER (PARTITION BY container_id) AS entries FROM v_member), b AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY container_id, ordinal) AS place FROM a WHERE ordinal <= 4)
-    SELECT root_id, count(*) AS kept, count(*) FILTER (entries > 4) AS limited FROM b WHERE place <= 50 GROUP BY root_id""")
+def _visit_sql(limits: archive.Limits) -> str:
+    """One row of each root at a time, in the order of the paths; the state is what the budgets need."""
+    return _MARKED_SQL.replace("WITH k", "WITH RECURSIVE k", 1) + f""",
+    p AS (SELECT root_id, container_id, 0 AS depth, CAST([] AS BIGINT[]) AS path, bytes, malformed FROM v_container WHERE parent_id IS NULL UNION ALL
+      SELECT c.root_id, c.container_id, p.depth + 1, list_append(p.path, c.parent_ordinal), c.bytes, c.malformed FROM p JOIN v_container c ON c.parent_id = p.container_id WHERE p.depth < {limits.depth}),
+    e0 AS (SELECT m.*, p.depth, list_append(p.path, m.ordinal) AS ord, m.actual_bytes AS size, c.container_id AS child, c.sha AS child_sha, false AS malformed, false AS crowded FROM m JOIN p USING (root_id, container_id)
+        LEFT JOIN v_container c ON c.parent_id = m.container_id AND c.parent_ordinal = m.ordinal WHERE m.ordinal <= {limits.entries} UNION ALL BY NAME
+      SELECT root_id, container_id, 0 AS ordinal, depth, list_append(path, 0) AS ord, bytes AS size, 'container' AS what, malformed, EXISTS (SELECT 1 FROM m WHERE m.container_id = p.container_id AND m.ordinal > {limits.entries}) AS crowded FROM p),
+    e AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY ord, name) AS nth FROM e0),
+    r AS (SELECT DISTINCT root_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS inspected, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS considered, CAST(0 AS BIGINT) AS nested, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS live, CAST(-1 AS BIGINT) AS pending,
+        CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS read_bytes FROM e UNION ALL
+      SELECT root_id, nth, inspected + CAST(insp AS BIGINT), total + took, considered + CASE WHEN head THEN size ELSE 0 END,
+             nested + CASE WHEN NOT rd OR child IS NULL THEN 0 WHEN breach IS NULL THEN took ELSE greatest(0, least(took, 4 + (took - 5) // 65536 * 65536)) END,
+             CASE WHEN descend THEN list_append(seen, child_sha) ELSE seen END,
+             CASE WHEN head AND verdict = 'opened' THEN list_append(live, container_id) WHEN verdict IN ('left', 'stopped') THEN list_filter(live, x -> x <> container_id) ELSE live END,
+             CASE WHEN descend THEN child ELSE pending END, verdict,
+             CASE WHEN verdict = 'opened' AND crowded OR breach IS NOT NULL OR over_c OR over_m THEN 'resource' WHEN head AND malformed THEN 'malformed' WHEN verdict IN ('encrypted', 'unsupported', 'too_deep') THEN 'partial' END,
+             CASE WHEN over_c THEN 'compressed_input_limit' WHEN head AND malformed THEN CASE WHEN depth > 0 THEN 'malformed_nested_archive' ELSE 'malformed_archive' END WHEN verdict = 'opened' AND crowded THEN 'zip_entry_limit' WHEN over_m THEN 'member_inspection_limit'
+                  WHEN verdict = 'encrypted' THEN 'encrypted_member' WHEN verdict = 'unsupported' THEN 'unsupported_compression_method' WHEN verdict = 'too_deep' THEN 'nesting_depth_limit' ELSE breach END, took
+      FROM (SELECT *, verdict = 'nested' AS descend FROM (SELECT *, CASE WHEN over_c OR over_m OR head AND malformed THEN 'left' WHEN head THEN 'opened' WHEN NOT insp THEN NULL WHEN NOT rd THEN what WHEN breach IS NOT NULL THEN 'stopped' WHEN child IS NULL THEN 'read'
+              WHEN depth + 1 > {limits.depth} THEN 'too_deep' WHEN list_contains(seen, child_sha) THEN 'repeated' ELSE 'nested' END AS verdict
+        FROM (SELECT *, CASE WHEN NOT rd THEN NULL WHEN took > {limits.member_bytes} THEN 'member_actual_byte_limit' WHEN total + took > {limits.total_bytes} THEN 'total_actual_byte_limit' WHEN child IS NOT NULL AND nested + took > {limits.nested_bytes} THEN 'nested_materialization_limit' END AS breach
+        FROM (SELECT *, CASE WHEN rd THEN least(size, greatest(1, least({limits.member_bytes}, {limits.total_bytes} - total, CASE WHEN child IS NULL THEN {limits.total_bytes} ELSE {limits.nested_bytes} - nested END) + 1)) ELSE 0 END AS took
+        FROM (SELECT *, head AND considered + size > {limits.compressed_bytes} AS over_c, mem AND inspected >= {limits.members} AS over_m, mem AND inspected < {limits.members} AS insp, mem AND inspected < {limits.members} AND what = 'read' AS rd
+        FROM (SELECT e.root_id, e.nth, e.container_id, e.depth, e.what, e.size, e.child, e.child_sha, e.malformed, e.crowded, r.inspected, r.total, r.considered, r.nested, r.seen, r.live, r.pending,
+              e.ordinal = 0 AND (e.depth = 0 OR e.container_id = r.pending) AS head, e.ordinal > 0 AND list_contains(r.live, e.container_id) AS mem FROM r JOIN e ON e.root_id = r.root_id AND e.nth = r.nth + 1))))))),
+    v AS (SELECT e.*, r.verdict, r.kind, r.reason, r.read_bytes, e.ordinal > 0 AND r.verdict <> 'left' AS inspected FROM r JOIN e USING (root_id, nth) WHERE r.verdict IS NOT NULL) """
+
+
+#: Limits that the given tables reach in each way.
+_TIGHT = archive.Limits(entries=4, members=30, compressed_bytes=100 << 20, total_bytes=200 << 20, nested_bytes=40 << 20)
+_VISIT_SQL, _TIGHT_SQL = _visit_sql(archive.Limits()), _visit_sql(_TIGHT)
+
+
+def _visited(spark: SparkSession, sf_dir: str, limits: archive.Limits = archive.Limits()) -> DataFrame:
+    return archive.visit(_marked(spark, sf_dir), view(spark, sf_dir, "v_container"), limits)
+
+
+@query(_TIGHT_SQL + "SELECT root_id, count(*) FILTER (inspected) AS inspected, count(*) FILTER (reason = 'zip_entry_limit') AS crowded, count(*) FILTER (reason = 'member_inspection_limit') AS left_at_members FROM v GROUP BY root_id")
 def a11_entry_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.entry_limits(view(spark, sf_dir, "v_member"), 4, 50).groupBy("root_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if("limited").alias("limited"))
+    rows = _visited(spark, sf_dir, _TIGHT)
+    return rows.groupBy("root_id").agg(F.count_if("inspected").alias("inspected"), F.count_if(F.col("reason") == "zip_entry_limit").alias("crowded"), F.count_if(F.col("reason") == "member_inspection_limit").alias("left_at_members"))
 
 
-_REASONS_SQL = """, b1 AS (SELECT *, CASE WHEN what = 'read' THEN actual_bytes ELSE 0 END AS taken FROM m), b2 AS (SELECT *, coalesce(bool_or(taken > 33554432) OVER w, false) AS behind FROM b1 WINDOW w AS (PARTITION BY container_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    b3 AS (SELECT *, sum(taken) OVER (PARTITION BY root_id ORDER BY container_id, ordinal ROWS UNBOUNDED PRECEDING) AS running FROM b2 WHERE NOT behind), b4 AS (SELECT *, CASE WHEN taken > 33554432 THEN 'member_bytes' WHEN running > ROOT_LIMIT AND taken > 0 THEN 'root_bytes' END AS breach FROM b3),
-    b5 AS (SELECT *, coalesce(bool_or(breach IS NOT NULL) OVER w, false) AS behind2 FROM b4 WINDOW w AS (PARTITION BY container_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), budget AS (SELECT * FROM b5 WHERE NOT behind2),
-    why AS (SELECT DISTINCT root_id, 'partial' AS kind, 'nesting_depth_limit' AS reason FROM m WHERE depth > 3 UNION SELECT DISTINCT root_id, 'partial', CASE what WHEN 'encrypted' THEN 'encrypted_member' ELSE 'unsupported_compression' END FROM m WHERE what IN ('encrypted', 'unsupported')
-            UNION SELECT DISTINCT root_id, 'resource', breach FROM budget WHERE breach IS NOT NULL UNION SELECT root_id, 'resource', 'entry_limit' FROM m GROUP BY root_id, container_id HAVING count(*) > 4096
-            UNION SELECT root_id, 'malformed', 'repeated_ordinal' FROM m GROUP BY root_id, container_id HAVING count(*) > count(DISTINCT ordinal)) """.replace("ROOT_LIMIT", str(archive.ROOT_BYTES))
-
-
-@query(_MARKED_SQL + _REASONS_SQL.replace(str(archive.ROOT_BYTES), str(archive.ROOT_BYTES * 8)) + "SELECT root_id, coalesce(breach, 'none') AS breach, count(*) AS n FROM budget GROUP BY ALL")
+@query(_TIGHT_SQL + "SELECT container_id, ordinal, verdict, reason, read_bytes FROM v WHERE ordinal > 0")
 def a12_byte_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = archive.byte_budgets(view(spark, sf_dir, "v_member"), root_bytes=archive.ROOT_BYTES * 8)
-    return rows.groupBy("root_id", F.coalesce("breach", F.lit("none")).alias("breach")).agg(F.count(F.lit(1)).alias("n"))
+    return _visited(spark, sf_dir, _TIGHT).where("ordinal > 0").select("container_id", "ordinal", "verdict", "reason", "read_bytes")
 
 
-@query("""WITH c AS (SELECT root_id, container_id, depth, min(nested_sha) AS nested_sha, sum(actual_bytes) AS bytes FROM v_member GROUP BY ALL),
-    d AS (SELECT *, row_number() OVER (PARTITION BY root_id, nested_sha ORDER BY container_id) AS seen, sum(bytes) OVER (PARTITION BY root_id ORDER BY container_id ROWS UNBOUNDED PRECEDING) AS running FROM c)
-    SELECT root_id, container_id, CASE WHEN depth > 3 THEN 'nesting_depth_limit' WHEN seen > 1 THEN 'repeated' WHEN running > 134217728 THEN 'compressed_budget' ELSE 'descend' END AS verdict FROM d""")
+@query(_TIGHT_SQL + "SELECT container_id, ordinal, depth, verdict, reason FROM v WHERE ordinal = 0 OR verdict IN ('nested', 'repeated', 'too_deep')")
 def a13_15_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    containers = view(spark, sf_dir, "v_member").groupBy("root_id", "container_id", "depth").agg(F.min("nested_sha").alias("nested_sha"), F.sum("actual_bytes").alias("bytes"))
-    return archive.nesting(containers).select("root_id", "container_id", "verdict")
+    rows = _visited(spark, sf_dir, _TIGHT).where("ordinal = 0 OR verdict IN ('nested', 'repeated', 'too_deep')")
+    return rows.select("container_id", "ordinal", "depth", "verdict", "reason")
 
 
-_EVIDENCE_SQL = _MARKED_SQL + ", ev AS (SELECT root_id, container_id, ordinal, f.rank AS rank, f.code AS code FROM (SELECT root_id, container_id, ordinal, unnest(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {{'rank': {k}, 'code': '{code}'}} END" for k, (cond, (code, _)) in enumerate(zip(("traversal", "rooted", "occ > 1", "dangerous", "double_extension", "bidi", "what = 'symlink'", "what = 'encrypted'", "what IN ('encrypted', 'unsupported')"), archive.CATEGORIES, strict=True))) + "], x -> x IS NOT NULL)) AS f FROM m)) "
+_EVIDENCE_SQL = ", ev AS (SELECT root_id, container_id, ordinal, nth AS place, f.rank AS rank, f.code AS code FROM (SELECT root_id, container_id, ordinal, nth, unnest(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {{'rank': {k}, 'code': '{code}'}} END" for k, (cond, (code, _)) in enumerate(zip(("traversal", "rooted", "occ > 1", "dangerous", "double_extension", "bidi", "what = 'symlink'", "what = 'encrypted'", "verdict = 'too_deep'"), archive.CATEGORIES, strict=True))) + "], x -> x IS NOT NULL)) AS f FROM v WHERE inspected)) "
 
 
-@query(_EVIDENCE_SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY root_id, code ORDER BY container_id, ordinal, rank) AS nth FROM ev), b AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY container_id, ordinal, rank) AS nth_of_root FROM a WHERE nth <= CASE WHEN rank <= 2 THEN 16 ELSE 32 END)
+@query(_TIGHT_SQL + _EVIDENCE_SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY root_id, code ORDER BY place, rank) AS nth FROM ev), b AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY place, rank) AS nth_of_root FROM a WHERE nth <= CASE WHEN rank <= 2 THEN 16 ELSE 32 END)
     SELECT root_id, container_id, ordinal, code FROM b WHERE nth_of_root <= 32""")
 def a16_retained_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.retained(archive.evidence(_marked(spark, sf_dir))).select("root_id", "container_id", "ordinal", "code")
+    return archive.retained(archive.evidence(_visited(spark, sf_dir, _TIGHT))).select("root_id", "container_id", "ordinal", "code")
+
 
+_FOUND_SQL = _EVIDENCE_SQL + """, why AS (SELECT DISTINCT root_id, kind, reason FROM v WHERE reason IS NOT NULL), f AS (SELECT root_id, CASE WHEN rank = 6 THEN 1.5 ELSE rank END AS rank, code, count(*) AS n FROM ev WHERE rank < 8 GROUP BY ALL UNION ALL
+      SELECT root_id, 100, 'ARCHIVE_NESTING_LIMIT', count(*) FROM why WHERE reason = 'nesting_depth_limit' GROUP BY root_id UNION ALL SELECT root_id, 101, 'ARCHIVE_RESOURCE_LIMIT', count(*) FROM why WHERE kind = 'resource' GROUP BY root_id UNION ALL
+      SELECT root_id, 102, 'ARCHIVE_MALFORMED', count(*) FROM why WHERE kind = 'malformed' GROUP BY root_id UNION ALL SELECT root_id, 103, 'ARCHIVE_PARTIAL_ANALYSIS', count(*) FROM why GROUP BY root_id) """
 
-@query(_EVIDENCE_SQL + _REASONS_SQL + """SELECT root_id, code, count(*) AS n FROM ev WHERE code <> 'ARCHIVE_PARTIAL_ANALYSIS' GROUP BY root_id, code
-    UNION ALL SELECT root_id, 'ARCHIVE_NESTING_LIMIT', count(*) FROM why WHERE reason = 'nesting_depth_limit' GROUP BY root_id UNION ALL SELECT root_id, 'ARCHIVE_RESOURCE_LIMIT', count(*) FROM why WHERE kind = 'resource' GROUP BY root_id
-    UNION ALL SELECT root_id, 'ARCHIVE_MALFORMED', count(*) FROM why WHERE kind = 'malformed' GROUP BY root_id UNION ALL SELECT root_id, 'ARCHIVE_PARTIAL_ANALYSIS', count(*) FROM why WHERE kind <> 'malformed' GROUP BY root_id""")
+
+@query(_VISIT_SQL + _FOUND_SQL + "SELECT root_id, code, n FROM f")
 def a17_18_archive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _marked(spark, sf_dir)
-    return archive.findings(archive.evidence(marked), archive.reasons(marked))
+    return archive.findings(_visited(spark, sf_dir))
+
+
+@query(_TIGHT_SQL + _FOUND_SQL + """, s AS (SELECT root_id FROM f GROUP BY root_id HAVING count(*) > 8), g AS (SELECT root_id, rank, code, n + CASE WHEN rank IN (101, 103) AND root_id IN (SELECT root_id FROM s) THEN 1 ELSE 0 END AS n FROM f
+      UNION ALL SELECT root_id, 101, 'ARCHIVE_RESOURCE_LIMIT', 1 FROM s WHERE root_id NOT IN (SELECT root_id FROM f WHERE rank = 101) UNION ALL SELECT root_id, 103, 'ARCHIVE_PARTIAL_ANALYSIS', 1 FROM s WHERE root_id NOT IN (SELECT root_id FROM f WHERE rank = 103)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY rank < 100, rank) AS nth FROM g) SELECT root_id, code, n FROM o WHERE nth <= 8""")
+def a18_findings_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most eight findings a root, so that the cut shows."""
+    return archive.findings(_visited(spark, sf_dir, _TIGHT), most=8)
 
 
-@query(_MARKED_SQL + _REASONS_SQL + """, t AS (SELECT root_id, count(*) AS members, count(*) FILTER (what = 'directory') AS directories, count(*) FILTER (what = 'symlink') AS symlinks, count(*) FILTER (what = 'encrypted') AS encrypted, count(*) FILTER (what = 'unsupported') AS unsupported, count(*) FILTER (what = 'read') AS "read",
-    count(*) FILTER (traversal) AS traversals, count(*) FILTER (rooted) AS rooted, count(*) FILTER (occ > 1) AS duplicates, count(*) FILTER (dangerous) AS dangerous, count(DISTINCT container_id) AS containers, max(depth) AS deepest, sum(actual_bytes) AS bytes,
-    coalesce(string_agg(DISTINCT compress_type::VARCHAR, ',') FILTER (what = 'unsupported'), '') AS methods FROM m GROUP BY root_id)
-    SELECT t.*, CASE WHEN w.bad THEN 'MALFORMED' WHEN w.bad IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM t LEFT JOIN (SELECT root_id, bool_or(kind = 'malformed') AS bad FROM why GROUP BY root_id) w USING (root_id)""")
+@query(_VISIT_SQL + """SELECT root_id, count(*) FILTER (verdict = 'opened') AS containers, count(*) FILTER (inspected) AS members, count(*) FILTER (inspected AND what = 'directory') AS directories, count(*) FILTER (inspected AND what = 'symlink') AS symlinks,
+    count(*) FILTER (inspected AND what = 'encrypted') AS encrypted, count(*) FILTER (inspected AND what = 'unsupported') AS unsupported, count(*) FILTER (inspected AND what = 'read') AS "read", count(*) FILTER (inspected AND traversal) AS traversals, count(*) FILTER (inspected AND rooted) AS rooted,
+    count(*) FILTER (inspected AND occ > 1) AS duplicates, count(*) FILTER (inspected AND dangerous) AS dangerous, count(*) FILTER (verdict IN ('nested', 'repeated', 'too_deep')) AS nested, count(*) FILTER (verdict = 'repeated') AS repeated, CAST(sum(read_bytes) AS BIGINT) AS bytes,
+    coalesce(string_agg(DISTINCT compress_type::VARCHAR, ',') FILTER (inspected AND what = 'unsupported'), '') AS methods, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons,
+    CASE WHEN coalesce(bool_or(kind = 'malformed'), false) THEN 'MALFORMED' WHEN count(reason) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM v GROUP BY root_id""")
 def a19_archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _marked(spark, sf_dir)
-    return archive.status(marked, archive.reasons(marked))
+    return archive.status(_visited(spark, sf_dir))
 
 
 # Pattern rules -----------------------------------------------------------------------------------

@@ -36,13 +36,16 @@ VIEWS = {
         UNION ALL SELECT doc_id, 'FILE_DOUBLE_EXTENSION' FROM documents WHERE doc_id % 44 = 0
         UNION ALL SELECT doc_id, 'NOT_REGISTERED' FROM documents WHERE doc_id % 97 = 0""",
     "v_member": """
-        SELECT l_orderkey - l_orderkey % 64 AS root_id, l_orderkey AS container_id, l_orderkey % 5 AS depth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
+        SELECT l_orderkey - l_orderkey % 64 AS root_id, l_orderkey AS container_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
                CASE l_partkey % 13 WHEN 0 THEN '../up.txt' WHEN 1 THEN '/etc/x.doc' WHEN 2 THEN 'C:\\a.xls' WHEN 3 THEN 'a//./b.txt' WHEN 4 THEN 'a/b.txt' WHEN 5 THEN 'run.EXE' WHEN 6 THEN 'bill.pdf.js' WHEN 7 THEN 'x\u202ecod.scr'
                  WHEN 8 THEN 'dir\\' WHEN 9 THEN 'q/.bashrc' WHEN 10 THEN 'm.docm' WHEN 11 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'caf\u00e9.txt' ELSE 'cafe\u0301.txt' END ELSE concat('part', l_partkey % 4, '.dat') END AS name,
                l_partkey % 13 = 8 AS is_dir, CASE WHEN l_suppkey % 4 = 0 THEN 3 ELSE 0 END AS create_system,
                CASE WHEN l_suppkey % 8 = 0 THEN CAST(2717843456 AS BIGINT) ELSE CAST(2175008768 AS BIGINT) END AS external_attr,
                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag_bits, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 9 ELSE 8 END AS compress_type,
-               CAST(l_quantity AS BIGINT) * 1000000 AS actual_bytes, concat('n', l_suppkey % 7) AS nested_sha FROM lineitem""",
+               CAST(l_quantity AS BIGINT) * CASE WHEN l_orderkey % 3 = 0 THEN 1000000 ELSE 20000 END AS actual_bytes FROM lineitem""",
+    "v_container": """
+        SELECT o_orderkey - o_orderkey % 64 AS root_id, o_orderkey AS container_id, CASE WHEN o_orderkey % 64 > 0 THEN o_orderkey - o_orderkey % 64 + CAST((o_orderkey % 64 - 1 - (o_orderkey % 64 - 1) % 2) / 2 AS BIGINT) END AS parent_id,
+               CASE WHEN o_orderkey % 64 > 0 THEN 1 + (o_orderkey % 64 - 1) % 2 END AS parent_ordinal, o_orderkey % 7 * 3000000 AS bytes, concat('n', o_orderkey % 23) AS sha, o_orderkey % 37 = 5 AS malformed FROM orders""",
     "v_event": "SELECT event_id, user_id, event_type, value, props, MICROS(ts) AS us FROM events",
     "v_attempt": """
         SELECT event_id, user_id % 10 AS tenant, concat('a', user_id % 10, '-', event_id % 3) AS source, concat('u', user_id) AS username, event_type = 'purchase' AS success, CAST((MICROS(ts) - MICROS(ts) % 60) / 60 AS BIGINT) AS us FROM events""",
