@@ -1,8 +1,8 @@
-"""Operator questions on the catalog: listings, counts, reports, lineage and remediation."""
+"""Operator questions on the catalog: listings, counts, reports and page budgets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTAINED = ("REVIEW", "QUARANTINE", "BLOCK")
@@ -32,55 +32,6 @@ def approved(artifacts: DataFrame, derived: DataFrame) -> DataFrame:
     return artifacts.where("artifact_type = 'CLEANED'").join(ok, "derived_scan_id")
 
 
-def lineage_faults(artifacts: DataFrame, scans: DataFrame) -> DataFrame:
-    """The rules of lineage that an artifact breaks, sorted."""
-    side = lambda p: scans.select(*[F.col(c).alias(f"{p}_{c}") for c in ("scan_id", "decision", "state", "detected_type", "release_eligible", "complete", "sha")])
-    rows = artifacts.join(side("src"), F.col("scan_id") == F.col("src_scan_id"), "left").join(side("der"), F.col("derived_scan_id") == F.col("der_scan_id"), "left")
-    rules = {
-        "artifact_type": F.col("artifact_type") == "CLEANED",
-        "source_missing": F.col("src_scan_id").isNotNull(),
-        "source_type": F.col("src_detected_type") == "PDF",
-        "source_blocked": F.col("src_decision") != "BLOCK",
-        "derived_missing": F.col("der_scan_id").isNotNull(),
-        "derived_decision": F.col("der_decision") == "ALLOW",
-        "derived_eligible": F.col("der_release_eligible"),
-        "derived_complete": F.col("der_complete"),
-        "derived_state": F.col("der_state") == "COMPLETED",
-        "policy_version": F.col("policy_version") == "1.0.2",
-        "digest": F.col("sha") != F.col("der_sha"),
-        "storage_key": F.regexp_like("storage_key", F.lit("^k[0-9]+$")),
-    }
-    faults = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])))
-    return rows.withColumn("faults", faults)
-
-
-def remediation(scans: DataFrame, codes: DataFrame, pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """Reasons against a cleaned copy of each scan; none means eligible.
-
-    `stored` lists objects (object, sha, size_bytes, mode). What is missing speaks against: a scan without an
-    evaluation is incomplete, one without its object fails the integrity check, as does one that others may read.
-    """
-    held = stored.select("object", F.col("sha").alias("_sha"), F.col("size_bytes").alias("_size"), F.col("mode").alias("_mode"))
-    intact = (F.col("_sha") == F.col("sha")) & (F.col("_size") == F.col("size_bytes")) & (F.col("_mode").bitwiseAND(F.lit(0o77)) == 0)
-    own = codes.groupBy("scan_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    rows = scans.join(own, "scan_id", "left").join(pages, "scan_id", "left").join(held, "object", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
-    reasons = F.array_sort(
-        F.array_compact(
-            F.array(
-                F.when(F.coalesce(F.col("detected_type") != "PDF", F.lit(True)), "NOT_PDF"),
-                F.when(~F.coalesce((F.col("status") == "SUCCESS") & F.col("state").isin("COMPLETED", "QUARANTINED"), F.lit(False)), "ANALYSIS_NOT_SUCCESSFUL"),
-                F.when(~F.coalesce(F.col("complete"), F.lit(False)), "ANALYSIS_INCOMPLETE"),
-                F.when(F.exists("codes", lambda c: c.isin("PDF_ENCRYPTED", "PDF_MALFORMED", "PDF_PARTIAL_ANALYSIS")), "PDF_NOT_RENDERABLE"),
-                F.when(~F.coalesce(F.col("decision").isin("REVIEW", "QUARANTINE"), F.lit(False)), "DECISION_NOT_REMEDIABLE"),
-                F.when(F.col("decision") == "BLOCK", "SOURCE_BLOCKED"),
-                F.when(~F.coalesce(F.col("page_count").between(1, 100), F.lit(False)), "PAGE_COUNT_OUT_OF_RANGE"),
-                F.when(~F.coalesce(intact, F.lit(False)), "SOURCE_INTEGRITY_FAILED"),
-            )
-        )
-    )
-    return rows.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
-
-
 def page_budget(pages: DataFrame, dpi: int, most_page: int, most_total: int) -> DataFrame:
     """Pixels of each document's pages and the first page that breaks a limit."""
     size = lambda c: F.ceil(F.col(c) * dpi / 72)
@@ -89,8 +40,3 @@ def page_budget(pages: DataFrame, dpi: int, most_page: int, most_total: int) ->
     breach = (F.col("pixels") > most_page) | (F.col("running") > most_total)
     out = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.min(F.when(breach, F.col("page_no"))).alias("breach_page"), F.sum("pixels").alias("pixels"))
     return out.withColumn("verdict", F.when(~F.col("pages").between(1, 100), "page_limit").when(F.col("breach_page").isNotNull(), "pixel_limit").otherwise("ok"))
-
-
-def outcome() -> Column:
-    """What became of a remediation attempt: the first that fits."""
-    return F.when(~F.col("eligible"), "ineligible").when(F.col("reused"), "reused").when(F.col("render_failed"), "render_failure").when(F.col("size_mismatch"), "size_mismatch").when(F.coalesce(F.col("derived_decision") != "ALLOW", F.lit(True)), "derived_rejected").otherwise("approved")

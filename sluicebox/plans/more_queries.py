@@ -92,30 +92,6 @@ def q11_evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lineage and remediation -------------------------------------------------------------------------
 
 
-@query(_SCANS_SQL + """, r AS (SELECT a.artifact_id, [struct_pack(n := 'artifact_type', ok := a.artifact_type = 'CLEANED'), struct_pack(n := 'source_missing', ok := s.scan_id IS NOT NULL), struct_pack(n := 'source_type', ok := s.detected_type = 'PDF'), struct_pack(n := 'source_blocked', ok := s.decision <> 'BLOCK'),
-    struct_pack(n := 'derived_missing', ok := d.scan_id IS NOT NULL), struct_pack(n := 'derived_decision', ok := d.decision = 'ALLOW'), struct_pack(n := 'derived_eligible', ok := d.release_eligible), struct_pack(n := 'derived_complete', ok := d.complete), struct_pack(n := 'derived_state', ok := d.state = 'COMPLETED'),
-    struct_pack(n := 'policy_version', ok := a.policy_version = '1.0.2'), struct_pack(n := 'digest', ok := a.sha <> d.sha), struct_pack(n := 'storage_key', ok := regexp_matches(a.storage_key, '^k[0-9]+$'))] AS rules FROM v_artifact a LEFT JOIN scans s ON s.scan_id = a.scan_id LEFT JOIN scans d ON d.scan_id = a.derived_scan_id)
-    SELECT artifact_id, array_to_string(list_sort(list_transform(list_filter(rules, x -> NOT coalesce(x.ok, false)), x -> x.n)), ',') AS faults FROM r""")
-def l01_03_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.lineage_faults(view(spark, sf_dir, "v_artifact"), _scans(spark, sf_dir)).select("artifact_id", joined("faults").alias("faults"))
-
-
-_REMEDY_SQL = _SCANS_SQL + """, f AS (SELECT scan_id, list(DISTINCT code) AS codes FROM v_finding GROUP BY scan_id), remedy AS (SELECT scan_id, decision, list_sort(list_filter([CASE WHEN detected_type IS DISTINCT FROM 'PDF' THEN 'NOT_PDF' END, CASE WHEN status IS DISTINCT FROM 'SUCCESS' OR state NOT IN ('COMPLETED', 'QUARANTINED') THEN 'ANALYSIS_NOT_SUCCESSFUL' END, CASE WHEN complete IS NOT TRUE THEN 'ANALYSIS_INCOMPLETE' END,
-    CASE WHEN list_has_any(coalesce(codes, []), ['PDF_ENCRYPTED', 'PDF_MALFORMED', 'PDF_PARTIAL_ANALYSIS']) THEN 'PDF_NOT_RENDERABLE' END, CASE WHEN decision IS NULL OR decision NOT IN ('REVIEW', 'QUARANTINE') THEN 'DECISION_NOT_REMEDIABLE' END, CASE WHEN decision = 'BLOCK' THEN 'SOURCE_BLOCKED' END, CASE WHEN NOT coalesce(scan_id % 110 BETWEEN 1 AND 100, false) THEN 'PAGE_COUNT_OUT_OF_RANGE' END,
-    CASE WHEN stored.name IS NULL OR stored.sha IS DISTINCT FROM scans.sha OR stored.size_bytes IS DISTINCT FROM scans.size_bytes OR stored.mode & 63 <> 0 THEN 'SOURCE_INTEGRITY_FAILED' END], x -> x IS NOT NULL)) AS reasons FROM scans LEFT JOIN f USING (scan_id) LEFT JOIN (SELECT name, sha, size_bytes, mode FROM v_listing WHERE area = 'documents') stored ON stored.name = concat('d', scan_id)) """
-
-
-def _remedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = view(spark, sf_dir, "v_scan").select("scan_id", (F.col("scan_id") % 110).alias("page_count"))
-    stored = view(spark, sf_dir, "v_listing").where("area = 'documents'").withColumnRenamed("name", "object")
-    return catalog.remediation(_scans(spark, sf_dir).withColumn("object", F.concat(F.lit("d"), F.col("scan_id").cast("string"))), view(spark, sf_dir, "v_finding"), pages, stored)
-
-
-@query(_REMEDY_SQL + "SELECT scan_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM remedy")
-def l02_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _remedy(spark, sf_dir).select("scan_id", joined("reasons").alias("reasons"), "eligible")
-
-
 @query("SELECT scan_id, fingerprint, min(artifact_id) AS artifact_id, count(*) AS n FROM v_artifact GROUP BY ALL")
 def l04_reusable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_artifact").groupBy("scan_id", "fingerprint").agg(F.min("artifact_id").alias("artifact_id"), F.count(F.lit(1)).alias("n"))
@@ -135,17 +111,6 @@ def l06_source_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "scan_id").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-@query(_REMEDY_SQL + "SELECT scan_id, CASE WHEN len(reasons) = 0 THEN 'SUCCESS' ELSE 'DENIED' END AS outcome, reasons[1] AS reason_code FROM remedy")
-def l07_eligibility_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _remedy(spark, sf_dir).select("scan_id", F.when(F.col("eligible"), "SUCCESS").otherwise("DENIED").alias("outcome"), F.when(~F.col("eligible"), F.get("reasons", F.lit(0))).alias("reason_code"))
-
-
-@query(_REMEDY_SQL + "SELECT scan_id, CASE WHEN len(reasons) > 0 THEN 'ineligible' WHEN scan_id % 4 = 0 THEN 'reused' WHEN scan_id % 14 = 0 THEN 'render_failure' WHEN scan_id % 26 = 0 THEN 'size_mismatch' WHEN scan_id % 3 <> 0 THEN 'derived_rejected' ELSE 'approved' END AS outcome FROM remedy")
-def l08_remediation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("scan_id")
-    return _remedy(spark, sf_dir).withColumns({"reused": s % 4 == 0, "render_failed": s % 14 == 0, "size_mismatch": s % 26 == 0, "derived_decision": F.when(s % 3 == 0, "ALLOW").otherwise(F.col("decision"))}).select("scan_id", catalog.outcome().alias("outcome"))
-
-
 # Reconciliation ----------------------------------------------------------------------------------
 
 _ISSUES_SQL = """WITH cat AS (SELECT scan_id, state, created_at AS updated_at, concat('d', scan_id) AS name, size_bytes, sha FROM v_scan), st AS (SELECT name, size_bytes AS ss, sha AS sh FROM v_listing WHERE area = 'documents'), h AS (SELECT * FROM cat LEFT JOIN st USING (name)),

@@ -79,6 +79,29 @@ VIEWS = {
                BYTES(text) AS size_bytes, doc_id % 4 AS fingerprint, CASE WHEN doc_id % 5 = 0 THEN '1.0.1' ELSE '1.0.2' END AS policy_version, doc_id * 31 % 1000 AS created_at FROM documents WHERE doc_id % 6 = 0""",
     "v_lineage": """
         SELECT doc_id AS scan_id, CASE WHEN doc_id % 41 = 0 THEN -1 WHEN first_id < doc_id THEN first_id END AS parent_id, sha FROM (SELECT doc_id, SHA(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) t""",
+    "v_record": """
+        SELECT 2 * doc_id AS scan_id, 'UPLOAD' AS origin, CAST(NULL AS BIGINT) AS parent_scan_id, CASE WHEN doc_id % 17 = 3 THEN 'ZIP' ELSE 'PDF' END AS detected_type, CASE WHEN doc_id % 19 = 4 THEN 'FAILED' ELSE 'SUCCESS' END AS worker_status,
+               CASE WHEN doc_id % 23 = 5 THEN 'ANALYZING' WHEN doc_id % 2 = 0 THEN 'COMPLETED' ELSE 'QUARANTINED' END AS state, CASE WHEN doc_id % 11 = 0 THEN 'ALLOW' WHEN doc_id % 11 = 1 THEN 'BLOCK' WHEN doc_id % 11 = 2 THEN NULL WHEN doc_id % 3 = 0 THEN 'QUARANTINE' ELSE 'REVIEW' END AS decision,
+               doc_id % 11 = 0 AS release_eligible, SHA(text) AS sha, BYTES(text) AS size_bytes, '1.0.2' AS policy_version, SHA('policy') AS policy_fingerprint, CASE WHEN doc_id % 43 = 6 THEN '../x' ELSE concat('d', doc_id) END AS storage_key,
+               CASE WHEN doc_id % 37 = 11 THEN NULL ELSE concat('{"analysis_complete":', CASE WHEN doc_id % 29 = 9 THEN 'false' ELSE 'true' END, ',"decision":"', CASE WHEN doc_id % 31 = 10 THEN 'BLOCK' ELSE 'REVIEW' END, '","hard_block_reasons":', CASE WHEN doc_id % 31 = 10 THEN '["MALWARE"]' ELSE '[]' END,
+                 ',"mandatory_quarantine_reasons":[],"policy_fingerprint":"', SHA('policy'), '","policy_version":"1.0.2","release_eligible":false,"risk_band":"LOW","risk_score":', doc_id % 101, '}') END AS evaluation,
+               CASE WHEN doc_id % 13 = 7 THEN 'PDF_ENCRYPTED,PDF_URI' WHEN doc_id % 13 = 8 THEN 'PDF_URI' ELSE '' END AS codes FROM documents
+        UNION ALL SELECT 2 * doc_id + 1, CASE WHEN doc_id % 40 = 4 THEN 'UPLOAD' ELSE 'CDR_DERIVED' END, 2 * doc_id + CASE WHEN doc_id % 40 = 5 THEN 2 ELSE 0 END, CASE WHEN doc_id % 40 = 6 THEN 'ZIP' ELSE 'PDF' END, CASE WHEN doc_id % 40 = 7 THEN 'FAILED' ELSE 'SUCCESS' END,
+               CASE WHEN doc_id % 40 = 8 THEN 'QUARANTINED' ELSE 'COMPLETED' END, CASE WHEN doc_id % 40 = 9 THEN 'REVIEW' ELSE 'ALLOW' END, CASE WHEN doc_id % 80 = 10 THEN NULL ELSE doc_id % 40 <> 10 END, CASE WHEN doc_id % 40 = 11 THEN SHA('x') ELSE SHA(text) END, BYTES(text) + CASE WHEN doc_id % 40 = 12 THEN 1 ELSE 0 END,
+               CASE WHEN doc_id % 40 = 13 THEN '0' ELSE '1.0.2' END, CASE WHEN doc_id % 40 = 14 THEN SHA('other') ELSE SHA('policy') END, concat('e', doc_id),
+               CASE WHEN doc_id % 120 = 15 THEN NULL WHEN doc_id % 120 = 55 THEN '[{"decision":"ALLOW"}]' WHEN doc_id % 120 = 95 THEN '{"decision":' ELSE concat('{', CASE WHEN doc_id % 40 = 25 THEN '' ELSE concat('"analysis_complete":', CASE WHEN doc_id % 40 = 20 THEN 'false' ELSE 'true' END, ',') END,
+                 '"decision":"', CASE WHEN doc_id % 40 IN (16, 20) THEN 'REVIEW' WHEN doc_id % 40 = 21 THEN 'BLOCK' ELSE 'ALLOW' END, '","hard_block_reasons":', CASE WHEN doc_id % 40 = 21 THEN '["MALWARE"]' ELSE '[]' END,
+                 ',"mandatory_quarantine_reasons":', CASE WHEN doc_id % 40 = 22 THEN '["PDF_LAUNCH"]' WHEN doc_id % 40 = 26 THEN '["B","A"]' ELSE '[]' END, ',"policy_fingerprint":"', CASE WHEN doc_id % 40 = 19 THEN SHA('other') ELSE SHA('policy') END, '","policy_version":"', CASE WHEN doc_id % 40 = 18 THEN '0' ELSE '1.0.2' END,
+                 '","release_eligible":', CASE WHEN doc_id % 80 = 17 THEN '"true"' WHEN doc_id % 40 IN (16, 17, 20, 21) THEN 'false' ELSE 'true' END, ',"risk_band":"LOW","risk_score":', CASE WHEN doc_id % 40 = 27 THEN 101 ELSE 3 END, '}') END,
+               CASE WHEN doc_id % 40 = 23 THEN 'PDF_PARTIAL_ANALYSIS' WHEN doc_id % 40 = 24 THEN 'A,X_MALFORMED' ELSE 'A' END FROM documents""",
+    "v_cleaned": """
+        SELECT doc_id AS artifact_id, CASE WHEN doc_id % 40 = 1 THEN 'THUMBNAIL' ELSE 'PDF_CDR' END AS artifact_type, CASE WHEN doc_id % 40 = 2 THEN -1 ELSE 2 * doc_id END AS scan_id, CASE WHEN doc_id % 40 = 3 THEN -1 ELSE 2 * doc_id + 1 END AS derived_scan_id,
+               SHA(text) AS sha, BYTES(text) AS size_bytes, '1.0.2' AS policy_version, SHA('policy') AS policy_fingerprint FROM documents""",
+    "v_attempted": """
+        SELECT 2 * doc_id AS scan_id, 2 * doc_id + 1 AS derived_id, SHA(text) AS candidate_sha, BYTES(text) AS candidate_bytes, doc_id % 53 <> 0 AS audited, CASE WHEN doc_id % 9 = 2 THEN doc_id END AS existing, doc_id % 47 <> 1 AS output_made,
+               CASE WHEN doc_id % 12 = 5 THEN 'page_limit' WHEN doc_id % 12 = 7 THEN 'render_failed' END AS render_code, BYTES(text) + CASE WHEN doc_id % 15 = 8 THEN 1 ELSE 0 END AS output_bytes, doc_id % 16 <> 9 AS registered,
+               CASE WHEN doc_id % 14 = 10 THEN NULL WHEN doc_id % 14 = 11 THEN SHA('x') ELSE SHA(text) END AS promoted_sha, BYTES(text) + CASE WHEN doc_id % 14 = 12 THEN 1 ELSE 0 END AS promoted_bytes,
+               CASE doc_id % 10 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'invalid' WHEN 2 THEN 'failed' ELSE 'saved' END AS saved, CASE WHEN doc_id % 20 = 0 THEN doc_id END AS existing_after FROM documents""",
     "v_audit": "SELECT event_id, event_type, user_id AS actor_id, CASE WHEN event_id % 7 = 0 THEN 'DENIED' ELSE 'SUCCESS' END AS outcome, props AS details, MICROS(ts) AS us FROM events",
     "v_content": """
         SELECT doc_id AS scan_id, CASE doc_id % 8 WHEN 0 THEN concat('255044462D', hex(text)) WHEN 1 THEN concat('504B0304', hex(text)) WHEN 2 THEN concat('504B0506', hex(text)) WHEN 3 THEN concat('D0CF11E0A1B11AE1', hex(text))
@@ -131,7 +154,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the tables in a folder."""
     text = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
-    return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(_TABLES) + r")\b", r"\1 {\2}", spark_text(text)), **tables)
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(_TABLES) + r")\b", r"\1 {\2}", spark_text(text).replace("{", "{{").replace("}", "}}")), **tables)
 
 
 def duck(sql: str) -> str:
