@@ -178,3 +178,45 @@ def session_checks(events: DataFrame, key: str, idle: int = 1800, absolute: int
         return step
 
     return _replayed(events, [key], ["us"], begin, "valid")
+
+
+def session_steps(idle: int, absolute: int, touch: int, active: bool = True, state: dict[int, tuple] | None = None) -> Callable[..., bool | None]:
+    """One actor's sessions, event by event: open and revoke a session, switch the actor, or use a session.
+
+    The step gives the verdict on a use, else None; `step.state()` is what the next events hang on.
+    """
+    sessions = dict(state or {})
+    actor = [active]
+
+    def step(kind: str, session: int | None, us: int) -> bool | None:
+        if kind == "open":
+            sessions[session] = (us, us, False)
+        elif kind == "revoke" and session in sessions:
+            sessions[session] = (*sessions[session][:2], True)
+        elif kind in ("activate", "deactivate"):
+            actor[0] = kind == "activate"
+        elif kind == "use":
+            began, seen, revoked = sessions.get(session, (0, 0, True))
+            ok = not revoked and us < began + absolute * SECOND and us - seen < idle * SECOND and actor[0]
+            if session in sessions:
+                # what is found invalid once is revoked for good
+                sessions[session] = (began, us if ok and us - seen >= touch * SECOND else seen, not ok)
+            return ok
+        return None
+
+    step.state = lambda: (actor[0], sessions)
+    return step
+
+
+def session_validity(events: DataFrame, idle: int = 1800, absolute: int = 28800, touch: int = 300) -> DataFrame:
+    """event_id, valid for each use among the events (actor_id, session_id, kind, us, event_id) of actors and their sessions.
+
+    Kinds are open, use, revoke (of a session), activate and deactivate (of an actor). A use is valid if its session is open and not
+    revoked, not as old as the absolute time, last seen less than the idle time ago, and its actor active. The time last seen
+    moves when it is `touch` seconds old; a session found invalid is revoked. An actor is replayed in one task.
+    """
+
+    def begin() -> Callable[..., bool | None]:
+        return session_steps(idle, absolute, touch)
+
+    return _replayed(events, ["actor_id"], ["kind", "session_id", "us"], begin, "valid").where("valid IS NOT NULL").select("event_id", "valid")

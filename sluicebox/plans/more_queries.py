@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, contracts, documents, evaluate, reconcile
-from . import dims
+from . import dims, queries
 from .queries import _MATCH_SQL, _POLICY_SQL, evaluated, joined, query
 from .views import view
 
@@ -404,11 +404,14 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    import uuid
-
     from ..streaming import jobs
 
-    return jobs.drain(stream, f"stream_{uuid.uuid4().hex}", mode)
+    return jobs.drain(stream, mode)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over events as a stream, with its time as a timestamp."""
+    return view(spark, sf_dir, name, lambda _: _stream(spark, sf_dir)).withColumn("ts", F.timestamp_micros("us"))
 
 
 @query("SELECT CAST(us // 3600000000 AS BIGINT) AS hour, event_type, count(*) AS n FROM v_event GROUP BY ALL")
@@ -418,22 +421,41 @@ def t10_stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(jobs.hourly_counts(_stream(spark, sf_dir)), "complete").select(F.expr("unix_micros(hour) div 3600000000").alias("hour"), "event_type", "n")
 
 
-@query(_T01_SQL := """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS nth FROM v_event),
-    r AS (SELECT user_id, nth, event_id, [us] AS kept, true AS accepted FROM e WHERE nth = 1 UNION ALL
-      SELECT e.user_id, e.nth, e.event_id, CASE WHEN len(list_filter(r.kept, t -> t > e.us - 21600000000)) < 2 THEN list_append(list_filter(r.kept, t -> t > e.us - 21600000000), e.us) ELSE list_filter(r.kept, t -> t > e.us - 21600000000) END,
-             len(list_filter(r.kept, t -> t > e.us - 21600000000)) < 2 FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1)
-    SELECT event_id, accepted FROM r""")
+@query(queries.T01_SQL)
 def t01_stream_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
     return _drained(jobs.accepted(_stream(spark, sf_dir), 21600, 2)).select("event_id", "accepted")
 
 
-@query()
+@query(queries.T05_SQL)
 def t05_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
-    return _drained(jobs.session_validity(_stream(spark, sf_dir))).select("event_id", "valid")
+    return _drained(jobs.session_validity(_streamed(spark, sf_dir, "v_session_event"))).select("event_id", "valid")
+
+
+@query("""WITH c AS (SELECT *, lead(us) OVER (PARTITION BY scan_id ORDER BY us, event_id) AS next_us, max(us) OVER () AS last_us FROM v_change)
+    SELECT scan_id, us + 900000000 AS stale_us FROM c WHERE state = 'ANALYZING' AND (next_us >= us + 900000000 OR next_us IS NULL AND (us + 900000000) // 1000 + 1 <= (last_us - 600000000) // 1000)""")
+def t09_stream_stale_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans that stay in analysis for 15 minutes; the last ones show when the watermark, ten minutes behind, has passed their deadline."""
+    from ..streaming import jobs
+
+    return _drained(jobs.stale_watch(_streamed(spark, sf_dir, "v_change"), 15))
+
+
+@query("SELECT event_id, event_type, actor_id, outcome, us FROM v_audit")
+def s10_stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log written by the streaming sink and read back."""
+    import uuid
+
+    from ..sources.tables import shared_folder
+    from ..streaming import jobs
+
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    events = view(spark, sf_dir, "v_audit", lambda _: _stream(spark, sf_dir)).select("event_id", "event_type", "actor_id", "outcome", "us")
+    jobs.append_audit(events, path, f"{path}-checkpoint").start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(path)
 
 
 # More evidence and contracts ---------------------------------------------------------------------

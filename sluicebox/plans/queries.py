@@ -311,7 +311,7 @@ def t02_offered_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.offered_over_limit(view(spark, sf_dir, "v_event"), ["user_id", "event_type"], 21600, 2).select("event_id", "offered", "over")
 
 
-@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) AS nth FROM v_event),
+@query(T01_SQL := """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) AS nth FROM v_event),
     r AS (SELECT user_id, event_type, nth, event_id, [us] AS kept, true AS accepted FROM e WHERE nth = 1 UNION ALL
       SELECT e.user_id, e.event_type, e.nth, e.event_id, CASE WHEN len(list_filter(r.kept, t -> t > e.us - 21600000000)) < 2 THEN list_append(list_filter(r.kept, t -> t > e.us - 21600000000), e.us) ELSE list_filter(r.kept, t -> t > e.us - 21600000000) END,
              len(list_filter(r.kept, t -> t > e.us - 21600000000)) < 2 FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.nth = r.nth + 1)
@@ -344,6 +344,19 @@ def t05_session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.session_checks(view(spark, sf_dir, "v_event"), "user_id").select("event_id", "valid")
 
 
+@query(T05_SQL := f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY us, event_id) AS nth FROM v_session_event),
+    r AS (SELECT DISTINCT actor_id, CAST(0 AS BIGINT) AS nth, CAST(-1 AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS valid, true AS active, CAST([] AS STRUCT(k BIGINT, began BIGINT, seen BIGINT, revoked BOOLEAN)[]) AS s FROM e UNION ALL
+      SELECT actor_id, nth, event_id, CASE WHEN kind = 'use' THEN ok END, CASE kind WHEN 'activate' THEN true WHEN 'deactivate' THEN false ELSE active END,
+             CASE WHEN kind = 'open' THEN list_append(rest, {{'k': session_id, 'began': us, 'seen': us, 'revoked': false}})
+                  WHEN own IS NULL OR kind IN ('activate', 'deactivate') THEN s WHEN kind = 'revoke' THEN list_append(rest, {{'k': session_id, 'began': own.began, 'seen': own.seen, 'revoked': true}})
+                  ELSE list_append(rest, {{'k': session_id, 'began': own.began, 'seen': CASE WHEN ok AND us - own.seen >= 300000000 THEN us ELSE own.seen END, 'revoked': NOT ok}}) END
+      FROM (SELECT *, coalesce(NOT own.revoked AND us < own.began + 28800000000 AND us - own.seen < 1800000000 AND active, false) AS ok FROM (SELECT e.*, r.active, r.s, list_filter(r.s, x -> x.k = e.session_id)[1] AS own, list_filter(r.s, x -> x.k <> e.session_id) AS rest
+        FROM r JOIN e ON e.actor_id = r.actor_id AND e.nth = r.nth + 1)))
+    SELECT event_id, valid FROM r WHERE valid IS NOT NULL""")
+def t05_revocable_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.session_validity(view(spark, sf_dir, "v_session_event"))
+
+
 _IN_MINUTE = "x.t > us - 60000000"
 
 

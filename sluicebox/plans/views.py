@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,10 @@ VIEWS = {
     "v_event": "SELECT event_id, user_id, event_type, value, props, MICROS(ts) AS us FROM events",
     "v_attempt": """
         SELECT event_id, user_id % 10 AS tenant, concat('a', user_id % 10, '-', event_id % 3) AS source, concat('u', user_id) AS username, event_type = 'purchase' AS success, CAST((MICROS(ts) - MICROS(ts) % 60) / 60 AS BIGINT) AS us FROM events""",
+    "v_session_event": """
+        SELECT event_id, user_id AS actor_id, user_id * 10 + event_id % 2 AS session_id, CASE WHEN event_type = 'signup' THEN 'open' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'revoke' WHEN event_type = 'purchase' AND event_id % 6 = 0 THEN 'deactivate'
+               WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 'activate' ELSE 'use' END AS kind, CAST((MICROS(ts) - MICROS(ts) % 100) / 100 AS BIGINT) AS us FROM events""",
+    "v_change": "SELECT event_id, user_id AS scan_id, CASE WHEN event_type IN ('signup', 'view') THEN 'ANALYZING' ELSE 'COMPLETED' END AS state, CAST((MICROS(ts) - MICROS(ts) % 60) / 60 AS BIGINT) AS us FROM events",
     "v_operator": "SELECT c_custkey AS operator_id, lower(c_name) AS username, CASE WHEN c_custkey % 9 = 0 THEN 'ADMIN' ELSE 'OPERATOR' END AS role, c_custkey % 4 <> 0 AS active FROM customer",
     "v_listing": """
         SELECT 'documents' AS area, concat('d', doc_id) AS name, BYTES(text) AS size_bytes, CASE WHEN doc_id % 23 = 0 THEN SHA('x') ELSE SHA(text) END AS sha, CASE WHEN doc_id % 2 = 0 THEN 256 ELSE 511 END AS mode, doc_id AS modified_at FROM documents WHERE doc_id % 17 <> 0
@@ -150,10 +155,11 @@ def _calls(sql: str, name: str, write) -> str:
     return sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables in a folder."""
+def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A derived view over the tables in a folder, or over what `read` gives for a table's name, as a stream."""
     text = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+    read = read or (lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    tables = {t: read(t) for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
     return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(_TABLES) + r")\b", r"\1 {\2}", spark_text(text).replace("{", "{{").replace("}", "}}")), **tables)
 
 

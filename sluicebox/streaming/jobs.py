@@ -1,19 +1,21 @@
 """Streaming forms of the limits, sessions, watchers and counts.
 
-State is keyed and holds only what the windows need. Event times are TIMESTAMP; a stream with
-TIMESTAMP_NTZ is cast first.
+State is keyed, holds only what the windows need, and expires by timers on event time, so the pace of a replay changes
+no verdict. Event times are TIMESTAMP; a stream with TIMESTAMP_NTZ is cast first. Stateful streams need the RocksDB state store.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SECOND = 1_000_000
+from ..operators.limits import SECOND, session_steps
+from ..sources.tables import shared_folder
 
 
 def timed(events: DataFrame, column: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -25,107 +27,162 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return timed(events).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-def sessions(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """Sessions of a user, parted by inactivity."""
-    return timed(events).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Run a processor over keyed rows with timers on event time, in the state store that it needs."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def ingest(files: DataFrame, most_bytes: int) -> DataFrame:
-    """Digest and verdict of each new file."""
-    from ..sources.ingest import ingest as batch
+class _Limiter(StatefulProcessor):
+    """A key's accepted times within the window; a timer on event time drops them when the watermark has left it."""
 
-    return batch(files, most_bytes)
+    def __init__(self, seconds: int, limit: int):
+        self.window, self.limit = seconds * SECOND, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "times array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = list(self.kept.get()[0]) if self.kept.exists() else []
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        out = []
+        for us in map(int, batch["us"]):
+            live = [t for t in kept if t > us - self.window]
+            out.append(len(live) < self.limit)
+            # a late event is judged by the times before it, and leaves those after it
+            kept = [*live, us] if out[-1] else live
+        if kept:
+            self.kept.update((kept,))
+            self.handle.registerTimer((max(kept) + self.window) // 1000 + 1)
+        yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": batch["event_id"], "accepted": out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists() and max(self.kept.get()[0]) + self.window < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def accepted(events: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """The limiter: user_id, event_id, accepted. A key's state is the times of its accepted events in the window.
+    """The limiter of each user and event type: user_id, event_type, event_id, accepted.
 
-    Events of a batch are taken in time order; keys without events for a window lose their state.
+    A verdict comes with its micro-batch, in time order within that; state goes by event time, so how fast a
+    stream is replayed changes nothing.
     """
+    rows = timed(events).withColumn("us", F.unix_micros("ts")).select("user_id", "event_type", "event_id", "us", "ts")
+    out = "user_id long, event_type string, event_id long, accepted boolean"
+    return _stateful(rows, ["user_id", "event_type"], _Limiter(seconds, limit), out)
+
+
+class _Sessions(StatefulProcessor):
+    """An actor's sessions, and whether the actor is active. Sessions that have run out go with a timer on event time."""
+
+    def __init__(self, idle: int, absolute: int, touch: int):
+        self.limits = (idle, absolute, touch)
+        self.absolute = absolute * SECOND
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "active boolean")
+        self.open = handle.getMapState("open", "session_id long", "began long, seen long, revoked boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        active = bool(self.active.get()[0]) if self.active.exists() else True
+        state = {k[0]: v for k, v in self.open.iterator()}
+        step = session_steps(*self.limits, active, state)
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        found = [(e, step(k, None if pd.isna(s) else int(s), int(us))) for e, k, s, us in zip(batch["event_id"], batch["kind"], batch["session_id"], batch["us"], strict=True)]
+        active, state = step.state()
+        self.active.update((active,))
+        for number, value in state.items():
+            self.open.updateValue((number,), value)
+            self.handle.registerTimer((value[0] + self.absolute) // 1000 + 1)
+        used = [x for x in found if x[1] is not None]
+        yield pd.DataFrame({"actor_id": key[0], "event_id": [e for e, _ in used], "valid": [v for _, v in used]}, columns=["actor_id", "event_id", "valid"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        for k, value in list(self.open.iterator()):
+            if value[0] + self.absolute < now:
+                self.open.removeKey(k)
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for us, event_id in zip(rows["us"], rows["event_id"], strict=True):
-            kept = [t for t in kept if t > us - seconds * SECOND]
-            out.append(len(kept) < limit)
-            if out[-1]:
-                kept.append(int(us))
-        state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "accepted": out})
 
-    rows = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def session_validity(events: DataFrame, idle: int = 1800, absolute: int = 28800, touch: int = 300) -> DataFrame:
+    """actor_id, event_id, valid for each use of a session; the streaming form of `limits.session_validity`.
 
+    Sessions that would have run out anyway are forgotten when the watermark has passed their end; an unknown session
+    is as invalid as one that has run out.
+    """
+    rows = timed(events).withColumn("us", F.unix_micros("ts")).select("actor_id", "session_id", "kind", "event_id", "us", "ts")
+    return _stateful(rows, ["actor_id"], _Sessions(idle, absolute, touch), "actor_id long, event_id long, valid boolean")
 
-def session_validity(events: DataFrame, idle: int = 1800, absolute: int = 28800, touch: int = 300) -> DataFrame:
-    """user_id, event_id, valid: whether the running session still holds at an event."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, began = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for us in map(int, rows["us"]):
-            ok = seen is not None and us - seen < idle * SECOND and us - began < absolute * SECOND
-            if not ok or us - seen >= touch * SECOND:
-                seen = us
-            began = began if ok else us
-            out.append(ok)
-        state.update((seen, began))
-        state.setTimeoutDuration(absolute * 1000)
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "valid": out})
 
-    rows = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, valid boolean", "seen long, began long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class _Stale(StatefulProcessor):
+    """The time since which a scan is analyzed. It is stale by its next change, or when the watermark passes its deadline."""
 
+    def __init__(self, minutes: int):
+        self.wait = minutes * 60 * SECOND
 
-def stale_watch(changes: DataFrame, minutes: int = 15) -> DataFrame:
-    """scan_id, stale_at: scans whose last change (scan_id, state, ts) to ANALYZING is older than the limit.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "us long")
 
-    A timer on event time fires when the watermark passes a scan's deadline.
-    """
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        since = self.since.get()[0] if self.since.exists() else None
+        found = []
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        for state, us in zip(batch["state"], map(int, batch["us"]), strict=True):
+            if since is not None and us >= since + self.wait:
+                found.append(since + self.wait)
+            since = us if state == "ANALYZING" else None
+        if since is None:
+            self.since.clear()
+        else:
+            self.since.update((since,))
+            self.handle.registerTimer((since + self.wait) // 1000 + 1)
+        yield pd.DataFrame({"scan_id": key[0], "stale_us": found}, columns=["scan_id", "stale_us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.since.exists() and (due := self.since.get()[0] + self.wait) < now:
+            self.since.clear()
+            yield pd.DataFrame({"scan_id": [key[0]], "stale_us": [due]})
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
-            state.remove()
-            yield pd.DataFrame({"scan_id": [key[0]], "stale_at": pd.to_datetime([since + minutes * 60_000], unit="ms")})
-            return
-        last = pd.concat(list(frames)).sort_values("ts").iloc[-1]
-        if last["state"] != "ANALYZING":
-            state.remove() if state.exists else None
-            return
-        since = int(last["ts"].timestamp() * 1000)
-        state.update((since,))
-        state.setTimeoutTimestamp(max(since + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+    def close(self) -> None:
+        pass
 
-    return timed(changes).groupBy("scan_id").applyInPandasWithState(run, "scan_id long, stale_at timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def stale_watch(changes: DataFrame, minutes: int = 15) -> DataFrame:
+    """scan_id, stale_us: each time that a scan (scan_id, event_id, state, ts) stays ANALYZING without a change for the given minutes."""
+    rows = timed(changes).withColumn("us", F.unix_micros("ts")).select("scan_id", "event_id", "state", "us", "ts")
+    return _stateful(rows, ["scan_id"], _Stale(minutes), "scan_id long, stale_us long")
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str):
-    """The audit log as an append-only sink."""
-    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    """The audit log as an append-only sink: files are added, never changed, each micro-batch once."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, as one batch, into a table in the shared folder, and return that.
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now into a table in the shared folder, and return that.
 
-    The folder is that of spark.checkpoint.dir, or else the warehouse; the stream's own checkpoint lies beside
-    the table. One batch, as processing-time timers would keep a run over everything available from ending.
+    The stream's own checkpoint lies beside the table. A micro-batch that is run again writes its rows again under
+    the same name, so a lost driver doubles nothing.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{name}"
-    spark.createDataFrame([], df.schema).write.parquet(path)
-    write = "overwrite" if mode == "complete" else "append"
-    query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(path)).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(once=True).start()
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    spark.createDataFrame([], df.schema).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
