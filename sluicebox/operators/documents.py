@@ -76,24 +76,6 @@ def action_types(actions: DataFrame, most_unknown: int = 32) -> DataFrame:
     return rows.withColumn("type", F.when(known, F.col("subtype")).when(F.col("before") >= most_unknown, "Unknown:other").otherwise(F.concat(F.lit("Unknown:"), names.bounded(F.col("subtype"), 64))))
 
 
-def walk(actions: DataFrame, most_depth: int = 32, most_nodes: int = 512) -> DataFrame:
-    """Each action that `next` links reach from the documents' first actions, with its least depth.
-
-    A recursive query, bounded by depth; the session's recursion row limit is lifted for it.
-    """
-    spark = actions.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    found = spark.sql(
-        f"""WITH RECURSIVE w(doc_id, action_id, next_id, depth) AS (
-             SELECT doc_id, action_id, next_id, 0 FROM {{actions}} WHERE first UNION ALL
-             SELECT a.doc_id, a.action_id, a.next_id, w.depth + 1 FROM w JOIN {{actions}} a ON a.doc_id = w.doc_id AND a.action_id = w.next_id WHERE w.depth < {int(most_depth)})
-           SELECT doc_id, action_id, min(depth) AS depth FROM w GROUP BY doc_id, action_id""",
-        actions=actions,
-    )
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("depth", "action_id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= most_nodes).drop("nth")
-
-
 def action_summary(typed: DataFrame, most_targets: int = 32) -> DataFrame:
     """Capabilities of a document's actions: counts by kind, sources, holders, targets kept, external forms."""
     t = F.col("target")
@@ -139,14 +121,6 @@ def within_limit(rows: DataFrame, order: str, most: int, reason: str) -> DataFra
     return rows.withColumns({"nth": nth, "reason": F.when(more, reason)}).where(F.col("nth") <= most).drop("nth")
 
 
-def form_fields(fields: DataFrame, most_depth: int = 32) -> DataFrame:
-    """Fields (doc_id, field_id, parent_id) that a document's form tree reaches from its roots, each once."""
-    parent = fields.select("doc_id", F.col("field_id").alias("action_id"), F.col("parent_id"))
-    child = fields.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("action_id"), F.col("field_id").alias("next_id"))
-    steps = parent.join(child, ["doc_id", "action_id"], "left").select("doc_id", "action_id", "next_id", F.col("parent_id").isNull().alias("first"))
-    return walk(steps, most_depth, most_nodes=1 << 30).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.max("depth").alias("deepest"))
-
-
 def compound_files(entries: DataFrame, most_entries: int = 4096, most_objects: int = 256) -> DataFrame:
     """Compound files (doc_id, family, path of each entry) by the names of their storages and streams.
 

@@ -1,4 +1,4 @@
-"""Page documents as a whole: attachment names, page and object budgets, findings in order and status."""
+"""Page documents as a whole: attachment names, findings in order and status."""
 
 from __future__ import annotations
 
@@ -29,27 +29,6 @@ def attachment_names(attachments: DataFrame, most: int = 32) -> DataFrame:
     return rows.groupBy("doc_id").agg(kept.alias("names"), (F.max("nth") > most).alias("capped"))
 
 
-def budgets(objects: DataFrame, most_pages: int = 10_000, most_objects: int = 100_000, most_inspected: int = 100_000) -> DataFrame:
-    """Reasons why a document's objects (doc_id, page_no, is_field) could not be read whole, and what was read.
-
-    Form fields come before the pages' annotations and share one budget with them. All of it are sums, so a
-    document with very many objects is counted where its rows lie: doc_id, pages, objects, fields_inspected,
-    annotations_inspected, reasons (sorted).
-    """
-    out = objects.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"), F.count(F.lit(1)).alias("objects"), F.count_if("is_field").alias("fields"))
-    fields = F.least("fields", F.lit(most_inspected))
-    reasons = [
-        F.when(F.col("objects") > most_inspected, "custom_object_limit"),
-        F.when(F.col("objects") > most_objects, "indirect_object_limit"),
-        F.when(F.col("pages") > most_pages, "page_limit"),
-    ]
-    return out.select(
-        "doc_id", "pages", "objects", fields.cast("long").alias("fields_inspected"),
-        F.least(F.col("objects") - F.col("fields"), F.lit(most_inspected) - fields).cast("long").alias("annotations_inspected"),
-        F.array_compact(F.array(*reasons)).alias("reasons"),
-    )
-
-
 def result(evidence: DataFrame) -> DataFrame:
     """doc_id, findings (in the order of the contract) and status of a document's evidence.
 

@@ -60,38 +60,6 @@ def o03_main_part_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Page documents ----------------------------------------------------------------------------------
 
-_BUDGET_SQL = """budget AS (SELECT doc_id, count(DISTINCT page_no) AS pages, count(*) AS objects, least(count(*) FILTER (is_field), 3) AS fields_inspected, least(count(*) FILTER (NOT is_field), 3 - least(count(*) FILTER (is_field), 3)) AS annotations_inspected,
-    array_to_string(list_filter([CASE WHEN count(*) > 3 THEN 'custom_object_limit' END, CASE WHEN count(*) > 5 THEN 'indirect_object_limit' END, CASE WHEN count(DISTINCT page_no) > 2 THEN 'page_limit' END], x -> x IS NOT NULL), ',') AS reasons FROM v_page_object GROUP BY doc_id) """
-
-
-def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.budgets(view(spark, sf_dir, "v_page_object"), 2, 5, 3)
-
-
-@query("WITH " + _BUDGET_SQL + "SELECT * FROM budget")
-def p10_15_object_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _budgets(spark, sf_dir).withColumn("reasons", joined("reasons"))
-
-
-@query(
-    _TYPED_SQL.replace(">= 1 THEN 'Unknown:other'", ">= 32 THEN 'Unknown:other'")
-    + ", "
-    + _BUDGET_SQL
-    + """, s AS (SELECT doc_id, count(*) FILTER (type = 'JavaScript') AS js, count(*) FILTER (type = 'Launch') AS la, count(*) FILTER (type = 'URI') AS li, bool_or(source = 'open') AS op, bool_or(source = 'page') AS pa, bool_or(source = 'form') AS fo, count(*) FILTER (type = 'SubmitForm' AND target <> 'no target') AS su FROM typed GROUP BY doc_id),
-    e AS (SELECT doc_id, least(greatest(named, specs) + loose, 128) AS embedded FROM (SELECT doc_id, count(*) FILTER (named) AS named, count(DISTINCT spec_id) AS specs FROM v_attachment GROUP BY doc_id) JOIN (SELECT doc_id, count(*) FILTER (NOT r) AS loose FROM (SELECT doc_id, payload_id, bool_or(referenced) AS r FROM v_attachment GROUP BY ALL) GROUP BY doc_id) USING (doc_id))
-    SELECT doc_id, array_to_string(list_filter([CASE WHEN js > 0 THEN 'PDF_JAVASCRIPT' END, CASE WHEN op THEN 'PDF_OPEN_ACTION' END, CASE WHEN pa THEN 'PDF_ADDITIONAL_ACTION' END, CASE WHEN la > 0 THEN 'PDF_LAUNCH_ACTION' END, CASE WHEN embedded > 0 THEN 'PDF_EMBEDDED_FILE' END, CASE WHEN fo THEN 'PDF_ACROFORM' END, CASE WHEN fo AND doc_id % 10 = 0 THEN 'PDF_XFA' END,
-        CASE WHEN li > 0 THEN 'PDF_EXTERNAL_URI' END, CASE WHEN su > 0 THEN 'PDF_EXTERNAL_SUBMISSION' END, CASE WHEN doc_id % 9 = 0 THEN 'PDF_ENCRYPTED' END, CASE WHEN doc_id % 12 = 0 THEN 'PDF_MALFORMED' END, CASE WHEN reasons <> '' THEN 'PDF_PARTIAL_ANALYSIS' END, CASE WHEN doc_id % 24 = 0 THEN 'PDF_FALLBACK_INDICATOR' END], x -> x IS NOT NULL), ',') AS findings,
-      CASE WHEN doc_id % 12 = 0 THEN 'MALFORMED' WHEN reasons <> '' THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM s LEFT JOIN budget USING (doc_id) LEFT JOIN e USING (doc_id)"""
-)
-def p11_page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = documents.action_summary(documents.action_types(view(spark, sf_dir, "v_action")))
-    embedded = documents.embedded_count(view(spark, sf_dir, "v_attachment"))
-    rows = summary.join(_budgets(spark, sf_dir).select("doc_id", "reasons"), "doc_id", "left").join(embedded, "doc_id", "left")
-    has, d = lambda source: F.array_contains("sources", source), F.col("doc_id")
-    flags = {"open_action": has("open"), "additional": has("page").cast("int"), "acroform": has("form"), "xfa": has("form") & (d % 10 == 0), "encrypted": d % 9 == 0, "malformed": d % 12 == 0, "fallback": d % 24 == 0}
-    return pages.result(rows.withColumns(flags)).select("doc_id", joined("findings").alias("findings"), "status")
-
-
 @query("""WITH n AS (SELECT doc_id, substr(replace(display_name, '/', '_'), 1, 128) AS name, min(ordinal) AS first_at FROM v_attachment WHERE named GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, name) AS nth, count(*) OVER (PARTITION BY doc_id) AS total FROM n)
     SELECT doc_id, string_agg(name, '|' ORDER BY name) AS names, max(total) > 8 AS capped FROM k WHERE nth <= 8 GROUP BY doc_id""")
 def n12_attachment_names(spark: SparkSession, sf_dir: str) -> DataFrame:

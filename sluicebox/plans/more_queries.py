@@ -292,11 +292,6 @@ def p01_action_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.action_types(view(spark, sf_dir, "v_action"), 1).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH RECURSIVE w(doc_id, action_id, next_id, depth) AS (SELECT doc_id, action_id, next_id, 0 FROM v_action WHERE action_id = 0 UNION ALL SELECT a.doc_id, a.action_id, a.next_id, w.depth + 1 FROM w JOIN v_action a ON a.doc_id = w.doc_id AND a.action_id = w.next_id WHERE w.depth < 3) SELECT doc_id, action_id, min(depth) AS depth FROM w GROUP BY doc_id, action_id")
-def p02_action_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.walk(view(spark, sf_dir, "v_action").withColumn("first", F.col("action_id") == 0), 3)
-
-
 @query(_TYPED_SQL.replace(">= 1 THEN 'Unknown:other'", ">= 32 THEN 'Unknown:other'") + """SELECT doc_id, count(*) FILTER (type = 'JavaScript') AS scripts, count(*) FILTER (type = 'Launch') AS launches, count(*) FILTER (type = 'URI') AS links, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT holder_id) AS holders, least(count(*) FILTER (type = 'URI'), 32) AS kept_targets, count(*) FILTER (type = 'URI') > 128 AS partial,
     least(count(*) FILTER (type = 'SubmitForm' AND target <> 'no target'), 32) AS external_forms FROM typed GROUP BY doc_id""")
 def p03_06_action_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,12 +467,6 @@ def p10_13_15_visit_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.within_limit(view(spark, sf_dir, "v_attachment").where("named"), "ordinal", 2, "attachment_limit").select("doc_id", "ordinal", "reason")
 
 
-@query("WITH RECURSIVE w(doc_id, id, depth) AS (SELECT DISTINCT doc_id, action_id, 0 FROM v_action WHERE action_id % 4 = 0 UNION ALL SELECT a.doc_id, a.action_id, w.depth + 1 FROM w JOIN v_action a ON a.doc_id = w.doc_id AND a.action_id - 1 = w.id AND a.action_id % 4 <> 0) SELECT doc_id, count(DISTINCT id) AS fields, max(depth) AS deepest FROM w GROUP BY doc_id")
-def p12_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = view(spark, sf_dir, "v_action").select("doc_id", F.col("action_id").alias("field_id"), F.when(F.col("action_id") % 4 != 0, F.col("action_id") - 1).alias("parent_id"))
-    return documents.form_fields(fields)
-
-
 @query("SELECT action_id, CASE WHEN subtype IN ('JavaScript', 'Launch') THEN 'action' ELSE 'destination' END AS kind, count(*) AS n FROM v_action WHERE source = 'open' GROUP BY ALL")
 def p14_open_action_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("subtype").isin("JavaScript", "Launch"), "action").otherwise("destination")

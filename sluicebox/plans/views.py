@@ -115,6 +115,13 @@ VIEWS = {
         SELECT doc_id AS scan_id, CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS schema_version, CASE WHEN doc_id % 13 = 0 THEN 'ANALYZE' ELSE 'SANITIZE' END AS operation, CASE WHEN doc_id % 4 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
                CASE WHEN doc_id % 8 = 0 THEN 'page_limit' WHEN doc_id % 9 = 0 THEN 'malformed' WHEN doc_id % 12 = 0 THEN 'ineligible' END AS failure_code, doc_id % 7 AS page_count, BYTES(text) AS output_bytes, doc_id % 17 = 0 AS unavailable, doc_id % 19 = 0 AS timed_out,
                doc_id % 23 = 0 AS output_over, CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END AS exit_code, CASE WHEN doc_id % 31 = 0 THEN '2.0' ELSE '1.0' END AS renderer, CASE WHEN doc_id % 5 <> 0 THEN doc_id + 1 END AS derived_scan_id FROM documents""",
+    "v_object": """
+        SELECT *, CASE WHEN kind = 'field' AND s % 3 > 0 THEN object_id - 1 - s % 5 WHEN kind = 'annotation' THEN max(CASE WHEN kind = 'page' THEN object_id END) OVER (PARTITION BY doc_id ORDER BY object_id ROWS UNBOUNDED PRECEDING) END AS parent_id,
+               CASE WHEN kind IN ('open', 'name', 'field', 'page', 'annotation') AND s % 4 <> 2 THEN 1 + (object_id * 7 + p) % 40 END AS a1, CASE WHEN kind IN ('catalog', 'acroform') OR kind IN ('page', 'field', 'annotation') AND s % 5 = 0 THEN 1 + (object_id * 3 + s) % 40 END AS t1, 1 + (object_id * 5 + s) % 40 AS t2,
+               CASE WHEN kind = 'action' AND s % 6 > 0 THEN 1 + (object_id * 5 + s) % 40 END AS n1, CASE WHEN kind = 'action' AND s % 6 > 1 THEN 1 + (object_id + p) % 40 END AS n2,
+               CASE WHEN kind = 'action' THEN CASE p % 9 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'Launch' WHEN 2 THEN 'URI' WHEN 3 THEN 'SubmitForm' WHEN 4 THEN concat('X', s % 3) ELSE 'GoTo' END END AS subtype
+        FROM (SELECT doc_id, object_id, p, s, CASE WHEN object_id = 1 THEN 'open' WHEN object_id = 2 THEN 'catalog' WHEN object_id = 3 THEN 'acroform' WHEN p % 8 = 0 THEN 'page' WHEN p % 8 = 1 THEN 'annotation' WHEN p % 8 IN (2, 3) THEN 'field' WHEN p % 8 = 4 THEN 'name' ELSE 'action' END AS kind
+          FROM (SELECT l_orderkey - l_orderkey % 10 AS doc_id, row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS object_id, l_partkey AS p, l_suppkey AS s FROM lineitem) b0) b1""",
     "v_page_object": "SELECT conv_id AS doc_id, turn AS ordinal, role = 'user' AS is_field, turn % 3 AS page_no FROM conversations",
     "v_session": "SELECT c_custkey AS session_id, c_custkey % 50 AS user_id, CAST(round(c_acctbal * 100) AS BIGINT) AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS revoked_at FROM customer",
     "v_page_size": "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, max(l_quantity) * 40 AS width, max(l_quantity) * 60 AS height FROM lineitem GROUP BY l_orderkey, l_linenumber",
