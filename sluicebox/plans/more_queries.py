@@ -477,7 +477,7 @@ def p14_open_action_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c03_match_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import rules
 
-    found = rules.matches(view(spark, sf_dir, "v_scan"), [("card", "$a", "[0-9]{16}", "YARA_HEURISTIC_MATCH")])
+    found = rules.matches(view(spark, sf_dir, "v_scan"), [rules.Pattern("card", "$a", "[0-9]{16}", "YARA_HEURISTIC_MATCH")], content_column="text")
     sent = found.withColumn("offsets", F.when(F.col("scan_id") % 5 == 0, F.reverse("offsets")).otherwise(F.col("offsets")))
     return sent.select("scan_id", joined(contracts.violations(contracts.match_rules())).alias("violations"))
 
@@ -502,14 +502,20 @@ def c06_audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_audit").select("event_id", contracts.bounded_details(F.col("details")).alias("details"))
 
 
-@query("SELECT r.rule_id, count(*) AS documents FROM (VALUES ('license_line', 'MIT License'), ('mail_address', '[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][a-z]+'), ('token_value', '(?i)token *[:=]')) r(rule_id, regex) JOIN documents ON regexp_matches(text, regex) GROUP BY r.rule_id")
+@query("""WITH p AS (SELECT concat('R', p_partkey % 97) AS rule_id, CASE WHEN p_partkey % 400 < 2 THEN '$x' ELSE concat('$', p_partkey) END AS string_id, p_name AS expression, CASE WHEN p_partkey % 211 = 0 THEN 'other' ELSE concat('C', p_partkey % 97) END AS code FROM part), m AS (SELECT DISTINCT concat('R', s_suppkey % 101) AS rule_id FROM supplier),
+    d AS (SELECT rule_id, sha256(string_agg(rule_id || chr(9) || string_id || chr(9) || expression || chr(9) || code, chr(10) ORDER BY rule_id || chr(9) || string_id || chr(9) || expression || chr(9) || code)) AS digest FROM p GROUP BY rule_id), w AS (SELECT sha256(string_agg(digest, chr(10) ORDER BY rule_id)) AS digest FROM d)
+    SELECT 'repeated' AS fault, rule_id FROM p GROUP BY rule_id HAVING count(*) > count(DISTINCT string_id) OR count(DISTINCT code) > 1 UNION ALL SELECT 'undeclared', rule_id FROM (SELECT DISTINCT rule_id FROM p) WHERE rule_id NOT IN (SELECT rule_id FROM m)
+    UNION ALL SELECT 'missing', rule_id FROM m WHERE rule_id NOT IN (SELECT rule_id FROM p) UNION ALL SELECT 'digest', NULL UNION ALL SELECT 'found', digest FROM w""")
 def y05_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of the pack with one string each: how many documents each occurs in, after the pack's checks."""
+    """Parts as strings of a pack of rules, suppliers as its manifest: what differs, and the digest found."""
     from ..operators import rules
 
-    pack = dims.rule_dim(spark)
-    single = [r["rule_id"] for r in pack.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("codes")).where("n = 1 AND codes = 1").collect()]
-    return rules.matches(view(spark, sf_dir, "v_scan"), [r for r in dims.RULES if r[0] in single]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("documents"))
+    k = F.col("p_partkey")
+    number = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pack = part.select(number("R", 97).alias("rule_id"), F.when(k % 400 < 2, "$x").otherwise(F.concat(F.lit("$"), k)).alias("string_id"), F.col("p_name").alias("expression"), F.when(k % 211 == 0, "other").otherwise(number("C", 97)).alias("code"))
+    manifest = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("R"), (F.col("s_suppkey") % 101).cast("string")).alias("rule_id"))
+    return rules.pack_faults(pack, manifest, "expected").unionAll(rules.pack_digest(pack).select(F.lit("found"), "digest"))
 
 
 # Compound files ----------------------------------------------------------------------------------

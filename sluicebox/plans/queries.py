@@ -282,25 +282,61 @@ def a19_archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pattern rules -----------------------------------------------------------------------------------
 
-_RULE_SQL = "WITH r(rule_id, string_id, regex, code) AS (" + dims.sql_values(dims.RULES) + """), h AS (SELECT scan_id, rule_id, string_id, code, len(regexp_extract_all(text, regex)) AS n FROM v_scan, r),
-    g AS (SELECT scan_id, rule_id, code, sum(n) AS match_count, string_agg(string_id, ',' ORDER BY string_id) AS strings FROM h GROUP BY ALL HAVING min(n) > 0) """
+_RULE_SQL = "WITH r(rule_id, string_id, regex, code, nth, needed) AS (" + dims.sql_values([(p.rule_id, p.string_id, ("(?i)" if p.nocase else "") + p.expression, p.code, k, sum(q.rule_id == p.rule_id for q in dims.RULES)) for k, p in enumerate(dims.RULES)]) + """),
+    t AS (SELECT doc_id AS scan_id, r.*, doc_id % 7 = 3 AS wide, regexp_extract_all(text, regex) AS ms, string_split_regex(text, regex) AS gaps FROM documents JOIN r ON regexp_matches(text, regex)),
+    z AS (SELECT *, list_transform(ms[1:16], x -> CASE WHEN wide THEN 2 * length(x) ELSE strlen(x) END) AS m, list_transform(gaps[1:16], x -> CASE WHEN wide THEN 2 * length(x) ELSE strlen(x) END) AS g FROM t),
+    h AS (SELECT *, list_transform(range(1, len(m) + 1), i -> CAST(list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT)) AS offs FROM z),
+    g AS (SELECT scan_id, rule_id, code, CAST(sum(len(ms)) AS BIGINT) AS match_count, list(string_id ORDER BY string_id) AS strings, list_sort(list_distinct(flatten(list(offs ORDER BY nth))[1:16])) AS offsets FROM h GROUP BY scan_id, rule_id, code, needed HAVING count(*) = needed) """
 
 
-@query(_RULE_SQL + "SELECT scan_id, rule_id, code, CAST(match_count AS BIGINT) AS match_count, strings FROM g")
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes, one in seven as UTF-16."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("scan_id"), F.when(F.col("doc_id") % 7 == 3, F.encode("text", "UTF-16LE")).otherwise(F.col("text").cast("binary")).alias("content"))
+
+
+@query(_RULE_SQL + "SELECT scan_id, rule_id, code, match_count, array_to_string(strings, ',') AS strings, array_to_string(offsets, ',') AS offsets FROM g")
 def y01_02_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.matches(view(spark, sf_dir, "v_scan"), dims.RULES).select("scan_id", "rule_id", "code", F.col("match_count").cast("long").alias("match_count"), joined("strings").alias("strings"))
+    found = rules.matches(_contents(spark, sf_dir), dims.RULES)
+    return found.withColumns({"strings": joined("strings"), "offsets": F.array_join(F.col("offsets").cast("array<string>"), ",")})
+
 
+def _limits_sql(most_rules: int, most_strings: int, most_instances: int, most_bytes: int) -> str:
+    return _RULE_SQL + f""", def(rule_id, title, explanation, category, confidence) AS ({dims.sql_values(dims.RULE_DEFINITIONS)}),
+    l AS (SELECT g.*, row_number() OVER (PARTITION BY scan_id ORDER BY rule_id) AS nth, count(*) OVER (PARTITION BY scan_id) AS rules, concat('{{"confidence_class":"', confidence, '","match_count":', least(match_count, {most_instances}), ',"offsets":[', array_to_string(offsets, ','), '],"rule_category":"', category, '","rule_explanation":"', explanation,
+      '","rule_id":"', rule_id, '","rule_pack_sha256":"pack","rule_pack_version":"1","rule_title":"', title, '","scope":"TOP_LEVEL","string_ids":["', array_to_string(strings[1:{most_strings}], '","'), '"]}}') AS metadata FROM g JOIN def USING (rule_id)),
+    b AS (SELECT *, sum(strlen(metadata)) OVER (PARTITION BY scan_id ORDER BY rule_id) AS bytes FROM l), k AS (SELECT *, nth <= {most_rules} AND coalesce(lag(bytes) OVER (PARTITION BY scan_id ORDER BY rule_id), 0) <= {most_bytes} AS looked FROM b),
+    why AS (SELECT scan_id, 'matched_rule_limit' AS reason FROM k WHERE rules > {most_rules} UNION SELECT scan_id, 'string_identifier_limit' FROM k WHERE looked AND len(strings) > {most_strings} UNION SELECT scan_id, 'match_instance_limit' FROM k WHERE looked AND match_count > {most_instances}
+      UNION SELECT scan_id, 'offset_limit' FROM k WHERE looked AND match_count > len(offsets) UNION SELECT scan_id, 'metadata_limit' FROM k WHERE looked AND bytes > {most_bytes}),
+    w AS (SELECT scan_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM why GROUP BY scan_id), lim AS (SELECT k.*, nth <= {most_rules} AND bytes <= {most_bytes} AS kept, coalesce(reasons, '') AS reasons FROM k LEFT JOIN w USING (scan_id)) """
+
+
+#: Limits that the given tables reach in each way.
+_FEW = {"most_rules": 2, "most_strings": 1, "most_instances": 4, "most_bytes": 620}
+_FEW_SQL = _limits_sql(*_FEW.values())
 
-@query(_RULE_SQL + ", l AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY rule_id) AS nth, count(*) OVER (PARTITION BY scan_id) AS rules FROM g) SELECT scan_id, rule_id, CAST(least(match_count, 3) AS BIGINT) AS match_count, array_to_string(list_filter([CASE WHEN rules > 1 THEN 'rule_limit' END, CASE WHEN match_count > 3 THEN 'instance_limit' END], x -> x IS NOT NULL), ',') AS reasons FROM l WHERE nth <= 1")
+
+def _limited(spark: SparkSession, sf_dir: str, limits: dict) -> DataFrame:
+    return rules.limits(rules.matches(_contents(spark, sf_dir), dims.RULES), dims.rule_definitions(spark), "1", "pack", **limits)
+
+
+@query(_FEW_SQL + "SELECT scan_id, rule_id, least(match_count, 4) AS match_count, array_to_string(strings[1:1], ',') AS strings, sha256(metadata) AS metadata, kept, reasons FROM lim")
 def y03_04_match_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.limits(rules.matches(view(spark, sf_dir, "v_scan"), dims.RULES), most_rules=1, most_offsets=1000, most_instances=3, most_bytes=1 << 20)
-    return found.select("scan_id", "rule_id", F.col("match_count").cast("long").alias("match_count"), joined("reasons").alias("reasons"))
+    rows = _limited(spark, sf_dir, _FEW)
+    return rows.select("scan_id", "rule_id", "match_count", joined("strings").alias("strings"), F.sha2("metadata", 256).alias("metadata"), "kept", joined("reasons").alias("reasons"))
+
+
+@query(_limits_sql(32, 16, 4096, 12 << 10) + f""", dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}), f AS (SELECT scan_id, code FROM lim WHERE kept UNION ALL SELECT DISTINCT scan_id, 'YARA_PARTIAL_ANALYSIS' FROM lim WHERE reasons <> '')
+    SELECT code, severity, techniques, count(*) AS n FROM f JOIN dim USING (code) GROUP BY ALL""")
+def y06_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings under the limits in use: a document with more matches than offsets are kept of is a partial one."""
+    return rules.findings(_limited(spark, sf_dir, {}), dims.finding_dim(spark)).groupBy("code", "severity", "techniques").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_RULE_SQL + f", dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}) SELECT code, severity, techniques, count(*) AS n FROM g JOIN dim USING (code) GROUP BY ALL")
-def y06_07_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.limits(rules.matches(view(spark, sf_dir, "v_scan"), dims.RULES), most_offsets=1 << 20, most_bytes=1 << 30)
-    return rules.findings(found, dims.finding_dim(spark)).groupBy("code", "severity", "techniques").agg(F.count(F.lit(1)).alias("n"))
+@query(_FEW_SQL + """SELECT doc_id AS scan_id, CASE WHEN coalesce(why, '') = '' THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, coalesce(n, 0) AS matched_rules, coalesce(kept_n, 0) + CASE WHEN coalesce(why, '') = '' THEN 0 ELSE 1 END AS retained_findings, coalesce(why, '') AS reasons
+    FROM documents LEFT JOIN (SELECT scan_id AS doc_id, count(*) AS n, count(*) FILTER (kept) AS kept_n, any_value(reasons) AS why FROM lim GROUP BY scan_id) USING (doc_id)""")
+def y07_scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.status(_contents(spark, sf_dir), _limited(spark, sf_dir, _FEW)).withColumn("reasons", joined("reasons"))
 
 
 # Limits and sessions -----------------------------------------------------------------------------
