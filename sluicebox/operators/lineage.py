@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 DECISIONS = ("ALLOW", "REVIEW", "QUARANTINE", "BLOCK")
-BANDS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+BANDS = ("LOW", "MODERATE", "HIGH", "CRITICAL")
 DERIVED_TYPE, ARTIFACT_TYPE, DERIVED_ORIGIN = "PDF", "PDF_CDR", "CDR_DERIVED"
 UNREADABLE = ("PDF_PARTIAL_ANALYSIS", "PDF_MALFORMED", "PDF_ENCRYPTED")
 MOST_PAGES = 100

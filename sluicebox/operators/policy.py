@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import canonical
 from ..plans.dims import SUPPORTED_TYPES
 
+
 def none() -> Column:
     """An empty list of strings."""
     return F.array().cast("array<string>")
@@ -94,3 +96,50 @@ def catalog_state(status: Column, decision: Column) -> Column:
 def weigh_findings(findings: DataFrame, policy: DataFrame) -> DataFrame:
     """Each finding row with its code's points; repeated codes repeat them, unlike a scan's score."""
     return findings.join(F.broadcast(policy.select("code", F.col("points").alias("score_delta"), "severity")), "code", "left")
+
+
+#: Why an analysis isn't complete, in words.
+EXPLANATIONS = {
+    "POLICY_ANALYSIS_CONTRADICTION": "The status is a success, but a finding tells of an incomplete analysis.",
+    "POLICY_ANALYSIS_FAILURE": "The run of the analysis failed.",
+    "POLICY_ANALYSIS_RESULT_MISSING": "There is no valid result.",
+    "POLICY_ANALYSIS_STATUS_FAILED": "The worker failed.",
+    "POLICY_ANALYSIS_STATUS_TIMEOUT": "The worker took too long.",
+    "POLICY_ANALYSIS_STATUS_UNSUPPORTED": "The content is of no supported kind.",
+    "POLICY_EVALUATION_FAILURE": "The policy could not be applied; nothing may be released.",
+    "POLICY_LIFECYCLE_INCONSISTENCY": "The scan is in a state that isn't evaluated.",
+    "POLICY_UNSUPPORTED_DETECTED_TYPE": "Content of this type isn't released.",
+}
+
+
+def with_explanations(evaluations: DataFrame, policy: DataFrame, compounds: DataFrame) -> DataFrame:
+    """Evaluations with decision_reasons: (code, explanation) of each reason, by code. The tables are of fixed size."""
+    words = {r["code"]: r["explanation"] for r in policy.select("code", "explanation").collect()} | {r["name"]: compound_explanation(r["name"]) for r in compounds.select("name").collect()} | EXPLANATIONS
+    known = F.create_map(*[F.lit(x) for pair in sorted(words.items()) for x in pair])
+    return evaluations.withColumn("decision_reasons", F.transform("reasons", lambda c: F.struct(c.alias("code"), F.coalesce(F.element_at(known, c), F.lit("")).alias("explanation"))))
+
+
+def compound_explanation(name: str) -> str:
+    return name.removeprefix("POLICY_COMPOUND_").replace("_", " ").lower() + " were found together"
+
+
+def as_json(explained: DataFrame, version: str, fingerprint: str, evaluated_at: Column | None = None) -> Column:
+    """An evaluation's canonical text: the same evaluation gives the same text, but for the time that it may carry."""
+    contributions = F.transform("contributions", lambda c: F.struct(F.substring_index(c, "=", 1).alias("code"), F.substring_index(c, "=", -1).cast("int").alias("points")))
+    fields = [
+        F.col("complete").alias("analysis_complete"), F.col("compounds").alias("compound_rules_triggered"), contributions.alias("contributions"), "decision", "decision_reasons", "hard_block_reasons", F.col("mandatory_reasons").alias("mandatory_quarantine_reasons"),
+        F.lit(fingerprint).alias("policy_fingerprint"), F.lit(version).alias("policy_version"), "release_eligible", F.col("band").alias("risk_band"), F.col("score").alias("risk_score"),
+    ]
+    if evaluated_at is not None:
+        fields.append(evaluated_at.alias("evaluated_at"))
+    return canonical(F.to_json(F.struct(*fields)))
+
+
+def identity_agrees(stored: str) -> Column:
+    """Whether the six persisted columns of a scan are those of its stored evaluation (JSON); not without a readable one."""
+    e = F.from_json(stored, "policy_version string, policy_fingerprint string, risk_score int, risk_band string, decision string, release_eligible boolean")
+    pairs = {"policy_version": "policy_version", "policy_fingerprint": "policy_fingerprint", "score": "risk_score", "band": "risk_band", "decision": "decision", "release_eligible": "release_eligible"}
+    same = F.json_object_keys(stored).isNotNull()
+    for own, inside in pairs.items():
+        same = same & (F.col(own) == e[inside])
+    return F.coalesce(same, F.lit(False))

@@ -14,7 +14,7 @@ _RECORD_SQL = r"""WITH r0 AS (SELECT *, CASE WHEN json_valid(evaluation) AND jso
     r1 AS (SELECT *, json_extract_string(j, '$.decision') AS e_decision, json_extract_string(j, '$.policy_version') AS e_version, json_extract_string(j, '$.policy_fingerprint') AS e_fingerprint, json_extract_string(j, '$.risk_band') AS e_band, CAST(json_extract_string(j, '$.risk_score') AS INTEGER) AS e_score,
         CASE CAST(json_extract(j, '$.release_eligible') AS VARCHAR) WHEN 'true' THEN true WHEN 'false' THEN false END AS e_release, CASE CAST(json_extract(j, '$.analysis_complete') AS VARCHAR) WHEN 'true' THEN true WHEN 'false' THEN false END AS e_complete,
         coalesce(CAST(json_extract(j, '$.hard_block_reasons') AS VARCHAR[]), []) AS hard, coalesce(CAST(json_extract(j, '$.mandatory_quarantine_reasons') AS VARCHAR[]), []) AS held FROM r0),
-    rec AS (SELECT *, coalesce(length(e_version) BETWEEN 1 AND 32 AND regexp_matches(e_fingerprint, '^[0-9a-f]{64}$') AND e_score BETWEEN 0 AND 100 AND e_band IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') AND e_decision IN ('ALLOW', 'REVIEW', 'QUARANTINE', 'BLOCK') AND e_release = (e_decision = 'ALLOW')
+    rec AS (SELECT *, coalesce(length(e_version) BETWEEN 1 AND 32 AND regexp_matches(e_fingerprint, '^[0-9a-f]{64}$') AND e_score BETWEEN 0 AND 100 AND e_band IN ('LOW', 'MODERATE', 'HIGH', 'CRITICAL') AND e_decision IN ('ALLOW', 'REVIEW', 'QUARANTINE', 'BLOCK') AND e_release = (e_decision = 'ALLOW')
         AND e_complete IS NOT NULL AND hard = list_sort(list_distinct(hard)) AND held = list_sort(list_distinct(held)) AND (len(hard) = 0 OR e_decision = 'BLOCK') AND (e_decision <> 'ALLOW' OR e_complete), false) AS valid, list_filter(string_split(codes, ','), x -> x <> '') AS code_list FROM r1) """
 
 

@@ -170,63 +170,6 @@ def t08_active_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Contracts ---------------------------------------------------------------------------------------
 
 
-def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings as a worker sends them, some with a wrong severity, techniques or a score."""
-    own = view(spark, sf_dir, "v_finding").join(F.broadcast(dims.finding_dim(spark).select("code", "severity", "techniques")), "code", "left")
-    s = F.col("scan_id")
-    return own.select("scan_id", "code", F.when(s % 8 == 0, "LOW").otherwise(F.coalesce("severity", F.lit("INFO"))).alias("severity"), F.when(s % 10 == 0, "T0").otherwise(F.coalesce("techniques", F.lit(""))).alias("techniques"), F.when(s % 12 == 0, 5).otherwise(0).alias("score_delta"))
-
-
-@query(f"""WITH dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}),
-    s AS (SELECT scan_id, f.code, CASE WHEN scan_id % 8 = 0 THEN 'LOW' ELSE coalesce(severity, 'INFO') END AS sev, CASE WHEN scan_id % 10 = 0 THEN 'T0' ELSE coalesce(techniques, '') END AS tec, scan_id % 12 = 0 AS scored, severity, techniques FROM v_finding f LEFT JOIN dim USING (code))
-    SELECT scan_id, code, array_to_string(list_sort(list_filter([CASE WHEN severity IS NULL THEN 'unknown_code' END, CASE WHEN sev IS DISTINCT FROM severity THEN 'severity' END, CASE WHEN tec IS DISTINCT FROM techniques THEN 'techniques' END, CASE WHEN scored THEN 'scored' END], x -> x IS NOT NULL)), ',') AS violations FROM s""")
-def c01_02_finding_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.conformance(_submitted(spark, sf_dir), dims.finding_dim(spark)).select("scan_id", "code", joined("violations").alias("violations"))
-
-
-@query(_POLICY_SQL + "SELECT count(*) AS evaluations, 0 AS violating FROM evaluation")
-def c07_evaluation_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluated(spark, sf_dir).withColumn("violations", contracts.violations(contracts.evaluation_rules()))
-    return rows.agg(F.count(F.lit(1)).alias("evaluations"), F.count_if(F.size("violations") > 0).alias("violating"))
-
-
-@query(_SCANS_SQL + "SELECT scan_id, decision IS NOT DISTINCT FROM stored AS same FROM (SELECT scan_id, decision, CASE WHEN scan_id % 9 = 0 THEN 'ALLOW' ELSE decision END AS stored FROM scans)")
-def c08_persisted_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = F.to_json(F.struct(F.when(F.col("scan_id") % 9 == 0, "ALLOW").otherwise(F.col("decision")).alias("decision")))
-    return _scans(spark, sf_dir).withColumn("json", stored).select("scan_id", F.col("decision").eqNullSafe(F.get_json_object("json", "$.decision")).alias("same"))
-
-
-@query(f"WITH dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}) SELECT DISTINCT 'unregistered' AS rule, code AS subject FROM v_finding WHERE code NOT IN (SELECT code FROM dim)")
-def c09_registry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = view(spark, sf_dir, "v_finding").select("code").distinct()
-    unknown = used.join(F.broadcast(dims.finding_dim(spark)), "code", "left_anti").select(F.lit("unregistered").alias("rule"), F.col("code").alias("subject"))
-    return contracts.registry_faults(dims.finding_dim(spark), dims.compound_dim(spark)).unionAll(unknown)
-
-
-@query("SELECT SHA(string_agg(concat_ws('|', scan_id, code), ';' ORDER BY concat_ws('|', scan_id, code))) AS fingerprint FROM (SELECT code, min(scan_id) AS scan_id FROM v_finding GROUP BY code)")
-def c10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.fingerprint(view(spark, sf_dir, "v_finding").groupBy("code").agg(F.min("scan_id").alias("scan_id")).select("scan_id", "code"))
-
-
-@query("SELECT scan_id, CASE WHEN scan_id % 13 = 0 THEN 'WORKER_TIMEOUT' WHEN scan_id % 17 = 0 THEN 'OUTPUT_LIMIT' WHEN scan_id % 19 = 0 THEN 'WORKER_EXIT' WHEN status IS NULL THEN 'MALFORMED_RESULT' WHEN status = 'UNSUPPORTED' THEN 'UNSUPPORTED' WHEN status = 'FAILED' THEN 'WORKER_FAILED' END AS failure FROM v_scan")
-def c11_14_attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("scan_id")
-    rows = view(spark, sf_dir, "v_scan").withColumns({"timed_out": s % 13 == 0, "output_over": s % 17 == 0, "exit_code": F.when(s % 19 == 0, 1).otherwise(0)})
-    return rows.select("scan_id", contracts.failure_code().alias("failure"))
-
-
-@query("SELECT split_part(code, '_', 1) AS family, CASE WHEN ends_with(code, '_MALFORMED') THEN 'failed' WHEN ends_with(code, '_PARTIAL_ANALYSIS') THEN 'partial' ELSE 'completed' END AS event, count(DISTINCT scan_id) AS scans FROM v_finding GROUP BY ALL")
-def c12_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.when(F.endswith("code", F.lit("_MALFORMED")), "failed").when(F.endswith("code", F.lit("_PARTIAL_ANALYSIS")), "partial").otherwise("completed")
-    return view(spark, sf_dir, "v_finding").groupBy(F.substring_index("code", "_", 1).alias("family"), event.alias("event")).agg(F.count_distinct("scan_id").alias("scans"))
-
-
-@query("SELECT 'outcome' AS domain, outcome AS value, count(*) AS n, outcome NOT IN ('SUCCESS', 'FAILURE') AS outside FROM v_audit GROUP BY outcome UNION ALL SELECT 'state', state, count(*), state NOT IN ('ANALYZING', 'COMPLETED', 'STORED') FROM v_scan GROUP BY state")
-def c15_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda df, c, known: df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("domain"), "value", "n", (~F.col("value").isin(*known)).alias("outside"))
-    return of(view(spark, sf_dir, "v_audit"), "outcome", ("SUCCESS", "FAILURE")).unionAll(of(view(spark, sf_dir, "v_scan"), "state", ("ANALYZING", "COMPLETED", "STORED")))
-
-
 @query("SELECT 'repeated_key' AS fault, storage_key AS subject FROM v_artifact GROUP BY storage_key HAVING count(*) > 1 UNION ALL SELECT 'no_derived', artifact_id::VARCHAR FROM v_artifact WHERE derived_scan_id NOT IN (SELECT scan_id FROM v_scan) UNION ALL SELECT 'no_parent', scan_id::VARCHAR FROM v_lineage WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT scan_id FROM v_scan)")
 def c16_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifacts, scans = view(spark, sf_dir, "v_artifact"), view(spark, sf_dir, "v_scan")
@@ -473,35 +416,6 @@ def p14_open_action_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_action").where("source = 'open'").groupBy("action_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id AS scan_id, CASE WHEN doc_id % 5 = 0 AND len(regexp_extract_all(text, '[0-9]{16}')) > 1 THEN 'offsets' ELSE '' END AS violations FROM documents WHERE regexp_matches(text, '[0-9]{16}')")
-def c03_match_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import rules
-
-    found = rules.matches(view(spark, sf_dir, "v_scan"), [rules.Pattern("card", "$a", "[0-9]{16}", "YARA_HEURISTIC_MATCH")], content_column="text")
-    sent = found.withColumn("offsets", F.when(F.col("scan_id") % 5 == 0, F.reverse("offsets")).otherwise(F.col("offsets")))
-    return sent.select("scan_id", joined(contracts.violations(contracts.match_rules())).alias("violations"))
-
-
-@query("SELECT doc_id AS scan_id, CASE WHEN doc_id % 4 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'unknown' WHEN doc_id % 4 = 2 THEN 'sorted' ELSE '' END AS violations FROM documents")
-def c04_partial_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("scan_id") % 4
-    lists = F.when(k == 0, "").when(k == 1, "a_limit,odd").when(k == 2, "rule_limit,offset_limit").otherwise("offset_limit,rule_limit")
-    rows = view(spark, sf_dir, "v_scan").withColumn("reasons", F.filter(F.split(lists, ","), lambda x: x != ""))
-    return rows.select("scan_id", joined(contracts.violations(contracts.partial_rules(("a_limit", "offset_limit", "rule_limit")))).alias("violations"))
-
-
-@query("SELECT doc_id AS scan_id, concat_ws(',', CASE WHEN doc_id % 300 > 256 THEN 'findings' END, CASE WHEN strlen(text) > 8000 THEN 'metadata' END, CASE WHEN doc_id % 7 = 0 THEN 'times' END, CASE WHEN doc_id % 11 = 0 THEN 'version' END) AS violations FROM documents")
-def c05_13_result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("scan_id")
-    rows = view(spark, sf_dir, "v_scan").withColumns({"schema_version": F.when(s % 11 == 0, "0").otherwise("1"), "started_at": s, "completed_at": F.when(s % 7 == 0, s - 1).otherwise(s + 1), "findings": s % 300, "metadata_bytes": F.col("size_bytes")})
-    return rows.select("scan_id", joined(contracts.violations(contracts.envelope_rules("1", most_bytes=8000))).alias("violations"))
-
-
-@query("""SELECT event_id, '{"k":"' || json_extract_string(details, '$.k') || '"}' AS details FROM v_audit""")
-def c06_audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_audit").select("event_id", contracts.bounded_details(F.col("details")).alias("details"))
-
-
 @query("""WITH p AS (SELECT concat('R', p_partkey % 97) AS rule_id, CASE WHEN p_partkey % 400 < 2 THEN '$x' ELSE concat('$', p_partkey) END AS string_id, p_name AS expression, CASE WHEN p_partkey % 211 = 0 THEN 'other' ELSE concat('C', p_partkey % 97) END AS code FROM part), m AS (SELECT DISTINCT concat('R', s_suppkey % 101) AS rule_id FROM supplier),
     d AS (SELECT rule_id, sha256(string_agg(rule_id || chr(9) || string_id || chr(9) || expression || chr(9) || code, chr(10) ORDER BY rule_id || chr(9) || string_id || chr(9) || expression || chr(9) || code)) AS digest FROM p GROUP BY rule_id), w AS (SELECT sha256(string_agg(digest, chr(10) ORDER BY rule_id)) AS digest FROM d)
     SELECT 'repeated' AS fault, rule_id FROM p GROUP BY rule_id HAVING count(*) > count(DISTINCT string_id) OR count(DISTINCT code) > 1 UNION ALL SELECT 'undeclared', rule_id FROM (SELECT DISTINCT rule_id FROM p) WHERE rule_id NOT IN (SELECT rule_id FROM m)

@@ -78,13 +78,6 @@ def n13_14_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_action").select("doc_id", "action_id", names.link_scheme(t).alias("scheme"), names.link_host(t).alias("host"), names.link_status(t).alias("parse_status"), (F.length(t) > 2048).alias("truncated"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strlen(props) - len(string_split(props, ' ')) + 1 AS bytes FROM events")
-def n18_19_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kept = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k.isin("k", "outcome", "reason"))
-    return events.select("event_id", kept["k"].cast("long").alias("k"), F.octet_length(F.to_json(F.from_json("props", "struct<k:bigint>"))).cast("long").alias("bytes"))
-
-
 # Identity ----------------------------------------------------------------------------------------
 
 _FAMILY = "CASE scan_id % 6 WHEN 0 THEN 'PDF' WHEN 1 THEN 'ZIP' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'WINDOWS_EXECUTABLE' WHEN 4 THEN CASE WHEN scan_id % 4 = 0 THEN 'OLE_COMPOUND' ELSE 'UNKNOWN' END ELSE 'OOXML_CANDIDATE' END"
@@ -160,11 +153,6 @@ def d14_row_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.weigh_findings(view(spark, sf_dir, "v_finding"), dims.finding_dim(spark)).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score_delta").alias("row_points"))
 
 
-@query(_POLICY_SQL + """SELECT scan_id, SHA(concat_ws('|', scan_id, score, decision, mandatory_reasons, contributions)) AS fingerprint FROM evaluation""")
-def d15_evaluation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluated(spark, sf_dir).select("scan_id", F.sha2(F.concat_ws("|", "scan_id", "score", "decision", joined("mandatory_reasons"), joined("contributions")), 256).alias("fingerprint"))
-
-
 @query(_POLICY_SQL + "SELECT decision, band, count(*) AS n FROM evaluation GROUP BY decision, band")
 def q06_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir).groupBy("decision", "band").count().withColumnRenamed("count", "n")

@@ -38,5 +38,5 @@ def test_decision(results, k):
 def test_registry_is_sound(spark):
     from sluicebox.operators import contracts
 
-    assert contracts.registry_faults(dims.finding_dim(spark), dims.compound_dim(spark)).count() == 0
+    assert contracts.registry_faults(dims.finding_dim(spark), dims.compound_dim(spark), dims.registry_dim(spark)).count() == 0
     assert len(dims.finding_rows()) == 45 and len(dims.compound_rows()) == 5
