@@ -88,9 +88,21 @@ def evaluate(scans: DataFrame, findings: DataFrame, policy: DataFrame, compounds
     )
 
 
-def catalog_state(status: Column, decision: Column) -> Column:
-    """The state that a scan gets by its status and decision."""
-    return F.when((status == "SUCCESS") & ~decision.isin("QUARANTINE", "BLOCK"), "COMPLETED").otherwise("QUARANTINED")
+def catalog_update(evaluations: DataFrame, results: DataFrame) -> DataFrame:
+    """What an analysis sets in the catalog: scan_id, state, worker_status, detected_type, error_code, score, band, decision, release_eligible.
+
+    Results are (scan_id, status, detected_type, failure); a null status is that of a run without a result. A scan is completed
+    if its worker succeeded and it is neither quarantined nor blocked, so one to be reviewed is; its error is that of the run, else
+    of the worker's status, else of an evaluation that failed.
+    """
+    status, done = F.col("status"), F.col("status") == "SUCCESS"
+    broken = F.array_contains("mandatory_reasons", "POLICY_EVALUATION_FAILURE")
+    contained = F.col("decision").isin("QUARANTINE", "BLOCK")
+    error = F.when(broken, "policy_evaluation_failed").when(status.isNull(), F.coalesce("failure", F.lit("unknown"))).when(~done, F.coalesce("failure", F.lower(status)))
+    return evaluations.join(results, "scan_id").select(
+        "scan_id", F.when(F.coalesce(done, F.lit(False)) & ~contained, "COMPLETED").otherwise("QUARANTINED").alias("state"), F.coalesce(status, F.lit("FAILED")).alias("worker_status"), F.when(status.isNotNull(), F.col("detected_type")).alias("detected_type"),
+        error.alias("error_code"), "score", "band", "decision", "release_eligible",
+    )
 
 
 def weigh_findings(findings: DataFrame, policy: DataFrame) -> DataFrame:

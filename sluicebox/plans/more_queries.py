@@ -113,49 +113,12 @@ def l06_source_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Reconciliation ----------------------------------------------------------------------------------
 
-_ISSUES_SQL = """WITH cat AS (SELECT scan_id, state, created_at AS updated_at, concat('d', scan_id) AS name, size_bytes, sha FROM v_scan), st AS (SELECT name, size_bytes AS ss, sha AS sh FROM v_listing WHERE area = 'documents'), h AS (SELECT * FROM cat LEFT JOIN st USING (name)),
-    issues AS (SELECT 'STALE_SCAN' AS code, scan_id::VARCHAR AS subject FROM cat WHERE state = 'ANALYZING' AND updated_at <= 59100 UNION ALL SELECT 'MISSING_OBJECT', scan_id::VARCHAR FROM h WHERE sh IS NULL UNION ALL SELECT 'ALTERED_OBJECT', scan_id::VARCHAR FROM h WHERE sh IS NOT NULL AND (sh <> sha OR ss <> size_bytes)
-    UNION ALL SELECT 'BROKEN_PARENT', scan_id::VARCHAR FROM v_lineage l WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_lineage p WHERE p.scan_id = l.parent_id) UNION ALL SELECT 'ORPHAN_OBJECT', name FROM st WHERE name NOT IN (SELECT name FROM cat)
-    UNION ALL SELECT 'STALE_TEMPORARY', name FROM v_listing WHERE area = 'temp' AND regexp_matches(name, '^\\.upload-[0-9]+\\.(part|tmp)$') AND mode IN (256, 384) AND modified_at <= 30) """.replace("\\\\", "\\")
-
-
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_scan").select("scan_id", "state", F.col("created_at").alias("updated_at"), F.concat(F.lit("d"), F.col("scan_id")).alias("name"), "size_bytes", "sha")
-
-
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.issues(_catalog(spark, sf_dir), view(spark, sf_dir, "v_listing"), view(spark, sf_dir, "v_lineage"), 60000, 900, 30)
-
-
-@query(_ISSUES_SQL + "SELECT * FROM issues")
-def r01_06_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir)
-
-
-@query(_ISSUES_SQL + "SELECT code, count(*) AS n FROM issues GROUP BY code")
-def r07_issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.report(_issues(spark, sf_dir))
-
-
 @query("SELECT scan_id, (SELECT count(*) FROM v_scan) > 100 AS truncated FROM v_scan ORDER BY scan_id LIMIT 100")
 def r08_bounded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, more = reconcile.bounded_batch(view(spark, sf_dir, "v_scan").select("scan_id"), "scan_id", 100)
     return rows.withColumn("truncated", F.lit(more))
 
 
-@query("SELECT scan_id, CASE WHEN state = 'ANALYZING' AND created_at <= 59100 THEN 'QUARANTINED' ELSE state END AS state, CASE WHEN state = 'ANALYZING' AND created_at <= 59100 THEN 'STALE_SCAN_QUARANTINED' END AS event_type FROM v_scan")
-def r09_quarantine_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed, audit = reconcile.quarantine_stale(_catalog(spark, sf_dir), 60000, 900)
-    return changed.select("scan_id", "state").join(audit.select("scan_id", "event_type"), "scan_id", "left")
-
-
-@query("SELECT 'scan' AS kind, scan_id AS id, sh IS NOT NULL AND sh = sha AS whole FROM v_scan LEFT JOIN (SELECT name, sha AS sh FROM v_listing WHERE area = 'documents') ON name = concat('d', scan_id) UNION ALL SELECT 'artifact', artifact_id, sh IS NOT NULL AND sh = sha FROM v_artifact LEFT JOIN (SELECT name, sha AS sh FROM v_listing WHERE area = 'documents') ON name = concat('d', scan_id)")
-def r10_storage_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = view(spark, sf_dir, "v_listing").where("area = 'documents'").select("name", F.col("sha").alias("stored"))
-    due = view(spark, sf_dir, "v_scan").select(F.lit("scan").alias("kind"), F.col("scan_id").alias("id"), F.concat(F.lit("d"), F.col("scan_id")).alias("name"), "sha").unionAll(view(spark, sf_dir, "v_artifact").select(F.lit("artifact"), "artifact_id", F.concat(F.lit("d"), F.col("scan_id")), "sha"))
-    return due.join(stored, "name", "left").select("kind", "id", F.coalesce(F.col("stored") == F.col("sha"), F.lit(False)).alias("whole"))
-
-
 @query("SELECT session_id, expires_at FROM v_session WHERE revoked_at IS NOT NULL OR expires_at <= 200000 ORDER BY expires_at, session_id LIMIT 500")
 def t07_session_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_session").where("revoked_at IS NOT NULL OR expires_at <= 200000")

@@ -142,12 +142,6 @@ def d01_12_policy_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir).withColumns({c: joined(c) for c in lists})
 
 
-@query(_POLICY_SQL + "SELECT scan_id, score, band, decision, CASE WHEN status = 'SUCCESS' AND decision NOT IN ('QUARANTINE', 'BLOCK') THEN 'COMPLETED' ELSE 'QUARANTINED' END AS state FROM evaluation JOIN v_scan USING (scan_id)")
-def d13_catalog_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluated(spark, sf_dir).join(view(spark, sf_dir, "v_scan").select("scan_id", "status"), "scan_id")
-    return rows.select("scan_id", "score", "band", "decision", F.coalesce(policy.catalog_state(F.col("status"), F.col("decision")), F.lit("QUARANTINED")).alias("state"))
-
-
 @query(f"WITH dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())}) SELECT scan_id, count(*) AS n, sum(points) AS row_points FROM v_finding LEFT JOIN dim USING (code) GROUP BY scan_id")
 def d14_row_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.weigh_findings(view(spark, sf_dir, "v_finding"), dims.finding_dim(spark)).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score_delta").alias("row_points"))

@@ -99,6 +99,13 @@ VIEWS = {
                  ',"mandatory_quarantine_reasons":', CASE WHEN doc_id % 40 = 22 THEN '["PDF_LAUNCH"]' WHEN doc_id % 40 = 26 THEN '["B","A"]' ELSE '[]' END, ',"policy_fingerprint":"', CASE WHEN doc_id % 40 = 19 THEN SHA('other') ELSE SHA('policy') END, '","policy_version":"', CASE WHEN doc_id % 40 = 18 THEN '0' ELSE '1.0.2' END,
                  '","release_eligible":', CASE WHEN doc_id % 80 = 17 THEN '"true"' WHEN doc_id % 40 IN (16, 17, 20, 21) THEN 'false' ELSE 'true' END, ',"risk_band":"LOW","risk_score":', CASE WHEN doc_id % 40 = 27 THEN 101 ELSE 3 END, '}') END,
                CASE WHEN doc_id % 40 = 23 THEN 'PDF_PARTIAL_ANALYSIS' WHEN doc_id % 40 = 24 THEN 'A,X_MALFORMED' ELSE 'A' END FROM documents""",
+    "v_store": """
+        SELECT 'quarantine' AS area, concat('d', doc_id) AS name, CASE WHEN doc_id % 29 = 1 THEN 'link' ELSE 'file' END AS kind, CASE WHEN doc_id % 31 = 2 THEN 2 ELSE 1 END AS links, CASE WHEN doc_id % 23 = 3 THEN 420 ELSE 256 END AS mode, BYTES(text) + CASE WHEN doc_id % 37 = 4 THEN 1 ELSE 0 END AS size_bytes,
+               CASE WHEN doc_id % 27 = 5 THEN SHA('x') ELSE SHA(text) END AS sha, doc_id AS modified_at FROM documents WHERE doc_id % 19 <> 0
+        UNION ALL SELECT 'quarantine', concat('e', doc_id), 'file', 1, 256, BYTES(text), SHA(text), doc_id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'sanitized', concat('a', doc_id), 'file', 1, CASE WHEN doc_id % 13 = 2 THEN 384 ELSE 256 END, BYTES(text), SHA(text), doc_id FROM documents WHERE doc_id % 11 <> 0
+        UNION ALL SELECT 'quarantine', concat('b', item_id), 'file', 1, 256, BYTES(text), SHA(text), item_id FROM benchmark UNION ALL SELECT 'quarantine', concat('.b', item_id), 'file', 1, 256, BYTES(text), SHA(text), item_id FROM benchmark UNION ALL SELECT 'sanitized', concat('c', item_id), 'file', 1, 256, BYTES(text), SHA(text), item_id FROM benchmark WHERE item_id % 2 = 0
+        UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'incoming' ELSE 'work' END, concat('.', CASE WHEN item_id % 3 = 0 THEN 'cdr-' ELSE '' END, substr(SHA(text), 1, 32), CASE WHEN item_id % 3 = 0 THEN '' ELSE concat('.', substr(SHA(text), 1, CASE WHEN item_id % 7 = 1 THEN 15 ELSE 16 END)) END, '.part'),
+               CASE WHEN item_id % 10 = 3 THEN 'link' ELSE 'file' END, CASE WHEN item_id % 10 = 4 THEN 2 ELSE 1 END, CASE item_id % 5 WHEN 0 THEN 420 WHEN 1 THEN 256 ELSE 384 END, BYTES(text), SHA(text), 59000 + item_id * 10 FROM benchmark""",
     "v_cleaned": """
         SELECT doc_id AS artifact_id, CASE WHEN doc_id % 40 = 1 THEN 'THUMBNAIL' ELSE 'PDF_CDR' END AS artifact_type, CASE WHEN doc_id % 40 = 2 THEN -1 ELSE 2 * doc_id END AS scan_id, CASE WHEN doc_id % 40 = 3 THEN -1 ELSE 2 * doc_id + 1 END AS derived_scan_id,
                SHA(text) AS sha, BYTES(text) AS size_bytes, '1.0.2' AS policy_version, SHA('policy') AS policy_fingerprint FROM documents""",
@@ -140,6 +147,7 @@ VIEWS = {
                CASE WHEN doc_id % 8 = 0 THEN NULL ELSE doc_id % 5 = 0 END AS release_eligible, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 3 <> 0 END AS complete,
                CASE WHEN doc_id % 21 = 0 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS worker_status, doc_id * 37 % 500 AS latency_ms, doc_id % 6 = 1 AS cdr_eligible, CASE WHEN doc_id % 12 = 1 THEN true WHEN doc_id % 12 = 7 THEN false END AS derived_release FROM documents WHERE doc_id % 10 <> 3""",
 }
+VIEWS["v_catalog"] = "SELECT scan_id, origin, parent_scan_id + CASE WHEN scan_id % 83 = 0 THEN 100000000 ELSE 0 END AS parent_scan_id, state, worker_status, detected_type, decision, release_eligible, storage_key, sha, size_bytes, CAST(NULL AS STRING) AS error_code, scan_id * 7919 % 100000 AS updated_at FROM (" + VIEWS["v_record"] + ") records"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
