@@ -32,14 +32,6 @@ def capabilities(parts: DataFrame, most: int = 256) -> DataFrame:
     return out.withColumn("partial", (F.col("projects") > 8) | (F.col("embedded") >= most))
 
 
-def read_limits(parts: DataFrame, most_parts: int, part_bytes: int, total_bytes: int) -> DataFrame:
-    """The first limit that reading a package's parts in order breaks."""
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    rows = parts.withColumns({"nth": F.row_number().over(order), "running": F.sum("bytes").over(order)})
-    reason = F.when(F.col("nth") > most_parts, "part_limit").when(F.col("bytes") > part_bytes, "part_bytes").when(F.col("running") > total_bytes, "total_bytes")
-    return rows.withColumn("reason", reason).groupBy("doc_id").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("ordinal"))).alias("reason"))
-
-
 def external_relationships(relationships: DataFrame, most: int = 64) -> DataFrame:
     """External targets of a package beside the root's: how many, how many templates, and the first kept."""
     rows = relationships.where((F.lower("target_mode") == "external") & (F.col("source_part") != ""))
@@ -49,21 +41,6 @@ def external_relationships(relationships: DataFrame, most: int = 64) -> DataFram
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("external"), F.count_if(F.endswith(F.lower("rel_type"), F.lit("/attachedtemplate"))).alias("templates"), F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", summary.alias("s"))))), lambda x: x["s"]).alias("kept"))
 
 
-def macro_evidence(keywords: DataFrame, most_modules: int = 128, most_bytes: int = 4 << 20) -> DataFrame:
-    """Triggers, execution classes and budgets of a document's macro keywords."""
-    word = F.lower(F.trim("keyword"))
-    classes = F.element_at(F.create_map(*[F.lit(x) for kv in dims.EXECUTION.items() for x in kv]), word)
-    only = lambda c, v: F.slice(F.array_sort(F.collect_set(F.when(c, v))), 1, 64)
-    modules = F.count_distinct("module")
-    return keywords.groupBy("doc_id").agg(only((F.col("kind") == "AutoExec") & word.isin(*dims.AUTO_EXEC), word).alias("triggers"), only((F.col("kind") == "Suspicious") & classes.isNotNull(), classes).alias("classes"), F.least(modules, F.lit(most_modules)).alias("modules"), F.least(F.sum("source_bytes"), F.lit(most_bytes)).alias("bytes"), (modules > most_modules).alias("over_modules"))
-
-
-def office_findings(evidence: DataFrame) -> DataFrame:
-    """doc_id, code from a row of evidence for each document, in the order of the codes."""
-    rules = (("OFFICE_MACRO_ENABLED", F.col("macro_enabled")), ("OFFICE_VBA_MACRO", F.col("projects") > 0), ("OFFICE_VBA_AUTOEXEC", F.size("triggers") > 0), ("OFFICE_VBA_EXECUTION_INDICATOR", F.size("classes") > 0), ("OFFICE_EXTERNAL_RELATIONSHIP", F.col("external") > 0), ("OFFICE_EXTERNAL_TEMPLATE", F.col("templates") > 0), ("OFFICE_EMBEDDED_OBJECT", F.col("embedded") > 0), ("OFFICE_ACTIVEX", F.col("activex") > 0), ("OFFICE_PARTIAL_ANALYSIS", F.col("partial")))
-    return evidence.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, code) for code, c in rules]))).alias("code"))
-
-
 # Page documents ----------------------------------------------------------------------------------
 
 

@@ -161,33 +161,12 @@ def o06_08_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.capabilities(view(spark, sf_dir, "v_part"))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER w AS nth, sum(bytes) OVER w AS running FROM v_part WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)), b AS (SELECT *, CASE WHEN nth > 5 THEN 'part_limit' WHEN bytes > 14000000 THEN 'part_bytes' WHEN running > 30000000 THEN 'total_bytes' END AS reason FROM r)
-    SELECT doc_id, arg_min(reason, ordinal) FILTER (reason IS NOT NULL) AS reason FROM b GROUP BY doc_id""")
-def o14_read_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.read_limits(view(spark, sf_dir, "v_part"), 5, 14_000_000, 30_000_000)
-
-
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source_part, ordinal) AS nth, split_part(rel_type, '/', 4) || ' ' || lower(regexp_extract(target, '^([a-zA-Z]+):', 1)) || ' ' || lower(regexp_extract(target, '//([^/?#:]*)', 1)) AS s FROM v_relationship WHERE lower(target_mode) = 'external' AND source_part <> '')
     SELECT doc_id, count(*) AS external, count(*) FILTER (ends_with(lower(rel_type), '/attachedtemplate')) AS templates, string_agg(s, ',' ORDER BY nth) FILTER (nth <= 2) AS kept FROM x GROUP BY doc_id""")
 def o01_04_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.external_relationships(view(spark, sf_dir, "v_relationship"), 2).select("doc_id", "external", "templates", joined("kept").alias("kept"))
 
 
-@query(f"""WITH c(word, cls) AS ({dims.sql_values(list(dims.EXECUTION.items()))}), k AS (SELECT v.*, lower(trim(keyword)) AS w, cls FROM v_keyword v LEFT JOIN c ON word = lower(trim(keyword)))
-    SELECT doc_id, coalesce(string_agg(DISTINCT w, ',' ORDER BY w) FILTER (kind = 'AutoExec' AND w IN ('autoopen', 'document_open')), '') AS triggers, coalesce(string_agg(DISTINCT cls, ',' ORDER BY cls) FILTER (kind = 'Suspicious'), '') AS classes, least(count(DISTINCT module), 128) AS modules, CAST(least(sum(source_bytes), 4194304) AS BIGINT) AS bytes, count(DISTINCT module) > 128 AS over_modules FROM k GROUP BY doc_id""")
-def o09_12_macro_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.macro_evidence(view(spark, sf_dir, "v_keyword")).withColumns({"triggers": joined("triggers"), "classes": joined("classes"), "bytes": F.col("bytes").cast("long")})
-
-
-@query()
-def o13_office_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = documents.classify_packages(view(spark, sf_dir, "v_part")).join(documents.capabilities(view(spark, sf_dir, "v_part")), "doc_id")
-    more = documents.macro_evidence(view(spark, sf_dir, "v_keyword")).select("doc_id", "triggers", "classes")
-    links = documents.external_relationships(view(spark, sf_dir, "v_relationship")).select("doc_id", "external", "templates")
-    rows = base.join(more, "doc_id", "left").join(links, "doc_id", "left")
-    return documents.office_findings(rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("triggers", "classes")})).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
 # Page documents ----------------------------------------------------------------------------------
 
 _TYPED_SQL = f"WITH a AS (SELECT *, subtype IN {tuple(dims.ACTIONS)} AS known FROM v_action), b AS (SELECT *, CASE WHEN NOT known AND row_number() OVER (PARTITION BY doc_id, subtype ORDER BY action_id) = 1 THEN 1 ELSE 0 END AS new FROM a), t AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY doc_id ORDER BY action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b), typed AS (SELECT *, CASE WHEN known THEN subtype WHEN before >= 1 THEN 'Unknown:other' ELSE 'Unknown:' || subtype END AS type FROM t) "

@@ -70,6 +70,15 @@ VIEWS = {
                CASE l_partkey % 7 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'xl/workbook.xml' WHEN 2 THEN 'word/embeddings/o.bin' WHEN 3 THEN 'word/activeX/a.xml' WHEN 4 THEN 'word/vbaProject.bin' WHEN 5 THEN '[Content_Types].xml' ELSE concat('p', l_partkey % 9) END AS part_name,
                CASE WHEN l_partkey % 7 = 0 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'application/x-other' ELSE 'application/wordprocessingml.macroEnabled' END WHEN l_partkey % 7 = 1 THEN 'application/spreadsheetml' WHEN l_suppkey % 6 = 0 THEN 'application/vnd.ms-office.vbaProject' ELSE 'application/xml' END AS content_type,
                CAST(l_quantity AS BIGINT) * 300000 AS bytes FROM lineitem""",
+    "v_module": """
+        SELECT l_orderkey - l_orderkey % 3 AS doc_id, l_suppkey % 2 AS project, row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 3, l_suppkey % 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS module_no, concat('M', l_partkey % 9) AS name,
+               CAST(l_quantity AS BIGINT) * 40000 AS source_bytes, CASE WHEN l_partkey % 3 = 0 THEN 'AutoExec' ELSE 'Suspicious' END AS kind, CASE l_partkey % 7 WHEN 0 THEN 'AutoOpen' WHEN 1 THEN ' Shell ' WHEN 2 THEN 'document_open' WHEN 3 THEN 'PowerShell' WHEN 4 THEN 'CreateObject' WHEN 5 THEN 'Run' ELSE 'Dim' END AS keyword,
+               l_suppkey % 5 * 200000 AS keyword_at FROM lineitem""",
+    "v_package": """
+        SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CASE WHEN l_orderkey % 6 = 1 AND l_linenumber = 2 THEN 'a.xml' WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 13 = 2 THEN 'data.bin' ELSE '[Content_Types].xml' END WHEN l_linenumber = 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'word/document.xml' ELSE 'xl/workbook.xml' END
+                 WHEN l_partkey % 5 = 0 THEN concat('word/embeddings/o', l_linenumber) WHEN l_partkey % 5 = 1 THEN concat('xl/activeX/a', l_linenumber) WHEN l_partkey % 5 = 2 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'word/vbaProject.bin' ELSE 'xl/vbaProject.bin' END WHEN l_partkey % 5 = 3 THEN concat('word/p', l_linenumber, '.xml') ELSE concat(repeat('n', CASE WHEN l_suppkey % 9 = 0 THEN 513 ELSE 5 END), l_linenumber) END AS part_name,
+               CASE WHEN l_linenumber = 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'application/wordprocessingml' ELSE 'application/spreadsheetml.macroEnabled' END WHEN l_partkey % 5 = 2 THEN 'application/vnd.ms-office.vbaProject' ELSE 'application/xml' END AS content_type, CAST(l_quantity AS BIGINT) * 60000 AS bytes, CASE WHEN l_orderkey % 17 = 3 AND l_linenumber = 3 THEN 1 ELSE 0 END AS flag_bits FROM lineitem""",
+    "v_link": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 5 ELSE 0 END AS external, CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END AS templates FROM orders WHERE o_orderkey % 5 < 3",
     "v_keyword": """
         SELECT conv_id AS doc_id, turn AS module, CASE WHEN role = 'user' THEN 'AutoExec' ELSE 'Suspicious' END AS kind, CASE (conv_id + turn) % 6 WHEN 0 THEN 'AutoOpen' WHEN 1 THEN ' Shell ' WHEN 2 THEN 'document_open' WHEN 3 THEN 'PowerShell' WHEN 4 THEN 'CreateObject' ELSE 'Dim' END AS keyword, BYTES(text) * 1000 AS source_bytes FROM conversations""",
     "v_ole_entry": """
