@@ -72,10 +72,19 @@ def bounded(v: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(v, _ODD, ""), 1, most)
 
 
+def _escaped(v: Column) -> Column:
+    chars = F.transform(F.split(v, ""), lambda c: F.when(F.regexp_like(c, F.lit(_ODD)), F.concat(F.lit("\\u"), F.lower(F.lpad(_point(c), 4, "0")))).otherwise(c))
+    return F.array_join(chars, "")
+
+
 def escaped_member(v: Column, most: int = 256, default: str = "unnamed") -> Column:
     """Control and direction characters as \\uXXXX, cut; empty names get a default."""
-    chars = F.transform(F.split(v, ""), lambda c: F.when(F.regexp_like(c, F.lit(_ODD)), F.concat(F.lit("\\u"), F.lower(F.lpad(_point(c), 4, "0")))).otherwise(c))
-    return F.coalesce(F.nullif(F.substring(F.array_join(chars, ""), 1, most), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.substring(_escaped(v), 1, most), F.lit("")), F.lit(default))
+
+
+def escaped_cut(v: Column, most: int = 256) -> Column:
+    """Whether an escaped name was longer."""
+    return F.coalesce(F.length(_escaped(v)) > most, F.lit(False))
 
 
 @F.pandas_udf(StringType())
@@ -113,6 +122,12 @@ def link_status(v: Column) -> Column:
     return F.when(v.isNull() | (F.trim(v) == ""), "missing").when(link_scheme(v).isNull(), "invalid").otherwise("parsed")
 
 
+def link_summary(v: Column, rel_type: Column, most: int = 256, longest: int = 2048) -> Column:
+    """What is kept of a link: scheme, hostname and parse_status of its first characters, the last part of its relationship's type, its length, and whether that is over the limit."""
+    short = F.substring(v, 1, most)
+    return F.struct(link_scheme(short).alias("scheme"), link_host(short).alias("hostname"), link_status(short).alias("parse_status"), F.substring_index(rel_type, "/", -1).alias("relationship"), F.length(v).cast("long").alias("target_length"), (F.length(v) > longest).alias("truncated"))
+
+
 def storage_key_ok(v: Column) -> Column:
     return F.coalesce(F.regexp_like(v, F.lit("^[0-9a-f]{32}$")), F.lit(False))
 

@@ -14,8 +14,8 @@ def codes(c: str) -> Column:
 
 
 def match(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """Cases with their last result; cases without one are left out."""
-    last = results.withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("run")))).where("nth = 1").drop("nth")
+    """Cases with their last result; cases without one are left out. Of results of one run that with the greatest findings, then latency, counts."""
+    last = results.withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("run"), F.desc("actual"), F.desc("latency_ms")))).where("nth = 1").drop("nth")
     return cases.join(last, "case_id").withColumns({"expected": codes("expected"), "acceptable": codes("acceptable"), "actual": codes("actual"), "decisions": codes("decisions")})
 
 
@@ -77,3 +77,47 @@ def run_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     same = F.col("a.decision").eqNullSafe(F.col("b.decision")) & F.col("a.worker_status").eqNullSafe(F.col("b.worker_status"))
     rows = a.join(b, "case_id", "full").withColumn("kind", kind).where((F.col("kind") != "changed") | ~same)
     return rows.select("case_id", F.col("a.decision").alias("before"), F.col("b.decision").alias("after"), (F.col("b.latency_ms") - F.col("a.latency_ms")).alias("latency_change"), "kind")
+
+
+def result_rows(matched: DataFrame) -> DataFrame:
+    """The fifteen columns of a result file, from differences() and an error column."""
+    return matched.select(
+        "case_id", "category", "case_class", F.col("decision").alias("actual_decision"), F.col("decisions").alias("acceptable_decisions"), F.col("compliant").alias("decision_compliant"), "release_eligible", F.col("complete").alias("analysis_complete"), completeness_class().alias("completeness_class"),
+        "worker_status", (F.size("missing") == 0).alias("findings_recall_pass"), F.col("missing").alias("missing_expected_findings"), F.col("unexpected").alias("unexpected_findings"), "latency_ms", "error",
+    )
+
+
+def completeness_counts(results: DataFrame) -> DataFrame:
+    """bucket, n: all results by their completeness class, UNKNOWN where it can't be told."""
+    return results.withColumn("actual", codes("actual")).groupBy(F.coalesce(completeness_class(), F.lit("UNKNOWN")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
+    """metric, before, after, change of two runs (decision, worker_status, latency_ms, compliant)."""
+
+    def told(run: DataFrame, name: str) -> DataFrame:
+        of = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("double")
+        values = {"cases": F.count(F.lit(1)).cast("double"), "allowed": of(F.col("decision") == "ALLOW"), "timeouts": of(F.col("worker_status") == "TIMEOUT"), "mean_latency": F.round(F.avg("latency_ms"), 6), "compliant": of(F.col("compliant"))}
+        row = run.agg(*[v.alias(k) for k, v in values.items()])
+        return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values))).alias("metric", name))
+
+    return told(before, "before").join(told(after, "after"), "metric").withColumn("change", F.round(F.col("after") - F.col("before"), 6))
+
+
+def case_lines(cases: DataFrame) -> DataFrame:
+    """Cases with a line that shows them: id, category, class, expected codes, decisions, F if it must fail securely, C if it is followed up."""
+    bars = lambda c: F.when(F.col(c) == "", "-").otherwise(F.replace(F.col(c), F.lit(","), F.lit("|")))
+    return cases.withColumn("line", F.concat_ws(" ", F.col("case_id").cast("string"), "category", "case_class", bars("expected"), bars("decisions"), F.when(F.col("fail_secure"), "F"), F.when(F.col("follow_up"), "C")))
+
+
+def case_rules(findings: DataFrame) -> dict[str, Column]:
+    """What holds of a case whose lists are arrays; the findings' table is of fixed size."""
+    known = F.array(*[F.lit(r["code"]) for r in findings.select("code").collect()])
+    hard = F.array(*[F.lit(r["code"]) for r in findings.where("hard_block").select("code").collect()])
+    none = lambda c: F.size(c) == 0
+    ordered = lambda c: F.col(c) == F.array_sort(F.array_distinct(c))
+    return {
+        "unknown_code": none(F.array_except(F.array_union("expected", "acceptable"), known)), "overlap": ~F.arrays_overlap("expected", "acceptable"), "any_excludes_list": ~F.col("any_additional") | none("acceptable"),
+        "fail_secure_allow": ~F.col("fail_secure") | ~F.array_contains("decisions", "ALLOW"), "fail_secure_complete": ~F.col("fail_secure") | ~F.col("complete"), "follow_up": ~F.col("derived_expected") | F.col("follow_up"),
+        "order": ordered("expected") & ordered("acceptable") & (F.size("decisions") == F.size(F.array_distinct("decisions"))), "hard_block_decision": none(F.array_intersect("expected", hard)) | (F.col("decisions") == F.array(F.lit("BLOCK"))),
+    }

@@ -119,21 +119,6 @@ def s05_manifest_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_manifest(spark, path)[0].select(F.lit("written").alias("fate"), "case_id").unionAll(faults.select(F.col("fault").alias("fate"), "case_id"))
 
 
-@query(_MATCH_SQL + "SELECT case_id, category, array_to_string(actual, ',') AS actual, decision, complete FROM m")
-def s06_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.shared_path(spark, "results")
-    results = _matched(spark, sf_dir).select("case_id", "category", "actual", "decision", "complete")
-    sinks.write_json(results, path)
-    return spark.read.schema(results.schema).json(path).withColumn("actual", joined("actual"))
-
-
-@query("SELECT count(latency_ms) AS n, min(latency_ms) AS low, max(latency_ms) AS high, 'v_result' AS source FROM v_result")
-def s08_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    json = sinks.metrics_json(evaluate.latency(view(spark, sf_dir, "v_result")).select("n", "low", "high"), source="v_result")
-    of = lambda key: F.get_json_object("json", f"$.metrics.{key}").cast("long").alias(key)
-    return json.select(of("n"), of("low"), of("high"), F.get_json_object("json", "$.source").alias("source"))
-
-
 @query("SELECT event_id, event_type, outcome, CASE WHEN outcome = 'SUCCESS' THEN 1 ELSE 2 END AS batch FROM v_audit")
 def s10_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches appended to one log."""

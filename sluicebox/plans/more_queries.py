@@ -28,13 +28,6 @@ def _newest() -> list:
 # Operator queries --------------------------------------------------------------------------------
 
 
-@query(_SCANS_SQL + "SELECT scan_id, created_at, (SELECT count(*) FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED') AS total FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED' ORDER BY created_at DESC, scan_id DESC LIMIT 20 OFFSET 20")
-def q01_scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.listing(_scans(spark, sf_dir), decision="QUARANTINE", state="COMPLETED")
-    total = found.count()
-    return catalog.page(found.select("scan_id", "created_at"), _newest(), 2, 20).withColumn("total", F.lit(total).cast("long"))
-
-
 @query(_SCANS_SQL + "SELECT scan_id, decision FROM scans WHERE decision IN ('REVIEW', 'QUARANTINE', 'BLOCK') ORDER BY created_at DESC, scan_id DESC LIMIT 100")
 def q02_containment_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(catalog.listing(_scans(spark, sf_dir), decision="ALLOW", contained_only=True), _newest(), 1, 100).select("scan_id", "decision")
@@ -80,23 +73,9 @@ def q09_10_scan_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_defaults(rows).select("scan_id", "decision", "score", "band", "message", F.coalesce(joined("codes"), F.lit("")).alias("codes"), "reason")
 
 
-@query(_SCANS_SQL + """SELECT s.scan_id, s.decision, a.artifact_id, d.decision AS derived_decision, l.parent_id, p.decision AS parent_decision FROM scans s JOIN v_lineage l USING (scan_id) LEFT JOIN v_artifact a ON a.scan_id = s.scan_id LEFT JOIN scans d ON d.scan_id = a.derived_scan_id LEFT JOIN scans p ON p.scan_id = l.parent_id""")
-def q11_evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _scans(spark, sf_dir).select("scan_id", "decision")
-    other = lambda key, name: scans.select(F.col("scan_id").alias(key), F.col("decision").alias(name))
-    artifacts = view(spark, sf_dir, "v_artifact").select("scan_id", "artifact_id", "derived_scan_id")
-    rows = scans.join(view(spark, sf_dir, "v_lineage").select("scan_id", "parent_id"), "scan_id").join(artifacts, "scan_id", "left")
-    return rows.join(other("derived_scan_id", "derived_decision"), "derived_scan_id", "left").join(other("parent_id", "parent_decision"), "parent_id", "left").select("scan_id", "decision", "artifact_id", "derived_decision", "parent_id", "parent_decision")
-
-
 # Lineage and remediation -------------------------------------------------------------------------
 
 
-@query("SELECT scan_id, fingerprint, min(artifact_id) AS artifact_id, count(*) AS n FROM v_artifact GROUP BY ALL")
-def l04_reusable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_artifact").groupBy("scan_id", "fingerprint").agg(F.min("artifact_id").alias("artifact_id"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH p AS (SELECT doc_id, page_no, CAST(ceil(width * 150 / 72) * ceil(height * 150 / 72) AS BIGINT) AS pixels FROM v_page_size), q AS (SELECT *, sum(pixels) OVER (PARTITION BY doc_id ORDER BY page_no) AS running FROM p),
     r AS (SELECT doc_id, count(*) AS pages, min(page_no) FILTER (pixels > 20000000 OR running > 60000000) AS breach_page, CAST(sum(pixels) AS BIGINT) AS pixels FROM q GROUP BY doc_id)
     SELECT *, CASE WHEN pages NOT BETWEEN 1 AND 100 THEN 'page_limit' WHEN breach_page IS NOT NULL THEN 'pixel_limit' ELSE 'ok' END AS verdict FROM r""")
@@ -104,13 +83,6 @@ def l05_page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page_budget(view(spark, sf_dir, "v_page_size"), 150, 20_000_000, 60_000_000)
 
 
-@query(_SCANS_SQL + "SELECT scan_id, decision AS before, CASE WHEN scan_id % 50 = 0 THEN 'ALLOW' ELSE decision END AS after FROM scans WHERE decision IS DISTINCT FROM CASE WHEN scan_id % 50 = 0 THEN 'ALLOW' ELSE decision END")
-def l06_source_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = _scans(spark, sf_dir).select("scan_id", F.col("decision").alias("before"))
-    after = _scans(spark, sf_dir).select("scan_id", F.when(F.col("scan_id") % 50 == 0, "ALLOW").otherwise(F.col("decision")).alias("after"))
-    return before.join(after, "scan_id").where(~F.col("before").eqNullSafe(F.col("after")))
-
-
 # Reconciliation ----------------------------------------------------------------------------------
 
 @query("SELECT scan_id, (SELECT count(*) FROM v_scan) > 100 AS truncated FROM v_scan ORDER BY scan_id LIMIT 100")
@@ -208,39 +180,11 @@ def p11_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Evaluation cases and sinks ----------------------------------------------------------------------
 
 
-@query("SELECT case_id, category || ' ' || replace(decisions, ',', '|') || CASE WHEN fail_secure THEN ' F' ELSE '' END AS line FROM v_case")
-def e15_case_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.col("category"), F.lit(" "), F.array_join(F.split("decisions", ","), "|"), F.when(F.col("fail_secure"), " F").otherwise(""))
-    return view(spark, sf_dir, "v_case").select("case_id", line.alias("line"))
-
-
 @query("SELECT case_class AS id, count(*) AS n FROM v_case GROUP BY case_class HAVING count(*) > 1")
 def e17_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.repeated(view(spark, sf_dir, "v_case"), "case_class").withColumnRenamed("case_class", "id")
 
 
-@query(f"""WITH dim(code, severity, family, points, floor, hard_block, techniques, explanation) AS ({dims.sql_values(dims.finding_rows())})
-    SELECT case_id, concat_ws(',', CASE WHEN any_additional AND acceptable <> '' THEN 'any_excludes_list' END, CASE WHEN fail_secure AND contains(decisions, 'ALLOW') THEN 'fail_secure_allow' END, CASE WHEN coalesce(hard_block, false) AND decisions <> 'BLOCK' THEN 'hard_block_decision' END, CASE WHEN expected <> '' AND expected = acceptable THEN 'overlap' END) AS violations FROM v_case LEFT JOIN dim ON code = expected""")
-def e18_19_case_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hard = dims.finding_dim(spark).select(F.col("code").alias("expected"), "hard_block")
-    rows = view(spark, sf_dir, "v_case").join(F.broadcast(hard), "expected", "left")
-    rules = {
-        "any_excludes_list": ~(F.col("any_additional") & (F.col("acceptable") != "")),
-        "fail_secure_allow": ~(F.col("fail_secure") & F.contains("decisions", F.lit("ALLOW"))),
-        "hard_block_decision": ~F.coalesce("hard_block", F.lit(False)) | (F.col("decisions") == "BLOCK"),
-        "overlap": F.size(F.array_intersect(evaluate.codes("expected"), evaluate.codes("acceptable"))) == 0,
-    }
-    return rows.select("case_id", joined(contracts.violations(rules)).alias("violations"))
-
-
-@query(_MATCH_SQL + "SELECT case_id, category, array_to_string(expected, '|') AS expected, array_to_string(actual, '|') AS actual, coalesce(decision, '') AS decision, coalesce(release_eligible::VARCHAR, '') AS release_eligible, coalesce(compliant::VARCHAR, '') AS compliant FROM m")
-def s07_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.sinks import csv_rows
-
-    rows = evaluate.differences(evaluate.match(view(spark, sf_dir, "v_case"), view(spark, sf_dir, "v_result")))
-    return csv_rows(rows.select("case_id", "category", "expected", "actual", "decision", "release_eligible", "compliant"))
-
-
 @query("SELECT doc_id, SHA(text) AS sha, strlen(text) AS size, CASE WHEN strlen(text) = 0 THEN 'EMPTY' WHEN strlen(text) > 4000 THEN 'TOO_LARGE' END AS reject_reason FROM documents")
 def s01_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.ingest import ingest
@@ -254,14 +198,6 @@ def s03_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_listing").where(~F.startswith("name", F.lit("."))).groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("SELECT category, count(*) AS cases, printf('%.1f%% (%d/%d)', 100.0 * count(*) FILTER (fail_secure) / count(*), count(*) FILTER (fail_secure), count(*)) AS fail_secure FROM v_case GROUP BY category")
-def s08_09_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.sinks import rate_text
-
-    n, d = F.count_if("fail_secure"), F.count(F.lit(1))
-    return view(spark, sf_dir, "v_case").groupBy("category").agg(d.alias("cases"), rate_text(n, d).alias("fail_secure"))
-
-
 @query("SELECT doc_id, CASE WHEN contains(text, 'License') THEN 'License' WHEN contains(text, 'token') THEN 'token' END AS leak FROM documents")
 def s11_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import leak

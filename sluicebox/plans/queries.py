@@ -69,15 +69,6 @@ def n09_collision_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_member").select("container_id", "ordinal", names.collision_key(F.col("name")).alias("key"))
 
 
-@query(r"""
-    SELECT doc_id, action_id, CASE WHEN starts_with(target, '\\') THEN 'unc' WHEN starts_with(target, 'HTTP') THEN 'http' END AS scheme,
-           CASE WHEN starts_with(target, '\\') THEN 'srv' WHEN starts_with(target, 'HTTP') THEN lower(regexp_extract(target, '//([^:/]+)', 1)) END AS host,
-           CASE WHEN starts_with(target, '\\') OR starts_with(target, 'HTTP') THEN 'parsed' ELSE 'invalid' END AS parse_status, length(target) > 2048 AS truncated FROM v_action""")
-def n13_14_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("target")
-    return view(spark, sf_dir, "v_action").select("doc_id", "action_id", names.link_scheme(t).alias("scheme"), names.link_host(t).alias("host"), names.link_status(t).alias("parse_status"), (F.length(t) > 2048).alias("truncated"))
-
-
 # Identity ----------------------------------------------------------------------------------------
 
 _FAMILY = "CASE scan_id % 6 WHEN 0 THEN 'PDF' WHEN 1 THEN 'ZIP' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'WINDOWS_EXECUTABLE' WHEN 4 THEN CASE WHEN scan_id % 4 = 0 THEN 'OLE_COMPOUND' ELSE 'UNKNOWN' END ELSE 'OOXML_CANDIDATE' END"
@@ -431,12 +422,6 @@ def e07_16_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(_matched(spark, sf_dir), "case_class", "left").groupBy("case_class").agg(F.coalesce(F.sum(F.when(F.col("case_id").isNotNull(), hits)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("case_id").isNotNull(), F.size("expected"))), F.lit(0)).alias("d"), F.count("case_id").alias("cases"))
 
 
-@query("SELECT CASE WHEN complete IS NULL THEN 'UNKNOWN' WHEN complete THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS bucket, count(*) AS n FROM v_result GROUP BY 1")
-def e10_completeness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bucket = F.when(F.col("complete").isNull(), "UNKNOWN").when(F.col("complete"), "COMPLETE").otherwise("INCOMPLETE")
-    return view(spark, sf_dir, "v_result").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, median(latency_ms) AS median, min(latency_ms) AS low, max(latency_ms) AS high, quantile_disc(latency_ms, 0.95) AS p95 FROM v_result")
 def e12_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.latency(view(spark, sf_dir, "v_result"))

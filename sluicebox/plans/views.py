@@ -1,6 +1,7 @@
 """Views that derive the jobs' inputs from the given tables, in one text for both SQL dialects.
 
-`SHA(x)`, `BYTES(x)`, `MICROS(x)` stand for the dialects' digest, byte length and microseconds since 1970.
+`SHA(x)`, `BYTES(x)`, `MICROS(x)` stand for the dialects' digest, byte length and microseconds since 1970,
+`EACH(LISTED(..))` for a row of each value.
 """
 
 from __future__ import annotations
@@ -29,13 +30,8 @@ VIEWS = {
                CASE WHEN doc_id % 53 = 0 THEN 'WORKER_LOST' END AS failure_code,
                doc_id * 7919 % 100000 AS created_at FROM documents""",
     "v_finding": f"""
-        SELECT doc_id AS scan_id, {_CODE_AT.format("doc_id % 45")} AS code FROM documents WHERE doc_id % 3 = 0
-        UNION ALL SELECT doc_id, {_CODE_AT.format("doc_id * 7 % 45")} FROM documents WHERE doc_id % 5 = 0
-        UNION ALL SELECT doc_id, 'PDF_JAVASCRIPT' FROM documents WHERE doc_id % 14 = 0
-        UNION ALL SELECT doc_id, 'PDF_OPEN_ACTION' FROM documents WHERE doc_id % 14 = 0
-        UNION ALL SELECT doc_id, 'FILE_TYPE_MISMATCH' FROM documents WHERE doc_id % 22 = 0
-        UNION ALL SELECT doc_id, 'FILE_DOUBLE_EXTENSION' FROM documents WHERE doc_id % 44 = 0
-        UNION ALL SELECT doc_id, 'NOT_REGISTERED' FROM documents WHERE doc_id % 97 = 0""",
+        SELECT scan_id, code FROM (SELECT doc_id AS scan_id, EACH(LISTED(CASE WHEN doc_id % 3 = 0 THEN {_CODE_AT.format("doc_id % 45")} END, CASE WHEN doc_id % 5 = 0 THEN {_CODE_AT.format("doc_id * 7 % 45")} END, CASE WHEN doc_id % 14 = 0 THEN 'PDF_JAVASCRIPT' END, CASE WHEN doc_id % 14 = 0 THEN 'PDF_OPEN_ACTION' END,
+          CASE WHEN doc_id % 22 = 0 THEN 'FILE_TYPE_MISMATCH' END, CASE WHEN doc_id % 44 = 0 THEN 'FILE_DOUBLE_EXTENSION' END, CASE WHEN doc_id % 97 = 0 THEN 'NOT_REGISTERED' END)) AS code FROM documents) each_code WHERE code IS NOT NULL""",
     "v_member": """
         SELECT l_orderkey - l_orderkey % 64 AS root_id, l_orderkey AS container_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS ordinal,
                CASE l_partkey % 13 WHEN 0 THEN '../up.txt' WHEN 1 THEN '/etc/x.doc' WHEN 2 THEN 'C:\\a.xls' WHEN 3 THEN 'a//./b.txt' WHEN 4 THEN 'a/b.txt' WHEN 5 THEN 'run.EXE' WHEN 6 THEN 'bill.pdf.js' WHEN 7 THEN 'x\u202ecod.scr'
@@ -161,14 +157,14 @@ _TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def spark_text(sql: str) -> str:
-    sql = re.sub(r"SHA\(", "sha2_(", sql).replace("BYTES(", "octet_length(").replace("MICROS(", "unix_micros_(")
+    sql = re.sub(r"SHA\(", "sha2_(", sql).replace("EACH(LISTED(", "explode(array(").replace("BYTES(", "octet_length(").replace("MICROS(", "unix_micros_(")
     sql = _calls(sql, "sha2_", lambda a: f"sha2({a}, 256)")
     return _calls(sql, "unix_micros_", lambda a: f"unix_micros(CAST({a} AS TIMESTAMP))").replace("\\", "\\\\")
 
 
 def duck_text(sql: str) -> str:
     sql = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
-    return sql.replace("SHA(", "sha256(").replace("BYTES(", "strlen(").replace("MICROS(", "epoch_us(")
+    return sql.replace("EACH(LISTED(", "unnest(list_value(").replace("SHA(", "sha256(").replace("BYTES(", "strlen(").replace("MICROS(", "epoch_us(")
 
 
 def _calls(sql: str, name: str, write) -> str:

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from sluicebox.plans import contract_queries, evidence_queries, lineage_queries, more_queries, office_queries, page_queries, queries, storage_queries, views  # noqa: F401
+from sluicebox.plans import contract_queries, evidence_queries, lineage_queries, more_queries, office_queries, page_queries, queries, report_queries, storage_queries, views  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
