@@ -49,8 +49,8 @@ AIMED, NEGATED, REPORTED = 1.2, 0.6, 0.6
 PIECE_BYTES = 256 << 10
 #: How strongly fitted weights are drawn to those before.
 PULL = 2.0
-#: Clauses of a document that count, the heaviest first.
-HEAVIEST = 4
+#: All clauses of a document count, the heaviest whole, each lighter one by this part of the one before, so that long texts saturate.
+FADING = 0.75
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def _matches(words: Words, kind: np.ndarray, weight: np.ndarray) -> tuple[np.nda
 
 
 def features(words: Words, lexicon: _Lexicon, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with matches: the row, and how much of each pattern its heaviest clauses hold."""
+    """Of rows with matches: the row, and how much of each pattern its clauses hold, faded by their order of weight."""
     clause, pattern, value, row = _matches(words, *lexicon.classes(words))
     if not len(clause):
         return np.zeros(0, np.int64), np.zeros((0, PATTERNS))
@@ -261,12 +261,11 @@ def features(words: Words, lexicon: _Lexicon, patterns: np.ndarray) -> tuple[np.
     fresh[1:] = row[order][1:] != row[order][:-1]
     start = np.flatnonzero(fresh)
     place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    chosen = np.zeros(len(row), bool)
-    chosen[order[place < HEAVIEST]] = True
+    part = np.empty(len(row))
+    part[order] = FADING**place
     rows, number = np.unique(row, return_inverse=True)
-    keep = chosen[clause]
     out = np.zeros((len(rows), PATTERNS))
-    np.add.at(out, (number[clause[keep]], pattern[keep]), value[keep])
+    np.add.at(out, (number[clause], pattern), value * part[clause])
     return rows, out
 
 
