@@ -31,7 +31,7 @@ from .text import U64, Words, buffers, whole_window, windows
 #: Text bytes of a block, at about which more blocks are made; there is a bucket for two blocks.
 BLOCK_BYTES = 8 << 20
 _KEY_BITS = 56
-#: Bytes of a place in a block, which has fewer words than that unless one text is longer than 32 MB.
+#: Bytes of a place in a block; a block of more words, that is with one text of over 32 MB, has wider places.
 _PLACE_BYTES = 3
 
 
@@ -65,12 +65,15 @@ def _pack(keys: np.ndarray) -> tuple[int, int, bytes]:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :_PLACE_BYTES].tobytes()
+    width = _PLACE_BYTES if not len(x) or int(x.max()) < 1 << (8 * _PLACE_BYTES) else 4
+    return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _PLACE_BYTES, 4), np.uint8)
-    out[:, :_PLACE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _PLACE_BYTES)
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """n places of equal width."""
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
     return out.view(np.uint32).ravel()
 
 
@@ -104,7 +107,7 @@ def _meet(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_numpy()
     parts = [_unpack(f.as_py(), w.as_py(), s.as_py()) for f, w, s in zip(table.column("first"), table.column("width"), table.column("steps"), strict=True)]
     check = np.concatenate([np.frombuffer(c.as_py(), np.uint16) for c in table.column("checks")])
-    place = np.concatenate([_wide(c.as_py()) for c in table.column("places")])
+    place = np.concatenate([_wide(c.as_py(), len(p)) for c, p in zip(table.column("places"), parts, strict=True)])
     ends = np.cumsum([len(p) for p in parts])
     keys, owner = np.concatenate(parts), np.repeat(blocks, [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")  # blocks ascend within equal keys
@@ -151,7 +154,7 @@ def _parse(window: int, n_buckets: int):
         for b, hits, found, places in zip(*(matches.column(c).to_pylist() for c in ("bucket", "hits", "sources", "places")), strict=True):
             mask = np.unpackbits(np.frombuffer(hits, np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
             source[cuts[b] : cuts[b + 1]][mask] = np.frombuffer(found, np.int32)
-            place[cuts[b] : cuts[b + 1]][mask] = _wide(places)
+            place[cuts[b] : cuts[b + 1]][mask] = _wide(places, int(mask.sum()))
         of_window, there = source[index.entry], place[index.entry]
         again = np.ones(len(index.at), bool)
         again[index.earliest] = False  # all but a window's first place in this block
