@@ -17,7 +17,6 @@ windows. A passage that is in very many documents is one entry for each block.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
