@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -61,9 +61,18 @@ def content_type(v: Column, most: int = 255) -> Column:
     return F.nullif(F.substring(F.trim(v), 1, most), F.lit(""))
 
 
+def beyond_ascii(v: Column) -> Column:
+    return F.coalesce(F.regexp_like(v, F.lit("[^\\x00-\\x7F]")), F.lit(False))
+
+
 def collision_key(v: Column) -> Column:
     """A composed member name without empty and `.` parts; case and `..` stay."""
-    n = F.replace(composed(v), F.lit("\\"), F.lit("/"))
+    return portable(composed(v))
+
+
+def portable(v: Column) -> Column:
+    """A name without empty and `.` parts."""
+    n = F.replace(v, F.lit("\\"), F.lit("/"))
     return F.concat(F.when(F.startswith(n, F.lit("/")), "/").otherwise(""), F.array_join(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), "/"))
 
 
@@ -93,11 +102,17 @@ def _nfc(v: pd.Series) -> pd.Series:
 
 
 def composed(v: Column) -> Column:
-    """Canonically composed. Only names beyond ASCII go through Python."""
-    beyond = F.regexp_like(v, F.lit("[^\\x00-\\x7F]"))
+    """Canonically composed. The batches of all rows go through Python, names of ASCII as nulls; `keyed` keeps such rows out."""
+    beyond = beyond_ascii(v)
     return F.when(beyond, _nfc(F.when(beyond, v))).otherwise(v)
 
 
+def keyed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df with the collision key of a name; rows whose name is ASCII see no Python."""
+    beyond = beyond_ascii(F.col(name))
+    return df.where(~beyond).withColumn(key, portable(F.col(name))).unionByName(df.where(beyond).withColumn(key, collision_key(F.col(name))))
+
+
 def display_name(v: Column, most: int = 255, default: str = "document") -> Column:
     """A composed, printable name without path separators. Only names beyond ASCII go through Python."""
     n = composed(v)

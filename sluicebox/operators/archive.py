@@ -41,9 +41,8 @@ def _slashed(v: Column) -> Column:
 
 def name_marks(members: DataFrame) -> DataFrame:
     """Members with what their names show: traversal, rooted path, collision, dangerous, double extension, marks."""
-    key = names.collision_key(F.col("name"))
     same = Window.partitionBy("container_id", "key").orderBy("ordinal")
-    rows = members.withColumn("key", key)
+    rows = names.keyed(members, "name", "key")
     rows = rows.withColumn("occurrence", F.row_number().over(same)).withColumn("first_name", F.first("name").over(same))
     return rows.withColumns(
         {
