@@ -42,7 +42,7 @@ def _slashed(v: Column) -> Column:
 def name_marks(members: DataFrame) -> DataFrame:
     """Members with what their names show: traversal, rooted path, collision, dangerous, double extension, marks."""
     same = Window.partitionBy("container_id", "key").orderBy("ordinal")
-    rows = names.keyed(members, "name", "key")
+    rows = members.withColumn("key", names.collision_key(F.col("name")))
     rows = rows.withColumn("occurrence", F.row_number().over(same)).withColumn("first_name", F.first("name").over(same))
     return rows.withColumns(
         {
@@ -64,15 +64,19 @@ def disposition() -> Column:
 
 
 def container_paths(containers: DataFrame, most_depth: int) -> DataFrame:
-    """Containers within the depth that hang on a root, with their depth and path: the ordinals of the members that lead there."""
-    level = containers.where("parent_id IS NULL").select("*", F.lit(0).alias("depth"), F.array().cast("array<long>").alias("path"))
-    out = level
-    for depth in range(1, most_depth + 1):
-        above = level.select(F.col("root_id"), F.col("container_id").alias("parent_id"), F.col("path").alias("above"))
-        level = containers.join(above, ["root_id", "parent_id"])
-        level = level.select(*containers.columns, F.lit(depth).alias("depth"), F.concat("above", F.array(F.col("parent_ordinal").cast("long"))).alias("path"))
-        out = out.unionByName(level)
-    return out
+    """Containers within the depth that hang on a root, with their depth and path: the ordinals of the members that lead there.
+
+    Each step goes up to the next container for all of them at once, so there are as many joins as the depth has levels.
+    """
+    own = F.when(F.col("parent_id").isNull(), F.array().cast("array<long>")).otherwise(F.array(F.col("parent_ordinal").cast("long")))
+    rows = containers.withColumns({"path": own, "_up": F.col("parent_id"), "_lost": F.lit(False)})
+    for _ in range(most_depth):
+        above = containers.select("root_id", F.col("container_id").alias("_up"), F.col("parent_id").alias("_next"), F.col("parent_ordinal").cast("long").alias("_at"), F.lit(True).alias("_there"))
+        rows = rows.join(above, ["root_id", "_up"], "left")
+        rows = rows.withColumns({
+            "path": F.when(F.col("_next").isNotNull(), F.concat(F.array("_at"), "path")).otherwise(F.col("path")), "_lost": F.col("_lost") | (F.col("_up").isNotNull() & F.col("_there").isNull()), "_up": F.col("_next"),
+        }).drop("_next", "_at", "_there")
+    return rows.where(F.col("_up").isNull() & ~F.col("_lost")).withColumn("depth", F.size("path")).select(*containers.columns, "depth", "path")
 
 
 _VISIT = "place long, inspected boolean, read_bytes long, verdict string, kind string, reason string"
