@@ -146,12 +146,13 @@ def l04_reusable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("scan_id", "fingerprint").agg(F.min(F.when(F.col("whole"), F.col("artifact_id"))).alias("reusable"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT case_id, a.decision AS before, b.decision AS after, b.case_id IS NULL AS lost FROM v_result a LEFT JOIN v_rerun b USING (case_id) WHERE a.decision IS DISTINCT FROM b.decision")
+@query(_SCANS_SQL + "SELECT s.scan_id, s.decision AS before, b.decision AS after, b.case_id IS NULL AS lost FROM scans s LEFT JOIN v_rerun b ON b.case_id = s.scan_id WHERE b.case_id IS NULL OR s.decision IS DISTINCT FROM b.decision")
 def l06_source_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose decision isn't the same after the follow-up run: a snapshot against the one before."""
-    before = view(spark, sf_dir, "v_result").select("case_id", F.col("decision").alias("before"))
-    after = view(spark, sf_dir, "v_rerun").select("case_id", F.col("decision").alias("after"), F.lit(True).alias("there"))
-    return before.join(after, "case_id", "left").where(~F.col("before").eqNullSafe(F.col("after"))).select("case_id", "before", "after", F.col("there").isNull().alias("lost"))
+    """Sources whose decision by the policy isn't the same after the follow-up run, or that can't be read back: all scans against the later snapshot."""
+    before = _scans(spark, sf_dir).select("scan_id", F.col("decision").alias("before"))
+    after = view(spark, sf_dir, "v_rerun").select(F.col("case_id").alias("scan_id"), F.col("decision").alias("after"), F.lit(True).alias("there"))
+    lost = F.col("there").isNull()
+    return before.join(after, "scan_id", "left").where(lost | ~F.col("before").eqNullSafe(F.col("after"))).select("scan_id", "before", "after", lost.alias("lost"))
 
 
 @query(_SCANS_SQL + "SELECT scan_id, created_at, (SELECT count(*) FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED') AS total FROM scans WHERE decision = 'QUARANTINE' AND state = 'COMPLETED' ORDER BY created_at DESC, scan_id DESC LIMIT 20 OFFSET 20")

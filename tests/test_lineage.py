@@ -54,3 +54,12 @@ def test_each_condition_of_approval_is_seen(spark):
     for k, name in enumerate(OF_BOTH | own, 1):
         assert got[k] == (["analysis_complete", "evaluation", "hard_blocks", "mandatory"] if name == "evaluation" else [name])
     assert [got[k] for k in range(len(rows) - 3, len(rows))] == [["findings"], ["findings"], []]
+
+
+def test_unchanged_sources_are_looked_for_among_all_scans(spark):
+    """Every tenth scan has no stored result, and every tenth can't be read back; the policy's decision counts for all."""
+    from sluicebox.plans import report_queries
+
+    got = {r["scan_id"]: r for r in report_queries.l06_source_unchanged(spark, "/root/testdata/sf0.001").collect()}
+    scans = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
+    assert any(k % 10 == 3 for k in got) and {k for k in scans if k % 10 == 4} == {k for k, r in got.items() if r["lost"]}
