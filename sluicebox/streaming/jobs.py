@@ -27,45 +27,84 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return timed(events).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Run a processor over keyed rows with timers on event time, in the state store that it needs."""
+#: Keys are dealt to so many groups: a call for each group and its state costs more than the rows of a key.
+SLOTS = 1024
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, found: str) -> DataFrame:
+    """Run a processor over slots of keys with timers on event time, in the state store that it needs; the keys and what is found."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    slotted = rows.withColumn("slot_key", F.to_json(F.struct(*keys))).withColumn("slot", F.pmod(F.xxhash64("slot_key"), F.lit(SLOTS))).drop(*keys)
+    out = slotted.groupBy("slot").transformWithStateInPandas(processor, f"slot_key string, {found}", "Append", "EventTime")
+    return out.withColumn("slot_key", F.from_json("slot_key", kinds)).select("slot_key.*", *[c for c in out.columns if c != "slot_key"])
 
 
-class _Limiter(StatefulProcessor):
-    """A key's accepted times within the window; a timer on event time drops them when the watermark has left it."""
+class _Slot(StatefulProcessor):
+    """The keys of a slot side by side. A key's state is a list of numbers; those of a slot are read and written at once."""
 
-    def __init__(self, seconds: int, limit: int):
-        self.window, self.limit = seconds * SECOND, limit
+    #: Whether a timer is due when the first of a slot's keys ends, or when the last does.
+    due = max
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "times array<long>")
+        self.kept = handle.getValueState("kept", "keys array<string>, numbers array<array<long>>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        out = []
-        for us in map(int, batch["us"]):
-            live = [t for t in kept if t > us - self.window]
-            out.append(len(live) < self.limit)
-            # a late event is judged by the times before it, and leaves those after it
-            kept = [*live, us] if out[-1] else live
-        if kept:
-            self.kept.update((kept,))
-            self.handle.registerTimer((max(kept) + self.window) // 1000 + 1)
-        yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": batch["event_id"], "accepted": out})
+    def states(self) -> dict[str, list[int]]:
+        return dict(zip(*self.kept.get(), strict=True)) if self.kept.exists() else {}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.kept.exists() and max(self.kept.get()[0]) + self.window < timerValues.getCurrentWatermarkInMs() * 1000:
+    def keep(self, states: dict[str, list[int]]) -> None:
+        states = {k: list(v) for k, v in states.items() if v}
+        if not states:
             self.kept.clear()
+            return
+        self.kept.update((list(states), list(states.values())))
+        ends = [e for v in states.values() if (e := self.end(v)) is not None]
+        if ends:
+            self.handle.registerTimer(type(self).due(ends) // 1000 + 1)
+
+    def end(self, state: list[int]) -> int | None:
+        """The time from which on a key's state says nothing any more."""
+        raise NotImplementedError
+
+    def over(self, states: dict[str, list[int]], now: int) -> Iterator[pd.DataFrame]:
+        """Take away what has ended."""
+        for k in [k for k, v in states.items() if self.end(v) < now]:
+            del states[k]
         return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            states = self.states()
+            yield from self.over(states, timerValues.getCurrentWatermarkInMs() * 1000)
+            self.keep(states)
+
     def close(self) -> None:
         pass
 
 
+class _Limiter(_Slot):
+    """A key's accepted times within the window; a timer on event time drops them when the watermark has left it."""
+
+    def __init__(self, seconds: int, limit: int):
+        self.window, self.limit = seconds * SECOND, limit
+
+    def end(self, state: list[int]) -> int:
+        return max(state) + self.window
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        states = self.states()
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        out = []
+        for k, us in zip(batch["slot_key"].tolist(), map(int, batch["us"].tolist()), strict=True):
+            live = [t for t in states.get(k, ()) if t > us - self.window]
+            out.append(len(live) < self.limit)
+            # a late event is judged by the times before it, and leaves those after it
+            states[k] = [*live, us] if out[-1] else live
+        self.keep(states)
+        yield pd.DataFrame({"slot_key": batch["slot_key"], "event_id": batch["event_id"], "accepted": out})
+
+
 def accepted(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """The limiter of each user and event type: user_id, event_type, event_id, accepted.
 
@@ -73,45 +112,43 @@ def accepted(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     stream is replayed changes nothing.
     """
     rows = timed(events).withColumn("us", F.unix_micros("ts")).select("user_id", "event_type", "event_id", "us", "ts")
-    out = "user_id long, event_type string, event_id long, accepted boolean"
-    return _stateful(rows, ["user_id", "event_type"], _Limiter(seconds, limit), out)
+    return _stateful(rows, ["user_id", "event_type"], _Limiter(seconds, limit), "event_id long, accepted boolean")
 
 
-class _Sessions(StatefulProcessor):
-    """An actor's sessions, and whether the actor is active. Sessions that have run out go with a timer on event time."""
+class _Sessions(_Slot):
+    """Whether an actor is active, and of each session its number, begin, time last seen and whether it is revoked. Sessions that have run out go with a timer on event time."""
 
     def __init__(self, idle: int, absolute: int, touch: int):
         self.limits = (idle, absolute, touch)
         self.absolute = absolute * SECOND
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.active = handle.getValueState("active", "active boolean")
-        self.open = handle.getMapState("open", "session_id long", "began long, seen long, revoked boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        active = bool(self.active.get()[0]) if self.active.exists() else True
-        state = {k[0]: v for k, v in self.open.iterator()}
-        step = session_steps(*self.limits, active, state)
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        found = [(e, step(k, None if pd.isna(s) else int(s), int(us))) for e, k, s, us in zip(batch["event_id"], batch["kind"], batch["session_id"], batch["us"], strict=True)]
-        active, state = step.state()
-        self.active.update((active,))
-        for number, value in state.items():
-            self.open.updateValue((number,), value)
-            self.handle.registerTimer((value[0] + self.absolute) // 1000 + 1)
-        used = [x for x in found if x[1] is not None]
-        yield pd.DataFrame({"actor_id": key[0], "event_id": [e for e, _ in used], "valid": [v for _, v in used]}, columns=["actor_id", "event_id", "valid"])
+    def end(self, state: list[int]) -> int | None:
+        return max(state[2::4]) + self.absolute if len(state) > 1 else None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        for k, value in list(self.open.iterator()):
-            if value[0] + self.absolute < now:
-                self.open.removeKey(k)
+    def over(self, states: dict[str, list[int]], now: int) -> Iterator[pd.DataFrame]:
+        for k, v in states.items():
+            left = [x for i in range(1, len(v), 4) if v[i + 1] + self.absolute >= now for x in v[i : i + 4]]
+            states[k] = [v[0], *left] if left or not v[0] else []
         return iter(())
 
-    def close(self) -> None:
-        pass
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        states, steps = self.states(), {}
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        found = []
+        for actor, e, kind, s, us in zip(*(batch[c].tolist() for c in ("slot_key", "event_id", "kind", "session_id", "us")), strict=True):
+            step = steps.get(actor)
+            if step is None:
+                v = states.get(actor) or [1]
+                step = steps[actor] = session_steps(*self.limits, bool(v[0]), {v[i]: (v[i + 1], v[i + 2], bool(v[i + 3])) for i in range(1, len(v), 4)})
+            valid = step(kind, None if pd.isna(s) else int(s), int(us))
+            if valid is not None:
+                found.append((actor, e, valid))
+        for actor, step in steps.items():
+            active, sessions = step.state()
+            states[actor] = [int(active), *(int(x) for n, v in sessions.items() for x in (n, *v))]
+        self.keep(states)
+        if found:
+            yield pd.DataFrame(found, columns=["slot_key", "event_id", "valid"])
 
 
 def session_validity(events: DataFrame, idle: int = 1800, absolute: int = 28800, touch: int = 300) -> DataFrame:
@@ -121,48 +158,44 @@ def session_validity(events: DataFrame, idle: int = 1800, absolute: int = 28800,
     is as invalid as one that has run out.
     """
     rows = timed(events).withColumn("us", F.unix_micros("ts")).select("actor_id", "session_id", "kind", "event_id", "us", "ts")
-    return _stateful(rows, ["actor_id"], _Sessions(idle, absolute, touch), "actor_id long, event_id long, valid boolean")
+    return _stateful(rows, ["actor_id"], _Sessions(idle, absolute, touch), "event_id long, valid boolean")
 
 
-class _Stale(StatefulProcessor):
+class _Stale(_Slot):
     """The time since which a scan is analyzed. It is stale by its next change, or when the watermark passes its deadline."""
 
+    due = min
+
     def __init__(self, minutes: int):
         self.wait = minutes * 60 * SECOND
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.since = handle.getValueState("since", "us long")
+    def end(self, state: list[int]) -> int:
+        return state[0] + self.wait
+
+    def over(self, states: dict[str, list[int]], now: int) -> Iterator[pd.DataFrame]:
+        late = [k for k, v in states.items() if self.end(v) < now]
+        if late:
+            yield pd.DataFrame({"slot_key": late, "stale_us": [self.end(states.pop(k)) for k in late]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since = self.since.get()[0] if self.since.exists() else None
+        states = self.states()
         found = []
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        for state, us in zip(batch["state"], map(int, batch["us"]), strict=True):
-            if since is not None and us >= since + self.wait:
-                found.append(since + self.wait)
-            since = us if state == "ANALYZING" else None
-        if since is None:
-            self.since.clear()
-        else:
-            self.since.update((since,))
-            self.handle.registerTimer((since + self.wait) // 1000 + 1)
-        yield pd.DataFrame({"scan_id": key[0], "stale_us": found}, columns=["scan_id", "stale_us"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        if self.since.exists() and (due := self.since.get()[0] + self.wait) < now:
-            self.since.clear()
-            yield pd.DataFrame({"scan_id": [key[0]], "stale_us": [due]})
-
-    def close(self) -> None:
-        pass
+        for scan, state, us in zip(batch["slot_key"].tolist(), batch["state"].tolist(), map(int, batch["us"].tolist()), strict=True):
+            since = states.pop(scan, None)
+            if since and us >= self.end(since):
+                found.append((scan, self.end(since)))
+            if state == "ANALYZING":
+                states[scan] = [us]
+        self.keep(states)
+        if found:
+            yield pd.DataFrame(found, columns=["slot_key", "stale_us"])
 
 
 def stale_watch(changes: DataFrame, minutes: int = 15) -> DataFrame:
     """scan_id, stale_us: each time that a scan (scan_id, event_id, state, ts) stays ANALYZING without a change for the given minutes."""
     rows = timed(changes).withColumn("us", F.unix_micros("ts")).select("scan_id", "event_id", "state", "us", "ts")
-    return _stateful(rows, ["scan_id"], _Stale(minutes), "scan_id long, stale_us long")
+    return _stateful(rows, ["scan_id"], _Stale(minutes), "stale_us long")
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str):

@@ -90,6 +90,16 @@ def test_registered_streams_equal_sql(spark, name):
     assert got == collections.Counter(tuple(str(r[k]) for k in at) for r in rel.fetchall()) and got
 
 
+def test_many_keys_are_judged_by_few_calls(spark, tmp_path, monkeypatch):
+    """Keys share calls and states by slots, and come back whole: nulls, quotes, and numbers beyond doubles."""
+    monkeypatch.setattr(jobs, "SLOTS", 1)
+    users = [None, 0, 2**62 + 1, *range(1, 120)]
+    rows = [(10 * k + j, u, e, 10 * j) for k, u in enumerate(users) for j, e in enumerate(('a', '"b', None, 'a'))]
+    got = jobs.drain(jobs.accepted(stream(spark, tmp_path, rows, "event_id long, user_id long, event_type string", 3), 60, 1))
+    assert sorted((r["event_id"], r["user_id"], r["event_type"], r["accepted"]) for r in got.where("user_id > 0").collect()) == [(i, u, e, i % 10 < 3) for i, u, e, _ in rows if u]
+    assert got.count() == len(rows) and got.where("accepted").count() == 3 * len(users)
+
+
 def test_audit_sink_only_adds(spark, tmp_path):
     for day in (1, 2):
         spark.range(10 * day, 10 * day + 5).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"{tmp_path}/in/d{day}")
