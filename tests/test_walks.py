@@ -66,3 +66,23 @@ def test_links_are_kept_in_order(spark):
     r = walks.link_targets(spark.createDataFrame(links, "doc_id long, place long, target string"), 3, 3).collect()[0]
     assert [tuple(t) for t in r["targets"]] == [("parsed", "https", "host.example"), ("missing", None, None), ("parsed", "mailto", None)]
     assert (r["links"], r["capped"], r["reasons"]) == (4, True, ["uri_action_limit"])
+
+
+def test_page_queries_read_and_deal_the_objects_once(spark):
+    """Subtypes come with the visits and counts with the inspection, so nothing is joined to them; documents stay where the view has put them."""
+    from sluicebox.plans import page_queries
+
+    for query in (page_queries.p02_action_walk, page_queries.p03_04_capabilities, page_queries.p05_uri_targets, page_queries.p10_15_object_budgets, page_queries.p11_page_results, page_queries.p12_form_fields):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("FileScan parquet"), plan.count("Join"), plan.count("REPARTITION_BY_COL")) == (1, 0, 0), plan
+
+
+def test_documents_over_many_batches(spark):
+    """A document may be longer than a batch, and end with it."""
+    rows = [(d, k, "action", None, [k], None, [k + 1]) for d in range(5) for k in range(1, 1 + (7, 3, 20, 1, 4)[d])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r["doc_id"]: r for r in walks.inspect(spark.createDataFrame(rows, OBJECT), walks.Limits(depth=100)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {d: [v["action_id"] for v in r["visited"]] for d, r in got.items()} == {d: list(range(1, n + 1)) for d, n in enumerate((7, 3, 20, 1, 4))}
