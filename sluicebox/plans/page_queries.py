@@ -49,7 +49,7 @@ def _inspected(spark: SparkSession, sf_dir: str, limits: walks.Limits) -> DataFr
     both = lambda *xs: F.array_compact(F.array(*xs))
     trigger = lambda name, at: F.struct(F.lit(name).alias("trigger"), F.col(at).alias("action"))
     objects = view(spark, sf_dir, "v_object")
-    return walks.inspect(objects.select("doc_id", "object_id", "kind", "parent_id", both("a1").alias("a"), F.when(F.col("t1").isNotNull(), F.array(trigger("O", "t1"), trigger("C", "t2"))).alias("aa"), both("n1", "n2").alias("next")), limits)
+    return walks.inspect(objects.select("doc_id", "object_id", "kind", "parent_id", both("a1").alias("a"), F.when(F.col("t1").isNotNull(), F.array(trigger("O", "t1"), trigger("C", "t2"))).alias("aa"), both("n1", "n2").alias("next"), "subtype"), limits)
 
 
 @query(_TIGHT_SQL + "SELECT * FROM visits")
@@ -63,11 +63,9 @@ def p02_action_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p03_04_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts by where they were met, launches, additional-action holders with their triggers."""
     inspected = _inspected(spark, sf_dir, walks.Limits(triggers=1 << 20))
-    kinds = view(spark, sf_dir, "v_object").where("kind = 'action'").select("doc_id", F.col("object_id").alias("action_id"), "subtype")
-    script = F.col("subtype") == "JavaScript"
-    by = walks.visited_actions(inspected).join(kinds, ["doc_id", "action_id"]).groupBy("doc_id").agg(joined(F.array_sort(F.collect_set(F.when(script, F.col("source"))))).alias("script_sources"), F.count_if(script).alias("scripts"), F.count_if(F.col("subtype") == "Launch").alias("launches"))
-    rows = inspected.select("doc_id", "holders", "triggers_visited").join(by, "doc_id", "left")
-    return rows.select("doc_id", "holders", "triggers_visited", F.coalesce("script_sources", F.lit("")).alias("script_sources"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("scripts", "launches")])
+    scripts = F.filter("visited", lambda v: v["subtype"] == "JavaScript")
+    sources = F.array_sort(F.array_distinct(F.transform(scripts, lambda v: v["source"])))
+    return inspected.select("doc_id", "holders", "triggers_visited", joined(sources).alias("script_sources"), walks.visits_of("JavaScript").alias("scripts"), walks.visits_of("Launch").alias("launches"))
 
 
 @query(_TIGHT_SQL + "SELECT o.doc_id, coalesce(array_to_string(any_value(fields), ','), '') AS fields, coalesce(any_value(used), 0) AS spent_on_fields FROM o LEFT JOIN fu USING (doc_id) GROUP BY o.doc_id")
@@ -96,8 +94,8 @@ _TARGET = "CASE WHEN doc_id % 3 = 0 THEN concat('HTTP://Host', action_id % 9, '.
            CASE WHEN max(nth) > 3 THEN 'uri_action_limit' ELSE '' END AS reasons FROM t GROUP BY doc_id""")
 def p05_uri_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets of the links that are visited first, by scheme and host; more of them are counted."""
-    kinds = view(spark, sf_dir, "v_object").where("subtype = 'URI'").select("doc_id", F.col("object_id").alias("action_id"))
-    links = walks.visited_actions(_inspected(spark, sf_dir, walks.Limits(triggers=1 << 20))).join(kinds, ["doc_id", "action_id"]).withColumn("target", F.expr(_TARGET))
+    inspected = _inspected(spark, sf_dir, walks.Limits(triggers=1 << 20))
+    links = walks.visited_actions(inspected, "subtype").where("subtype = 'URI'").withColumn("target", F.expr(_TARGET))
     return walks.link_targets(links, most_kept=2, most_links=3).withColumn("targets", F.array_join(F.transform("targets", lambda t: F.when(t["parse_status"] == "missing", "missing").otherwise(F.concat_ws("|", F.coalesce(t["scheme"], F.lit("")), F.coalesce(t["hostname"], F.lit(""))))), " ")).withColumn("reasons", joined("reasons"))
 
 
