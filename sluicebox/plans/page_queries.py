@@ -109,12 +109,8 @@ _SUBMITTED = "doc_id % 3 < 2"
       CASE WHEN doc_id % 12 = 0 THEN 'MALFORMED' WHEN n > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)""")
 def p11_page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     inspected = _inspected(spark, sf_dir, _TIGHT)
-    objects = view(spark, sf_dir, "v_object")
-    kinds = objects.where("kind = 'action'").select("doc_id", F.col("object_id").alias("action_id"), "subtype")
-    of = lambda subtype, name: F.count_if(F.col("subtype") == subtype).alias(name)
-    seen = walks.visited_actions(inspected).join(kinds, ["doc_id", "action_id"]).groupBy("doc_id").agg(of("JavaScript", "scripts"), of("Launch", "launches"), of("URI", "links"), of("SubmitForm", "external_forms"))
-    own = objects.groupBy("doc_id").agg((F.count_if((F.col("kind") == "open") & F.col("a1").isNotNull()) > 0).alias("open_action"), (F.count_if(F.col("kind") == "acroform") > 0).alias("acroform"))
-    rows = inspected.select("doc_id", F.col("holders").alias("additional"), "reasons").join(own, "doc_id").join(seen, "doc_id", "left")
+    counts = {"scripts": "JavaScript", "launches": "Launch", "links": "URI", "external_forms": "SubmitForm"}
+    rows = inspected.select("doc_id", F.col("holders").alias("additional"), "reasons", (F.col("open_actions") > 0).alias("open_action"), (F.col("forms") > 0).alias("acroform"), *[walks.visits_of(subtype).alias(c) for c, subtype in counts.items()])
     d = F.col("doc_id")
     flags = {"embedded": d % 4, "xfa": F.col("acroform") & (d % 20 == 0), "encrypted": d % 9 == 0, "malformed": d % 12 == 0, "fallback": d % 24 == 0, "external_forms": F.when(F.expr(_SUBMITTED), F.col("external_forms"))}
     return pages.result(rows.withColumns(flags)).select("doc_id", joined("findings").alias("findings"), "status")
