@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +67,44 @@ def disposition() -> Column:
 def container_paths(containers: DataFrame, most_depth: int) -> DataFrame:
     """Containers within the depth that hang on a root, with their depth and path: the ordinals of the members that lead there.
 
-    Each step goes up to the next container for all of them at once, so there are as many joins as the depth has levels.
+    Containers are dealt by root once, and each goes up to its root there; the task holds the ids of one root's containers, as the replay of the root does.
     """
-    own = F.when(F.col("parent_id").isNull(), F.array().cast("array<long>")).otherwise(F.array(F.col("parent_ordinal").cast("long")))
-    rows = containers.withColumns({"path": own, "_up": F.col("parent_id"), "_lost": F.lit(False)})
-    for _ in range(most_depth):
-        above = containers.select("root_id", F.col("container_id").alias("_up"), F.col("parent_id").alias("_next"), F.col("parent_ordinal").cast("long").alias("_at"), F.lit(True).alias("_there"))
-        rows = rows.join(above, ["root_id", "_up"], "left")
-        rows = rows.withColumns({
-            "path": F.when(F.col("_next").isNotNull(), F.concat(F.array("_at"), "path")).otherwise(F.col("path")), "_lost": F.col("_lost") | (F.col("_up").isNotNull() & F.col("_there").isNull()), "_up": F.col("_next"),
-        }).drop("_next", "_at", "_there")
-    return rows.where(F.col("_up").isNull() & ~F.col("_lost")).withColumn("depth", F.size("path")).select(*containers.columns, "depth", "path")
+    rows = containers.repartition("root_id").sortWithinPartitions("root_id")
+    ids = ("root_id", "container_id", "parent_id", "parent_ordinal")
+    at = [rows.columns.index(c) for c in ids]
+
+    def climbed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        roots, numbers, parents, ordinals = (batch.column(k).to_pylist() for k in at)
+        above = dict(zip(zip(roots, numbers, strict=True), zip(parents, ordinals, strict=True), strict=True))
+        places, paths = [], []
+        for k, (root, up, ordinal) in enumerate(zip(roots, parents, ordinals, strict=True)):
+            path: list[int] = []
+            while up is not None and len(path) < most_depth and (further := above.get((root, up))) is not None:
+                path.append(ordinal)
+                up, ordinal = further
+            if up is None:
+                places.append(k)
+                paths.append(path[::-1])
+        kept = [c.take(pa.array(places, pa.int64())) for c in batch.columns]
+        return pa.RecordBatch.from_arrays([*kept, pa.array([len(p) for p in paths], pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=[*batch.schema.names, "depth", "path"])
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            roots = batch.column(at[0])
+            last = batch.num_rows and len(roots) - pc.sum(pc.equal(roots, roots[-1])).as_py() if roots and roots[-1].is_valid else 0
+            if held and roots and held[0].column(at[0])[0] != roots[0]:
+                yield climbed(pa.concat_batches(held))
+                held = []
+            if last:
+                yield climbed(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield climbed(pa.concat_batches(held))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(climb, f"{schema}, depth int, path array<long>")
 
 
 _VISIT = "place long, inspected boolean, read_bytes long, verdict string, kind string, reason string"
@@ -141,46 +169,69 @@ class _Visit:
         return True, read, "nested", None, None
 
 
-def visit(marked: DataFrame, containers: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def visit(marked: DataFrame, containers: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """The members (output of name_marks) and containers of each root that an analysis gets to, in its order.
 
     A nested container is visited at its member, before the members behind that. Budgets run over the root in this
     order. A stop ends its container only: the one above goes on, under what is left. Rows of
-    containers come with ordinal 0. Columns: those of marked, depth, what, place (from 1), inspected, read_bytes,
+    containers come with ordinal 0. Columns: root_id, container_id, ordinal, those of marked (or of them those in `keep`: what isn't kept isn't
+    shuffled), depth, what, place (from 1), inspected, read_bytes,
     verdict, and the kind (resource, partial, malformed) and reason of an incomplete analysis. Members that are
     not reached, behind a stop or in a container that isn't opened, give no row; where the limit of members
     ends a container there is one row that isn't inspected.
 
     Members beyond the entry limit of a container are left out before the root's rows are sorted; a root
-    is replayed in one task, batch by batch. Of containers that claim one member the smallest counts; members of
+    is replayed in one task, batch by batch. Members stay where their container is until then, and a nested container
+    announces itself by a row before its member. Of containers that claim one member the smallest counts; members of
     equal ordinal are ordered by name.
     """
     containers = containers.select("root_id", "container_id", "parent_id", "parent_ordinal", F.col("bytes").cast("long").alias("size"), "sha", "malformed")
-    paths = container_paths(containers, limits.depth)
-    inner = containers.where("parent_id IS NOT NULL").groupBy("root_id", F.col("parent_id").alias("container_id"), F.col("parent_ordinal").alias("ordinal")).agg(F.min("container_id").alias("child"), F.min_by("sha", "container_id").alias("child_sha"))
     kinds = {f.name: f.dataType for f in marked.schema}
-    crowded = marked.where(F.col("ordinal") > limits.entries).select("root_id", "container_id").distinct().withColumn("crowded", F.lit(True))
-    own = marked.where(F.col("ordinal") <= limits.entries).withColumns({"what": disposition(), "size": F.col("actual_bytes").cast("long")})
-    own = own.join(inner, ["root_id", "container_id", "ordinal"], "left").join(paths.select("root_id", "container_id", "depth", "path"), ["root_id", "container_id"])
-    columns = [c for c in marked.columns if c not in ("depth", "what")]
-    tail = ["depth", "what", "size", "child", "child_sha", "malformed", "crowded", "order"]
-    members = own.withColumns({"malformed": F.lit(None).cast("boolean"), "crowded": F.lit(None).cast("boolean")}).withColumn("order", F.concat("path", F.array(F.col("ordinal").cast("long"))))
-    heads = paths.join(crowded, ["root_id", "container_id"], "left").withColumns({c: F.lit(None).cast(kinds[c]) for c in columns if c not in ("root_id", "container_id", "ordinal")})
-    heads = heads.withColumns({"ordinal": F.lit(0).cast(kinds["ordinal"]), "what": F.lit("container"), "child": F.lit(None).cast(containers.schema["container_id"].dataType), "child_sha": F.lit(None).cast("string"), "order": F.concat("path", F.array(F.lit(0).cast("long")))})
-    rows = heads.select(*columns, *tail).unionByName(members.select(*columns, *tail))
-    rows = rows.repartition("root_id").sortWithinPartitions("root_id", "order", "name").drop("order")
+    ids = ("root_id", "container_id", "ordinal")
+    columns = [*ids, *(c for c in marked.columns if c not in (*ids, "depth", "what") and (keep is None or c in keep))]
+    # one level more, for the members that lead there
+    paths = container_paths(containers, limits.depth + 1)
+    number = containers.schema["container_id"].dataType
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    tail = {"depth": "int", "what": "string", "size": "long", "child": number, "child_sha": "string", "malformed": "boolean", "order": "array<long>", "by": "string"}
+
+    at = lambda ordinal: F.concat("path", F.array(*[F.lit(x).cast("long") if isinstance(x, int) else x for x in ordinal]))
+    row = lambda container, ordinal, what, child, order: F.struct(container.alias("container_id"), ordinal.cast(kinds["ordinal"]).alias("ordinal"), F.lit(what).alias("what"), child.cast(number).alias("child"), order.alias("order"))
+    head = F.when(F.col("depth") <= limits.depth, row(F.col("container_id"), F.lit(0), "container", F.lit(None), at([0])))
+    notice = F.when(F.col("parent_ordinal").between(1, limits.entries), row(F.col("parent_id"), F.col("parent_ordinal"), "child", F.col("container_id"), F.col("path")))
+    told = paths.select("root_id", F.explode(F.array_compact(F.array(head, notice))).alias("r"), "depth", "size", F.col("sha").alias("child_sha"), "malformed")
+    others = told.select("root_id", F.col("r.container_id").cast(kinds["container_id"]).alias("container_id"), "r.ordinal", *[none(c, kinds[c]) for c in columns[3:]], "depth", "r.what", "size", "r.child", "child_sha", "malformed", "r.order", none("by", "string"))
+
+    # of the members beyond the limit the first stays, to tell that there are any
+    beyond = F.col("ordinal") > limits.entries
+    prior = F.lag("ordinal").over(Window.partitionBy("container_id").orderBy("ordinal"))
+    own = marked.withColumn("_prior", prior).where(~beyond | F.coalesce(F.col("_prior") <= limits.entries, F.lit(True)))
+    own = own.select(*columns, F.when(beyond, "beyond").otherwise(disposition()).alias("what"), F.col("actual_bytes").cast("long").alias("size"), F.col("name").alias("by"))
+    above = paths.where(F.col("depth") <= limits.depth).select(F.col("root_id").alias("_root"), F.col("container_id").alias("_container"), "depth", "path")
+    # the root is compared without being a key, so that members that lie by container aren't shuffled for it
+    same = (F.col("container_id") == F.col("_container")) & (F.col("root_id") <= F.col("_root")) & (F.col("root_id") >= F.col("_root"))
+    members = own.join(above, same).select(*columns, "depth", "what", "size", none("child", number), none("child_sha", "string"), none("malformed", "boolean"), F.when(F.col("what") == "beyond", at([-1])).otherwise(at([F.col("ordinal").cast("long"), -1])).alias("order"), "by")
+
+    rows = others.select(*columns, *tail).unionByName(members.select(*columns, *tail))
+    rows = rows.repartition("root_id").sortWithinPartitions("root_id", "order", "by", "child").drop("order", "by")
     fields = rows.columns
-    kept = [c for c in fields if c not in ("size", "child", "child_sha", "malformed", "crowded")]
+    kept = [c for c in fields if c not in ("size", "child", "child_sha", "malformed")]
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, state = None, None
+        root, state, claim, full = None, None, (None,) * 4, None
         for batch in batches:
             of = lambda c: batch.column(fields.index(c)).to_pylist()  # noqa: E731, B023
             places, out = [], []
-            for k, (r, number, ordinal, depth, what, size, child, sha, malformed, crowded) in enumerate(zip(*map(of, ("root_id", "container_id", "ordinal", "depth", "what", "size", "child", "child_sha", "malformed", "crowded")), strict=True)):
+            for k, (r, number, ordinal, depth, what, size, child, sha, malformed) in enumerate(zip(*map(of, ("root_id", "container_id", "ordinal", "depth", "what", "size", "child", "child_sha", "malformed")), strict=True)):
                 if r != root or state is None:
-                    root, state = r, _Visit(limits)
-                found = state.container(number, depth, size or 0, malformed, crowded) if ordinal == 0 else state.member(number, depth, what, size or 0, child, sha)
+                    root, state, claim, full = r, _Visit(limits), (None,) * 4, None
+                if what == "beyond":
+                    full = number
+                    continue
+                if what == "child":
+                    claim = claim if claim[:2] == (number, ordinal) else (number, ordinal, child, sha)
+                    continue
+                found = state.container(number, depth, size or 0, malformed, number == full) if ordinal == 0 else state.member(number, depth, what, size or 0, *(claim[2:] if claim[:2] == (number, ordinal) else (None, None)))
                 if found:
                     state.place += 1
                     places.append(k)
