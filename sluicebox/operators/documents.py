@@ -105,12 +105,14 @@ def compound_files(entries: DataFrame, most_entries: int = 4096, most_objects: i
     that were met, and a container that its family doesn't fit), container_ok. Names count in lower case, once
     each; both streams of an encrypted package make a document encrypted.
     """
-    path = F.lower("path")
+    # documents are dealt out once; names are made single before anything is found in them
+    entries = entries.select("doc_id", "family", F.lower("path").alias("path")).repartition("doc_id").distinct()
+    path = F.col("path")
     leaf = F.regexp_extract(path, "([^/]*)$", 1)
     embedded = leaf.isin("\x01ole10native", "ole10native", "package") | F.startswith(path, F.lit("objectpool/"))
     active = F.startswith(path, F.lit("ctls/")) | F.startswith(path, F.lit("activex/")) | F.contains(path, F.lit("/activex/"))
     project = F.endswith(path, F.lit("/dir")) & (F.startswith(path, F.lit("vba/")) | F.contains(path, F.lit("/vba/")))
-    names_ = entries.select("doc_id", "family", path.alias("path"), leaf.alias("leaf"), embedded.alias("embedded"), active.alias("active"), F.when(project, F.regexp_extract(path, "^(.*)/[^/]*$", 1)).alias("project")).distinct()
+    names_ = entries.select("doc_id", "family", "path", leaf.alias("leaf"), embedded.alias("embedded"), active.alias("active"), F.when(project, F.regexp_extract(path, "^(.*)/[^/]*$", 1)).alias("project"))
     out = names_.groupBy("doc_id").agg(
         F.first("family").alias("family"), F.count(F.lit(1)).alias("entries"), F.bool_or(F.col("path") == "worddocument").alias("word"), F.bool_or(F.col("path").isin("workbook", "book")).alias("excel"), F.bool_or(F.col("path") == "powerpoint document").alias("powerpoint"),
         (F.bool_or(F.col("leaf") == "encryptioninfo") & F.bool_or(F.col("leaf") == "encryptedpackage")).alias("encrypted"), F.count_if("embedded").alias("embedded_all"), F.count_if("active").alias("active_all"), F.count_distinct("project").alias("vba_projects"),

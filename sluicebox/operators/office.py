@@ -32,23 +32,26 @@ def macro_projects(modules: DataFrame, most_modules: int = MOST_MODULES, source_
     Modules are read in order until there are too many or their sources are too long; the last one read is cut, and what
     stands behind the cut isn't seen.
     """
-    own = modules.select("doc_id", "project", "module_no", "name", "source_bytes").distinct()
-    order = Window.partitionBy("doc_id", "project").orderBy("module_no")
-    rows = own.withColumns({"nth": F.row_number().over(order), "before": F.coalesce(F.sum("source_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # dealt by document, as the projects are merged and joined by it; a module has a row for each of its keywords, and counts at the first
+    modules = modules.repartition("doc_id")
+    order = Window.partitionBy("doc_id", "project").orderBy("module_no", "name", "source_bytes")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct("module_no", "name", "source_bytes")
+    rows = modules.withColumn("first", F.coalesce(~F.lag(own).over(order).eqNullSafe(own), F.lit(True)))
+    rows = rows.withColumns({"nth": F.count_if("first").over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.coalesce(F.sum(F.when(F.col("first"), F.col("source_bytes"))).over(before), F.lit(0)) - F.when(F.col("first"), 0).otherwise(F.coalesce("source_bytes", F.lit(0)))})
     rows = rows.withColumn("read", F.least("source_bytes", F.greatest(F.lit(0), F.lit(source_bytes) - F.col("before"))))
     taken = (F.col("nth") <= most_modules) & (F.col("before") < source_bytes)
     reason = F.when((F.col("nth") > most_modules) & (F.col("before") < source_bytes), "vba_module_limit").when((F.col("nth") <= most_modules) & (F.col("read") < F.col("source_bytes")), "vba_source_size_limit")
-    rows = rows.withColumns({"taken": taken, "reason": reason})
-    read = rows.groupBy("doc_id", "project").agg(
-        F.count_if("taken").alias("modules"), F.sum(F.when(F.col("taken"), F.col("read")).otherwise(0)).alias("bytes"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("taken"), F.struct("nth", "name")))), 1, MOST_NAMES), lambda m: m["name"]).alias("names"), F.array_sort(F.collect_set("reason")).alias("reasons"),
-    )
+    counted = F.col("first") & taken
     word = F.lower(F.trim("keyword"))
     classes = F.element_at(F.create_map(*[F.lit(x) for kv in dims.EXECUTION.items() for x in kv]), word)
-    only = lambda c, v: F.slice(F.array_sort(F.collect_set(F.when(c, v))), 1, MOST_NAMES)
-    seen = modules.join(rows.where("taken").select("doc_id", "project", "module_no", "read"), ["doc_id", "project", "module_no"]).where(F.col("keyword_at") + F.octet_length("keyword") <= F.col("read"))
-    found = seen.groupBy("doc_id", "project").agg(only((F.col("kind") == "AutoExec") & word.isin(*dims.AUTO_EXEC), word).alias("triggers"), only((F.col("kind") == "Suspicious") & classes.isNotNull(), classes).alias("classes"))
-    return read.join(found, ["doc_id", "project"], "left").withColumns({c: F.coalesce(c, _none()) for c in ("triggers", "classes")})
+    seen = taken & (F.col("keyword_at") + F.octet_length("keyword") <= F.col("read"))
+    only = lambda c, v: F.slice(F.array_sort(F.collect_set(F.when(seen & c, v))), 1, MOST_NAMES)
+    return rows.groupBy("doc_id", "project").agg(
+        F.count_if(counted).alias("modules"), F.sum(F.when(counted, F.col("read")).otherwise(0)).alias("bytes"),
+        F.transform(F.array_sort(F.collect_list(F.when(counted & (F.col("nth") <= MOST_NAMES), F.struct("nth", "name")))), lambda m: m["name"]).alias("names"), F.array_sort(F.collect_set(F.when(F.col("first"), reason))).alias("reasons"),
+        only((F.col("kind") == "AutoExec") & word.isin(*dims.AUTO_EXEC), word).alias("triggers"), only((F.col("kind") == "Suspicious") & classes.isNotNull(), classes).alias("classes"),
+    )
 
 
 def merged_macros(projects: DataFrame, most_projects: int = MOST_PROJECTS) -> DataFrame:
@@ -62,34 +65,51 @@ def merged_macros(projects: DataFrame, most_projects: int = MOST_PROJECTS) -> Da
     return out.withColumn("reasons", F.array_sort(F.array_union("reasons", more)))
 
 
-def package_reads(parts: DataFrame, most_parts: int = MOST_PARTS, most_xml: int = MOST_XML, xml_bytes: int = XML_BYTES, part_bytes: int = PART_BYTES, total_bytes: int = TOTAL_BYTES, most_name: int = MOST_NAME) -> DataFrame:
-    """doc_id, is_package, stop, reasons, encrypted: how far the reading of each package gets.
+_READ_COLUMNS = ("doc_id", "is_package", "stop", "malformed", "encrypted", "reasons")
 
-    The content types are read first, then the other XML parts by name, then macro projects. The first limit that is met ends it (stop): too
-    many entries, names twice (which is malformed), too many XML parts or bytes, a part or the whole too long. Long
-    names and encrypted parts are reasons of their own. A container without content types is no package.
-    """
+
+def package_evidence(parts: DataFrame, most_parts: int = MOST_PARTS, most_xml: int = MOST_XML, xml_bytes: int = XML_BYTES, part_bytes: int = PART_BYTES, total_bytes: int = TOTAL_BYTES, most_name: int = MOST_NAME) -> DataFrame:
+    """What package_reads tells, and what the parts of each package show: apps, macro_type, all_embedded, all_activex, vba_parts. Parts are shuffled and sorted once."""
     xml = F.endswith(F.lower("part_name"), F.lit(".xml")) | F.endswith(F.lower("part_name"), F.lit(".rels"))
-    kind = F.when(F.col("part_name") == CONTENT_TYPES, 0).when(xml, 1).when(F.contains(F.lower("part_name"), F.lit("vbaproject")), 2)
-    order = Window.partitionBy("doc_id").orderBy("kind", "part_name")
+    kind = F.when(F.col("part_name") == CONTENT_TYPES, 0).when(xml, 1).when(F.contains(F.lower("part_name"), F.lit("vbaproject")), 2).otherwise(3)
+    vba = F.coalesce(F.contains(F.lower("content_type"), F.lit("vbaproject")), F.lit(False))
+    # equal names lie side by side, as their kind hangs on the name; what isn't read comes last
+    order = Window.partitionBy("doc_id").orderBy("kind", "part_name", F.desc("vba"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("nth", F.row_number().over(order))
+    rows = parts.withColumns({"kind": kind, "vba": vba})
     of_xml = F.when(F.col("kind") < 2, F.col("bytes")).otherwise(0)
-    rows = rows.withColumns({"xml_before": F.coalesce(F.sum(of_xml).over(before), F.lit(0)), "before": F.coalesce(F.sum("bytes").over(before), F.lit(0))})
+    rows = rows.withColumns({"nth": F.row_number().over(order), "xml_before": F.coalesce(F.sum(of_xml).over(before), F.lit(0)), "before": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "last_name": F.lag("part_name").over(order)})
     room = F.when(F.col("kind") < 2, F.least(F.lit(part_bytes), F.lit(xml_bytes) - F.col("xml_before"))).otherwise(F.lit(part_bytes))
     breach = (
         F.when((F.col("kind") < 2) & (F.col("nth") > most_xml), "xml_part_limit").when((F.col("kind") < 2) & (F.col("xml_before") >= xml_bytes), "xml_actual_byte_limit")
         .when((F.col("bytes") > room) & (room <= F.lit(total_bytes) - F.col("before")), "member_actual_byte_limit").when(F.col("before") + F.col("bytes") > total_bytes, "total_actual_byte_limit")
     )
-    first = rows.withColumn("breach", breach).groupBy("doc_id").agg(F.min_by("breach", F.when(F.col("breach").isNotNull(), F.col("nth"))).alias("breach"))
-    twice = parts.groupBy("doc_id", "part_name").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg((F.max("n") > 1).alias("twice"))
-    own = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), (F.max(F.length("part_name")) > most_name).alias("long"), F.bool_or(F.col("flag_bits").bitwiseAND(F.lit(1)) == 1).alias("locked"), F.bool_or(F.col("part_name") == CONTENT_TYPES).alias("is_package"))
-    out = own.join(twice, "doc_id").join(first, "doc_id", "left")
+    again = (F.col("nth") > 1) & F.col("part_name").eqNullSafe(F.col("last_name"))
+    main = F.coalesce(*[F.when((F.col("part_name") == part) & F.contains(F.lower("content_type"), F.lit(mark)), app) for app, part, mark in MAIN_PARTS])
+    prefix = lambda folder: F.regexp_like("part_name", F.lit(f"^(word|xl|ppt)/{folder}/"))
+    rows = rows.withColumns({"breach": F.when(F.col("kind") < 3, breach), "again": again, "app": main})
+    out = rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("entries"), (F.max(F.length("part_name")) > most_name).alias("long"), F.bool_or(F.col("flag_bits").bitwiseAND(F.lit(1)) == 1).alias("locked"), F.bool_or(F.col("part_name") == CONTENT_TYPES).alias("is_package"), F.bool_or("again").alias("twice"),
+        F.min_by("breach", F.when(F.col("breach").isNotNull(), F.col("nth"))).alias("breach"), *[F.bool_or(F.col("app") == app).alias(f"_{app}") for app in sorted(x[0] for x in MAIN_PARTS)],
+        F.bool_or(F.col("app").isNotNull() & F.contains(F.lower("content_type"), F.lit("macroenabled"))).alias("macro_type"), F.count_if(prefix("embeddings")).alias("all_embedded"), F.count_if(prefix("activeX")).alias("all_activex"),
+        F.count_if(F.col("vba") & F.col("part_name").isNotNull() & ~F.col("again")).alias("vba_parts"),
+    )
     crowded = F.col("entries") > most_parts
     stop = F.when(crowded, "zip_entry_limit").when(F.col("twice"), "duplicate_zip_member").otherwise(F.col("breach"))
     encrypted = F.col("locked") & ~crowded & ~F.col("twice")
     reasons = F.array_sort(F.array_compact(F.array(stop, F.when(F.col("long") & ~crowded, "zip_member_name_limit"), F.when(encrypted, "encrypted_zip_member"))))
-    return out.select("doc_id", "is_package", stop.alias("stop"), (F.col("twice") & ~crowded).alias("malformed"), encrypted.alias("encrypted"), reasons.alias("reasons"))
+    apps = F.array_compact(F.array(*[F.when(F.col(f"_{app}"), app) for app in sorted(x[0] for x in MAIN_PARTS)]))
+    return out.select(*_READ_COLUMNS[:2], stop.alias("stop"), (F.col("twice") & ~crowded).alias("malformed"), encrypted.alias("encrypted"), reasons.alias("reasons"), apps.alias("apps"), "macro_type", "all_embedded", "all_activex", "vba_parts")
+
+
+def package_reads(parts: DataFrame, **limits: int) -> DataFrame:
+    """doc_id, is_package, stop, reasons, encrypted: how far the reading of each package gets.
+
+    The content types are read first, then the other XML parts by name, then macro projects. The first limit that is met ends it (stop): too
+    many entries, names twice (which is malformed), too many XML parts or bytes, a part or the whole too long. Long
+    names and encrypted parts are reasons of their own. A container without content types is no package.
+    """
+    return package_evidence(parts, **limits).select(*_READ_COLUMNS)
 
 
 def _assembled(rows: DataFrame, container: str) -> DataFrame:
@@ -104,19 +124,15 @@ def _assembled(rows: DataFrame, container: str) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit("OFFICE_"), F.upper("application"), F.lit(f"_{container}")).alias("detected_type"), found.alias("findings"), status.alias("status"), "reasons")
 
 
-def packages(parts: DataFrame, links: DataFrame, macros: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def packages(evidence: DataFrame, links: DataFrame, macros: DataFrame, reads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of packages, and the containers (doc_id) that are none and go on to the archive job.
 
-    Links are (doc_id, external, templates), macros those of merged_macros, reads those of package_reads. A package whose reading
-    stopped shows no capabilities; one of no known application is malformed.
+    Evidence is that of package_evidence; or it is parts, and reads come from package_reads. Links are (doc_id, external, templates), macros those
+    of merged_macros. A package whose reading stopped shows no capabilities; one of no known application is malformed.
     """
-    main = [F.when((F.col("part_name") == part) & F.contains(F.lower("content_type"), F.lit(mark)), app) for app, part, mark in MAIN_PARTS]
-    prefix = lambda folder: F.regexp_like("part_name", F.lit(f"^(word|xl|ppt)/{folder}/"))
-    rows = parts.withColumn("app", F.coalesce(*main)).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("app")).alias("apps"), F.bool_or(F.col("app").isNotNull() & F.contains(F.lower("content_type"), F.lit("macroenabled"))).alias("macro_type"),
-        F.count_if(prefix("embeddings")).alias("all_embedded"), F.count_if(prefix("activeX")).alias("all_activex"), F.count_distinct(F.when(F.contains(F.lower("content_type"), F.lit("vbaproject")), F.col("part_name"))).alias("vba_parts"),
-    )
-    rows = reads.join(rows, "doc_id").join(links, "doc_id", "left").join(macros.select("doc_id", F.col("projects").alias("macro_count"), "triggers", "classes", F.col("reasons").alias("macro_reasons")), "doc_id", "left")
+    rows = evidence if reads is None else reads.join(package_evidence(evidence).drop(*_READ_COLUMNS[1:]), "doc_id")
+    handed = rows.where("NOT is_package").select("doc_id")
+    rows = rows.join(links, "doc_id", "left").join(macros.select("doc_id", F.col("projects").alias("macro_count"), "triggers", "classes", F.col("reasons").alias("macro_reasons")), "doc_id", "left")
     whole = F.col("stop").isNull()
     unknown = whole & (F.size("apps") != 1)
     limit = lambda c, name: F.when(whole & (F.col(c) > MOST_OBJECTS), F.lit(name))
@@ -129,7 +145,7 @@ def packages(parts: DataFrame, links: DataFrame, macros: DataFrame, reads: DataF
         "external": seen("external", zero), "templates": seen("templates", zero), "triggers": seen("triggers", _none()), "classes": seen("classes", _none()), "malformed": F.col("malformed") | unknown,
         "reasons": F.array_sort(F.array_distinct(F.concat("reasons", more, seen("macro_reasons", _none())))),
     })
-    return _assembled(out, "OOXML"), rows.where("NOT is_package").select("doc_id")
+    return _assembled(out, "OOXML"), handed
 
 
 def compounds(files: DataFrame, macros: DataFrame) -> DataFrame:

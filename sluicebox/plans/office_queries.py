@@ -57,8 +57,7 @@ _PACKAGE_SQL = f"""WITH {_MACRO_SQL}, {_READ_SQL}, pc AS (SELECT doc_id, list(DI
 
 @query(_PACKAGE_SQL + f"SELECT doc_id, 'OFFICE_' || upper(application) || '_OOXML' AS detected_type, {_CODES_SQL} AS findings, CASE WHEN malformed THEN 'MALFORMED' WHEN len(why) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status, array_to_string(why, ',') AS reasons FROM pe UNION ALL SELECT doc_id, NULL, 'handed to archives', NULL, NULL FROM reads WHERE NOT is_package")
 def o13_office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = view(spark, sf_dir, "v_package")
-    results, handed = office.packages(parts, view(spark, sf_dir, "v_link"), _macros(spark, sf_dir), office.package_reads(parts, **_READ))
+    results, handed = office.packages(office.package_evidence(view(spark, sf_dir, "v_package"), **_READ), view(spark, sf_dir, "v_link"), _macros(spark, sf_dir))
     nothing = F.lit(None).cast("string")
     return results.withColumns({"findings": joined("findings"), "reasons": joined("reasons")}).unionAll(handed.select("doc_id", nothing, F.lit("handed to archives"), nothing, nothing))
 
