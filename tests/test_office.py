@@ -73,3 +73,11 @@ def test_no_documents(spark):
     macros = office.merged_macros(office.macro_projects(spark.createDataFrame([], MODULE)))
     results, handed = office.packages(none, spark.createDataFrame([], "doc_id long, external long, templates long"), macros, office.package_reads(none))
     assert results.select(F.count(F.lit(1))).first()[0] == 0 == handed.count()
+
+
+def test_parts_modules_and_entries_are_read_few_times(spark):
+    from sluicebox.plans import office_queries
+
+    for query, reads in ((office_queries.o09_12_macro_evidence, 1), (office_queries.o13_office_packages, 3), (office_queries.o13_15_compound_results, 2)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [l_orderkey") <= reads, plan
