@@ -16,7 +16,7 @@ _ODD = "[\\p{C}" + BIDI + "]"
 
 def basename(v: Column) -> Column:
     """The last component of a path in either slash style; trailing slashes don't count."""
-    return F.element_at(F.split(F.regexp_replace(F.replace(v, F.lit("\\"), F.lit("/")), "/+$", ""), "/"), -1)
+    return F.substring_index(F.rtrim(F.replace(v, F.lit("\\"), F.lit("/")), F.lit("/")), "/", -1)
 
 
 def segments(v: Column) -> Column:
@@ -41,6 +41,10 @@ def bidi_marks(v: Column, most: int = 16) -> Column:
     return F.slice(F.transform(F.regexp_extract_all(v, F.lit(f"([{BIDI}])"), F.lit(1)), lambda c: F.concat(F.lit("U+"), F.lpad(_point(c), 4, "0"))), 1, most)
 
 
+def has_bidi_marks(v: Column) -> Column:
+    return F.regexp_like(v, F.lit(f"[{BIDI}]"))
+
+
 def _point(c: Column) -> Column:
     """The hex code point of a character of two UTF-16 bytes."""
     return F.hex(F.encode(c, "UTF-16BE"))
@@ -66,14 +70,19 @@ def beyond_ascii(v: Column) -> Column:
 
 
 def collision_key(v: Column) -> Column:
-    """A composed member name without empty and `.` parts; case and `..` stay."""
-    return portable(composed(v))
+    """A composed member name without empty and `.` parts; case and `..` stay.
+
+    Composed by ICU, which comes with Spark: rows that went through Python would lose where they have been dealt to, and be shuffled again.
+    """
+    composed_here = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), v, F.lit(False))
+    return portable(F.when(beyond_ascii(v), composed_here).otherwise(v))
 
 
 def portable(v: Column) -> Column:
     """A name without empty and `.` parts."""
     n = F.replace(v, F.lit("\\"), F.lit("/"))
-    return F.concat(F.when(F.startswith(n, F.lit("/")), "/").otherwise(""), F.array_join(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), "/"))
+    parts = F.concat(F.when(F.startswith(n, F.lit("/")), "/").otherwise(""), F.array_join(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), "/"))
+    return F.when(F.contains(n, F.lit("/")), parts).when(n == ".", "").otherwise(n)
 
 
 def bounded(v: Column, most: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import archive, evaluate, limits, policy, rules
 from . import dims
-from .views import duck, view
+from .views import duck, members_by_root, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,7 +201,9 @@ _SHOWN = ("traversal", "rooted", "collides_with", "dangerous", "double_extension
 
 
 def _visited(spark: SparkSession, sf_dir: str, limits: archive.Limits = archive.Limits(), keep: tuple[str, ...] = ()) -> DataFrame:
-    return archive.visit(_marked(spark, sf_dir), view(spark, sf_dir, "v_container"), limits, keep)
+    # members and paths both lie by root, and are joined by root and container where they are
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return archive.visit(archive.name_marks(members_by_root(spark, sf_dir)), view(spark, sf_dir, "v_container"), limits, keep)
 
 
 @query(_TIGHT_SQL + "SELECT root_id, count(*) FILTER (inspected) AS inspected, count(*) FILTER (reason = 'zip_entry_limit') AS crowded, count(*) FILTER (reason = 'member_inspection_limit') AS left_at_members FROM v GROUP BY root_id")
