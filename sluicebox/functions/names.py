@@ -25,15 +25,15 @@ def segments(v: Column) -> Column:
 
 def final_extension(v: Column) -> Column:
     """The part after the last dot, null without a dot; a dot file has one."""
-    s = segments(v)
-    return F.when(F.size(s) > 1, F.element_at(s, -1))
+    base = basename(v)
+    return F.when(F.contains(base, F.lit(".")), F.lower(F.substring_index(base, ".", -1)))
 
 
 def double_extension(v: Column) -> Column:
     """A dangerous last extension behind a document extension that isn't the first part."""
     s = segments(v)
     middle = F.slice(s, 2, F.greatest(F.size(s) - 2, F.lit(0)))
-    return (F.size(s) >= 3) & F.element_at(s, -1).isin(*DANGEROUS) & F.arrays_overlap(middle, F.array(*map(F.lit, BUSINESS)))
+    return final_extension(v).isin(*DANGEROUS) & (F.size(s) >= 3) & F.arrays_overlap(middle, F.array(*map(F.lit, BUSINESS)))
 
 
 def bidi_marks(v: Column, most: int = 16) -> Column:
@@ -42,7 +42,7 @@ def bidi_marks(v: Column, most: int = 16) -> Column:
 
 
 def has_bidi_marks(v: Column) -> Column:
-    return F.regexp_like(v, F.lit(f"[{BIDI}]"))
+    return (F.octet_length(v) > F.length(v)) & F.regexp_like(v, F.lit(f"[{BIDI}]"))
 
 
 def _point(c: Column) -> Column:
@@ -66,7 +66,7 @@ def content_type(v: Column, most: int = 255) -> Column:
 
 
 def beyond_ascii(v: Column) -> Column:
-    return F.coalesce(F.regexp_like(v, F.lit("[^\\x00-\\x7F]")), F.lit(False))
+    return F.coalesce(F.octet_length(v) > F.length(v), F.lit(False))
 
 
 def collision_key(v: Column) -> Column:
@@ -82,7 +82,8 @@ def portable(v: Column) -> Column:
     """A name without empty and `.` parts."""
     n = F.replace(v, F.lit("\\"), F.lit("/"))
     parts = F.concat(F.when(F.startswith(n, F.lit("/")), "/").otherwise(""), F.array_join(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), "/"))
-    return F.when(F.contains(n, F.lit("/")), parts).when(n == ".", "").otherwise(n)
+    has, ends = lambda x: F.contains(n, F.lit(x)), lambda x: F.endswith(n, F.lit(x))
+    return F.when(has("//") | has("/./") | F.startswith(n, F.lit("./")) | ends("/") | ends("/.") | (n == "."), parts).otherwise(n)
 
 
 def bounded(v: Column, most: int) -> Column:

@@ -49,7 +49,7 @@ def name_marks(members: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "traversal": F.contains("name", F.lit("..")) & F.array_contains(F.split(_slashed(F.col("name")), "/"), ".."),
-            "rooted": F.startswith(_slashed(F.col("name")), F.lit("/")) | F.regexp_like("name", F.lit(r"^[A-Za-z]:[\\/]")),
+            "rooted": F.startswith(_slashed(F.col("name")), F.lit("/")) | ((F.substring("name", 2, 1) == ":") & F.regexp_like("name", F.lit(r"^[A-Za-z]:[\\/]"))),
             "collides_with": F.when(F.col("occurrence") > 1, F.col("first_name")),
             "collision_kind": F.when(F.col("occurrence") > 1, F.when(F.col("name") == F.col("first_name"), "exact").otherwise("portable_normalized")),
             "dangerous": F.coalesce(names.final_extension(F.col("name")).isin(*DANGEROUS), F.lit(False)),

@@ -195,14 +195,15 @@ def test_names_are_the_same_without_their_lists(spark):
 
     from sluicebox.functions import names
 
-    rows = ["", ".", "..", "/", "a", "a/", "./a", "a/./b", "a//b", "..\\x", "/.", "a..b", "x/..", "\\", "a/b.pdf.exe//", "r\u202ecod", "cafe\u0301", "\u212b/\u1e9b\u0323", "\uac00\u11a8", "\U0001d15e", None]
+    rows = ["", ".", "..", "/", "a", "a/", "./a", "a/./b", "a//b", "..\\x", "/.", "a..b", "x/..", "\\", "a/b.pdf.exe//", "r\u202ecod", "cafe\u0301", "\u212b/\u1e9b\u0323", "\uac00\u11a8", "\U0001d15e", "C:/x", "C:x", "\u00e9:/", "b:\\", "A.TXT", "x.", None]
     got = spark.createDataFrame([(1, 1, k, x) for k, x in enumerate(rows)], "root_id int, container_id int, ordinal int, name string")
-    got = [tuple(r) for r in archive.name_marks(got).orderBy("ordinal").select("name", "key", "traversal", "bidi", names.basename(F.col("name"))).collect()]
+    got = [tuple(r) for r in archive.name_marks(got).orderBy("ordinal").select("name", "key", "traversal", "bidi", names.basename(F.col("name")), names.final_extension(F.col("name")), "rooted").collect()]
 
     def plain(x):
         if x is None:
-            return (None,) * 5
+            return (None,) * 7
         parts = unicodedata.normalize("NFC", x).replace("\\", "/").split("/")
-        return x, ("/" if x[:1] in ("/", "\\") else "") + "/".join(p for p in parts if p not in ("", ".")), ".." in x.replace("\\", "/").split("/"), "\u202e" in x, x.replace("\\", "/").rstrip("/").split("/")[-1]
+        base = x.replace("\\", "/").rstrip("/").split("/")[-1]
+        return x, ("/" if x[:1] in ("/", "\\") else "") + "/".join(p for p in parts if p not in ("", ".")), ".." in x.replace("\\", "/").split("/"), "\u202e" in x, base, base.lower().split(".")[-1] if "." in base else None, x[:1] in ("/", "\\") or x[1:3] in (":/", ":\\") and x[0].isascii() and x[0].isalpha()
 
     assert got == [plain(x) for x in rows]
