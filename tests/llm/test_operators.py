@@ -100,6 +100,27 @@ def test_near_duplicates(docs, texts, k):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_broadcast_no_more_for_more_documents(spark, monkeypatch):
+    # three texts, two of them linked and all in common buckets, many times; and a large group in buckets of its own
+    word = lambda *a: "w" + "x".join(map(str, a))
+    changed = lambda words, at, of: " ".join(word(of, i) if i in at else w for i, w in enumerate(words))
+    texts = []
+    for g in range(100):
+        base = [word("g", g, i) for i in range(60)]
+        texts += [" ".join(base), changed(base, {30}, f"a{g}"), changed(base, {5, 15, 25, 35, 45, 55}, f"b{g}")]
+    core = [word("core", i) for i in range(60)]
+    texts += [changed(core, {k % 60, (k + 20) % 60, (k + 40) % 60}, f"c{k}") for k in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a b c"), (None, texts[0])], "doc_id long, text string")
+    sent, put = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df.count()), put(df))[1])
+    monkeypatch.setattr(near_dedup, "HOT_BUCKETS", 64, raising=False)
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", 4096, raising=False)
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, shingle=2).where("doc_id IS NOT NULL").collect()}
+    sets, root = components(texts, 2)
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(texts))}
+    assert 1 < max(sent) <= 64, sent
+
+
 def test_super_min_hash_estimates_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 1000, dtype=np.uint64)
